@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, quality, secret_scan
+from . import chat_format, decontaminate, ngram_join, quality, secret_scan, substring_dedup
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.repeats_removed(table(spark, sf_dir, "documents")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -27,4 +31,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.expand(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_secret_scan, op6_chat_format)}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op4_substring_dedup, op5_secret_scan, op6_chat_format, op7_ngram_join)}
