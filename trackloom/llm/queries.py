@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, ngram_join, quality, secret_scan, substring_dedup
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited(table(spark, sf_dir, "documents"), token_counts.sample_edits())
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.repeats_removed(table(spark, sf_dir, "documents")))
 
@@ -35,4 +39,28 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op4_substring_dedup, op5_secret_scan, op6_chat_format, op7_ngram_join)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.cleaned(table(spark, sf_dir, "documents")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_decontamination,
+    op3_token_counts,
+    op4_substring_dedup,
+    op5_secret_scan,
+    op6_chat_format,
+    op7_ngram_join,
+    op8_toxicity,
+    op9_line_dedup,
+    op10_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
