@@ -80,23 +80,25 @@ def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
 
 
 def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The documents with recurring lines dropped from ``text``, and n_lines, n_dropped and dropped (numbers of the lines)."""
+    """The documents with recurring lines dropped from ``text``, and _ld_dropped (numbers of the lines) and _ld_lines (how many there were)."""
     drops = recurring(documents, min_documents).distinct().groupBy("_ld_key").agg(F.array_sort(F.collect_list("line")).alias("_ld_drops"))
     marked = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(drops.hint("merge"), "_ld_key", "left")
-    lines = F.split("text", "\n")
-    gone = F.coalesce(F.col("_ld_drops"), F.array().cast("array<int>"))
-    out = marked.withColumn("_ld_lines", lines)
-    chars = F.aggregate(gone, F.lit(0), lambda a, i: a + F.length(F.get(F.col("_ld_lines"), i)))
-    out = out.withColumn("dropped", F.when(2 * chars > F.length("text"), F.array().cast("array<int>")).otherwise(gone))
-    kept = F.filter("_ld_lines", lambda x, i: ~F.array_contains("dropped", i))
+    none = F.array().cast("array<int>")
+    gone = F.coalesce(F.col("_ld_drops"), none)
+    out = marked.withColumn("_ld_split", F.split(text_of(), "\n"))
+    chars = F.aggregate(gone, F.lit(0), lambda a, i: a + F.length(F.get(F.col("_ld_split"), i)))
+    out = out.withColumn("_ld_dropped", F.when(2 * chars > F.length(text_of()), none).otherwise(gone))
+    kept = F.filter("_ld_split", lambda x, i: ~F.array_contains("_ld_dropped", i))
     return out.withColumns(
         {
-            "text": F.when(F.size("dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
-            "n_lines": F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long"),
-            "n_dropped": F.size("dropped").cast("long"),
+            "text": F.when(F.size("_ld_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
+            "_ld_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_split")).cast("long"),
         }
-    ).drop("_ld_key", "_ld_drops", "_ld_lines")
+    ).drop("_ld_key", "_ld_drops", "_ld_split")
 
 
 def digest(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, dropped (their numbers, comma-joined), kept_sha256 (null for a null text)."""
+    return done.select(
+        "doc_id", F.col("_ld_lines").alias("n_lines"), F.size("_ld_dropped").cast("long").alias("n_dropped"), F.array_join("_ld_dropped", ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256")
+    )

@@ -189,8 +189,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in b)
 
 
-def scored(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The documents with ``score``, 0 to 1."""
+def scored(documents: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """The documents with a column ``name``, 0 to 1."""
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(lexicon)
 
@@ -206,7 +206,7 @@ def scored(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
             z = _inputs(np.array([g[0] for g in got]), np.array([g[1] for g in got])) @ np.array(own.fit)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return documents.withColumn("score", score(F.col("text")))
+    return documents.withColumn(name, score(F.col("text")))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,7 +217,5 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    name = "_tox_score"
-    rated = scored(documents.select(*[F.col(c) for c in documents.columns if c != "score"], *[F.col("score").alias("_tox_kept")] * ("score" in documents.columns)), learn(labelled(documents, labels))).withColumnRenamed("score", name)
-    out = rated.where(F.col(name) < THRESHOLD).drop(name)
-    return out.withColumnRenamed("_tox_kept", "score").select(*documents.columns)
+    rated = scored(documents, learn(labelled(documents, labels)), "_tox_score")
+    return rated.where(F.col("_tox_score") < THRESHOLD).drop("_tox_score")
