@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: 2026-07-01 00:00 UTC, in microseconds since 1970.
 EPOCH_US = 1_782_864_000_000_000
 
@@ -66,4 +68,4 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return from_events(ship(spark).read.parquet(f"{sf_dir}/events.parquet"))
