@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that separates words, everywhere in this subpackage: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only after its rows were counted and are at most this many.
@@ -73,7 +75,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def blocks_for(total: int, each: int, least: int = 1) -> int:

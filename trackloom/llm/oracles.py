@@ -1,5 +1,94 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express.
+
+The others are held against plain versions in the tests: op1 (its hash isn't DuckDB's), op3
+(tokenizer), op8 (a fitted model), op9 and op10 (trees and packing), and the pipeline.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .chat_format import CONTROL, END, SEP, START
+from .secret_scan import BASE, RULES
+
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{SPACE}'), lambda x: x<>'')"
+
+
+def _runs(source: str, key: str, k: int) -> str:
+    """key, p (from 1), g (k words joined) of a table with key and a list of words w."""
+    return f"SELECT {key}, p, array_to_string(w[p:p+{k - 1}], ' ') AS g FROM {source}, unnest(range(1, len(w)-{k - 2})) r(p)"
+
+
+_CLEAN = r"regexp_replace(lower(coalesce(text,'')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g')"
+
+OP2 = f"""
+WITH d AS (SELECT doc_id, {_words(_CLEAN)} AS w FROM documents), b AS (SELECT item_id, {_words(_CLEAN)} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, g FROM ({_runs("d", "doc_id", 5)})), bs AS (SELECT DISTINCT item_id, g FROM ({_runs("b", "item_id", 5)})),
+sizes AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_matched FROM ds JOIN bs USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*)*100 >= n*80
+"""
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {_words("coalesce(text,'')")} AS w FROM documents), win AS ({_runs("d", "doc_id", 13)}),
+first AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p+k AS p FROM (SELECT doc_id, p FROM win JOIN first USING (g) WHERE m < doc_id), range(13) r(k)),
+each AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w)+1)) r(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def _kind(n: int) -> str:
+    r = RULES[n]
+    p = r.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {n} AS k, '{r.kind}' AS kind, s, s+length(m) AS e FROM (SELECT doc_id, ms[i] AS m,
+      (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d), unnest(range(1, len(ms)+1)) r(i)) WHERE length(regexp_extract(m, '{p}', {r.group})) >= {r.least}"""
+
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text,'') AS t FROM documents), f AS ({" UNION ALL ".join(map(_kind, range(len(RULES))))}),
+g AS (SELECT doc_id, count(*) FILTER (k=0) AS n_assign, count(*) FILTER (k=1) AS n_access, count(*) FILTER (k=2) AS n_hex,
+  string_agg(kind||':'||s||':'||e, ',' ORDER BY s, k) FILTER (k<{len(BASE)}) AS base, string_agg(kind||':'||s||':'||e, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign,0) AS n_assign, coalesce(n_access,0) AS n_access, coalesce(n_hex,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+def _escaped(x: str) -> str:
+    doubled = f"replace(coalesce({x},''), '\\', '\\\\')"
+    for c in CONTROL:
+        doubled = f"replace({doubled}, '{c}', '{c[0]}\\{c[1:]}')"
+    return doubled
+
+
+OP6 = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  length({_escaped("role")}) + length({_escaped("text")}) + {len(START) + len(SEP) + len(END)} AS chars FROM c),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role,'')||chr(10)||coalesce(text,'')||chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role='assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role='assistant'), '')) AS loss_sha256,
+  (sum(CASE WHEN role='assistant' OR i=n THEN upto ELSE 0 END))::BIGINT AS formatted_chars, count(*) FILTER (role='assistant' OR i=n) AS n_examples FROM s GROUP BY conv_id
+"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(f"translate(coalesce(text,''), '{_UPPER}', '{_UPPER.lower()}')")} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, g FROM ({_runs("d", "doc_id", 4)}) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*o >= 85*(x.n + y.n - o)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT ways.b, cc.c FROM cc JOIN ways ON ways.a = cc.doc_id WHERE cc.c < ways.b)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN cc ON cc.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2,
+    "op4_substring_dedup": OP4,
+    "op5_secret_scan": OP5,
+    "op6_chat_format": OP6,
+    "op7_ngram_join": OP7,
+}
