@@ -97,5 +97,6 @@ def parse_evidence(rows: DataFrame, lane: str, api_url: str) -> DataFrame:
 
 def lane(spark: SparkSession, path: str, name: str, api_url: str) -> tuple[DataFrame, DataFrame]:
     """A lane's landed evidence as (items, rows that aren't JSON)."""
-    raw = spark.read.schema(EVIDENCE + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    raw = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", EVIDENCE + ", _corrupt string", options).alias("e")).select("e.*")
     return parse_evidence(raw.where("_corrupt is null"), name, api_url), raw.where("_corrupt is not null")
