@@ -138,6 +138,7 @@ def spoofs(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
         F.col("violations"),
         F.bround("max_speed", 0).alias("max_implied_speed_kt"),
         F.lit(s.spoof_max_speed_kt).alias("ceiling_kt"),
+        F.col("max_speed").alias("exact_max_kt"),
         F.lit("two aircraft may share an address").alias("caveat"),
     ]
     return incidents(

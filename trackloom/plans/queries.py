@@ -69,10 +69,8 @@ def spoof_pairs(spark, d):
 
 @query
 def spoof_incidents(spark, d):
-    # The feed's evidence is rounded to whole knots; here the exact maximum is published.
-    hits = visits.speed_steps(pos(spark, d)).where(F.col("speed_kt") > DEFAULTS.spoof_max_speed_kt).groupBy("icao24").agg(F.max("speed_kt").alias("max_speed_kt"))
-    found = visits.spoofs(pos(spark, d)).join(hits, "icao24")
-    return flat(found, F.col("evidence.violations").alias("violations"), r("max_speed_kt", 4))
+    found = visits.spoofs(pos(spark, d))
+    return flat(found, F.col("evidence.violations").alias("violations"), r(F.col("evidence.exact_max_kt"), 4, "max_speed_kt"))
 
 
 @query
