@@ -8,11 +8,13 @@ words the whole sequence is its one shingle. Two documents link if
    each fragment separately, which shingles occur in another document; per document the fragments'
    counts are summed. A document can only link if at least ``percent`` of its shingles are shared,
    and only shared ones can lie in an intersection: the rest is dropped here, mostly whole documents.
-2. Documents with equal sets become one node (equal 128-bit sums of mixed hashes).
-3. Nodes whose prefixes meet may link. The order is by estimated frequency, rare first; a node of
-   s shared shingles that needs m in common takes its first s - m + 1. For each prefix shingle
-   the nodes that have it are tied to the smallest of them, which gives a graph as large as the
-   prefixes, and every link lies inside one of its components.
+2. Documents with equal sets (equal 128-bit sums of mixed hashes) are one node.
+3. Nodes whose prefixes meet twice may link. The order is by estimated frequency, rare first; a node
+   of s shared shingles that needs m in common takes its first s - m + 2, and two nodes with m in
+   common have two of these in common. (Different sets that link share more than that at all.) For a
+   prefix shingle of at most ``RARE`` nodes these are paired, and pairs met twice are tied; the nodes
+   of a more frequent one are tied to the smallest of them. That gives a graph no larger than a
+   constant times the prefixes, and every link lies inside one of its components.
 4. Candidate components are dealt out in cells of bounded size (a large one as pairs of its
    blocks). In a cell the shingles present are cut into fragments again, the overlaps of all its
    pairs are counted in each and summed per pair, and the exact condition is tested. A cell
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, stored
+from .common import blocks_for, small, stored
 from .components import components
 from .exchange import REQUEST, answered, bits_in_order, block_count, blocked, requests_table
 from .hashing import U, Words, by_part, first_of_runs, keys, mixed, packed, windows
@@ -42,6 +44,8 @@ from .hashing import U, Words, by_part, first_of_runs, keys, mixed, packed, wind
 WIDTH, PERCENT = 5, 80
 #: Nodes, and shared shingles, that a block of a large candidate component holds.
 CELL_NODES, CELL_GRAMS = 256, 500_000
+#: Nodes of a prefix shingle that are paired one by one; beyond, they are tied to one of them.
+RARE = 32
 #: Distinct shingles whose overlaps are counted at once.
 FRAGMENT = 2048
 MOST_COUNTERS = 1 << 22
@@ -68,7 +72,7 @@ def _ask(width: int, parts: int):
     return ask
 
 
-SHARED = "doc_id long, n long, s1 long, s2 long, shared binary"
+SHARED = "doc_id long, n long, s1 long, s2 long, m long, shared binary"
 
 
 def _shared(width: int, percent: int, parts: int):
@@ -85,7 +89,7 @@ def _shared(width: int, percent: int, parts: int):
         entry = np.empty(len(key), np.int64)
         entry[order] = np.cumsum(first) - 1
         again = (bits | (np.bincount(entry, minlength=len(bits)) > 1))[entry] if len(key) else np.zeros(0, bool)
-        n, s1, s2, kept, at = [], [], [], [], 0
+        n, s1, s2, m, kept, at = [], [], [], [], [], 0
         for s in sets:
             good = again[at : at + len(s)]
             at += len(s)
@@ -93,13 +97,15 @@ def _shared(width: int, percent: int, parts: int):
             if len(s) and 100 * int(good.sum()) >= percent * len(s):
                 s1.append(int(mixed(s).sum(dtype=U).view(np.int64)))
                 s2.append(int(mixed(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64)))
+                m.append(int(good.sum()))
                 kept.append(s[good].tobytes())
             else:
                 s1.append(None)
                 s2.append(None)
+                m.append(None)
                 kept.append(None)
         ids = table["doc_id"] if table.num_rows else pa.array([], pa.int64())
-        return pa.table({"doc_id": ids, "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "shared": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": ids, "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "m": pa.array(m, pa.int64()), "shared": pa.array(kept, pa.binary())})
 
     return shared
 
@@ -130,8 +136,14 @@ def _counters(nodes: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
+def met(percent: int) -> int:
+    """How many prefix shingles two different sets that link have in common at least: 2, or 1 for low similarities."""
+    return 2 if percent >= 67 else 1
+
+
 def _prefixes(nodes: DataFrame, percent: int, counters: np.ndarray) -> DataFrame:
     """gram, node: the prefix of every node in the global order."""
+    times = met(percent)
     held = nodes.sparkSession.sparkContext.broadcast(counters)
     fair = 2 * int(counters.sum(dtype=np.uint64)) // len(counters) + 4
 
@@ -139,18 +151,18 @@ def _prefixes(nodes: DataFrame, percent: int, counters: np.ndarray) -> DataFrame
         size = U(len(held.value))
         for b in batches:
             grams, owner = [], []
-            for node, n, x in zip(b["node"].to_pylist(), b["n"].to_pylist(), b["shared"], strict=True):
+            for node, n, x in zip(b["doc_id"].to_pylist(), b["n"].to_pylist(), b["shared"], strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
                 often = held.value[(s % size).astype(np.int64)]
                 # Counts up to what chance puts in a counter say nothing; above, by powers of two.
                 level = np.where(often <= fair, 0, np.log2(np.maximum(often, 1)).astype(np.int64))
                 need = -(-percent * n // 100)
-                grams.append(s[np.lexsort((s, level))[: len(s) - need + 1]])
+                grams.append(s[np.lexsort((s, level))[: len(s) - need + times]])
                 owner.append(np.full(len(grams[-1]), node, np.int64))
             if grams:
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "node": pa.array(np.concatenate(owner))})
 
-    return nodes.select("node", "n", "shared").mapInArrow(prefix, "gram long, node long")
+    return nodes.select("doc_id", "n", "shared").mapInArrow(prefix, "gram long, node long")
 
 
 def _forest(percent: int):
@@ -206,36 +218,39 @@ def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_shared(width, percent, parts), SHARED))
 
     alike = found.where(F.col("s1").isNotNull())
-    nodes = stored(
-        alike.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("shared").alias("shared"))
-    )
-    named = nodes.where(F.col("node").isNotNull())
-    grams, n_nodes = named.agg(F.coalesce(F.sum(F.octet_length("shared") / 8), F.lit(0)), F.count(F.lit(1))).first()
+    reps = stored(alike.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
+    named = alike.where(F.col("doc_id").isNotNull())
+    grams = named.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     size = min(MOST_COUNTERS, max(1 << 12, 1 << int(grams / 8).bit_length()))
-    prefixes = stored(_prefixes(named, percent, _counters(named, size)))
-    first = prefixes.groupBy("gram").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    ties = prefixes.join(first.select("gram", "v"), "gram").select(F.col("node").alias("u"), "v")
-    stars = components(ties)
+    prefixes = stored(_prefixes(named, percent, _counters(named, size)).join(small(reps.select("node")), "node", "left_semi"))
+    first = stored(prefixes.groupBy("gram").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1"))
+    rare = prefixes.join(first.where(F.col("times") <= RARE).select("gram"), "gram", "left_semi")
+    a, b = rare.alias("a"), rare.alias("b")
+    paired = a.join(b, "gram").where("a.node > b.node").groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    often = prefixes.join(first.where(F.col("times") > RARE).select("gram", "v"), "gram").select(F.col("node").alias("u"), "v")
+    stars = components(paired.where(F.col("times") >= met(percent)).select("u", "v").unionByName(often))
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("candidate")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("candidate")).distinct()
     )
-    placed = named.join(members, "node")
-    sizes = placed.groupBy("candidate").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum(F.octet_length("shared") / 8) / CELL_GRAMS)).cast("int").alias("blocks")
-    )
+    sized = named.select(F.col("doc_id").alias("node"), "s1", "s2", "m").join(reps, ["s1", "s2", "node"], "left_semi").distinct()
+    placed = sized.join(members, "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum("m") / CELL_GRAMS)).cast("int")
+    sizes = placed.groupBy("candidate").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
     deals = blocks_for(int(grams), CELL_GRAMS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = placed.join(sizes, "candidate").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seats = placed.join(sizes, "candidate").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Small components share a cell; each pair of blocks of a large one has its own.
-    cells = cells.select(
-        "node", "n", "shared", "candidate",
+    seats = seats.select(
+        F.col("node").alias("doc_id"), "s1", "s2", "candidate",
         F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("candidate"), F.lit(deals))).otherwise(F.col("candidate")).alias("cell"),
         F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"),
         F.greatest("own", "other").alias("j"),
     )
+    # The shingles themselves move once, to their cells.
+    cells = named.join(small(stored(seats)), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), "n", "shared", "candidate", "cell", "i", "j")
     forest = cells.groupBy("cell", "i", "j").applyInArrow(_forest(percent), "u long, v long")
     roots = components(forest).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named_by = nodes.select("s1", "s2", "node").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    named_by = reps.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     same = alike.select("doc_id", "n", "s1", "s2").join(named_by, ["s1", "s2"], "left")
     alone = found.where(F.col("s1").isNull())
     return alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(
