@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, text_of
+from .common import let, small, stored, text_of
 
 MIN_DOCUMENTS = 8
 #: Leading tokens on the way to a leaf.
@@ -36,15 +36,19 @@ _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*"
 
 def _lines(text: Column) -> Column:
     """All lines of a text as structs: number, masked line and its leaf; leaf null for blank lines."""
-    masked = F.regexp_replace(text, _FIELD, "*")
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
-    def one(line: Column, i: Column) -> Column:
-        said = F.trim(F.regexp_replace(line, r"[\x09\x0B-\x0D]", " "))
+    def parsed(said: Column, i: Column) -> Column:
         tokens = F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1
         leaf = F.when(said != "", F.xxhash64(tokens, F.substring_index(said, " ", DEPTH)))
         return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"))
 
-    return F.transform(F.split(masked, "\n"), one)
+    def one(line: Column, i: Column) -> Column:
+        # Few lines have a variable field, and looking for one is much cheaper than replacing.
+        masked = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, "*")).otherwise(line)
+        return let(F.trim(masked), lambda said: parsed(said, i))
+
+    return F.transform(F.split(plain, "\n"), one)
 
 
 def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
