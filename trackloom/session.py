@@ -19,6 +19,7 @@ def local_session(cores: int | None = None, **extra: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call site captured per column expression
         .config("spark.driver.memory", os.environ.get("TRACKLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

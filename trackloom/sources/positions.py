@@ -23,48 +23,40 @@ def scan(positions: DataFrame, region: str | None = None, since_us: int | None =
     return out
 
 
+#: The adapter as SQL text: a query parses it in one call, where columns put together one by one cost hundreds.
+_REL = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 720"
+_BASE = ["event_id AS id", "user_id AS u", "cast(get_json_object(props, '$.k') AS bigint) AS k", f"{_REL} AS rel", f"({_REL}) / 1e6D AS t", "event_type", "user_id % 10 AS cls"]
+_LAT = "CASE WHEN cls = 6 THEN 0.8D WHEN cls = 8 AND id % 2 = 0 THEN 3.9D WHEN cls = 8 THEN 1.2D ELSE 0.6D + cast(u % 13 AS double) * 0.1D END"
+_LON = """CASE WHEN cls = 6 THEN 104.2D + cast(k - 50 AS double) * 0.0001D WHEN cls = 8 AND id % 2 = 0 THEN 104.4D WHEN cls = 8 THEN 103.6D
+    ELSE 102.9D + cast(u % 17 AS double) * 0.1D + if(u % 2 = 0, 1D, -1D) * 0.002D * (t - 1800D) END"""
+_JAMMED = "(abs(lat - 1.15D) <= 0.36D AND abs(lon - 103.9D) <= 0.36D AND t >= 1200 AND t < 2400 AND cls <> 8)"
+_REPORT = [
+    "id",
+    "concat('a', lpad(cast(u AS string), 5, '0')) AS icao24",
+    "timestamp_ntz'2026-07-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast(rel AS decimal(18,6)) / 1000000 AS decimal(18,6))) AS ts",
+    f"{EPOCH_US} + rel AS us",
+    "lat",
+    "lon",
+    "CASE WHEN k = 17 THEN NULL WHEN cls = 6 THEN cast(1800 + k AS double) ELSE cast(30000 + (u % 7) * 1500 AS double) END AS alt_baro_ft",
+    "CASE WHEN k = 23 THEN NULL WHEN cls = 6 AND u % 20 = 16 THEN -1400D WHEN cls = 7 AND u % 30 = 17 THEN -1800D ELSE 0D END AS baro_rate_fpm",
+    "CASE WHEN k = 29 THEN NULL ELSE 450D END AS gs_kt",
+    "CASE WHEN event_type = 'signup' THEN NULL WHEN cls = 9 AND t >= 600 AND t < 900 THEN '7700' ELSE '2000' END AS squawk",
+    "event_type = 'purchase' AND cls = 5 AND t < 300 AS on_ground",
+    f"CASE WHEN k = 13 THEN NULL WHEN {_JAMMED} THEN element_at(array(0, 1, 2, 4), cast(k % 4 + 1 AS int)) ELSE 8 END AS nic",
+    f"CASE WHEN k = 13 THEN NULL WHEN {_JAMMED} THEN element_at(array(0, 2, 4), cast(k % 3 + 1 AS int)) ELSE 9 END AS nac_p",
+    "'synthetic' AS source",
+    "if(u % 2 = 0, 'north', 'south') AS region",
+]
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """Positions from an event table (event_id, ts, user_id, event_type, value, props): 30 days become one hour.
 
     One aircraft a user; its user number decides what it does: fly level, go silent, lose integrity,
     visit a zone, jump, or send an emergency code.
     """
-    u, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("long")
-    d = lambda x: F.lit(float(x))
-    base = events.select(
-        F.col("event_id").alias("id"), u.alias("u"), k.alias("k"), F.expr("(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)) div 720").alias("rel"), "event_type", (u % 10).alias("cls")
-    ).withColumn("t", F.col("rel") / d(1e6))
-    even, cls, t, kk = F.col("u") % 2 == 0, F.col("cls"), F.col("t"), F.col("k")
-    eid = F.col("id") % 2 == 0
-    lat = F.when(cls == 6, d(0.8)).when((cls == 8) & eid, d(3.9)).when(cls == 8, d(1.2)).otherwise(d(0.6) + (F.col("u") % 13).cast("double") * d(0.1))
-    lon = (
-        F.when(cls == 6, d(104.2) + (kk - 50).cast("double") * d(0.0001))
-        .when((cls == 8) & eid, d(104.4))
-        .when(cls == 8, d(103.6))
-        .otherwise(d(102.9) + (F.col("u") % 17).cast("double") * d(0.1) + F.when(even, d(1)).otherwise(d(-1)) * d(0.002) * (t - d(1800)))
-    )
-    placed = base.where(~((cls == 7) & (t >= 1200) & (t < 2400))).withColumns({"lat": lat, "lon": lon})
-    jammed = (
-        (F.abs(F.col("lat") - d(1.15)) <= d(0.36)) & (F.abs(F.col("lon") - d(103.9)) <= d(0.36)) & (t >= 1200) & (t < 2400) & (cls != 8)
-    )
-    rows = placed.select(
-        "id",
-        F.concat(F.lit("a"), F.lpad(F.col("u").cast("string"), 5, "0")).alias("icao24"),
-        F.expr("timestamp_ntz'2026-07-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast(rel as decimal(18,6)) / 1000000 as decimal(18,6)))").alias("ts"),
-        (F.lit(EPOCH_US) + F.col("rel")).alias("us"),
-        "lat",
-        "lon",
-        F.when(kk == 17, None).when(cls == 6, (1800 + kk).cast("double")).otherwise((30000 + (F.col("u") % 7) * 1500).cast("double")).alias("alt_baro_ft"),
-        F.when(kk == 23, None).when((cls == 6) & (F.col("u") % 20 == 16), d(-1400)).when((cls == 7) & (F.col("u") % 30 == 17), d(-1800)).otherwise(d(0)).alias("baro_rate_fpm"),
-        F.when(kk == 29, None).otherwise(d(450)).alias("gs_kt"),
-        F.when(F.col("event_type") == "signup", None).when((cls == 9) & (t >= 600) & (t < 900), "7700").otherwise("2000").alias("squawk"),
-        ((F.col("event_type") == "purchase") & (cls == 5) & (t < 300)).alias("on_ground"),
-        F.when(kk == 13, None).when(jammed, F.element_at(F.array(*map(F.lit, (0, 1, 2, 4))), (kk % 4 + 1).cast("int"))).otherwise(8).cast("int").alias("nic"),
-        F.when(kk == 13, None).when(jammed, F.element_at(F.array(*map(F.lit, (0, 2, 4))), (kk % 3 + 1).cast("int"))).otherwise(9).cast("int").alias("nac_p"),
-        F.lit("synthetic").alias("source"),
-        F.when(even, "north").otherwise("south").alias("region"),
-    )
-    return rows
+    placed = events.selectExpr(*_BASE).where("NOT (cls = 7 AND t >= 1200 AND t < 2400)").selectExpr("*", f"{_LAT} AS lat", f"{_LON} AS lon")
+    return placed.selectExpr(*_REPORT)
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
