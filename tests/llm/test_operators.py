@@ -360,3 +360,16 @@ def test_pipeline(spark):
         now = done
     assert set(after) < set(texts)
     assert sorted(map(tuple, pipeline.run(spark, d).collect()), key=str) == sorted(map(tuple, done.collect()), key=str)
+
+
+def test_line_dedup_leaves_only_copies_whole(spark):
+    """Documents made mostly of recurring lines lose them, unless they are copies."""
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], k=n))
+    passage, notice = say(60), say(9)
+    rows = [(i, f"{passage}\n{say(25)}\n{notice}") for i in range(10)]
+    copy = f"{notice}\n{passage}\n"
+    rows += [(20, copy + "one end"), (21, copy + "other end"), (22, copy + say(20)), (30, passage)]
+    out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(out[i] == "0,2" for i in range(10))
+    assert out[20] == out[21] == "" and out[22] == "0,1" and out[30] == ""

@@ -11,8 +11,10 @@ these lines have it, and any other token there is a variable field too; such a t
 least ``CONSTANT`` hundredths of its tokens are constant. Lines whose template recurs, in at least
 ``min_documents`` documents, are dropped.
 
-A document more than half of whose characters would go is left whole: it is a copy of other
-documents, which document-level dedup handles, not a text with boilerplate.
+A document more than half of whose characters would go is left whole if it is a copy, which
+document-level dedup handles: its sequence of masked lines is another document's too or is one line
+alone, or it is a near copy (five-word shingles, Jaccard 0.8) of the first document, by hash, with
+its sequence of recurring lines. Every other document loses its recurring lines, whatever share of it they are.
 
 Defined cases: a null text stays null and has no lines; empty lines are kept and count as no
 template; rows that repeat both id and text count as one document; documents are told apart by id
@@ -25,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored, text_of
+from .common import let, rolled, small, stored, text_of, words_of
 
 MIN_DOCUMENTS = 8
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
 CONSTANT = 70
+#: Near copies: words a shingle, and the least similarity in hundredths.
+WIDTH, PERCENT = 5, 80
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*"
 
 
@@ -38,28 +42,28 @@ def _lines(text: Column) -> Column:
     """All lines of a text as structs: number, masked line and its leaf; leaf null for blank lines."""
     plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
-    def parsed(said: Column, i: Column) -> Column:
+    def parsed(said: Column, i: Column, chars: Column) -> Column:
         tokens = F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1
         leaf = F.when(said != "", F.xxhash64(tokens, F.substring_index(said, " ", DEPTH)))
-        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"))
+        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), chars.alias("chars"))
 
     def one(line: Column, i: Column) -> Column:
         # Few lines have a variable field, and looking for one is much cheaper than replacing.
         masked = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, "*")).otherwise(line)
-        return let(F.trim(masked), lambda said: parsed(said, i))
+        return let(F.trim(masked), lambda said: parsed(said, i, F.length(line)))
 
     return F.transform(F.split(plain, "\n"), one)
 
 
 def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """_ld_key, line: the lines (numbered from 0) of each document whose template recurs."""
+    """_ld_key, line, chars, template: the lines (numbered from 0) of each document whose template recurs, their length and masked text (a hash)."""
     key = F.xxhash64("doc_id", text_of()).alias("_ld_key")
     parsed = documents.select(key, _lines(text_of()).alias("lines"))
     leaves = parsed.select("_ld_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["leaf"]))).alias("leaf"))
     # Rows that repeat a document count it twice here and once below: this is only the filter.
     heavy = stored(leaves.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf"))
     lines = stored(
-        parsed.select("_ld_key", F.explode("lines").alias("x")).select("_ld_key", "x.line", "x.said", "x.leaf").join(small(heavy), "leaf", "left_semi")
+        parsed.select("_ld_key", F.explode("lines").alias("x")).select("_ld_key", "x.line", "x.said", "x.leaf", "x.chars").join(small(heavy), "leaf", "left_semi")
     ).withColumn("template", F.xxhash64("said"))
 
     def often(df: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
         )
 
     same = small(often(lines))
-    found = lines.join(same, ["leaf", "template"], "left_semi").select("_ld_key", "line")
+    found = lines.join(same, ["leaf", "template"], "left_semi").select("_ld_key", "line", "chars", "template")
     rest = lines.join(same, ["leaf", "template"], "left_anti")
     leftover = rest.groupBy("leaf").agg(F.count_distinct("_ld_key").alias("documents"), F.count(F.lit(1)).alias("n")).where(F.col("documents") >= min_documents)
     rest = stored(rest.join(leftover.select("leaf", "n"), "leaf").withColumn("tokens", F.split("said", " ")))
@@ -78,20 +82,49 @@ def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
     token = lambda t, i: F.when(F.element_at("shape", i) == t, t).otherwise("*")
     general = rest.join(shape, "leaf").withColumn("tokens", F.transform("tokens", token))
     fixed = F.size(F.filter("tokens", lambda t: t != "*"))
-    general = general.where(100 * fixed >= CONSTANT * F.size("tokens")).select("_ld_key", "line", "leaf", F.xxhash64("tokens").alias("template"))
-    more = general.join(small(often(general)), ["leaf", "template"], "left_semi").select("_ld_key", "line")
+    general = general.where(100 * fixed >= CONSTANT * F.size("tokens")).select("_ld_key", "line", "chars", F.col("template").alias("own"), "leaf", F.xxhash64("tokens").alias("template"))
+    more = general.join(small(often(general)), ["leaf", "template"], "left_semi").select("_ld_key", "line", "chars", F.col("own").alias("template"))
     return found.unionByName(more)
 
 
+def _near(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (first, _ld_key) of documents that are near copies."""
+    pairs = stored(pairs.distinct())
+    keys = small(stored(pairs.select("_ld_key").unionByName(pairs.select(F.col("first").alias("_ld_key"))).distinct()))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    own = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(keys, "_ld_key", "left_semi").dropDuplicates(["_ld_key"])
+    words = F.transform(words_of(F.translate(text_of(), upper, upper.lower())), lambda w: F.xxhash64(w))
+    sets = let(words, lambda w: F.when(F.size(w) < WIDTH, F.array(F.xxhash64(w))).otherwise(F.array_distinct(rolled(w, WIDTH))))
+    sets = stored(own.select("_ld_key", sets.alias("set")))
+    both = pairs.join(sets.hint("merge"), "_ld_key").join(sets.select(F.col("_ld_key").alias("first"), F.col("set").alias("other")).hint("merge"), "first")
+    both = both.withColumn("common", F.size(F.array_intersect("set", "other")))
+    return stored(both.where(100 * F.col("common") >= PERCENT * (F.size("set") + F.size("other") - F.col("common"))).select("first", "_ld_key"))
+
+
+def _copies(documents: DataFrame, drops: DataFrame) -> DataFrame:
+    """_ld_key: the documents of ``drops`` that are left whole, as most of each would go and it is a copy."""
+    said = F.filter(_lines(text_of()), lambda x: x["leaf"].isNotNull())
+    whole = let(said, lambda x: F.struct(F.size(x).alias("filled"), F.xxhash64(F.transform(x, lambda y: y["said"])).alias("whole")))
+    each = documents.select(F.xxhash64("doc_id", text_of()).alias("_ld_key"), F.length(text_of()).alias("total"), whole.alias("x"))
+    each = stored(drops.join(each.select("_ld_key", "total", "x.*"), "_ld_key").dropDuplicates(["_ld_key"]).drop("_ld_drops"))
+    most = each.where(2 * F.col("gone") > F.col("total"))
+    again = small(stored(each.groupBy("whole").count().where("count >= 2").select("whole")))
+    exact = most.where("filled = 1").select("_ld_key").unionByName(most.join(again, "whole", "left_semi").select("_ld_key"))
+    rest = stored(most.join(again, "whole", "left_anti").where("filled > 1").select("shape", "_ld_key"))
+    first = rest.groupBy("shape").agg(F.min("_ld_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    near = _near(documents, rest.join(small(stored(first)), "shape").where("first != _ld_key").select("first", "_ld_key"))
+    return exact.unionByName(near.select("_ld_key")).unionByName(near.select(F.col("first").alias("_ld_key"))).distinct()
+
+
 def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The documents with recurring lines dropped from ``text``, and _ld_dropped (numbers of the lines) and _ld_lines (how many there were)."""
-    drops = recurring(documents, min_documents).distinct().groupBy("_ld_key").agg(F.array_sort(F.collect_list("line")).alias("_ld_drops"))
+    lines = recurring(documents, min_documents).dropDuplicates(["_ld_key", "line"])
+    shape = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("line", "template"))), lambda x: x["template"]))
+    drops = stored(lines.groupBy("_ld_key").agg(F.array_sort(F.collect_list("line")).alias("_ld_drops"), F.sum("chars").alias("gone"), shape.alias("shape")))
+    drops = drops.join(small(stored(_copies(documents, drops))), "_ld_key", "left_anti").select("_ld_key", "_ld_drops")
     marked = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(drops.hint("merge"), "_ld_key", "left")
     none = F.array().cast("array<int>")
-    gone = F.coalesce(F.col("_ld_drops"), none)
-    out = marked.withColumn("_ld_split", F.split(text_of(), "\n"))
-    chars = F.aggregate(gone, F.lit(0), lambda a, i: a + F.length(F.get(F.col("_ld_split"), i)))
-    out = out.withColumn("_ld_dropped", F.when(2 * chars > F.length(text_of()), none).otherwise(gone))
+    out = marked.withColumn("_ld_split", F.split(text_of(), "\n")).withColumn("_ld_dropped", F.coalesce(F.col("_ld_drops"), none))
     kept = F.filter("_ld_split", lambda x, i: ~F.array_contains("_ld_dropped", i))
     return out.withColumns(
         {
