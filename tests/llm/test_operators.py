@@ -373,3 +373,14 @@ def test_line_dedup_leaves_only_copies_whole(spark):
     out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert all(out[i] == "0,2" for i in range(10))
     assert out[20] == out[21] == "" and out[22] == "0,1" and out[30] == ""
+
+
+def test_line_dedup_drops_long_lines_from_the_second_document_on(spark):
+    """Long passages in two documents stay in the first; short ones, and near copies of the first, are left."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], k=n))
+    passage, short, other, own = say(50), say(49), say(70), say(300)
+    rows = [(1, f"{say(30)}\n{passage}\n{short}"), (2, f"{short}\n{passage}\n{say(40)}"), (3, passage), (None, f"{say(9)}\n{passage}")]
+    rows += [(5, f"{other}\n{own}\nend"), (6, f"{other}\n{own} more\nend"), (7, f"{say(80)}\n{other}"), (7, f"{say(80)}\n{other}")]
+    out = line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert Counter((r.doc_id, r.dropped) for r in out) == Counter([(1, ""), (2, "1"), (3, "0"), (None, "1"), (5, ""), (6, ""), (7, "1"), (7, "1")])

@@ -4,13 +4,18 @@ A line is parsed by a tree of fixed depth: its token count, then its leading tok
 Tokens are what single spaces separate in the trimmed line; those with a digit or an @ (numbers,
 dates, addresses) are variable fields and read as ``*`` everywhere, so also in the tree.
 
-Only leaves met in at least ``min_documents`` documents can hold a recurring template. In them a
+Only leaves met in at least ``min_documents`` documents (two for long lines) can hold a recurring template. In them a
 line's template is first its tokens as they are, with ``*``. Lines whose template doesn't recur are
 generalised by their leaf: at each place the leaf's commonest token is constant if at least half of
 these lines have it, and any other token there is a variable field too; such a template counts if at
 least ``CONSTANT`` hundredths of its tokens are constant. Lines whose template recurs, in at least
 ``min_documents`` documents, are dropped.
 
+A line of at least ``LONG`` words whose template as it is stands in fewer documents, but in two, is a
+repeated passage and no boilerplate: the document with the smallest id keeps it, and it is dropped
+from the others, whatever share it is. Near copies of that first document keep it too:
+document-level dedup handles them.
+
 A document more than half of whose characters would go is left whole if it is a copy, which
 document-level dedup handles: its sequence of masked lines is another document's too or is one line
 alone, or it is a near copy (five-word shingles, Jaccard 0.8) of the first document, by hash, with
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import let, rolled, small, stored, text_of, words_of
 
 MIN_DOCUMENTS = 8
+#: Words of a line that is dropped from its second document on.
+LONG = 50
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
 CONSTANT = 70
@@ -45,7 +52,7 @@ def _lines(text: Column) -> Column:
     def parsed(said: Column, i: Column, chars: Column) -> Column:
         tokens = F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1
         leaf = F.when(said != "", F.xxhash64(tokens, F.substring_index(said, " ", DEPTH)))
-        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), chars.alias("chars"))
+        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), chars.alias("chars"), (tokens >= LONG).alias("long"))
 
     def one(line: Column, i: Column) -> Column:
         # Few lines have a variable field, and looking for one is much cheaper than replacing.
@@ -55,16 +62,31 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), one)
 
 
-def recurring(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """_ld_key, line, chars, template: the lines (numbered from 0) of each document whose template recurs, their length and masked text (a hash)."""
+def lines_of(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The lines that may recur: _ld_key, doc_id, line (numbered from 0), said, leaf, chars, long (may have LONG words), template."""
     key = F.xxhash64("doc_id", text_of()).alias("_ld_key")
-    parsed = documents.select(key, _lines(text_of()).alias("lines"))
-    leaves = parsed.select("_ld_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["leaf"]))).alias("leaf"))
+    parsed = documents.select(key, "doc_id", _lines(text_of()).alias("lines"))
+    leaves = parsed.select("_ld_key", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
     # Rows that repeat a document count it twice here and once below: this is only the filter.
-    heavy = stored(leaves.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf"))
-    lines = stored(
-        parsed.select("_ld_key", F.explode("lines").alias("x")).select("_ld_key", "x.line", "x.said", "x.leaf", "x.chars").join(small(heavy), "leaf", "left_semi")
-    ).withColumn("template", F.xxhash64("said"))
+    heavy = leaves.where("leaf is not null").groupBy("leaf", "long").count().where(F.col("count") >= F.when(F.col("long"), 2).otherwise(min_documents))
+    lines = parsed.select("_ld_key", "doc_id", F.explode("lines").alias("x")).select("_ld_key", "doc_id", "x.line", "x.said", "x.leaf", "x.chars", "x.long")
+    return stored(lines.join(small(stored(heavy.select("leaf"))), "leaf", "left_semi")).withColumn("template", F.xxhash64("said"))
+
+
+def passages(documents: DataFrame, lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """_ld_key, line: long lines in two documents or more, but fewer than min_documents, outside the first document and its near copies."""
+    words = F.size(F.array_remove(F.split("said", " "), ""))
+    held = lines.where(F.col("long") & (words >= LONG)).select("leaf", "template", "_ld_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_ld_key")
+    first = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("x")).where((F.col("n") >= 2) & (F.col("n") < min_documents))
+    first = small(stored(first.select("leaf", "template", F.col("x._ld_key").alias("first"))))
+    later = stored(held.join(first, ["leaf", "template"]).where("first != _ld_key").select("leaf", "template", "first", "_ld_key"))
+    later = later.join(_near(documents, later.select("first", "_ld_key")), ["first", "_ld_key"], "left_anti")
+    return lines.join(small(stored(later)), ["leaf", "template", "_ld_key"], "left_semi").select("_ld_key", "line")
+
+
+def recurring(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """_ld_key, line, chars, template: the lines of each document whose template recurs, their length and masked text (a hash)."""
 
     def often(df: DataFrame) -> DataFrame:
         return stored(
@@ -118,10 +140,12 @@ def _copies(documents: DataFrame, drops: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The documents with recurring lines dropped from ``text``, and _ld_dropped (numbers of the lines) and _ld_lines (how many there were)."""
-    lines = recurring(documents, min_documents).dropDuplicates(["_ld_key", "line"])
+    every = lines_of(documents, min_documents)
+    lines = recurring(every, min_documents).dropDuplicates(["_ld_key", "line"])
     shape = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("line", "template"))), lambda x: x["template"]))
     drops = stored(lines.groupBy("_ld_key").agg(F.array_sort(F.collect_list("line")).alias("_ld_drops"), F.sum("chars").alias("gone"), shape.alias("shape")))
-    drops = drops.join(small(stored(_copies(documents, drops))), "_ld_key", "left_anti").select("_ld_key", "_ld_drops")
+    drops = drops.join(small(stored(_copies(documents, drops))), "_ld_key", "left_anti").select("_ld_key", F.explode("_ld_drops").alias("line"))
+    drops = drops.unionByName(passages(documents, every, min_documents)).groupBy("_ld_key").agg(F.array_sort(F.collect_set("line")).alias("_ld_drops"))
     marked = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(drops.hint("merge"), "_ld_key", "left")
     none = F.array().cast("array<int>")
     out = marked.withColumn("_ld_split", F.split(text_of(), "\n")).withColumn("_ld_dropped", F.coalesce(F.col("_ld_drops"), none))
