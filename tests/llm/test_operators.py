@@ -384,3 +384,15 @@ def test_line_dedup_drops_long_lines_from_the_second_document_on(spark):
     rows += [(5, f"{other}\n{own}\nend"), (6, f"{other}\n{own} more\nend"), (7, f"{say(80)}\n{other}"), (7, f"{say(80)}\n{other}")]
     out = line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert Counter((r.doc_id, r.dropped) for r in out) == Counter([(1, ""), (2, "1"), (3, "0"), (None, "1"), (5, ""), (6, ""), (7, "1"), (7, "1")])
+
+
+def test_line_dedup_finds_several_templates_of_a_leaf(spark):
+    """Two templates with a field of letters, and more ordinary lines, all with the same length and first three words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    lines = [(f"as seen in {word()} on the old board today", "0") for _ in range(9)]
+    lines += [(f"as seen in our new shop of {word()} now", "0") for _ in range(12)]
+    lines += [("as seen in " + " ".join(word() for _ in range(6)), "") for _ in range(40)]
+    rows = [(i, f"{x}\n" + " ".join(word() for _ in range(12))) for i, (x, _) in enumerate(lines)]
+    out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert out == {i: want for i, (_, want) in enumerate(lines)}

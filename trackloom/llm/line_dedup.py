@@ -6,10 +6,16 @@ dates, addresses) are variable fields and read as ``*`` everywhere, so also in t
 
 Only leaves met in at least ``min_documents`` documents (two for long lines) can hold a recurring template. In them a
 line's template is first its tokens as they are, with ``*``. Lines whose template doesn't recur are
-generalised by their leaf: at each place the leaf's commonest token is constant if at least half of
-these lines have it, and any other token there is a variable field too; such a template counts if at
-least ``CONSTANT`` hundredths of its tokens are constant. Lines whose template recurs, in at least
-``min_documents`` documents, are dropped.
+generalised: at least ``CONSTANT`` hundredths of a template's tokens are constant, any other place is
+a variable field. The places after the leading tokens are cut into one segment more than there can be
+variable fields, so all lines of a template agree in a segment, and those that do, in at least
+``min_documents`` documents, are a group. In it a token is as frequent as the group's lines that have
+it at that place; for every bar (a frequency among a line's own, at least ``min_documents``) that
+leaves enough constants, a line's template is its tokens that reach the bar. Each template's recurrence
+is judged on its own, so neither ordinary lines nor other templates of the leaf hide it. Lines found
+are taken out and the rest is grouped and counted again, until nothing is found. Not found: a template
+whose variable field holds, in all its groups, values more frequent there than the template itself.
+Lines whose template recurs, in at least ``min_documents`` documents, are dropped.
 
 A line of at least ``LONG`` words whose template as it is stands in fewer documents, but in two, is a
 repeated passage and no boilerplate: the document with the smallest id keeps it, and it is dropped
@@ -96,17 +102,38 @@ def recurring(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     same = small(often(lines))
     found = lines.join(same, ["leaf", "template"], "left_semi").select("_ld_key", "line", "chars", "template")
     rest = lines.join(same, ["leaf", "template"], "left_anti")
-    leftover = rest.groupBy("leaf").agg(F.count_distinct("_ld_key").alias("documents"), F.count(F.lit(1)).alias("n")).where(F.col("documents") >= min_documents)
-    rest = stored(rest.join(leftover.select("leaf", "n"), "leaf").withColumn("tokens", F.split("said", " ")))
-    seen = rest.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
-    constant = seen.where(2 * F.col("times") >= F.col("n")).groupBy("leaf", "place").agg(F.max_by("token", F.struct("times", "token")).alias("token"))
-    shape = stored(constant.groupBy("leaf").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("place", "token")))).alias("shape")))
-    token = lambda t, i: F.when(F.element_at("shape", i) == t, t).otherwise("*")
-    general = rest.join(shape, "leaf").withColumn("tokens", F.transform("tokens", token))
-    fixed = F.size(F.filter("tokens", lambda t: t != "*"))
-    general = general.where(100 * fixed >= CONSTANT * F.size("tokens")).select("_ld_key", "line", "chars", F.col("template").alias("own"), "leaf", F.xxhash64("tokens").alias("template"))
-    more = general.join(small(often(general)), ["leaf", "template"], "left_semi").select("_ld_key", "line", "chars", F.col("own").alias("template"))
-    return found.unionByName(more)
+    leftover = rest.groupBy("leaf").agg(F.count_distinct("_ld_key").alias("documents")).where(F.col("documents") >= min_documents).select("leaf")
+    rest = stored(rest.join(small(stored(leftover)), "leaf", "left_semi").select("_ld_key", "line", "chars", "template", "leaf", F.split("said", " ").alias("tokens")))
+    rest = rest.where(F.size("tokens") > DEPTH)
+    while True:
+        more = _general(rest, min_documents)
+        if more.isEmpty():
+            return found
+        found = found.unionByName(rest.join(small(more), ["_ld_key", "line"], "left_semi").select("_ld_key", "line", "chars", "template"))
+        rest = stored(rest.join(small(more), ["_ld_key", "line"], "left_anti"))
+
+
+def _general(lines: DataFrame, min_documents: int) -> DataFrame:
+    """_ld_key, line: those lines (with leaf and tokens) that have a template with variable fields in min_documents documents."""
+    n = F.size("tokens")
+    parts = F.floor((100 - CONSTANT) * n / 100).cast("int") + 1
+    cut = lambda i: F.floor(i * (n - DEPTH) / parts).cast("int")
+    segment = lambda i: F.xxhash64("leaf", i, F.array_join(F.slice("tokens", cut(i) + DEPTH + 1, cut(i + 1) - cut(i)), " "))
+    seats = lines.select("_ld_key", "line", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), segment)).alias("group"))
+    # Segments in which the same lines agree make one group.
+    groups = seats.groupBy("group").agg(F.count_distinct("_ld_key").alias("documents"), F.expr("sum(cast(xxhash64(_ld_key, line) as decimal(20)))").alias("print"))
+    groups = stored(groups.where(F.col("documents") >= min_documents).groupBy("print").agg(F.min("group").alias("group")).select("group"))
+    each = stored(seats.join(small(groups), "group", "left_semi").join(lines.select("_ld_key", "line", "tokens").distinct(), ["_ld_key", "line"]).distinct())
+    placed = each.select("group", "_ld_key", "line", n.alias("n"), F.posexplode("tokens").alias("place", "token")).where("token != '*'")
+    seen = stored(placed.groupBy("group", "place", "token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= min_documents))
+    own = placed.join(small(seen), ["group", "place", "token"]).groupBy("group", "_ld_key", "line", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "times"))).alias("own"))
+    over = lambda bar: F.filter("own", lambda x: x["times"] >= bar)
+    bars = F.filter(F.array_distinct(F.transform("own", lambda x: x["times"])), lambda t: 100 * F.size(over(t)) >= CONSTANT * F.col("n"))
+    shaped = own.select("group", "_ld_key", "line", "own", F.explode(bars).alias("bar"))
+    shape = F.xxhash64(F.transform(over(F.col("bar")), lambda x: F.struct(x["place"], x["token"])))
+    shaped = stored(shaped.select("group", "bar", shape.alias("shape"), "_ld_key", "line"))
+    often = shaped.select("group", "bar", "shape", "_ld_key").distinct().groupBy("group", "bar", "shape").count().where(F.col("count") >= min_documents)
+    return stored(shaped.join(small(stored(often.select("group", "bar", "shape"))), ["group", "bar", "shape"], "left_semi").select("_ld_key", "line").distinct())
 
 
 def _near(documents: DataFrame, pairs: DataFrame) -> DataFrame:
