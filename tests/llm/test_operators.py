@@ -396,3 +396,15 @@ def test_line_dedup_finds_several_templates_of_a_leaf(spark):
     rows = [(i, f"{x}\n" + " ".join(word() for _ in range(12))) for i, (x, _) in enumerate(lines)]
     out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert out == {i: want for i, (_, want) in enumerate(lines)}
+
+
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path):
+    """Near copies of different sources, ids null and repeated among them, share no bin."""
+    from trackloom.llm.queries import QUERIES
+
+    rng = random.Random(10)
+    base = " ".join(rng.choices([f"w{i}" for i in range(400)], k=100))
+    rows = [(i, f"{base} end{n}", f"s{n}") for n, i in enumerate([1, 2, 2, None, 5])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op10_packing"](spark, str(tmp_path)).collect()
+    assert len(out) == 5 and len({r.bin for r in out}) == 5

@@ -5,7 +5,8 @@ own and the rest is packed best-fit decreasing: bins are ordered by residual cap
 smallest residual that is large enough a successor search goes on until the first, that is the
 tightest, bin whose bitmaps of sources and duplicate clusters hold neither of the piece's. If none
 is compatible a bin is opened. So no bin holds two pieces of one source among the packed rests, or
-two texts of one duplicate cluster (by default equal texts, up to case and white space).
+two texts of one duplicate cluster: by default equal texts, up to case and white space; with
+``with_clusters``, as the query has it, groups of near duplicates (five words, 0.8).
 
 Documents are dealt into shards by a hash of their id, so a hot source spreads over all of them; a
 shard is packed in one task and holds lengths and ids, not texts. A source with a third of all
@@ -28,7 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, blocks_for, text_of, words_of
+from .common import SPACE, blocks_for, small, stored, text_of, words_of
+from .ngram_join import linked
 
 CAPACITY = 2048
 SHARD = 4_096
@@ -41,6 +43,14 @@ def same_text() -> Column:
     return F.when(said != "", F.sha2(said, 256))
 
 
+def with_clusters(documents: DataFrame) -> DataFrame:
+    """The documents with ``_pk_cluster``: their group of near duplicates (a number). Null and repeated ids do no harm."""
+    key = F.xxhash64("doc_id", text_of())
+    groups = linked(documents.select(key.alias("doc_id"), F.lower(text_of()).alias("text")).dropDuplicates(["doc_id"]))
+    groups = stored(groups.select(F.col("doc_id").alias("_pk_key"), F.col("component_id").alias("_pk_cluster")))
+    return documents.withColumn("_pk_key", key).join(small(groups), "_pk_key", "left").drop("_pk_key")
+
+
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """The bin of each item, and the residuals of the bins. Items are taken in the order given.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
@@ -48,7 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents")), cluster=F.col("_pk_cluster"))
 
 
 _ALL = (
