@@ -355,3 +355,13 @@ def test_partition_overwrite(spark, tmp_path):
     incremental.replaced_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "x int, region string"), path, "region")
     incremental.replaced_partitions(spark.createDataFrame([(3, "a")], "x int, region string"), path, "region")
     assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3]
+
+
+def test_missing_clock_hours_reads_all_events(spark, tmp_path):
+    """Hours seen by any user and any type of event count; UTC 2 and 3 are local 10 and 11."""
+    from trackloom.plans.queries import QUERIES
+
+    rows = [(h, f"2024-01-0{1 + h % 2} {h:02d}:30:00", h * 7 + 1, ["click", "purchase"][h % 2]) for h in range(24) if h not in (2, 3)]
+    df = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string")
+    df.selectExpr("event_id", "cast(at as timestamp_ntz) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.local_hour for r in QUERIES["missing_clock_hours"](spark, str(tmp_path)).collect()) == [10, 11]
