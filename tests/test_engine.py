@@ -365,3 +365,13 @@ def test_missing_clock_hours_reads_all_events(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string")
     df.selectExpr("event_id", "cast(at as timestamp_ntz) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(r.local_hour for r in QUERIES["missing_clock_hours"](spark, str(tmp_path)).collect()) == [10, 11]
+
+
+def test_anomaly_scale_and_threshold_cover_all_tracks(spark):
+    """With weights from 20 of 60 tracks, scale and 99th percentile are those of all 60."""
+    x = np.random.default_rng(3).normal(size=(60, 6, 5)) * np.linspace(0.1, 9, 60)[:, None, None]
+    df = spark.createDataFrame([(f"t{i}", q.tolist()) for i, q in enumerate(x)], "track_id string, sequence array<array<double>>")
+    model = anomaly.fitted(df, epochs=3, most=20)
+    mean, std = anomaly.scale_of(x)
+    assert model.mean == pytest.approx(mean) and model.std == pytest.approx(std)
+    assert model.threshold == pytest.approx(np.quantile(model.errors(x), 0.99))

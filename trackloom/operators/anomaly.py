@@ -1,6 +1,7 @@
 """Unusual trajectory shapes: a small recurrent autoencoder, its baselines, and stateless scoring.
 
-Models are trained on the driver, on a bounded sample of tracks (``MOST_TRACKS``), and scored in the cluster.
+Weights are fitted on the driver, on a bounded sample of tracks (``MOST_TRACKS``). The scale and the
+threshold (99th percentile of the errors) come from all tracks, and tracks are scored, in the cluster.
 """
 
 from __future__ import annotations
@@ -144,13 +145,13 @@ class Model:
         return {"hidden": self.net.enc.n, "threshold": self.threshold, "sha256": hashlib.sha256(data).hexdigest(), "channels": len(self.mean)}
 
 
-def train(sequences: np.ndarray, hidden: int = 8, epochs: int = 60, seed: int = 7, held: float = 0.2, patience: int = 8, rate: float = 1e-2) -> Model:
-    """Adam with early stopping; scale and threshold (99th percentile of errors) come from the training part alone."""
+def train(sequences: np.ndarray, hidden: int = 8, epochs: int = 60, seed: int = 7, held: float = 0.2, patience: int = 8, rate: float = 1e-2, scale: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Adam with early stopping; scale (unless given) and threshold (99th percentile of errors) come from the training part alone."""
     x = np.asarray(sequences, float)
     order = np.random.default_rng(seed).permutation(len(x))
     cut = max(1, int(len(x) * held)) if len(x) > 1 else 0
     own, other = x[order[cut:]], x[order[:cut]] if cut else x
-    mean, std = scale_of(own)
+    mean, std = scale or scale_of(own)
     net = Autoencoder(x.shape[-1], hidden, seed)
     a, b = (own - mean) / std, (other - mean) / std
     first = [{k: np.zeros_like(v) for k, v in p.items()} for p in net.parts()]
@@ -237,15 +238,31 @@ def scored(sequences: DataFrame, model: Model) -> DataFrame:
     return sequences.withColumn("error", error("sequence"))
 
 
+def scale_over(sequences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``scale_of`` all sequences, in the cluster."""
+    rows = sequences.select(F.explode("sequence").alias("x")).select(F.posexplode("x").alias("channel", "x"))
+    got = rows.groupBy("channel").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).orderBy("channel").collect()
+    std = np.array([r["std"] for r in got])
+    return np.array([r["mean"] for r in got]), np.where(std < 1e-8, 1.0, std)
+
+
+def fitted(sequences: DataFrame, epochs: int = 60, most: int = MOST_TRACKS, least: int = LEAST_TRACKS) -> Model | None:
+    """A model with weights from at most ``most`` tracks, and scale and threshold from all; None with fewer than ``least``."""
+    x = sample_of(sequences, most)
+    if len(x) < least:
+        return None
+    model = train(x, epochs=epochs, scale=scale_over(sequences))
+    model.threshold = float(scored(sequences, model).agg(F.percentile("error", F.lit(0.99))).first()[0])
+    return model
+
+
 def detect(sequences: DataFrame, model: Model | None = None, epochs: int = 60) -> DataFrame:
     """Tracks whose error is above the model's threshold; none with fewer than five tracks to learn from."""
     if model is None:
-        x = sample_of(sequences)
-        if len(x) < LEAST_TRACKS:
+        model = fitted(sequences, epochs)
+        if model is None:
             sequences = sequences.where(F.lit(False))
             model = Model(Autoencoder(), np.zeros(5), np.ones(5), 1.0)
-        else:
-            model = train(x, epochs=epochs)
     odd = scored(sequences, model).where(F.col("error") > model.threshold)
     evidence = [F.col("error").alias("reconstruction_error"), F.lit(model.threshold).alias("population_threshold"), F.col("point_count"), F.lit("unusual shape is not intent").alias("caveat")]
     return incidents(

@@ -508,8 +508,7 @@ def anomaly_incidents(spark, d):
 @query
 def anomaly_auc(spark, d):
     seq = tracks.sequences(pos(spark, d))
-    x = anomaly.sample_of(seq)
-    scored = anomaly.scored(seq, anomaly.train(x)).select(F.col("error").alias("score"), (F.substring("icao24", 2, 5).cast("long") % 10 == 8).cast("int").alias("label"))
+    scored = anomaly.scored(seq, anomaly.fitted(seq, least=1)).select(F.col("error").alias("score"), (F.substring("icao24", 2, 5).cast("long") % 10 == 8).cast("int").alias("label"))
     return evaluation.auc(scored)
 
 
