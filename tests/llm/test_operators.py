@@ -205,7 +205,7 @@ def test_chat_format(spark):
 @pytest.mark.parametrize(("k", "percent", "cell"), [(4, 85, 256), (5, 80, 256), (4, 85, 2)])
 def test_ngram_join(docs, none, monkeypatch, k, percent, cell):
     monkeypatch.setattr(ngram_join, "CELL_NODES", cell)
-    monkeypatch.setattr(ngram_join, "block_count", lambda d: 3)
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", 500)
     rows = [(i, t) for i, t in corpus() if i != 70]
     out = ngram_join.linked(docs.where("doc_id is null or doc_id != 70"), k, percent)
     assert got(out, "doc_id", "n_shingles", "component_id") == Counter(brute.links(rows, k, percent))
@@ -231,7 +231,7 @@ def test_deduplicated(docs):
     left = ngram_join.deduplicated(docs)
     keep = Counter(r.doc_id for r in left.collect())
     assert left.columns == docs.columns
-    assert keep[1] == 1 and not keep[2] and not keep[3] and not keep[71] and keep[60] == keep[61] == 1 and keep[None] == 2
+    assert keep[1] == 1 and not keep[2] and not keep[3] and not keep[71] and keep[60] == keep[61] == 1 and keep[None] == 1
 
 
 def test_folding():

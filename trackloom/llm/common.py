@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,12 +47,14 @@ def rolled(hashes: Column, width: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or on a local master one of our own where it is unset."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = jsc.getCheckpointDir().get()
@@ -59,11 +62,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: the lineage ends there."""
+    """``df`` written as Parquet to the shared folder and read again: the lineage ends there.
+
+    The files stay until ``discard`` is called: what is returned to a caller reads them later. All of
+    an application's lie in one folder, which may go when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/trackloom-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/trackloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -20,7 +20,7 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u, v: each node that isn't the smallest of its component, and that smallest node. Edges have columns u, v; loops and nulls are ignored."""
+    """u, v: each node that isn't the smallest of its component, and that smallest node. Edges have columns u, v of any type with an order; loops and nulls are ignored."""
     now = stored(
         edges.where(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
     return now

@@ -2,263 +2,472 @@
 
 A document's set is its distinct shingles of ``width`` words, lower-cased in A to Z; with fewer
 words the whole sequence is its one shingle. Two documents link if
-100 * intersection >= percent * union.
-
-1. The n-gram order (a hash) is cut into fragments. A filter exchange (see ``exchange``) asks, in
-   each fragment separately, which shingles occur in another document; per document the fragments'
-   counts are summed. A document can only link if at least ``percent`` of its shingles are shared,
-   and only shared ones can lie in an intersection: the rest is dropped here, mostly whole documents.
-2. Documents with equal sets (equal 128-bit sums of mixed hashes) are one node.
-3. Nodes whose prefixes meet twice may link. The order is by estimated frequency, rare first; a node
-   of s shared shingles that needs m in common takes its first s - m + 2, and two nodes with m in
-   common have two of these in common. (Different sets that link share more than that at all.) For a
-   prefix shingle of at most ``RARE`` nodes these are paired, and pairs met twice are tied; the nodes
-   of a more frequent one are tied to the smallest of them. That gives a graph no larger than a
-   constant times the prefixes, and every link lies inside one of its components.
-4. Candidate components are dealt out in cells of bounded size (a large one as pairs of its
-   blocks). In a cell the shingles present are cut into fragments again, the overlaps of all its
-   pairs are counted in each and summed per pair, and the exact condition is tested. A cell
-   returns a spanning forest of its links, never the pairs.
+100 * intersection >= percent * union. Documents with equal sets (equal 128-bit sums of mixed
+hashes) are one class and always link.
+
+1. Candidates. Of s shingles a set that needs m in common with another can miss s - m, so in any global
+   order of the shingles two linked sets of different classes have two of their first s - m + 2 in common. First the
+   order is that of the hashes: each class sends its first shingles, once a batch of documents, to the
+   parts of the hash space and hears how many another class has too. Classes with fewer than two
+   are done, and that is nearly all of ordinary text.
+2. The shingles of the rest get a global order by estimated frequency, rare first. In it, classes
+   whose prefixes meet twice may link: those of a shingle of at most ``RARE`` classes are paired, those of
+   a more frequent one tied to the smallest. Every link lies inside a component of that graph, which
+   is no larger than a constant times the prefixes.
+3. Candidate components are dealt into cells of bounded size, a large one as pairs of its blocks.
+4. Vertical partitioning. Pivots cut the global order into ``FRAGMENTS`` of equal mass and every set into as many
+   segments. Each fragment is joined on its own: it counts, for the pairs of a cell, the overlap of their
+   segments. The partial counts of a cell meet in a shuffle, are summed per pair and tested against the
+   condition. Pairs are places in a vector that all fragments share, so no row is made for a pair; a cell
+   returns a spanning forest of its links.
 5. Components of the forests are the components of all links.
 
-Frequencies are estimated with one counter sketch over all nodes, of a size that grows with the
-input up to ``MOST_COUNTERS``. They only order the shingles: any order gives the same links.
+Frequencies come from one counter sketch, whose size grows with the input up to ``MOST_COUNTERS``
+bytes. They only order the shingles: any order gives the same links.
 
 Defined cases: a document without words has an empty set and links with nothing; rows with equal
-ids and sets are one node; a null doc_id gets the component of its equals or links, and null if it
-has none; extra columns are ignored; an empty table gives no rows; texts are whole.
+sets are of one class, whatever their ids; a row with a null doc_id is searched and linked like any other, and gets
+the component of its links, or null if none of them has an id; extra columns are ignored; an empty
+table gives no rows; texts of any length are read whole, in slices of ``SLICE`` bytes of rows.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, small, stored
+from .common import blocks_for, discard, small, stored, text_of
 from .components import components
-from .exchange import REQUEST, answered, bits_in_order, block_count, blocked, requests_table
-from .hashing import U, Words, by_part, first_of_runs, keys, mixed, packed, windows
+from .hashing import SLICE, U, Words, first_of_runs, mixed, windows
 
 WIDTH, PERCENT = 5, 80
-#: Nodes, and shared shingles, that a block of a large candidate component holds.
+#: Classes, and shingles, that a block of a large candidate component holds.
 CELL_NODES, CELL_GRAMS = 256, 500_000
-#: Nodes of a prefix shingle that are paired one by one; beyond, they are tied to one of them.
+#: Classes of a prefix shingle that are paired one by one; beyond, they are tied to one of them.
 RARE = 32
-#: Distinct shingles whose overlaps are counted at once.
-FRAGMENT = 2048
-MOST_COUNTERS = 1 << 22
+#: Parts of the global order.
+FRAGMENTS = 8
+#: Distinct shingles whose overlaps are counted at once in a cell.
+COLUMNS = 2048
+MOST_COUNTERS = 1 << 24
+#: Prefix shingles that one task compares.
+PART_GRAMS = 1 << 20
+SLICES = 16
 
 
-def _sets(table: pa.Table, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every row."""
-    words = Words(table["text"], fold_case=True)
-    whole = {m: windows(words, m)[0] for m in range(1, width + 1)}
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    words = Words(texts, fold_case=True)
+    whole = {width: windows(words, width)[0]}
     ends = np.cumsum(words.counts)
     out = []
     for end, n in zip(ends.tolist(), words.counts.tolist(), strict=True):
+        if n < width and n not in whole:
+            whole[n] = windows(words, n)[0] if n else np.zeros(0, U)
         a = end - n
         out.append(np.unique(whole[width][a : end - width + 1]) if n >= width else whole[n][a : a + 1] if n else np.zeros(0, U))
     return out
 
 
-def _ask(width: int, parts: int):
-    def ask(table: pa.Table) -> pa.Table:
-        sets = _sets(table, width)
-        key = np.unique(keys(np.concatenate(sets), parts))
-        return requests_table(0, table["block"][0].as_py(), [(p, packed(key[s] & U(0xFFFFFFFF))) for p, s in by_part(key, parts)])
-
-    return ask
-
-
-SHARED = "doc_id long, n long, s1 long, s2 long, m long, shared binary"
-
-
-def _shared(width: int, percent: int, parts: int):
-    """The documents that may link, with their shared shingles; others with n alone."""
-
-    def shared(table: pa.Table, answers: pa.Table) -> pa.Table:
-        sets = _sets(table, width) if table.num_rows else []
-        every = np.concatenate(sets) if sets else np.zeros(0, U)
-        key = keys(every, parts)
-        order = np.argsort(key, kind="stable")
-        first = first_of_runs(key[order])
-        asked = {p: s.stop - s.start for p, s in by_part(key[order][first], parts)} if len(key) else {}
-        bits = bits_in_order(answers, 0, asked)
-        entry = np.empty(len(key), np.int64)
-        entry[order] = np.cumsum(first) - 1
-        again = (bits | (np.bincount(entry, minlength=len(bits)) > 1))[entry] if len(key) else np.zeros(0, bool)
-        n, s1, s2, m, kept, at = [], [], [], [], [], 0
-        for s in sets:
-            good = again[at : at + len(s)]
-            at += len(s)
-            n.append(len(s))
-            if len(s) and 100 * int(good.sum()) >= percent * len(s):
-                s1.append(int(mixed(s).sum(dtype=U).view(np.int64)))
-                s2.append(int(mixed(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64)))
-                m.append(int(good.sum()))
-                kept.append(s[good].tobytes())
-            else:
-                s1.append(None)
-                s2.append(None)
-                m.append(None)
-                kept.append(None)
-        ids = table["doc_id"] if table.num_rows else pa.array([], pa.int64())
-        return pa.table({"doc_id": ids, "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "m": pa.array(m, pa.int64()), "shared": pa.array(kept, pa.binary())})
-
-    return shared
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``SLICE`` bytes of ``text``, or one row."""
+    for b in batches:
+        text = b["text"].cast(pa.large_string())
+        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+        low = 0
+        while low < len(text):
+            high = max(low + 1, int(np.searchsorted(at, at[low] + 4 * SLICE, "right")) - 1)
+            yield b.slice(low, min(high, len(text)) - low)
+            low = high
 
 
-SLICES = 16
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of mixed hashes that tell sets apart."""
+    return int(mixed(s).sum(dtype=U).view(np.int64)), int(mixed(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
+
+
+def met(percent: int) -> int:
+    """How many prefix shingles two different sets that link have in common at least: 2, or 1 for low similarities."""
+    return 2 if percent >= 67 else 1
+
+
+def _prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + met(percent)
+
+
+SIGNED = "doc_id long, rkey long, n long, s1 long, s2 long, prefix array<long>"
+
+
+def _signed(width: int, percent: int):
+    """Every row's class, and the prefix of its set in the order of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            n, s1, s2, prefix = [], [], [], []
+            for s in _sets(b["text"], width):
+                one, two = _names(s) if len(s) else (None, None)
+                n.append(len(s))
+                s1.append(one)
+                s2.append(two)
+                prefix.append(s[: _prefix_length(len(s), percent)].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["rkey"], long(n), long(s1), long(s2), lists], ["doc_id", "rkey", "n", "s1", "s2", "prefix"])
+
+    return run
+
+
+# What times says in a question: asked, asked but already known to be shared, or (from 1 up) an answer.
+ASKED, TOLD = 0, -1
+QUESTIONS = "gram long, key long, times int"
+
+
+def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a distinct prefix shingle of the batch, and for each class how many of its own another class of the batch has."""
+    for b in batches:
+        keys, first = np.unique(b["s1"].to_numpy(zero_copy_only=False), return_index=True)
+        if not len(keys):
+            continue
+        lists = b["prefix"].take(pa.array(first))
+        gram, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
+        order = np.argsort(gram, kind="stable")
+        gram, owner = gram[order], owner[order]
+        new = first_of_runs(gram)
+        starts = np.flatnonzero(new)
+        held = np.diff(np.append(starts, len(gram)))
+        known = np.bincount(owner[np.repeat(held > 1, held)], minlength=len(keys))
+        told = np.flatnonzero(known)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "gram": pa.array(np.concatenate([gram[starts], keys[told]])),
+                "key": pa.array(np.concatenate([keys[owner[starts]], keys[told]])),
+                "times": pa.array(np.concatenate([np.where(held > 1, TOLD, ASKED), known[told]]).astype(np.int32)),
+            }
+        )
 
 
-def _counters(nodes: DataFrame, size: int) -> np.ndarray:
-    """How often each hash modulo ``size`` occurs among all nodes' shared shingles."""
+def _answers(table: pa.Table) -> pa.Table:
+    """key, times: how many prefix shingles of a class in this part another class has too."""
+    gram, key, times = (table[c].to_numpy() for c in ("gram", "key", "times"))
+    asked = times <= 0
+    order = np.lexsort((key[asked], gram[asked]))
+    g, k, told = gram[asked][order], key[asked][order], times[asked][order] == TOLD
+    new = first_of_runs(g)
+    starts = np.flatnonzero(new)
+    other = new | first_of_runs(k)
+    shared = (np.add.reduceat(other.astype(np.int64), starts) > 1) | np.maximum.reduceat(told, starts) if len(g) else np.zeros(0, bool)
+    hit = shared[np.cumsum(new) - 1] & other & ~told if len(g) else np.zeros(0, bool)
+    keys = np.concatenate([k[hit], key[~asked]])
+    found, place = np.unique(keys, return_inverse=True)
+    total = np.bincount(place, np.concatenate([np.ones(int(hit.sum())), times[~asked]]), len(found)) if len(found) else np.zeros(0)
+    return pa.table({"key": pa.array(found), "times": pa.array(total.astype(np.int64))})
 
-    def count(batches):
+
+def _live(signed: DataFrame, percent: int) -> DataFrame:
+    """s1 of the classes that may link with another one."""
+    asking = signed.where(F.col("s1").isNotNull()).select("s1", "prefix")
+    grams = signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    parts = blocks_for(grams, PART_GRAMS, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = asking.mapInArrow(_questions, QUESTIONS).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
+    heard = asked.groupBy("part").applyInArrow(_answers, "key long, times long")
+    return heard.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= met(percent)).select(F.col("key").alias("s1"))
+
+
+GRAMS = "s1 long, s2 long, n long, grams binary"
+
+
+def _grams(width: int):
+    """The whole sets of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = [s for s in _sets(b["text"], width) if len(s)]
+            names = np.array([_names(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"s1": pa.array(names[:, 0]), "s2": pa.array(names[:, 1]), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    return run
+
+
+class Order:
+    """The global order of the shingles: by level (of estimated frequency), then by hash; and its pivots."""
+
+    def __init__(self, levels: np.ndarray, mass: np.ndarray) -> None:
+        self.levels, self.mass = levels, mass
+        self.before = np.concatenate([[0.0], np.cumsum(mass)[:-1]])
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        return self.levels[(grams % U(len(self.levels))).astype(np.int64)]
+
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        level = self.level(grams)
+        place = self.before[level] + self.mass[level] * (grams / 2.0**64)
+        return np.minimum((FRAGMENTS * place / max(1.0, self.mass.sum())).astype(np.int64), FRAGMENTS - 1)
+
+
+def _order(sets: DataFrame) -> Order:
+    """Counts how often each hash modulo the sketch's size occurs; a level is a power of two of that."""
+    grams = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = min(MOST_COUNTERS, max(1 << 12, 1 << int(grams / 8).bit_length()))
+    # Counts up to what chance puts in a counter say nothing.
+    fair = 2 * grams // size + 4
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
         for b in batches:
-            for x in b["shared"]:
+            for x in b["grams"]:
                 np.add.at(total, (np.frombuffer(x.as_buffer(), U) % U(size)).astype(np.int64), 1)
         if total.any():
-            cut = np.split(total, SLICES)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "data": pa.array([c.tobytes() for c in cut], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "data": pa.array([zlib.compress(c.tobytes(), 1) for c in np.split(total, SLICES)], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in t["data"])
-        return pa.table({"slice": t["slice"][:1], "data": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    rows = nodes.select("shared").mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect()
-    out = np.zeros((SLICES, size // SLICES), np.uint32)
+        total = np.zeros(size // SLICES, np.uint64)
+        for x in t["data"]:
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+        level = np.where(total <= fair, 0, np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"slice": t["slice"][:1], "data": pa.array([level.tobytes()], pa.binary()), "mass": pa.array([np.bincount(level, total, 64).tolist()], pa.list_(pa.float64()))})
+
+    # One byte a counter, so at most MOST_COUNTERS of them, comes to the driver.
+    rows = sets.select("grams").mapInArrow(count, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary, mass array<double>").collect()
+    levels, mass = np.zeros((SLICES, size // SLICES), np.uint8), np.zeros(64)
     for r in rows:
-        out[r["slice"]] = np.frombuffer(r["data"], np.uint32)
-    return out.ravel()
-
-
-def met(percent: int) -> int:
-    """How many prefix shingles two different sets that link have in common at least: 2, or 1 for low similarities."""
-    return 2 if percent >= 67 else 1
+        levels[r["slice"]] = np.frombuffer(r["data"], np.uint8)
+        mass += r["mass"]
+    return Order(levels.ravel(), mass)
 
 
-def _prefixes(nodes: DataFrame, percent: int, counters: np.ndarray) -> DataFrame:
-    """gram, node: the prefix of every node in the global order."""
-    times = met(percent)
-    held = nodes.sparkSession.sparkContext.broadcast(counters)
-    fair = 2 * int(counters.sum(dtype=np.uint64)) // len(counters) + 4
+def _prefixes(sets: DataFrame, percent: int, order) -> DataFrame:
+    """gram, node: the prefix of every class in the global order."""
 
-    def prefix(batches):
-        size = U(len(held.value))
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams, owner = [], []
-            for node, n, x in zip(b["doc_id"].to_pylist(), b["n"].to_pylist(), b["shared"], strict=True):
+            grams, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for node, n, x in zip(b["s1"].to_pylist(), b["n"].to_pylist(), b["grams"], strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
-                often = held.value[(s % size).astype(np.int64)]
-                # Counts up to what chance puts in a counter say nothing; above, by powers of two.
-                level = np.where(often <= fair, 0, np.log2(np.maximum(often, 1)).astype(np.int64))
-                need = -(-percent * n // 100)
-                grams.append(s[np.lexsort((s, level))[: len(s) - need + times]])
+                grams.append(s[np.lexsort((s, order.value.level(s)))[: _prefix_length(n, percent)]])
                 owner.append(np.full(len(grams[-1]), node, np.int64))
-            if grams:
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "node": pa.array(np.concatenate(owner))})
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "node": pa.array(np.concatenate(owner))})
 
-    return nodes.select("doc_id", "n", "shared").mapInArrow(prefix, "gram long, node long")
+    return sets.select("s1", "n", "grams").mapInArrow(prefix, "gram long, node long")
 
 
-def _forest(percent: int):
-    """Links of the cell's candidate components, as edges to the smallest node of each component of them."""
-
-    def links(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.cumsum(times > 1) - 1
-        two = times[column] > 1
-        owner, column = owner[two], rank[column[two]]
-        by = np.argsort(column, kind="stable")
-        owner, column = owner[by], column[by]
-        overlap = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, FRAGMENT):
-            a, b = np.searchsorted(column, [low, low + FRAGMENT])
-            part = np.zeros((len(sets), min(FRAGMENT, int(column[b - 1]) + 1 - low)), np.float32)
-            part[owner[a:b], column[a:b] - low] = 1
-            overlap += part @ part.T
-        union = n[:, None] + n[None, :] - overlap
-        linked = 100 * overlap.astype(np.int64) >= percent * union.astype(np.int64)
-        np.fill_diagonal(linked, True)
-        root = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        while True:
-            low = np.where(linked, root[None, :], len(ids)).min(1)
-            if (low == root).all():
-                break
-            root = low
-        return ids, np.sort(ids)[root]
-
-    def cell(table: pa.Table) -> pa.Table:
-        group = table["candidate"].to_numpy()
-        order = np.argsort(group, kind="stable")
-        ids, n = table["node"].to_numpy()[order], table["n"].to_numpy()[order]
-        blobs = table["shared"].take(pa.array(order)).to_pylist()
-        us, vs = [], []
-        for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(group[order])) + 1):
-            if len(at) > 1:
-                u, v = links(ids[at], n[at], [np.frombuffer(blobs[i], U) for i in at])
-                us.append(u[u != v])
-                vs.append(v[u != v])
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
-
-    return cell
-
-
-def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    parts = block_count(documents)
-    blocks = blocked(documents, parts)
-    answers = answered(blocks.groupBy("block").applyInArrow(_ask(width, parts), REQUEST))
-    found = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_shared(width, percent, parts), SHARED))
-
-    alike = found.where(F.col("s1").isNotNull())
-    reps = stored(alike.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    named = alike.where(F.col("doc_id").isNotNull())
-    grams = named.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    size = min(MOST_COUNTERS, max(1 << 12, 1 << int(grams / 8).bit_length()))
-    prefixes = stored(_prefixes(named, percent, _counters(named, size)).join(small(reps.select("node")), "node", "left_semi"))
+def _candidates(sets: DataFrame, percent: int, order) -> DataFrame:
+    """node, candidate: the classes of each candidate component of two or more."""
+    prefixes = stored(_prefixes(sets, percent, order))
     first = stored(prefixes.groupBy("gram").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1"))
     rare = prefixes.join(first.where(F.col("times") <= RARE).select("gram"), "gram", "left_semi")
     a, b = rare.alias("a"), rare.alias("b")
     paired = a.join(b, "gram").where("a.node > b.node").groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("times"))
     often = prefixes.join(first.where(F.col("times") > RARE).select("gram", "v"), "gram").select(F.col("node").alias("u"), "v")
     stars = components(paired.where(F.col("times") >= met(percent)).select("u", "v").unionByName(often))
-    members = stars.select(F.col("u").alias("node"), F.col("v").alias("candidate")).unionByName(
+    discard(prefixes, first)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("candidate")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("candidate")).distinct()
     )
-    sized = named.select(F.col("doc_id").alias("node"), "s1", "s2", "m").join(reps, ["s1", "s2", "node"], "left_semi").distinct()
-    placed = sized.join(members, "node")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum("m") / CELL_GRAMS)).cast("int")
-    sizes = placed.groupBy("candidate").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    deals = blocks_for(int(grams), CELL_GRAMS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    seats = placed.join(sizes, "candidate").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Small components share a cell; each pair of blocks of a large one has its own.
-    seats = seats.select(
-        F.col("node").alias("doc_id"), "s1", "s2", "candidate",
-        F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("candidate"), F.lit(deals))).otherwise(F.col("candidate")).alias("cell"),
-        F.when(F.col("blocks") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"),
-        F.greatest("own", "other").alias("j"),
-    )
-    # The shingles themselves move once, to their cells.
-    cells = named.join(small(stored(seats)), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("node"), "n", "shared", "candidate", "cell", "i", "j")
-    forest = cells.groupBy("cell", "i", "j").applyInArrow(_forest(percent), "u long, v long")
-    roots = components(forest).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named_by = reps.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    same = alike.select("doc_id", "n", "s1", "s2").join(named_by, ["s1", "s2"], "left")
-    alone = found.where(F.col("s1").isNull())
-    return alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(
-        same.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    )
+
+
+def _seats(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """s1, s2, candidate, own, cell, i, j: the cells that a class takes part in. Small components share cells, with i = -1."""
+    placed = sets.select("s1", "s2", "n", F.col("s1").alias("node")).join(small(members), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_NODES), F.ceil(F.sum("n") / CELL_GRAMS)).cast("int")
+    sizes = placed.groupBy("candidate").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams")).where("members > 1")
+    sizes = stored(sizes)
+    total = sizes.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    deals = blocks_for(int(total), CELL_GRAMS, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")
+    seats = placed.join(small(sizes.drop("members", "grams")), "candidate").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") == 1
+    return seats.select(
+        "s1", "s2", "candidate", "own",
+        F.when(alone, F.pmod(F.xxhash64("candidate"), F.lit(deals))).otherwise(F.col("candidate")).alias("cell"),
+        F.when(alone, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"),
+        F.when(alone, F.lit(-1)).otherwise(F.greatest("own", "other")).alias("j"),
+    )
+
+
+SEGMENTS = "cell long, i int, j int, fragment int, candidate long, own int, s1 long, s2 long, n long, grams binary"
+
+
+def _segments(order):
+    """Each set cut at the pivots: one row a fragment, an empty one too, so that all fragments of a cell number its classes alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = []
+            for x in b["grams"]:
+                s = np.frombuffer(x.as_buffer(), U)
+                f = order.value.fragment(s)
+                by = np.argsort(f, kind="stable")
+                data += [c.tobytes() for c in np.split(s[by], np.searchsorted(f[by], np.arange(1, FRAGMENTS)))]
+            again = pa.array(np.repeat(np.arange(b.num_rows), FRAGMENTS))
+            cols = {c: b[c].take(again) for c in ("cell", "i", "j", "candidate", "own", "s1", "s2", "n")}
+            cols["fragment"] = pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), b.num_rows))
+            cols["grams"] = pa.array(data, pa.binary())
+            yield pa.RecordBatch.from_pydict({c.split()[0]: cols[c.split()[0]] for c in SEGMENTS.split(", ")})
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections: of all pairs among ``sets``, or with ``split`` of those before it with those behind."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    two = times[column] > 1
+    owner, column = owner[two], rank[column[two]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    out = np.zeros((split or len(sets), len(sets) - split), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, int(column[b - 1]) + 1 - low)), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        out += (has[:split] if split else has) @ has[split:].T
+    return out
+
+
+def _groups(candidate: np.ndarray) -> list[np.ndarray]:
+    return np.split(np.arange(len(candidate)), np.flatnonzero(np.diff(candidate)) + 1)
+
+
+HEAD = ("candidate", "own", "s1", "s2", "n")
+PARTIAL = "cell long, i int, j int, fragment int, head binary, counts binary"
+
+
+def _partial(table: pa.Table) -> pa.Table:
+    """A fragment's overlaps of all pairs of a cell, as one vector: component after component, pairs in the order of the classes."""
+    head = {c: table[c].to_numpy().astype(np.int64) for c in HEAD}
+    order = np.lexsort((head["s2"], head["s1"], head["own"], head["candidate"]))
+    head = {c: v[order] for c, v in head.items()}
+    data = table["grams"].take(pa.array(order)).to_pylist()
+    cross = table["i"][0].as_py() != table["j"][0].as_py()
+    counts = []
+    for at in _groups(head["candidate"]):
+        split = int(np.searchsorted(head["own"][at], head["own"][at[0]], "right")) if cross else 0
+        if len(at) > 1 and split < len(at):
+            o = _overlaps([np.frombuffer(data[k], U) for k in at], split)
+            counts.append(o.ravel() if cross else o[np.triu_indices(len(at), 1)])
+    vector = np.concatenate([np.zeros(0), *counts]).astype(np.uint32)
+    fragment = table["fragment"][0].as_py()
+    packed = np.array([head[c] for c in HEAD]).tobytes() if fragment == 0 else None
+    cols = {c: table[c][:1] for c in ("cell", "i", "j", "fragment")}
+    return pa.table(cols | {"head": pa.array([packed], pa.binary()), "counts": pa.array([zlib.compress(vector.tobytes(), 1)], pa.binary())})
+
+
+def _forest(percent: int):
+    """Sums the fragments' counts per pair and tests the condition; the links as edges to the smallest class of each component of them."""
+
+    def names(s1: np.ndarray, s2: np.ndarray) -> pa.Array:
+        raw = np.column_stack([s1, s2]).astype(">i8")
+        at = np.arange(len(s1) + 1, dtype=np.int32) * 16
+        return pa.Array.from_buffers(pa.binary(), len(s1), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())])
+
+    def forest(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table["counts"]:
+            part = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+            total = part.astype(np.int64) if total is None else total + part
+        blob = next(x for x in table["head"].to_pylist() if x is not None)
+        candidate, own, s1, s2, n = np.frombuffer(blob, np.int64).reshape(len(HEAD), -1)
+        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        low, us, vs = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in _groups(candidate):
+            split = int(np.searchsorted(own[at], own[at[0]], "right")) if cross else 0
+            if len(at) < 2 or split >= len(at):
+                continue
+            rows, columns = (x.ravel() for x in np.indices((split, len(at) - split))) if cross else np.triu_indices(len(at), 1)
+            overlap = total[low : low + len(rows)]
+            low += len(rows)
+            columns = columns + split
+            union = n[at][rows] + n[at][columns] - overlap
+            linked = np.zeros((len(at), len(at)), bool)
+            good = 100 * overlap >= percent * union
+            linked[rows[good], columns[good]] = linked[columns[good], rows[good]] = True
+            np.fill_diagonal(linked, True)
+            root = np.arange(len(at))
+            while True:
+                least = np.where(linked, root[None, :], len(at)).min(1)
+                if (least == root).all():
+                    break
+                root = least
+            tied = np.flatnonzero(root != np.arange(len(at)))
+            us.append(at[tied])
+            vs.append(at[root[tied]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.table({"u": names(s1[u], s2[u]), "v": names(s1[v], s2[v])})
+
+    return forest
+
+
+def _name(s1: str, s2: str) -> Column:
+    half = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return F.concat(half(s1), half(s2))
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", text_of())
+
+
+def _classified(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, rkey (of id and text), n, name (of the class; null without words) and root (the name that its component goes by)."""
+    texts = documents.select("doc_id", text_of().alias("text"), row_key().alias("rkey"))
+    signed = stored(texts.mapInArrow(_signed(width, percent), SIGNED))
+    live = stored(_live(signed, percent))
+    # Any row of a class has its set.
+    wanted = stored(signed.join(small(live), "s1", "left_semi").groupBy("s1", "s2").agg(F.min("rkey").alias("rkey")).select("rkey"))
+    sets = stored(texts.join(small(wanted), "rkey", "left_semi").mapInArrow(_grams(width), GRAMS))
+    n, different = sets.agg(F.count(F.lit(1)), F.count_distinct("s1", "s2")).first()
+    if n > different:
+        again, sets = sets, stored(sets.dropDuplicates(["s1", "s2"]))
+        discard(again)
+    order = documents.sparkSession.sparkContext.broadcast(_order(sets))
+    members = stored(_candidates(sets, percent, order))
+    seats = stored(_seats(sets, members))
+    cells = sets.join(small(seats), ["s1", "s2"]).select("cell", "i", "j", "candidate", "own", "s1", "s2", "n", "grams")
+    partial = cells.mapInArrow(_segments(order), SEGMENTS).groupBy("cell", "i", "j", "fragment").applyInArrow(_partial, PARTIAL)
+    forest = partial.groupBy("cell", "i", "j").applyInArrow(_forest(percent), "u binary, v binary")
+    roots = components(forest).select(F.col("u").alias("name"), F.col("v").alias("root"))
+    discard(live, wanted, sets, members, seats)
+    rows = signed.select("doc_id", "rkey", "n", F.when(F.col("s1").isNotNull(), _name("s1", "s2")).alias("name"))
+    return rows.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
+
+
+def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    rows = stored(_classified(documents, width, percent).select("doc_id", "n", "root"))
+    shared = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least")).where("rows > 1").drop("rows")
+    return rows.join(small(stored(shared)), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents with a column ``name``: a number of their group of near duplicates, null for those alone."""
+    rows = stored(_classified(documents, width, percent).where(F.col("root").isNotNull()).select("rkey", "root"))
+    groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.xxhash64("root").alias(name))
+    known = stored(rows.join(small(stored(groups)), "root").select(F.col("rkey").alias("_nj_key"), name).distinct())
+    return documents.withColumn("_nj_key", row_key()).join(small(known), "_nj_key", "left").drop("_nj_key")
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of every component, with all columns. Rows that repeat its id stay, and rows without an id."""
-    others = stored(linked(documents, width, percent).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return documents.join(others, "doc_id", "left_anti")
+    """One row of every component, with all columns: that with the smallest id (null last), of equal ids with the smallest key of its text.
+
+    Rows without words stay.
+    """
+    rows = stored(_classified(documents, width, percent).where(F.col("root").isNotNull()).select("doc_id", "rkey", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rkey")
+    first = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("first")).where("rows > 1").select("root", "first.doc_id", "first.rkey")
+    first = stored(first)
+    joined = rows.join(small(first.select("root", F.col("rkey").alias("kept"), F.col("doc_id").alias("kept_id"))), "root")
+    same = (F.col("rkey") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    keys = stored(joined.groupBy(F.col("doc_id").alias("_nj_id"), F.col("rkey").alias("_nj_key"), same.alias("_nj_same")).agg(F.count(F.lit(1)).alias("_nj_rows")))
+    mine = lambda df, how: documents.withColumn("_nj_row", row_key()).join(small(df), (F.col("_nj_row") == F.col("_nj_key")) & F.col("doc_id").eqNullSafe(F.col("_nj_id")), how).drop("_nj_row")
+    gone = keys.where(~F.col("_nj_same")).select("_nj_id", "_nj_key")
+    again = stored(keys.where(F.col("_nj_same") & (F.col("_nj_rows") > 1)).select("_nj_id", "_nj_key"))
+    if again.isEmpty():
+        return mine(gone, "left_anti")
+    kept = mine(gone.unionByName(again), "left_anti")
+    one = mine(again, "left_semi").withColumn("_nj_row", row_key()).dropDuplicates(["doc_id", "_nj_row"]).drop("_nj_row")
+    return kept.unionByName(one)

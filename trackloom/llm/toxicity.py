@@ -12,18 +12,25 @@ covers the term matches that start inside it.
 A text's score is a logistic function of the sum of its matches' weights and of that sum per 100
 words, fitted to the labelled rows by weighted least squares.
 
-The fit uses at most ``LABELLED_ROWS`` labelled rows (smallest hash of doc_id) and keeps at most
-``TERMS`` terms, so both can be sent to all executors; scoring covers every whole text.
+The fit reads a bounded sample: labelled rows in the order of a hash of doc_id, at most
+``LABELLED_ROWS`` of them and, as whole texts, at most ``LABELLED_CHARS`` code points together. Every
+term and every exception that the sample bears out is kept, none is cut off: a term has at least
+``SHORTEST`` letters and stands in at least ``LEAST_TEXTS`` texts, so the bound on the sample bounds the
+lexicon that is sent to all executors. Scoring covers every whole text, in time linear in its length.
 
 Defined cases: a null text is empty; empty texts get the score of a text without matches; without
 toxic or without clean labels no lexicon is learned and all scores are 0; a doc_id labelled twice
-is toxic if one label says so; null doc_ids are scored and never held out; extra columns are
-ignored; an empty table gives no rows.
+is toxic if one label says so; rows that repeat a doc_id are learned from once (the smallest of
+their texts) and scored each; equal texts get equal scores; null doc_ids are scored and never held out;
+a labelled text longer than the bound on the sample is not learned from; texts of any length, with or
+without spaces, are scored whole; extra columns are ignored, and ``harmless`` keeps them whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +39,11 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LABELLED_ROWS = 20_000
-TERMS = 4_000
+LABELLED_CHARS = 100_000_000
 SHORTEST, LONGEST = 4, 7
 LEAST_WEIGHT = 2.5
 LEAST_TEXTS = 5
@@ -49,7 +57,8 @@ LOOKALIKE = dict(zip("абвгеёзіїјкмнорстухѕ", "abbreeziijkmho
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 FOLD = str.maketrans(LOOKALIKE | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)})
 FOREIGN = re.compile("[" + "".join(map(re.escape, LOOKALIKE)) + "ａ-ｚ]")
-DISGUISED = re.compile(r"[^\W_]*[0134578@$!](?=[^\W_]|[@$!]+[^\W_])[\w@$!]*|[^\W\d_][\w@$!]*[0134578@$](?!\w)[@$]*")
+# A run of letters, digits and signs with a digit or sign that may stand for a letter. Possessive: a run is read once, whatever its length.
+DISGUISED = re.compile(r"(?<![\w@$!])[^\W0134578]*+[0134578@$!][\w@$!]*+")
 PLAIN = str.maketrans(STANDS_FOR)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,16 +102,25 @@ def evidence(text: str, automaton) -> tuple[float, float]:
     if not len(automaton):
         return 0.0, 0.0
     text = folded(text)
-    hits, covered, end_of_text = {}, [], len(text)
+    hits, covers, end_of_text = {}, [], len(text)
     for last, (size, weight, whole) in automaton.iter(text):
         start = last - size + 1
         if (start and text[start - 1].isalpha()) or (whole and last + 1 < end_of_text and text[last + 1].isalpha()):
             continue
         if weight is None:
-            covered.append((start, last))
+            covers.append((start, last))
         else:
             hits[start] = max(weight, hits.get(start, 0.0))
-    total = sum(w for s, w in hits.items() if not any(a <= s <= b for a, b in covered))
+    if covers:
+        # Up to which place the exceptions that start at or before a place cover the text.
+        covers.sort()
+        starts, reach = [], []
+        for start, last in covers:
+            starts.append(start)
+            reach.append(max(last, reach[-1]) if reach else last)
+        covered = lambda s: (k := bisect_right(starts, s)) and s <= reach[k - 1]
+        hits = {s: w for s, w in hits.items() if not covered(s)}
+    total = sum(hits.values())
     return total, 100 * total / max(1, len(text.split()))
 
 
@@ -110,19 +128,24 @@ def _inputs(total: np.ndarray, dense: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(total)), np.log1p(total), np.log1p(dense)])
 
 
-def labelled(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def labelled(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, chars: int = LABELLED_CHARS) -> DataFrame:
     """text, toxic of the rows to learn from: never one whose crc32(doc_id as text) mod 4 is 2."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # At most ``rows`` rows of two numbers meet in this window.
+    upto = F.sum("chars").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")).where(F.col("chars") <= chars)
+    fit = sizes.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id")
+    return texts.join(F.broadcast(fit), "doc_id").select("text", "toxic")
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(sample: DataFrame, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon and its scale from at most ``LABELLED_ROWS`` rows of text and toxic (0 or 1)."""
+def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon and its scale from a bounded sample (see ``labelled``) of text and toxic (0 or 1)."""
     sample = sample.cache()
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
@@ -143,15 +166,13 @@ def learn(sample: DataFrame, terms: int = TERMS, exceptions: tuple[str, ...] = E
     starts = F.filter(F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda k: F.when(F.length("word") >= k, F.substring(F.col("word"), F.lit(1), k))), lambda x: x.isNotNull())
     each = words.select("t", "c", F.explode(F.concat(F.array_distinct(starts), F.array(F.concat("word", F.lit(" "))))).alias("term"))
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
-    # At most so many rows come to the driver.
+    # The bound on the sample bounds the rows that come to the driver.
     found = (
         each.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count_if(F.col("t") > 0).alias("forms"))
         .where(F.col("term").endswith(" ") | (F.col("forms") >= FORMS))
         .where((F.col("t") >= max(LEAST_TEXTS, n_toxic // 1000)) & (F.length(F.trim("term")) >= SHORTEST))
         .withColumn("weight", weight)
         .where((F.col("weight") >= LEAST_WEIGHT) & (20 * F.col("c") <= F.col("t")))
-        .orderBy(F.desc(F.col("t") * F.col("weight")), F.length("term"), "term")
-        .limit(terms)
         .collect()
     )
     weights = {r["term"]: float(r["weight"]) for r in found}
@@ -159,7 +180,7 @@ def learn(sample: DataFrame, terms: int = TERMS, exceptions: tuple[str, ...] = E
     kept = {t: w for t, w in weights.items() if not any(t[:k] in weights and t[:k] != t for k in range(SHORTEST, min(LONGEST, len(t)) + 1))}
     begins = [t for t in kept if not t.endswith(" ")]
     harmless = words.where((F.col("t") == 0) & (F.col("c") >= 2) & F.substring("word", 1, SHORTEST).isin(sorted({b[:SHORTEST] for b in begins}) or [""]))
-    learned = [r["word"] for r in harmless.orderBy(F.desc("c"), "word").limit(terms).collect() if any(r["word"].startswith(b) for b in begins)]
+    learned = [r["word"] for r in harmless.orderBy("word").collect() if any(r["word"].startswith(b) for b in begins)]
     lexicon = Lexicon(kept, tuple([*learned, *map(folded, exceptions)]))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,5 +238,8 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    rated = scored(documents, learn(labelled(documents, labels)), "_tox_score")
-    return rated.where(F.col("_tox_score") < THRESHOLD).drop("_tox_score")
+    name = "_tox_score"
+    while name in documents.columns:
+        name += "_"
+    rated = scored(documents, learn(labelled(documents, labels)), name)
+    return rated.where(F.col(name) < THRESHOLD).drop(name)
