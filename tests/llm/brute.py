@@ -84,7 +84,10 @@ def spans(text):
 
 
 def leaks(docs, items, k=5, percent=80):
+    """(doc_id, item_id, shingles of the item, those of them in the document); an item of fewer than k words is one shingle."""
     clean = lambda t: words(re.sub(r"[^\w\x20\x09-\x0D]|_", "", (t or "").lower()))
-    cut = lambda t: (lambda w: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})(clean(t))
-    sides = [(j, cut(t)) for j, t in items]
-    return sorted((i, j, len(s), len(s & d)) for i, d in ((i, cut(t)) for i, t in docs) for j, s in sides if s and 100 * len(s & d) >= percent * len(s))
+    cut = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    sides = [(j, min(k, len(w)), cut(w, min(k, len(w)))) for j, w in ((j, clean(t)) for j, t in items) if w]
+    said = [(i, clean(t)) for i, t in docs]
+    found = ((i, j, len(s), len(s & cut(w, n))) for i, w in said for j, n, s in sides)
+    return sorted(x for x in found if 100 * x[3] >= percent * x[2])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trackloom.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
+from trackloom.llm import chat_format, decontaminate, exchange, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, block int, score double, line int, cluster string, n_dropped int, node long, word string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -81,13 +81,13 @@ def test_quality_scores_by_the_ratio(spark):
 
 def test_decontamination(spark, docs, none):
     passage = dict(corpus())[52]
-    items = [(1, passage), (2, passage.upper() + "!"), (3, "only four words here"), (4, None), (5, ""), (6, "never said before in any of these texts at all"), (1, passage)]
+    items = [(1, passage), (2, passage.upper() + "!"), (3, "only four words here"), (4, None), (5, ""), (6, "never said before in any of these texts at all"), (1, passage), (7, "One, two"), (8, "w1")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
-    want = [x for x in brute.leaks([(i, t) for i, t in corpus() if i is not None and i != 70], items[:2]) if x[0] is not None]
+    want = [x for x in brute.leaks([(i, t) for i, t in corpus() if i is not None and i != 70] + [(70, " | ".join(t for i, t in corpus() if i == 70))], [*items[:6], *items[7:]])]
     assert found == sorted(set(want)) and len(found) >= 6
     left = decontaminate.decontaminate(docs, bench)
-    assert left.columns == docs.columns and left.count() == docs.count() - len({i for i, *_ in found})
+    assert left.columns == docs.columns and left.count() == docs.count() - sum(i in {x[0] for x in found} for i, _ in corpus())
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
@@ -144,6 +144,32 @@ def test_substring_dedup(docs, none, monkeypatch, blocks):
     assert substring_dedup.level_lengths(13) == [7, 13] and substring_dedup.level_lengths(50) == [7, 13, 25, 50]
 
 
+def test_substring_dedup_ends_when_no_candidate_survives(spark, monkeypatch):
+    """Without repeats the first level is the only one that is asked; with repeats of 20 words a search for 50 ends before its last."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+    levels = []
+    monkeypatch.setattr(substring_dedup, "answered", lambda *a: levels.append(1) or exchange.answered(*a))
+    rows = [(i, say(80)) for i in range(30)]
+    out = substring_dedup.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert len(levels) == 1 and got(substring_dedup.digest(out), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.removed(rows, 50))
+    levels.clear()
+    both = say(20)
+    rows = [(i, f"{t} {both}" if i < 2 else t) for i, t in rows]
+    out = substring_dedup.repeats_removed(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert len(levels) == 3 and out.where("n_removed > 0").isEmpty()
+
+
+def test_substring_dedup_asks_in_proportion_to_the_text(spark):
+    """Rows of the exchange over three sizes: one a distinct hash, however many blocks and parts."""
+    rng = random.Random(12)
+    counts = []
+    for n in (20, 40, 80):
+        docs = spark.createDataFrame([(i, " ".join(f"v{rng.randrange(10**9)}" for _ in range(200))) for i in range(n)], "doc_id long, text string")
+        counts.append(exchange.blocked(docs, n).mapInArrow(substring_dedup._first([7, 13]), exchange.QUESTION).count() / n)
+    assert max(counts) < 1.1 * min(counts)
+
+
 def test_substring_dedup_of_other_lengths(docs):
     want = Counter(brute.removed(corpus(), 30))
     assert got(substring_dedup.digest(substring_dedup.repeats_removed(docs, 30)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
@@ -362,28 +388,39 @@ def test_pipeline(spark):
     assert sorted(map(tuple, pipeline.run(spark, d).collect()), key=str) == sorted(map(tuple, done.collect()), key=str)
 
 
-def test_line_dedup_leaves_only_copies_whole(spark):
-    """Documents made mostly of recurring lines lose them, unless they are copies."""
+def test_line_dedup_has_no_exception_for_large_shares(spark):
+    """Documents made mostly of recurring lines lose them, near copies too; equal texts, and documents of one group, count as one."""
     rng = random.Random(7)
     say = lambda n: " ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], k=n))
-    passage, notice = say(60), say(9)
-    rows = [(i, f"{passage}\n{say(25)}\n{notice}") for i in range(10)]
+    passage, notice, story = say(60), say(9), say(9)
+    rows = [(i, f"{passage}\n{say(25)}\n{notice}", None) for i in range(10)]
     copy = f"{notice}\n{passage}\n"
-    rows += [(20, copy + "one end"), (21, copy + "other end"), (22, copy + say(20)), (30, passage)]
-    out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert all(out[i] == "0,2" for i in range(10))
-    assert out[20] == out[21] == "" and out[22] == "0,1" and out[30] == ""
+    rows += [(20, copy + "one end", None), (21, copy + "other end", None), (22, copy + say(20), None), (30, passage, None)]
+    rows += [(40 + i, f"{story}\nonly here", None) for i in range(9)] + [(60 + i, f"{say(9)} all\n{story} again\nversion {chr(97 + i)}", 5) for i in range(9)]
+    rows[-9:] = [(i, f"{rows[-9][1].split(chr(10))[0]}\n{t.split(chr(10), 1)[1]}", g) for i, t, g in rows[-9:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cluster long")
+    out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(docs)).collect()}
+    assert all(out[i] == "0,2" for i in range(10)) and out[20] == out[21] == out[22] == "0,1" and out[30] == "0"
+    assert all(out[40 + i] == "" for i in range(9)) and all(out[60 + i].startswith("0,1") for i in range(9))
+    out = {r.doc_id: r.dropped for r in line_dedup.digest(line_dedup.cleaned(docs, group=F.col("cluster"))).collect()}
+    assert all(out[60 + i] == "" for i in range(9)) and out[22] == "0,1"
 
 
 def test_line_dedup_drops_long_lines_from_the_second_document_on(spark):
-    """Long passages in two documents stay in the first; short ones, and near copies of the first, are left."""
+    """Long passages in two documents stay in the first and, with groups, in its near copies; short ones are left."""
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], k=n))
     passage, short, other, own = say(50), say(49), say(70), say(300)
     rows = [(1, f"{say(30)}\n{passage}\n{short}"), (2, f"{short}\n{passage}\n{say(40)}"), (3, passage), (None, f"{say(9)}\n{passage}")]
     rows += [(5, f"{other}\n{own}\nend"), (6, f"{other}\n{own} more\nend"), (7, f"{say(80)}\n{other}"), (7, f"{say(80)}\n{other}")]
-    out = line_dedup.digest(line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
-    assert Counter((r.doc_id, r.dropped) for r in out) == Counter([(1, ""), (2, "1"), (3, "0"), (None, "1"), (5, ""), (6, ""), (7, "1"), (7, "1")])
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _ld_key int")
+    done = line_dedup.cleaned(docs)
+    assert done.where("_ld_key = 1").count() == len(rows)
+    want = Counter([(1, ""), (2, "1"), (3, "0"), (None, "1"), (5, ""), (6, "0"), (7, "1"), (7, "1")])
+    assert Counter((r.doc_id, r.dropped) for r in line_dedup.digest(done).collect()) == want
+    grouped = ngram_join.with_groups(docs, "near")
+    out = line_dedup.digest(line_dedup.cleaned(grouped, group=F.col("near"))).collect()
+    assert Counter((r.doc_id, r.dropped) for r in out) == want - Counter([(6, "0")]) + Counter([(6, "")])
 
 
 def test_line_dedup_finds_several_templates_of_a_leaf(spark):

@@ -1,11 +1,9 @@
-"""The filter exchange: which hashes of a block of documents also occur elsewhere?
+"""The filter exchange: which hashes also occur in another document?
 
-Documents are dealt into blocks by a hash of their id. Every block asks about each distinct hash
-once, whatever the number of its documents that hold it, so that a passage in a third of all
-documents costs one entry a block; part p of the hash space answers with one bit an entry. Blocks
-recompute their sorted entries when the bits come back, so that no hash travels twice and the
-answer needs no keys. The bits are a filter: compared are a part's number and 32 bits, and what
-passes is compared in full later.
+Documents are dealt into blocks by a hash of their id. A block, or a batch of documents, asks about each
+distinct hash once, whatever the number of its documents that hold it, so that a passage in a third of all
+documents costs one row a batch; the part of the hash space that a hash belongs to answers the blocks
+that asked. One row is one hash: their number grows with the text, whatever the number of blocks and parts.
 """
 
 from __future__ import annotations
@@ -16,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, text_of
-from .hashing import unpacked
+from .hashing import first_of_runs
 
 #: Bytes of text in a block, and so about the hashes in a part: what one task holds.
 BLOCK_BYTES = 8 << 20
-REQUEST = "level int, part int, block int, data binary"
-ANSWER = "level int, part int, block int, bits binary"
+#: say: ASKS wants to hear if the hash is shared, KNOWS has seen it in two documents; BOTH is heard again for certain.
+ASKS, KNOWS, BOTH = 1, 2, 3
+QUESTION = "block int, hash long, say int"
+ANSWER = "block int, hash long"
 
 
 def block_count(documents: DataFrame) -> int:
@@ -35,36 +35,21 @@ def blocked(documents: DataFrame, blocks: int) -> DataFrame:
     return documents.select("doc_id", text_of().alias("text"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"))
 
 
-def requests_table(level: int, block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-    n = len(rows)
-    return pa.table(
-        {
-            "level": pa.array([level] * n, pa.int32()),
-            "part": pa.array([p for p, _ in rows], pa.int32()),
-            "block": pa.array([block] * n, pa.int32()),
-            "data": pa.array([x for _, x in rows], pa.binary()),
-        }
-    )
-
-
 def _elsewhere(table: pa.Table) -> pa.Table:
-    """For the entries of each block: does another block ask about it too?"""
-    blobs = [unpacked(x.as_buffer().to_pybytes()) for x in table["data"]]
-    every = np.sort(np.concatenate(blobs))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = []
-    for b in blobs:
-        at = np.minimum(np.searchsorted(twice, b), max(len(twice) - 1, 0))
-        bits.append(np.packbits(twice[at] == b if len(twice) else np.zeros(len(b), bool)).tobytes())
-    return pa.table({"level": table["level"], "part": table["part"], "block": table["block"], "bits": pa.array(bits, pa.binary())})
-
-
-def answered(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("part").applyInArrow(_elsewhere, ANSWER)
-
-
-def bits_in_order(answers: pa.Table, level: int, lengths: dict[int, int]) -> np.ndarray:
-    """The answers of a level, part after part; ``lengths`` has the number of entries a part was asked."""
-    mine = {p: x for v, p, x in zip(answers["level"].to_pylist(), answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True) if v == level}
-    out = [np.unpackbits(np.frombuffer(mine[p], np.uint8), count=n).astype(bool) for p, n in sorted(lengths.items())]
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    """The blocks that asked about a hash that two documents hold."""
+    block, hash_, say = (table[c].to_numpy() for c in ("block", "hash", "say"))
+    order = np.lexsort((block, hash_))
+    block, hash_, say = block[order], hash_[order], say[order]
+    if not len(block):
+        return pa.table({"block": pa.array(block, pa.int32()), "hash": pa.array(hash_, pa.int64())})
+    new = first_of_runs(hash_)
+    starts = np.flatnonzero(new)
+    shared = (np.diff(np.append(starts, len(hash_))) > 1) | (np.maximum.reduceat(say, starts) >= KNOWS)
+    told = shared[np.cumsum(new) - 1] & (say & ASKS > 0)
+    block, hash_ = block[told], hash_[told]
+    once = first_of_runs(hash_) | first_of_runs(block)
+    return pa.table({"block": pa.array(block[once]), "hash": pa.array(hash_[once])})
+
+
+def answered(questions: DataFrame, parts: int) -> DataFrame:
+    return questions.withColumn("part", F.pmod("hash", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_elsewhere, ANSWER)

@@ -7,7 +7,6 @@ words' hashes. Words are runs of bytes other than U+0009 to U+000D and U+0020, w
 
 from __future__ import annotations
 
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -104,35 +103,6 @@ def windows(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.nda
     return mixed(out), words.doc[:n] == words.doc[width - 1 :]
 
 
-def keys(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """A 64-bit hash as part number (upper half) and 32 further bits: what the filter exchange compares."""
-    return ((hashes % U(parts)) << U(32)) | (hashes >> U(32))
-
-
-def packed(rest: np.ndarray) -> bytes:
-    """Sorted distinct 32-bit numbers, by their differences."""
-    gaps = np.diff(rest.astype(np.int64), prepend=0)
-    if len(gaps) and gaps.max() < 1 << 24:
-        return b"\1" + np.uint32(len(rest)).tobytes() + (gaps & 0xFFFF).astype(np.uint16).tobytes() + zlib.compress((gaps >> 16).astype(np.uint8).tobytes(), 1)
-    return b"\0" + rest.astype(np.uint32).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    if data[:1] == b"\0":
-        return np.frombuffer(data, np.uint32, offset=1)
-    n = int(np.frombuffer(data, np.uint32, 1, 1)[0])
-    low = np.frombuffer(data, np.uint16, n, 5)
-    high = np.frombuffer(zlib.decompress(data[5 + 2 * n :]), np.uint8)
-    return np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 16)).astype(np.uint32)
-
-
-def by_part(key: np.ndarray, parts: int):
-    """(part, its slice) of sorted keys, for the parts that occur."""
-    at = np.searchsorted(key, np.arange(parts + 1, dtype=U) << U(32))
-    for p in np.flatnonzero(np.diff(at)):
-        yield int(p), slice(int(at[p]), int(at[p + 1]))
-
-
 def first_of_runs(values: np.ndarray) -> np.ndarray:
     out = np.ones(len(values), bool)
     out[1:] = values[1:] != values[:-1]

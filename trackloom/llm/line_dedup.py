@@ -4,33 +4,30 @@ A line is parsed by a tree of fixed depth: its token count, then its leading tok
 Tokens are what single spaces separate in the trimmed line; those with a digit or an @ (numbers,
 dates, addresses) are variable fields and read as ``*`` everywhere, so also in the tree.
 
-Only leaves met in at least ``min_documents`` documents (two for long lines) can hold a recurring template. In them a
-line's template is first its tokens as they are, with ``*``. Lines whose template doesn't recur are
-generalised: at least ``CONSTANT`` hundredths of a template's tokens are constant, any other place is
-a variable field. The places after the leading tokens are cut into one segment more than there can be
-variable fields, so all lines of a template agree in a segment, and those that do, in at least
-``min_documents`` documents, are a group. In it a token is as frequent as the group's lines that have
-it at that place; for every bar (a frequency among a line's own, at least ``min_documents``) that
-leaves enough constants, a line's template is its tokens that reach the bar. Each template's recurrence
-is judged on its own, so neither ordinary lines nor other templates of the leaf hide it. Lines found
-are taken out and the rest is grouped and counted again, until nothing is found. Not found: a template
-whose variable field holds, in all its groups, values more frequent there than the template itself.
-Lines whose template recurs, in at least ``min_documents`` documents, are dropped.
+Only leaves met in at least ``min_documents`` documents (two for long lines) can hold a recurring template. In
+them a line's template is first its tokens as they are, with ``*``. Lines whose template recurs, in
+at least ``min_documents`` documents, are dropped. The others are generalised: a token is as frequent as the
+documents with lines of the leaf that have it at its place, and for every bar of ``min_documents`` times a power of
+``STEP`` a line's template is its tokens that reach the bar, the other places being variable fields, if at least
+``CONSTANT`` hundredths of its tokens are constant. A line is dropped if one of its templates recurs. Bars are
+absolute and each template's recurrence is judged on its own, so neither ordinary lines nor other templates of
+the leaf hide it. Not found: a template with a field whose values are each more frequent than a ``STEP`` th of the
+template, in lines that recur together with too few others.
 
 A line of at least ``LONG`` words whose template as it is stands in fewer documents, but in two, is a
 repeated passage and no boilerplate: the document with the smallest id keeps it, and it is dropped
-from the others, whatever share it is. Near copies of that first document keep it too:
-document-level dedup handles them.
+from the others.
 
-A document more than half of whose characters would go is left whole if it is a copy, which
-document-level dedup handles: its sequence of masked lines is another document's too or is one line
-alone, or it is a near copy (five-word shingles, Jaccard 0.8) of the first document, by hash, with
-its sequence of recurring lines. Every other document loses its recurring lines, whatever share of it they are.
+Documents with equal texts count as one, so that copies alone make no line recur: document-level dedup
+handles them. ``group`` extends this to groups of near copies (see ``ngram_join.with_groups``): all their lines count
+once, and a passage stays in all documents of the first one's group. There is no other exception: a document loses its recurring
+lines, whatever share of it they are.
 
 Defined cases: a null text stays null and has no lines; empty lines are kept and count as no
-template; rows that repeat both id and text count as one document; documents are told apart by id
-and text, so null ids do no harm; extra columns stay as they are (names starting with ``_ld_``
-excepted); an empty table gives no rows.
+template; rows that repeat both id and text are treated alike; a null id comes after all others; of
+equal ids the document with the smaller hash of id and text is first; a null ``group`` is that of the text; lines and texts of any
+length are read whole; extra columns stay as they are, but for ``_ld_dropped`` and ``_ld_lines``, which are the
+result's; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, rolled, small, stored, text_of, words_of
+from .common import discard, let, small, stored, text_of
 
 MIN_DOCUMENTS = 8
 #: Words of a line that is dropped from its second document on.
@@ -46,134 +43,110 @@ LONG = 50
 #: Leading tokens on the way to a leaf.
 DEPTH = 3
 CONSTANT = 70
-#: Near copies: words a shingle, and the least similarity in hundredths.
-WIDTH, PERCENT = 5, 80
+STEP = 4
+#: Bars go up to MIN_DOCUMENTS * STEP ** BARS, over 10 ** 18.
+BARS = 28
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*"
 
 
 def _lines(text: Column) -> Column:
-    """All lines of a text as structs: number, masked line and its leaf; leaf null for blank lines."""
+    """All lines of a text as structs: number, masked line, its leaf (null for blank lines), and whether it may be long."""
     plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
-    def parsed(said: Column, i: Column, chars: Column) -> Column:
+    def parsed(said: Column, i: Column) -> Column:
         tokens = F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1
         leaf = F.when(said != "", F.xxhash64(tokens, F.substring_index(said, " ", DEPTH)))
-        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), chars.alias("chars"), (tokens >= LONG).alias("long"))
+        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), (tokens >= LONG).alias("long"))
 
     def one(line: Column, i: Column) -> Column:
         # Few lines have a variable field, and looking for one is much cheaper than replacing.
         masked = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, "*")).otherwise(line)
-        return let(F.trim(masked), lambda said: parsed(said, i, F.length(line)))
+        return let(F.trim(masked), lambda said: parsed(said, i))
 
     return F.transform(F.split(plain, "\n"), one)
 
 
-def lines_of(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The lines that may recur: _ld_key, doc_id, line (numbered from 0), said, leaf, chars, long (may have LONG words), template."""
-    key = F.xxhash64("doc_id", text_of()).alias("_ld_key")
-    parsed = documents.select(key, "doc_id", _lines(text_of()).alias("lines"))
-    leaves = parsed.select("_ld_key", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
-    # Rows that repeat a document count it twice here and once below: this is only the filter.
+def _key() -> Column:
+    return F.xxhash64("doc_id", text_of())
+
+
+def lines_of(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, group: Column | None = None) -> DataFrame:
+    """The lines that may recur: _ld_key (of the document), _ld_group (what counts as one), doc_id, line (numbered from 0), said, leaf, long (may have LONG words), template."""
+    own = F.xxhash64(text_of())
+    if group is not None:
+        own = F.when(group.isNotNull(), F.xxhash64(F.lit("group"), group)).otherwise(F.xxhash64(text_of()))
+    parsed = documents.select(_key().alias("_ld_key"), own.alias("_ld_group"), "doc_id", _lines(text_of()).alias("lines"))
+    leaves = parsed.select(F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
+    # Documents of one group are counted each here and once below: this is only the filter.
     heavy = leaves.where("leaf is not null").groupBy("leaf", "long").count().where(F.col("count") >= F.when(F.col("long"), 2).otherwise(min_documents))
-    lines = parsed.select("_ld_key", "doc_id", F.explode("lines").alias("x")).select("_ld_key", "doc_id", "x.line", "x.said", "x.leaf", "x.chars", "x.long")
-    return stored(lines.join(small(stored(heavy.select("leaf"))), "leaf", "left_semi")).withColumn("template", F.xxhash64("said"))
+    lines = parsed.select("_ld_key", "_ld_group", "doc_id", F.explode("lines").alias("x")).select("_ld_key", "_ld_group", "doc_id", "x.line", "x.said", "x.leaf", "x.long")
+    heavy = stored(heavy.select("leaf"))
+    return stored(lines.join(small(heavy), "leaf", "left_semi").withColumn("template", F.xxhash64("said")))
 
 
-def passages(documents: DataFrame, lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """_ld_key, line: long lines in two documents or more, but fewer than min_documents, outside the first document and its near copies."""
+def passages(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """_ld_key, line: long lines in two groups or more, but fewer than min_documents, outside the first document's group."""
     words = F.size(F.array_remove(F.split("said", " "), ""))
-    held = lines.where(F.col("long") & (words >= LONG)).select("leaf", "template", "_ld_key", "doc_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_ld_key")
-    first = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("x")).where((F.col("n") >= 2) & (F.col("n") < min_documents))
-    first = small(stored(first.select("leaf", "template", F.col("x._ld_key").alias("first"))))
-    later = stored(held.join(first, ["leaf", "template"]).where("first != _ld_key").select("leaf", "template", "first", "_ld_key"))
-    later = later.join(_near(documents, later.select("first", "_ld_key")), ["first", "_ld_key"], "left_anti")
-    return lines.join(small(stored(later)), ["leaf", "template", "_ld_key"], "left_semi").select("_ld_key", "line")
+    held = lines.where(F.col("long") & (words >= LONG)).select("leaf", "template", "_ld_key", "_ld_group", "doc_id", "line")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_ld_key", "_ld_group")
+    # One row a group and line first, so that a passage in a third of all documents is counted from partial sums.
+    per = held.groupBy("leaf", "template", "_ld_group").agg(F.min(order).alias("x"))
+    first = per.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x")).where((F.col("n") >= 2) & (F.col("n") < min_documents))
+    first = small(stored(first.select("leaf", "template", F.col("x._ld_group").alias("first"))))
+    return held.join(first, ["leaf", "template"]).where("first != _ld_group").select("_ld_key", "line")
+
+
+def _often(df: DataFrame, keys: list[str], min_documents: int) -> DataFrame:
+    """The keys that stand in min_documents groups."""
+    return stored(df.select(*keys, "_ld_group").distinct().groupBy(*keys).count().where(F.col("count") >= min_documents).select(*keys))
 
 
 def recurring(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """_ld_key, line, chars, template: the lines of each document whose template recurs, their length and masked text (a hash)."""
-
-    def often(df: DataFrame) -> DataFrame:
-        return stored(
-            df.select("leaf", "template", "_ld_key").distinct().groupBy("leaf", "template").count().where(F.col("count") >= min_documents).select("leaf", "template")
-        )
-
-    same = small(often(lines))
-    found = lines.join(same, ["leaf", "template"], "left_semi").select("_ld_key", "line", "chars", "template")
-    rest = lines.join(same, ["leaf", "template"], "left_anti")
-    leftover = rest.groupBy("leaf").agg(F.count_distinct("_ld_key").alias("documents")).where(F.col("documents") >= min_documents).select("leaf")
-    rest = stored(rest.join(small(stored(leftover)), "leaf", "left_semi").select("_ld_key", "line", "chars", "template", "leaf", F.split("said", " ").alias("tokens")))
-    rest = rest.where(F.size("tokens") > DEPTH)
-    while True:
-        more = _general(rest, min_documents)
-        if more.isEmpty():
-            return found
-        found = found.unionByName(rest.join(small(more), ["_ld_key", "line"], "left_semi").select("_ld_key", "line", "chars", "template"))
-        rest = stored(rest.join(small(more), ["_ld_key", "line"], "left_anti"))
-
-
-def _general(lines: DataFrame, min_documents: int) -> DataFrame:
-    """_ld_key, line: those lines (with leaf and tokens) that have a template with variable fields in min_documents documents."""
+    """_ld_key, line: the lines of each document whose template recurs."""
+    same = small(_often(lines, ["leaf", "template"], min_documents))
+    found = lines.join(same, ["leaf", "template"], "left_semi").select("_ld_key", "line")
+    rest = lines.join(same, ["leaf", "template"], "left_anti").where(F.instr(F.col("said"), " ") > 0)
+    leftover = _often(rest, ["leaf"], min_documents)
+    rest = stored(rest.join(small(leftover), "leaf", "left_semi").select("_ld_key", "_ld_group", "line", "leaf", "template", "said"))
+    shaped = stored(_shaped(rest, min_documents))
+    # A line has at most as many templates as there are bars below its leaf's size.
+    every = rest.select("leaf", "template", "_ld_group").join(small(shaped), ["leaf", "template"])
+    general = small(stored(shaped.join(small(_often(every, ["leaf", "shape"], min_documents)), ["leaf", "shape"], "left_semi").select("leaf", "template").distinct()))
+    return found.unionByName(rest.join(general, ["leaf", "template"], "left_semi").select("_ld_key", "line"))
+
+
+def _shaped(lines: DataFrame, min_documents: int) -> DataFrame:
+    """leaf, template, shape: the generalised templates of each masked line that have enough constants."""
+    masked = lines.select("leaf", "template", "said", "_ld_group").distinct().groupBy("leaf", "template").agg(F.any_value("said").alias("said"), F.count(F.lit(1)).alias("documents"))
+    masked = stored(masked.withColumn("tokens", F.split("said", " ")).where(F.size("tokens") > DEPTH).drop("said"))
     n = F.size("tokens")
-    parts = F.floor((100 - CONSTANT) * n / 100).cast("int") + 1
-    cut = lambda i: F.floor(i * (n - DEPTH) / parts).cast("int")
-    segment = lambda i: F.xxhash64("leaf", i, F.array_join(F.slice("tokens", cut(i) + DEPTH + 1, cut(i + 1) - cut(i)), " "))
-    seats = lines.select("_ld_key", "line", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), segment)).alias("group"))
-    # Segments in which the same lines agree make one group.
-    groups = seats.groupBy("group").agg(F.count_distinct("_ld_key").alias("documents"), F.expr("sum(cast(xxhash64(_ld_key, line) as decimal(20)))").alias("print"))
-    groups = stored(groups.where(F.col("documents") >= min_documents).groupBy("print").agg(F.min("group").alias("group")).select("group"))
-    each = stored(seats.join(small(groups), "group", "left_semi").join(lines.select("_ld_key", "line", "tokens").distinct(), ["_ld_key", "line"]).distinct())
-    placed = each.select("group", "_ld_key", "line", n.alias("n"), F.posexplode("tokens").alias("place", "token")).where("token != '*'")
-    seen = stored(placed.groupBy("group", "place", "token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= min_documents))
-    own = placed.join(small(seen), ["group", "place", "token"]).groupBy("group", "_ld_key", "line", "n").agg(F.array_sort(F.collect_list(F.struct("place", "token", "times"))).alias("own"))
+    # The leading tokens are the leaf's, the same in all its lines.
+    lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "*"))
+    rest = F.slice("tokens", DEPTH + 1, n - DEPTH)
+    placed = masked.select("leaf", "template", "documents", n.alias("n"), lead.alias("lead"), F.posexplode(rest).alias("place", "token")).where("token != '*'")
+    seen = stored(placed.groupBy("leaf", "place", "token").agg(F.sum("documents").alias("times")).where(F.col("times") >= min_documents))
+    own = placed.join(small(seen), ["leaf", "place", "token"]).groupBy("leaf", "template", "n", "lead").agg(F.array_sort(F.collect_list(F.struct("place", "token", "times"))).alias("own"))
     over = lambda bar: F.filter("own", lambda x: x["times"] >= bar)
-    bars = F.filter(F.array_distinct(F.transform("own", lambda x: x["times"])), lambda t: 100 * F.size(over(t)) >= CONSTANT * F.col("n"))
-    shaped = own.select("group", "_ld_key", "line", "own", F.explode(bars).alias("bar"))
-    shape = F.xxhash64(F.transform(over(F.col("bar")), lambda x: F.struct(x["place"], x["token"])))
-    shaped = stored(shaped.select("group", "bar", shape.alias("shape"), "_ld_key", "line"))
-    often = shaped.select("group", "bar", "shape", "_ld_key").distinct().groupBy("group", "bar", "shape").count().where(F.col("count") >= min_documents)
-    return stored(shaped.join(small(stored(often.select("group", "bar", "shape"))), ["group", "bar", "shape"], "left_semi").select("_ld_key", "line").distinct())
-
-
-def _near(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (first, _ld_key) of documents that are near copies."""
-    pairs = stored(pairs.distinct())
-    keys = small(stored(pairs.select("_ld_key").unionByName(pairs.select(F.col("first").alias("_ld_key"))).distinct()))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    own = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(keys, "_ld_key", "left_semi").dropDuplicates(["_ld_key"])
-    words = F.transform(words_of(F.translate(text_of(), upper, upper.lower())), lambda w: F.xxhash64(w))
-    sets = let(words, lambda w: F.when(F.size(w) < WIDTH, F.array(F.xxhash64(w))).otherwise(F.array_distinct(rolled(w, WIDTH))))
-    sets = stored(own.select("_ld_key", sets.alias("set")))
-    both = pairs.join(sets.hint("merge"), "_ld_key").join(sets.select(F.col("_ld_key").alias("first"), F.col("set").alias("other")).hint("merge"), "first")
-    both = both.withColumn("common", F.size(F.array_intersect("set", "other")))
-    return stored(both.where(100 * F.col("common") >= PERCENT * (F.size("set") + F.size("other") - F.col("common"))).select("first", "_ld_key"))
-
-
-def _copies(documents: DataFrame, drops: DataFrame) -> DataFrame:
-    """_ld_key: the documents of ``drops`` that are left whole, as most of each would go and it is a copy."""
-    said = F.filter(_lines(text_of()), lambda x: x["leaf"].isNotNull())
-    whole = let(said, lambda x: F.struct(F.size(x).alias("filled"), F.xxhash64(F.transform(x, lambda y: y["said"])).alias("whole")))
-    each = documents.select(F.xxhash64("doc_id", text_of()).alias("_ld_key"), F.length(text_of()).alias("total"), whole.alias("x"))
-    each = stored(drops.join(each.select("_ld_key", "total", "x.*"), "_ld_key").dropDuplicates(["_ld_key"]).drop("_ld_drops"))
-    most = each.where(2 * F.col("gone") > F.col("total"))
-    again = small(stored(each.groupBy("whole").count().where("count >= 2").select("whole")))
-    exact = most.where("filled = 1").select("_ld_key").unionByName(most.join(again, "whole", "left_semi").select("_ld_key"))
-    rest = stored(most.join(again, "whole", "left_anti").where("filled > 1").select("shape", "_ld_key"))
-    first = rest.groupBy("shape").agg(F.min("_ld_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-    near = _near(documents, rest.join(small(stored(first)), "shape").where("first != _ld_key").select("first", "_ld_key"))
-    return exact.unionByName(near.select("_ld_key")).unionByName(near.select(F.col("first").alias("_ld_key"))).distinct()
-
-
-def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The documents with recurring lines dropped from ``text``, and _ld_dropped (numbers of the lines) and _ld_lines (how many there were)."""
-    every = lines_of(documents, min_documents)
-    lines = recurring(every, min_documents).dropDuplicates(["_ld_key", "line"])
-    shape = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("line", "template"))), lambda x: x["template"]))
-    drops = stored(lines.groupBy("_ld_key").agg(F.array_sort(F.collect_list("line")).alias("_ld_drops"), F.sum("chars").alias("gone"), shape.alias("shape")))
-    drops = drops.join(small(stored(_copies(documents, drops))), "_ld_key", "left_anti").select("_ld_key", F.explode("_ld_drops").alias("line"))
-    drops = drops.unionByName(passages(documents, every, min_documents)).groupBy("_ld_key").agg(F.array_sort(F.collect_set("line")).alias("_ld_drops"))
-    marked = documents.withColumn("_ld_key", F.xxhash64("doc_id", text_of())).join(drops.hint("merge"), "_ld_key", "left")
+    bars = F.array(*[F.lit(min_documents * STEP**k) for k in range(BARS)])
+    most = F.array_max(F.transform("own", lambda x: x["times"]))
+    good = F.filter(bars, lambda b: (b <= most) & (100 * (F.size(over(b)) + F.col("lead")) >= CONSTANT * F.col("n")))
+    shapes = F.transform(good, lambda b: F.xxhash64(F.transform(over(b), lambda x: F.struct(x["place"], x["token"]))))
+    return own.select("leaf", "template", F.explode(F.array_distinct(shapes)).alias("shape"))
+
+
+def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, group: Column | None = None) -> DataFrame:
+    """The documents with recurring lines dropped from ``text``, and _ld_dropped (numbers of the lines) and _ld_lines (how many there were).
+
+    group: a column, not one that starts with ``_ld_``, whose equal values make documents count as one.
+    """
+    clash = {c: f"_of{c}" for c in documents.columns if c.startswith("_ld_")}
+    documents = documents.withColumnsRenamed(clash)
+    lines = lines_of(documents, min_documents, group)
+    drops = recurring(lines, min_documents).unionByName(passages(lines, min_documents))
+    drops = stored(drops.groupBy("_ld_key").agg(F.array_sort(F.collect_set("line")).alias("_ld_drops")))
+    discard(lines)
+    # Rows of any length, so a count of them bounds no broadcast.
+    marked = documents.withColumn("_ld_key", _key()).join(drops.hint("merge"), "_ld_key", "left")
     none = F.array().cast("array<int>")
     out = marked.withColumn("_ld_split", F.split(text_of(), "\n")).withColumn("_ld_dropped", F.coalesce(F.col("_ld_drops"), none))
     kept = F.filter("_ld_split", lambda x, i: ~F.array_contains("_ld_dropped", i))
@@ -182,7 +155,7 @@ def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
             "text": F.when(F.size("_ld_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
             "_ld_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_split")).cast("long"),
         }
-    ).drop("_ld_key", "_ld_drops", "_ld_split")
+    ).drop("_ld_key", "_ld_drops", "_ld_split", "_of_ld_dropped", "_of_ld_lines").withColumnsRenamed({v: k for k, v in clash.items() if k not in ("_ld_dropped", "_ld_lines")})
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ hashes) are one class and always link.
 
 1. Candidates. Of s shingles a set that needs m in common with another can miss s - m, so in any global
    order of the shingles two linked sets of different classes have two of their first s - m + 2 in common. First the
-   order is that of the hashes: each class sends its first shingles, once a batch of documents, to the
-   parts of the hash space and hears how many another class has too. Classes with fewer than two
-   are done, and that is nearly all of ordinary text.
+   order is that of the hashes: each class sends its first 4 / 3 * (s - m) + 2 shingles, once a batch of documents, to
+   the parts of the hash space and hears how many another class has too. Of these at most s - m may be
+   missing; classes that miss more are done, and that is nearly all of ordinary text.
 2. The shingles of the rest get a global order by estimated frequency, rare first. In it, classes
    whose prefixes meet twice may link: those of a shingle of at most ``RARE`` classes are paired, those of
    a more frequent one tied to the smallest. Every link lies inside a component of that graph, which
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, discard, small, stored, text_of
+from .common import blocks_for, discard, fresh, small, stored, text_of
 from .components import components
 from .hashing import SLICE, U, Words, first_of_runs, mixed, windows
 
@@ -74,15 +74,15 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about ``SLICE`` bytes of ``text``, or one row."""
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about 4 * ``SLICE`` bytes of a column, or one row."""
     for b in batches:
-        text = b["text"].cast(pa.large_string())
-        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+        data = b[column].cast(pa.large_binary())
+        at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
         low = 0
-        while low < len(text):
+        while low < len(data):
             high = max(low + 1, int(np.searchsorted(at, at[low] + 4 * SLICE, "right")) - 1)
-            yield b.slice(low, min(high, len(text)) - low)
+            yield b.slice(low, min(high, len(data)) - low)
             low = high
 
 
@@ -100,6 +100,11 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + met(percent)
 
 
+def _looked_at(n: int, percent: int) -> int:
+    """How many shingles a set of n asks about: a third more than may be missing, so that a quarter of them must be shared."""
+    return min(n, -(-4 * (n + (-percent * n // 100)) // 3) + met(percent))
+
+
 SIGNED = "doc_id long, rkey long, n long, s1 long, s2 long, prefix array<long>"
 
 
@@ -114,7 +119,7 @@ def _signed(width: int, percent: int):
                 n.append(len(s))
                 s1.append(one)
                 s2.append(two)
-                prefix.append(s[: _prefix_length(len(s), percent)].view(np.int64))
+                prefix.append(s[: _looked_at(len(s), percent)].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["rkey"], long(n), long(s1), long(s2), lists], ["doc_id", "rkey", "n", "s1", "s2", "prefix"])
@@ -174,8 +179,10 @@ def _live(signed: DataFrame, percent: int) -> DataFrame:
     grams = signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     parts = blocks_for(grams, PART_GRAMS, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = asking.mapInArrow(_questions, QUESTIONS).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
-    heard = asked.groupBy("part").applyInArrow(_answers, "key long, times long")
-    return heard.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= met(percent)).select(F.col("key").alias("s1"))
+    heard = asked.groupBy("part").applyInArrow(_answers, "key long, times long").groupBy(F.col("key").alias("s1")).agg(F.sum("times").alias("times"))
+    may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    known = signed.where(F.col("s1").isNotNull()).select("s1", (F.size("prefix") - may_miss).alias("least")).distinct()
+    return known.join(heard, "s1").where(F.col("times") >= F.greatest("least", F.lit(1))).select("s1").distinct()
 
 
 GRAMS = "s1 long, s2 long, n long, grams binary"
@@ -218,7 +225,7 @@ def _order(sets: DataFrame) -> Order:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
-        for b in batches:
+        for b in _slices(batches, "grams"):
             for x in b["grams"]:
                 np.add.at(total, (np.frombuffer(x.as_buffer(), U) % U(size)).astype(np.int64), 1)
         if total.any():
@@ -244,7 +251,7 @@ def _prefixes(sets: DataFrame, percent: int, order) -> DataFrame:
     """gram, node: the prefix of every class in the global order."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, "grams"):
             grams, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for node, n, x in zip(b["s1"].to_pylist(), b["n"].to_pylist(), b["grams"], strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
@@ -296,7 +303,7 @@ def _segments(order):
     """Each set cut at the pivots: one row a fragment, an empty one too, so that all fragments of a cell number its classes alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, "grams"):
             data = []
             for x in b["grams"]:
                 s = np.frombuffer(x.as_buffer(), U)
@@ -444,11 +451,12 @@ def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents with a column ``name``: a number of their group of near duplicates, null for those alone."""
+    """The documents with a new column ``name``: a number of their group of near duplicates, null for those alone."""
     rows = stored(_classified(documents, width, percent).where(F.col("root").isNotNull()).select("rkey", "root"))
     groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.xxhash64("root").alias(name))
-    known = stored(rows.join(small(stored(groups)), "root").select(F.col("rkey").alias("_nj_key"), name).distinct())
-    return documents.withColumn("_nj_key", row_key()).join(small(known), "_nj_key", "left").drop("_nj_key")
+    key = fresh(documents, "_nj_key")
+    known = stored(rows.join(small(stored(groups)), "root").select(F.col("rkey").alias(key), name).distinct())
+    return documents.withColumn(key, row_key()).join(small(known), key, "left").drop(key)
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -462,12 +470,12 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     first = stored(first)
     joined = rows.join(small(first.select("root", F.col("rkey").alias("kept"), F.col("doc_id").alias("kept_id"))), "root")
     same = (F.col("rkey") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    keys = stored(joined.groupBy(F.col("doc_id").alias("_nj_id"), F.col("rkey").alias("_nj_key"), same.alias("_nj_same")).agg(F.count(F.lit(1)).alias("_nj_rows")))
-    mine = lambda df, how: documents.withColumn("_nj_row", row_key()).join(small(df), (F.col("_nj_row") == F.col("_nj_key")) & F.col("doc_id").eqNullSafe(F.col("_nj_id")), how).drop("_nj_row")
-    gone = keys.where(~F.col("_nj_same")).select("_nj_id", "_nj_key")
-    again = stored(keys.where(F.col("_nj_same") & (F.col("_nj_rows") > 1)).select("_nj_id", "_nj_key"))
+    row, key, id_, kept, n = (fresh(documents, f"_nj_{x}") for x in ("row", "key", "id", "kept", "n"))
+    keys = stored(joined.groupBy(F.col("doc_id").alias(id_), F.col("rkey").alias(key), same.alias(kept)).agg(F.count(F.lit(1)).alias(n)))
+    mine = lambda df, how: documents.withColumn(row, row_key()).join(small(df), (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), how).drop(row)
+    gone = keys.where(~F.col(kept)).select(id_, key)
+    again = stored(keys.where(F.col(kept) & (F.col(n) > 1)).select(id_, key))
     if again.isEmpty():
         return mine(gone, "left_anti")
-    kept = mine(gone.unionByName(again), "left_anti")
-    one = mine(again, "left_semi").withColumn("_nj_row", row_key()).dropDuplicates(["doc_id", "_nj_row"]).drop("_nj_row")
-    return kept.unionByName(one)
+    one = mine(again, "left_semi").withColumn(row, row_key()).dropDuplicates(["doc_id", row]).drop(row)
+    return mine(gone.unionByName(again), "left_anti").unionByName(one)

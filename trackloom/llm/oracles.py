@@ -7,7 +7,7 @@ The others are held against plain versions in the tests: op1 (its hash isn't Duc
 from __future__ import annotations
 
 from .chat_format import CONTROL, END, SEP, START
-from .line_dedup import CONSTANT, DEPTH, MIN_DOCUMENTS
+from .line_dedup import CONSTANT, DEPTH, LONG, MIN_DOCUMENTS, STEP
 from .secret_scan import BASE, RULES
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,14 +19,15 @@ def _words(text: str) -> str:
 
 def _runs(source: str, key: str, k: int) -> str:
     """key, p (from 1), g (k words joined) of a table with key and a list of words w."""
-    return f"SELECT {key}, p, array_to_string(w[p:p+{k - 1}], ' ') AS g FROM {source}, unnest(range(1, len(w)-{k - 2})) r(p)"
+    return f"SELECT {key}, p, array_to_string(w[p:p+{k - 1}], ' ') AS g FROM {source}, unnest(range(1, len(w)-({k - 2}))) r(p)"
 
 
 _CLEAN = r"regexp_replace(lower(coalesce(text,'')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g')"
 
 OP2 = f"""
 WITH d AS (SELECT doc_id, {_words(_CLEAN)} AS w FROM documents), b AS (SELECT item_id, {_words(_CLEAN)} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, g FROM ({_runs("d", "doc_id", 5)})), bs AS (SELECT DISTINCT item_id, g FROM ({_runs("b", "item_id", 5)})),
+ds AS (SELECT DISTINCT doc_id, g FROM ({_runs("d", "doc_id", 5)}{"".join(f" UNION ALL SELECT * FROM ({_runs('d', 'doc_id', k)}) WHERE {k} IN (SELECT len(w) FROM b)" for k in range(1, 5))})),
+bs AS (SELECT DISTINCT item_id, g FROM ({_runs("b", "item_id", 5)} UNION ALL SELECT item_id, 1, array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 4)),
 sizes AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_matched FROM ds JOIN bs USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*)*100 >= n*80
 """
@@ -86,26 +87,30 @@ cc(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT ways.b, cc.c FROM cc
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN cc ON cc.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-# A leaf is a token count and leading tokens; a document is told apart by id and text, its rows by r.
+# A leaf is a token count and leading tokens; documents of equal texts are one group, told apart by id and text (key) and row (r).
 OP9 = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id::VARCHAR,'')||':'||md5(coalesce(text,'')) AS key, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
-cut AS (SELECT r, key, (i-1)::INTEGER AS line, list_transform(string_split(trim(regexp_replace(ls[i], '[\\x09\\x0B-\\x0D]', ' ', 'g'), ' '), ' '),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, md5(coalesce(text,'')) AS grp, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
+cut AS (SELECT r, doc_id, grp, (i-1)::INTEGER AS line, list_transform(string_split(trim(regexp_replace(ls[i], '[\\x09\\x0B-\\x0D]', ' ', 'g'), ' '), ' '),
   lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '*' ELSE x END) AS tokens FROM d, unnest(range(1, len(ls)+1)) u(i)),
 l AS (SELECT *, array_to_string(tokens, ' ') AS said, len(tokens)||':'||array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM cut WHERE array_to_string(tokens, ' ') <> ''),
-same AS (SELECT said FROM l GROUP BY said HAVING count(DISTINCT key) >= {MIN_DOCUMENTS}),
-others AS (SELECT * FROM l ANTI JOIN same USING (said)),
-leaves AS (SELECT leaf, count(*) AS n FROM others GROUP BY leaf HAVING count(DISTINCT key) >= {MIN_DOCUMENTS}),
-places AS (SELECT o.r, o.key, o.line, o.leaf, n, i AS place, tokens[i] AS token FROM others o JOIN leaves ON leaves.leaf = o.leaf, unnest(range(1, len(tokens)+1)) u(i)),
-constant AS (SELECT leaf, place, max_by(token, struct_pack(times := times, token := token)) AS fixed
-  FROM (SELECT leaf, n, place, token, count(*) AS times FROM places GROUP BY ALL HAVING 2*count(*) >= n) GROUP BY leaf, place),
-general AS (SELECT r, key, line, p.leaf, list(CASE WHEN token = fixed THEN token ELSE '*' END ORDER BY p.place) AS shape
-  FROM places p LEFT JOIN constant c ON c.leaf = p.leaf AND c.place = p.place GROUP BY r, key, line, p.leaf),
-shaped AS (SELECT * FROM general WHERE 100*len(list_filter(shape, lambda x: x<>'*')) >= {CONSTANT}*len(shape)),
-often AS (SELECT leaf, shape FROM shaped GROUP BY leaf, shape HAVING count(DISTINCT key) >= {MIN_DOCUMENTS}),
-gone AS (SELECT key, line FROM l SEMI JOIN same USING (said) UNION SELECT key, line FROM shaped SEMI JOIN often USING (leaf, shape)),
-listed AS (SELECT key, list(line ORDER BY line) AS gone FROM gone GROUP BY key),
-found AS (SELECT doc_id, text, ls, coalesce(gone, []) AS gone FROM d LEFT JOIN listed ON listed.key = d.key),
-done AS (SELECT doc_id, text, ls, CASE WHEN 2*coalesce(list_sum(list_transform(gone, lambda i: length(ls[i+1]))), 0) > length(text) THEN [] ELSE gone END AS gone FROM found)
+same AS (SELECT said FROM l GROUP BY said HAVING count(DISTINCT grp) >= {MIN_DOCUMENTS}),
+others AS (SELECT * FROM l ANTI JOIN same USING (said) WHERE len(tokens) > {DEPTH}),
+leaves AS (SELECT leaf FROM others GROUP BY leaf HAVING count(DISTINCT grp) >= {MIN_DOCUMENTS}),
+masked AS (SELECT leaf, said, any_value(tokens) AS tokens, count(DISTINCT grp) AS n FROM others SEMI JOIN leaves USING (leaf) GROUP BY leaf, said),
+placed AS (SELECT leaf, said, n, i AS place, tokens[i] AS token FROM masked, unnest(range({DEPTH + 1}, len(tokens)+1)) u(i) WHERE tokens[i] <> '*'),
+seen AS (SELECT leaf, place, token, sum(n)::BIGINT AS times FROM placed GROUP BY ALL HAVING sum(n) >= {MIN_DOCUMENTS}),
+own AS (SELECT leaf, said, list(struct_pack(place := place, token := token, times := times) ORDER BY place) AS own FROM placed JOIN seen USING (leaf, place, token) GROUP BY leaf, said),
+barred AS (SELECT leaf, said, list_filter(own, lambda x: x.times >= {MIN_DOCUMENTS}*{STEP}::BIGINT**k) AS over, tokens FROM own JOIN masked USING (leaf, said), range(0, 20) b(k)),
+shaped AS (SELECT DISTINCT leaf, said, list_transform(over, lambda x: x.place||':'||x.token) AS shape FROM barred
+  WHERE len(over) > 0 AND 100*(len(over) + len(list_filter(tokens[1:{DEPTH}], lambda t: t <> '*'))) >= {CONSTANT}*len(tokens)),
+often AS (SELECT leaf, shape FROM shaped JOIN others USING (leaf, said) GROUP BY leaf, shape HAVING count(DISTINCT grp) >= {MIN_DOCUMENTS}),
+general AS (SELECT DISTINCT leaf, said FROM shaped SEMI JOIN often USING (leaf, shape)),
+long AS (SELECT * FROM l WHERE len(list_filter(tokens, lambda x: x <> '')) >= {LONG}),
+first AS (SELECT said, arg_min(grp, struct_pack(u := doc_id IS NULL, i := doc_id, r := r)) AS grp FROM long GROUP BY said HAVING count(DISTINCT grp) BETWEEN 2 AND {MIN_DOCUMENTS - 1}),
+gone AS (SELECT r, line FROM l SEMI JOIN same USING (said) UNION SELECT r, line FROM others SEMI JOIN general USING (leaf, said)
+  UNION SELECT long.r, long.line FROM long JOIN first ON first.said = long.said WHERE first.grp <> long.grp),
+listed AS (SELECT r, list(line ORDER BY line) AS gone FROM gone GROUP BY r),
+done AS (SELECT doc_id, text, ls, coalesce(gone, []) AS gone FROM d LEFT JOIN listed ON listed.r = d.r)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, len(gone)::BIGINT AS n_dropped, array_to_string(gone, ',') AS dropped,
   sha256(CASE WHEN len(gone) > 0 THEN array_to_string(list_transform(list_filter(range(1, len(ls)+1), lambda i: NOT list_contains(gone, i-1)), lambda i: ls[i]), chr(10)) ELSE text END) AS kept_sha256 FROM done
 """

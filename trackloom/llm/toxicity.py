@@ -42,6 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 LABELLED_ROWS = 20_000
 LABELLED_CHARS = 100_000_000
 SHORTEST, LONGEST = 4, 7
@@ -238,8 +240,6 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def harmless(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    name = "_tox_score"
-    while name in documents.columns:
-        name += "_"
+    name = fresh(documents, "_tox_score")
     rated = scored(documents, learn(labelled(documents, labels)), name)
     return rated.where(F.col(name) < THRESHOLD).drop(name)
