@@ -11,6 +11,7 @@ import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -256,6 +257,41 @@ def fitted(sequences: DataFrame, epochs: int = 60, most: int = MOST_TRACKS, leas
     return model
 
 
+def save(model: Model, path: str | Path) -> str:
+    """Writes a model to a file; its digest, to be pinned."""
+    Path(path).write_bytes(data := model.dumped())
+    return hashlib.sha256(data).hexdigest()
+
+
+def load(path: str | Path, expected_sha256: str | None = None) -> Model | None:
+    """The model of a file, None if there is no file. A file with another digest than the one pinned is an error."""
+    if not Path(path).exists():
+        return None
+    data = Path(path).read_bytes()
+    if expected_sha256 and hashlib.sha256(data).hexdigest() != expected_sha256:
+        raise ValueError("the model isn't the one that is pinned")
+    return Model.loaded(data)
+
+
+def freeze(sequences: DataFrame, path: str | Path, least: int = 20, epochs: int = 60) -> dict[str, object]:
+    """Fits a model and writes it; what was written. Fewer than ``least`` tracks are an error."""
+    model = fitted(sequences, epochs, least=least)
+    if model is None:
+        raise ValueError(f"a model to keep needs at least {least} tracks")
+    return {**model.info(), "sha256": save(model, path)}
+
+
+def benchmark(sequences: DataFrame, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), epochs: int = 60, most: int = MOST_TRACKS) -> dict[str, dict[str, float]]:
+    """How stably each model ranks the same tracks (at most ``most``) over several seeds."""
+    x = sample_of(sequences, most)
+    flat_ = x.reshape(len(x), -1)
+    return {
+        "recurrent": stability([train(x, epochs=epochs, seed=k).errors(x) for k in seeds]),
+        "isolation": stability([isolation_scores(flat_, seed=k) for k in seeds]),
+        "pca": stability([pca_errors(flat_) for _ in seeds]),
+    }
+
+
 def detect(sequences: DataFrame, model: Model | None = None, epochs: int = 60) -> DataFrame:
     """Tracks whose error is above the model's threshold; none with fewer than five tracks to learn from."""
     if model is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from . import jamming
 from .sequences import merged_intervals
 from .visits import speed_steps
 
+# The studies' ceilings and bin edges, in knots.
 THRESHOLDS = (750.0, 1000.0, 1200.0, 1400.0)
 EDGES = (0.0, 250.0, 500.0, 750.0, 1000.0, 1200.0, 1400.0, 2000.0, 5000.0)
 
@@ -35,10 +36,38 @@ def speed_histogram(positions: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("low_kt"), F.col(f"n{i}").alias("steps")) for i, a in enumerate(EDGES)])).alias("x")).select("x.*")
 
 
+#: Values are ranked in bands of the same width; what lies beyond the last band is in it.
+BAND_KT, BANDS = 0.5, 10_000
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+
+
+def ranked(values: DataFrame, value: str, band: Column) -> DataFrame:
+    """Each distinct value with ``n``, ``below`` (rows with a smaller one) and ``total``.
+
+    ``band`` is a number that grows with the value, of which there are few: their sums are added up first, so that
+    the values of each band are ranked on their own.
+    """
+    by = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("_band", band)
+    # One row a band.
+    sums = by.groupBy("_band").agg(F.sum("n").alias("_n"))
+    before = W.orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("total"))
+    own = W.partitionBy("_band").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return by.join(sums, "_band").select(value, "n", (F.col("_before") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("below"), "total")
+
+
 def speed_percentiles(positions: DataFrame) -> DataFrame:
-    q = F.percentile("speed_kt", F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999))))
-    out = speed_steps(positions).agg(q.alias("q"), F.max("speed_kt").alias("max_kt"))
-    return out.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p90", "p99", "p999"))], "max_kt")
+    """Percentiles of the steps' speeds, linear between neighbours, and the highest."""
+    band = F.least(F.floor(F.col("speed_kt") / BAND_KT), F.lit(BANDS)).cast("long")
+    at = ranked(speed_steps(positions).select("speed_kt"), "speed_kt", band)
+    out = []
+    for name, q in QUANTILES.items():
+        place = F.lit(q) * (F.col("total") - 1)
+        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+        low, high = (F.max(F.when(holds(k), F.col("speed_kt"))) for k in (F.floor(place), F.ceil(place)))
+        share = F.max(place - F.floor(place))
+        out.append((low + (high - low) * share).alias(name))
+    return at.agg(*out, F.max("speed_kt").alias("max_kt"))
 
 
 def speed_tail_clues(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -91,6 +120,20 @@ def outage_minutes(outages: DataFrame, runs: DataFrame, region: str | None, lo_u
     return parts.groupBy("hour_us").agg(F.sum(minutes).alias("outage_minutes")).where("outage_minutes > 0")
 
 
+def hourly(positions: DataFrame, incidents: DataFrame, runs: DataFrame, outages: DataFrame, width: int = HOUR_US, s: Settings = DEFAULTS) -> DataFrame:
+    """One row a bucket from the first report's to the last's: activity, cells seen and left unscoreable, incidents of each detector, minutes of outage."""
+    from ..sources.positions import scan
+
+    span = positions.agg(F.min("us"), F.max("us")).first()
+    if span[0] is None:
+        span = (0, 0)
+    parts = [scoreability(scan(positions), width, s), incidents_by_hour(incidents, width), outage_minutes(outages, runs, None, span[0], span[1] + 1, width)]
+    out = activity(positions, width)
+    for p in parts:
+        out = out.join(p, "hour_us", "left")
+    return out.na.fill(0)
+
+
 def clock_hours(hours: DataFrame, offset_hours: int = 8) -> DataFrame:
     """Mean and population spread per local clock hour over complete, clean hours.
 
@@ -162,27 +205,44 @@ def scores(labels: DataFrame, incidents: DataFrame, kinds: tuple[str, ...] = ("g
     return out.select("detector", "tp", "wanted", "found", share("wanted").alias("recall"), share("found").alias("precision"))
 
 
+#: Fixed value: how far an incident may be from the label it matches.
 MATCH_KM = 0.8 * 111.0
+#: Degrees of latitude in a band, and the time in a slot: partners lie in the same or a neighbouring band, in a slot both touch.
+MATCH_BAND, MATCH_SLOT = 1.0, HOUR_US
 
 
 def matched_labels(labels: DataFrame, incidents: DataFrame, how: str = "left_semi") -> DataFrame:
     """Labels (lat, lon, start_us, end_us) with, or by ``left_anti`` without, an incident near in space that overlaps in time.
 
-    The gold set is small and is sent to all executors by its counted size; with
-    incidents on the left the same function finds those outside any label.
+    With incidents on the left the same function finds those outside any label. Both sides meet by band of
+    latitude and time slot.
     """
-    from .gaps import ledger
-
-    i = ledger(incidents.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("start_us").alias("_s"), F.coalesce("end_us", "start_us").alias("_e")))
+    slots = lambda lo, hi: F.sequence(F.floor(lo / MATCH_SLOT).cast("long"), F.floor(hi / MATCH_SLOT).cast("long"))
+    band = lambda c: F.floor(F.col(c) / MATCH_BAND).cast("long")
+    ends = F.coalesce("end_us", "start_us")
+    i = incidents.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("start_us").alias("_s"), ends.alias("_e"))
+    i = i.withColumn("_band", F.explode(F.array(*[band("_lat") + k for k in (-1, 0, 1)]))).withColumn("_slot", F.explode(slots(F.col("_s"), F.col("_e"))))
+    # Equal rows are one here and are counted, so that each comes back as often as it was.
+    row = F.struct(*labels.columns)
+    each = labels.groupBy(row.alias("_row")).agg(F.count(F.lit(1)).alias("_times")).select("_row", "_times", "_row.*")
+    each = each.withColumn("_slots", F.explode_outer(slots(F.col("start_us"), ends))).withColumn("_bands", band("lat"))
     near = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= MATCH_KM
-    return labels.join(i, near & (F.col("_s") <= F.col("end_us")) & (F.col("_e") >= F.col("start_us")), how)
-
-
-def auc(scored: DataFrame) -> DataFrame:
-    """ROC-AUC of (score, label 0/1) by mean ranks: ties count half."""
-    by = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("rank", below + (F.col("n") + 1) / 2)
+    on = (F.col("_slots") == F.col("_slot")) & (F.col("_bands") == F.col("_band")) & near & (F.col("_s") <= ends) & (F.col("_e") >= F.col("start_us"))
+    met = each.join(i, on, "left").groupBy("_row").agg(F.any_value("_times").alias("_times"), F.count("_s").alias("_hits"))
+    kept = met.where(F.col("_hits") > 0 if how == "left_semi" else F.col("_hits") == 0)
+    return kept.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")
+
+
+def auc(scored: DataFrame, cuts: int = 200) -> DataFrame:
+    """ROC-AUC of (score, label 0/1) by mean ranks: ties count half. Scores are ranked in bands between ``cuts`` approximate quantiles."""
+    edges = scored.agg(F.percentile_approx("score", [k / cuts for k in range(1, cuts)], 10_000).alias("edges")).select("edges")
+    named = scored.select("score", "label", edges.scalar().alias("_edges"))
+    banded = named.select("score", "label", F.size(F.filter("_edges", lambda e: e <= F.col("score"))).alias("_b"))
+    by = banded.groupBy("score", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    sums = by.groupBy("_b").agg(F.sum("n").alias("_n"))
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a band
+    own = F.coalesce(F.sum("n").over(W.partitionBy("_b").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = by.join(sums, "_b").withColumn("rank", F.col("_before") + own + (F.col("n") + 1) / 2)
     p, q = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranks.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * q)).alias("auc"))
 

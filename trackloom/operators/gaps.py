@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import equirect_nm, haversine_km
 from ..functions.timefn import iso
-from ..settings import DEFAULTS, MINUTE_US, Settings
-from .incidents import incidents
+from ..settings import DEFAULTS, HOUR_US, MINUTE_US, Settings
+from .incidents import Spec, described
 from .sequences import pairs
 
-#: Ledgers have a row for each run or outage of a collector. They are sent to all executors only up to this size.
-LEDGER_ROWS = 100_000
+DAY_US = 24 * HOUR_US
 
 
-def ledger(df: DataFrame) -> DataFrame:
-    """A collector ledger, with a broadcast hint if it is counted and small."""
-    return F.broadcast(df) if df.limit(LEDGER_ROWS + 1).count() <= LEDGER_ROWS else df
+def days(lo: Column, hi: Column) -> Column:
+    """The days that a span touches: the equi-join key of spans that may overlap."""
+    return F.explode(F.sequence(_day(lo), _day(hi)))
+
+
+def _day(us: Column) -> Column:
+    return F.floor(us / F.lit(DAY_US)).cast("long")
 
 
 def boundary(rows: DataFrame, runs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -25,25 +28,36 @@ def boundary(rows: DataFrame, runs: DataFrame, s: Settings = DEFAULTS) -> DataFr
 
     Of the runs with a circle, of the same region (both may be null), that were on at the time, from a
     minute before their start, the one that started last; without any, the configured circle.
+
+    Runs meet rows by region and day: an ended run on the days it lasted, an open one on the day it started. For
+    later days a region has one list, of the last open run of each day.
     """
+    began = F.col("started_us") - s.max_position_age_seconds * 1_000_000
     own = runs.where(F.col("center_lat").isNotNull() & F.col("center_lon").isNotNull() & F.col("radius_nm").isNotNull()).select(
-        F.col("id").alias("run_id"), F.col("region").alias("run_region"), F.col("started_us"), F.coalesce("last_message_us", "stopped_us").alias("ended_us"), "center_lat", "center_lon", "radius_nm"
-    )
+        F.col("region").alias("run_region"), began.alias("began"), F.coalesce("last_message_us", "stopped_us").alias("ended_us"),
+        F.struct("started_us", F.col("id").alias("run_id"), "center_lat", "center_lon", "radius_nm").alias("run"),
+    )
+    open_ = F.col("ended_us").isNull()
+    dated = own.where(open_ | (F.col("ended_us") >= F.col("began"))).select("*", days(F.col("began"), F.when(open_, F.col("run.started_us")).otherwise(F.col("ended_us"))).alias("day"))
+    last = own.where(open_).groupBy("run_region", _day(F.col("run.started_us")).alias("day")).agg(F.max("run").alias("run"))
+    later = last.groupBy(F.col("run_region").alias("later_region")).agg(F.array_sort(F.collect_list(F.struct("day", "run"))).alias("later"))
+    placed = rows.withColumn("_day", _day(F.col("us")))
     on = (
-        F.col("region").eqNullSafe(F.col("run_region"))
-        & (F.col("us") >= F.col("started_us") - s.max_position_age_seconds * 1_000_000)
-        & (F.col("ended_us").isNull() | (F.col("us") <= F.col("ended_us")))
+        F.col("region").eqNullSafe(F.col("run_region")) & (F.col("_day") == F.col("day"))
+        & (F.col("us") >= F.col("began")) & (F.col("ended_us").isNull() | (F.col("us") <= F.col("ended_us")))
+    )
+    row = F.struct(*rows.columns)
+    met = placed.select("_day", row.alias("row"), *rows.columns).join(dated, on, "left").groupBy("id").agg(F.any_value("row").alias("row"), F.any_value("_day").alias("_day"), F.max("run").alias("run"))
+    met = met.join(later, F.col("row.region").eqNullSafe(F.col("later_region")), "left")
+    past = F.array_max(F.transform(F.filter("later", lambda x: x["day"] < F.col("_day")), lambda x: x["run"]))
+    found = met.select("row.*", F.array_max(F.array_compact(F.array("run", past))).alias("run"))
+    return found.select(
+        *rows.columns,
+        F.coalesce("run.center_lat", F.lit(s.center_lat)).alias("c_lat"),
+        F.coalesce("run.center_lon", F.lit(s.center_lon)).alias("c_lon"),
+        F.coalesce("run.radius_nm", F.lit(s.radius_nm)).alias("c_radius"),
+        F.coalesce(F.concat(F.lit("collector-run:"), F.col("run.run_id")), F.lit("config-fallback")).alias("c_source"),
     )
-    run = F.struct("run_id", "center_lat", "center_lon", "radius_nm")
-    found = rows.join(ledger(own), on).groupBy("id").agg(F.max_by(run, F.struct("started_us", "run_id")).alias("run"))
-    return rows.join(found, "id", "left").withColumns(
-        {
-            "c_lat": F.coalesce("run.center_lat", F.lit(s.center_lat)),
-            "c_lon": F.coalesce("run.center_lon", F.lit(s.center_lon)),
-            "c_radius": F.coalesce("run.radius_nm", F.lit(s.radius_nm)),
-            "c_source": F.coalesce(F.concat(F.lit("collector-run:"), F.col("run.run_id")), F.lit("config-fallback")),
-        }
-    ).drop("run")
 
 
 def could_have_left(lat: Column, lon: Column, gs_kt: Column, gap_minutes: Column, c_lat: Column, c_lon: Column, c_radius: Column) -> Column:
@@ -52,11 +66,21 @@ def could_have_left(lat: Column, lon: Column, gs_kt: Column, gap_minutes: Column
     return F.coalesce((gs_kt > 0) & (off <= c_radius) & (gap_minutes >= 2 * (c_radius - off) / gs_kt * 60.0), F.lit(False))
 
 
-def without_outage(silences: DataFrame, outages: DataFrame) -> DataFrame:
-    """Silences (start_us, end_us) that no outage of any region touches; an open outage has no end."""
-    own = outages.select(F.col("opened_us").alias("_o"), F.col("closed_us").alias("_c"))
-    hit = (F.col("_o") <= F.col("end_us")) & (F.col("_c").isNull() | (F.col("start_us") <= F.col("_c")))
-    return silences.join(ledger(own), hit, "left_anti")
+def without_outage(silences: DataFrame, outages: DataFrame, applies: Column | None = None) -> DataFrame:
+    """Silences (start_us, end_us, and a unique id) that no outage of any region touches; an open outage has no end.
+
+    Ended outages meet silences by the days both touch. Of the open ones the first decides, a single number.
+    Rows to which it doesn't apply are kept.
+    """
+    applies = F.lit(True) if applies is None else applies
+    first_open = outages.where(F.col("closed_us").isNull()).agg(F.min("opened_us").alias("first")).scalar()
+    ended = outages.where(F.col("closed_us") >= F.col("opened_us")).select(F.col("opened_us").alias("_o"), F.col("closed_us").alias("_c"), days(F.col("opened_us"), F.col("closed_us")).alias("_day"))
+    row = F.struct(*silences.columns).alias("row")
+    span = F.when(applies, F.sequence(_day(F.col("start_us")), _day(F.col("end_us")))).otherwise(F.array(F.lit(None).cast("long")))
+    placed = silences.where(~applies | F.coalesce(F.col("end_us") < first_open, F.lit(True))).select(row, "id", "start_us", "end_us", F.explode(span).alias("day"))
+    hit = (F.col("day") == F.col("_day")) & (F.col("_o") <= F.col("end_us")) & (F.col("start_us") <= F.col("_c"))
+    met = placed.join(ended, hit, "left").groupBy("id").agg(F.any_value("row").alias("row"), F.count("_o").alias("hits"))
+    return met.where("hits = 0").select("row.*")
 
 
 def silences(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None = None) -> DataFrame:
@@ -81,7 +105,10 @@ def silences(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None
 def detect(positions: DataFrame, runs: DataFrame, outages: DataFrame, s: Settings = DEFAULTS, since_us: int | None = None) -> DataFrame:
     held = boundary(without_outage(silences(positions, s, since_us), outages), runs, s)
     left = could_have_left(F.col("p_lat"), F.col("p_lon"), F.col("gs_kt"), F.col("gap_minutes"), F.col("c_lat"), F.col("c_lon"), F.col("c_radius"))
-    kept = held.where(~left)
+    return described(held.where(~left), gap_spec(s))
+
+
+def gap_spec(s: Settings = DEFAULTS) -> Spec:
     evidence = [
         F.bround("gap_minutes", 1).alias("gap_minutes"),
         F.bround("km", 1).alias("displacement_km"),
@@ -94,10 +121,10 @@ def detect(positions: DataFrame, runs: DataFrame, outages: DataFrame, s: Setting
         F.col("km").alias("exact_km"),
         F.lit("a silence may be benign loss of coverage").alias("caveat"),
     ]
-    return incidents(
-        kept, "gap", "AT-DARK-AIRCRAFT", "dark aircraft (transponder gap)", evidence,
+    columns = dict(
         incident_id=F.concat_ws(":", F.lit("gap"), "icao24", iso(F.col("start_ts"))),
         score=F.least(F.lit(1.0), 0.4 + 0.3 * F.col("gap_minutes") / 30.0 + 0.3 * F.col("km") / 300.0),
         reliability=F.when(F.col("gap_minutes") < 30, "D").otherwise("C"),
         start_us=F.col("start_us"), end_us=F.col("end_us"), lat=(F.col("p_lat") + F.col("n_lat")) / 2, lon=(F.col("p_lon") + F.col("n_lon")) / 2,
     )
+    return Spec("gap", "AT-DARK-AIRCRAFT", "dark aircraft (transponder gap)", evidence, columns)

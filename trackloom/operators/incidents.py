@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +16,58 @@ COLUMNS = [
 ]
 
 
-def incidents(rows: DataFrame, detector: str, technique: str, kind: str | Column, evidence: list[Column], **columns: Column) -> DataFrame:
-    """Rows with the incident's columns and ``evidence`` as a struct of the given columns.
+@dataclass(frozen=True)
+class Spec:
+    """How a detector's rows become incidents: its evidence, and further columns (of ``COLUMNS``) as expressions of the rows."""
 
-    The severity is of the score as it is, the stored score is cut to [0, 1]; the zone is that of the place.
-    """
-    have = {
+    detector: str
+    technique: str
+    kind: str | Column
+    evidence: list[Column]
+    columns: dict[str, Column]
+
+
+def _own(rows: DataFrame, spec: Spec) -> dict[str, Column]:
+    return {
         "track_id": F.lit(None).cast("string"),
         "affected_count": F.lit(None).cast("long"),
         "icao24": F.lit(None).cast("string") if "icao24" not in rows.columns else F.col("icao24"),
         "region": F.lit(None).cast("string") if "region" not in rows.columns else F.col("region"),
-    } | columns
-    out = rows.select(*[c.alias(n) for n, c in have.items()], F.struct(*evidence).alias("evidence"))
-    return out.withColumns(
-        {
-            "detector": F.lit(detector),
-            "incident_type": F.lit(kind) if isinstance(kind, str) else F.concat(F.lit("emergency squawk "), F.col("evidence.squawk")),
-            "severity": severity(F.col("score")),
-            "zone_id": zone_for(F.col("lat"), F.col("lon")),
-            "techniques": F.array(F.lit(technique)),
-        }
-    ).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).select(*COLUMNS)
+        "incident_type": F.lit(spec.kind) if isinstance(spec.kind, str) else spec.kind,
+    } | spec.columns
+
+
+def _finished(out: DataFrame) -> DataFrame:
+    out = out.withColumns({"severity": severity(F.col("score")), "zone_id": zone_for(F.col("lat"), F.col("lon"))})
+    return out.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).select(*COLUMNS)
+
+
+def incidents(rows: DataFrame, detector: str, technique: str, kind: str | Column, evidence: list[Column], **columns: Column) -> DataFrame:
+    """Rows with the incident's columns and ``evidence`` as a struct of the given columns.
+
+    The severity is of the score as it is, the stored score is cut to [0, 1]; the zone is that of the place.
+    """
+    return described(rows, Spec(detector, technique, kind, evidence, columns))
+
+
+def described(rows: DataFrame, spec: Spec) -> DataFrame:
+    out = rows.select(*[c.alias(n) for n, c in _own(rows, spec).items()], F.struct(*spec.evidence).alias("evidence"))
+    return _finished(out.withColumns({"detector": F.lit(spec.detector), "techniques": F.array(F.lit(spec.technique))}))
+
+
+def described_by(rows: DataFrame, kind: Column, specs: list[Spec]) -> DataFrame:
+    """Rows of several detectors, told apart by ``kind``, in one pass; ``evidence`` is JSON text."""
+
+    def pick(values: list[Column]) -> Column:
+        out = None
+        for spec, v in zip(specs, values, strict=True):
+            out = F.when(kind == spec.detector, v) if out is None else out.when(kind == spec.detector, v)
+        return out
+
+    own = [_own(rows, spec) for spec in specs]
+    columns = {n: pick([o[n] for o in own]) for n in own[0]}
+    columns |= {"evidence": pick([F.to_json(F.struct(*spec.evidence)) for spec in specs]), "techniques": F.array(pick([F.lit(spec.technique) for spec in specs])), "detector": kind}
+    return _finished(rows.select(*[c.alias(n) for n, c in columns.items()]))
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..settings import DEFAULTS, Settings
 
 SECOND = 1_000_000
+DAY_US = 86_400 * SECOND
 #: What makes two reports the same: aircraft, second, source and region.
 KEY = ["icao24", "second", "source", "region"]
 
@@ -57,9 +58,16 @@ def retained(positions: DataFrame, now_us: int, days: float, floor_us: int | Non
 
 
 def outages_of_beats(beats: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Outages from poll outcomes (region, us, ok): the third failure in a row opens one, the next success closes it."""
-    w = W.partitionBy("region").orderBy("us")
-    run = beats.withColumn("run", F.sum(F.col("ok").cast("int")).over(w))
+    """Outages from poll outcomes (region, us, ok): the third failure in a row opens one, the next success closes it.
+
+    Successes number the runs of failures. They are added up per region and day, then over the days, so that
+    no task holds more than a day of a region, or one run.
+    """
+    dated = beats.select("region", "us", "ok", F.floor(F.col("us") / DAY_US).alias("day"))
+    sums = dated.groupBy("region", "day").agg(F.sum(F.col("ok").cast("int")).alias("oks"))
+    before = F.coalesce(F.sum("oks").over(W.partitionBy("region").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum(F.col("ok").cast("int")).over(W.partitionBy("region", "day").orderBy("us"))
+    run = dated.join(sums.select("region", "day", before.alias("before")), ["region", "day"]).withColumn("run", F.col("before") + own)
     failed = run.where(~F.col("ok")).withColumn("nth", F.row_number().over(W.partitionBy("region", "run").orderBy("us")))
     opened = failed.where(F.col("nth") == s.outage_failures).select("region", "run", F.col("us").alias("opened_us"))
     closed = run.where(F.col("ok")).groupBy("region", (F.col("run") - 1).alias("run")).agg(F.min("us").alias("closed_us"))
@@ -92,3 +100,23 @@ def health(positions: DataFrame, outages: DataFrame) -> DataFrame:
     )
     hours = (F.col("last_us") - F.col("first_us")) / 3.6e9
     return out.withColumn("reports_per_hour", F.when(hours > 0, F.col("positions") / hours))
+
+
+def run_rows(batch: DataFrame, run_id: int, region: str | None, started_us: int) -> DataFrame:
+    """A ledger row for what a run has collected so far: one row a batch, the newest of a run counts."""
+    return batch.agg(F.max("us").alias("last_message_us"), F.count(F.lit(1)).alias("report_count")).select(
+        F.lit(run_id).cast("long").alias("id"), F.lit(started_us).cast("long").alias("started_us"), "last_message_us", F.lit(region).cast("string").alias("region"), "report_count"
+    )
+
+
+def runs_of(ledger: DataFrame) -> DataFrame:
+    """One row a run: its last message and all its reports."""
+    return ledger.groupBy("id", "started_us", "region").agg(F.max("last_message_us").alias("last_message_us"), F.sum("report_count").alias("report_count"))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files a table is read from."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)

@@ -49,9 +49,14 @@ def levels(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     left = rows.withColumn("_level", F.lit(None).cast("int"))
     for lv in range(top + 1):
         names = [f"_i{lv}", f"_j{lv}"]
-        left = left.withColumns(dict(zip(names, keys[lv], strict=True)))
-        here = W.partitionBy("_ti", "_tj", "bucket", *names)
-        known = F.size(F.collect_set(F.when(F.col("_level").isNull(), F.col("icao24"))).over(here))
+        left = left.withColumns(dict(zip(names, keys[lv], strict=True)) | {"_pool": F.col("_level").isNull()})
+        here = W.partitionBy("_ti", "_tj", "bucket", *names, "_pool")
+        if lv:
+            # Distinct aircraft: the highest of their ranks.
+            known = F.max("_rank").over(here)
+            left = left.withColumn("_rank", F.dense_rank().over(here.orderBy("icao24")))
+        else:
+            known = F.count(F.lit(1)).over(here)  # a row is an aircraft
         left = left.withColumn("_level", F.coalesce("_level", F.when(known >= s.min_aircraft, F.lit(lv))))
     level = F.coalesce("_level", F.lit(0))
     at = lambda c: reduce(lambda a, lv: a.when(level == lv, F.col(f"_{c}{lv}")), range(1, top + 1), F.when(level == 0, F.col(f"_{c}0")))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
@@ -58,50 +56,58 @@ def descriptor(points: np.ndarray) -> np.ndarray:
     return np.column_stack([north, east, np.hypot(north, east), np.arctan2(np.sin(turn), np.cos(turn)), np.diff(alt)])
 
 
-def _per_track(positions: DataFrame, s: Settings) -> DataFrame:
-    rows = segments(positions, s)
-    point = F.struct(F.col("us"), F.col("id"), F.col("ts"), F.col("lat"), F.col("lon"), (F.coalesce("alt_baro_ft", F.lit(0.0)) / 1000.0).alias("alt"))
-    # A track is one flight of one aircraft, so its points fit a row.
-    per = rows.groupBy("icao24", "island").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    per = per.where(F.size("points") >= s.track_min_points)
-    return per.select(
-        F.concat_ws(":", "icao24", iso(F.get("points", F.lit(0))["ts"])).alias("track_id"),
-        "icao24",
-        F.transform("points", lambda p: p["us"]).alias("us"),
-        F.transform("points", lambda p: p["lat"]).alias("lat"),
-        F.transform("points", lambda p: p["lon"]).alias("lon"),
-        F.transform("points", lambda p: p["alt"]).alias("alt"),
-    )
-
-
 def resample(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """track_id, k, lat, lon, alt_kft on a grid of equal times."""
-    n = s.track_resample_points
+    """track_id, icao24, point_count, k, lat, lon, alt_kft on a grid of equal times, and the track's ends (start_us, end_us, end_lat, end_lon).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples():
-                g = resampled((r.us - r.us[0]) / 1e6, r.lat, r.lon, r.alt, n)
-                yield pd.DataFrame({"track_id": r.track_id, "k": np.arange(n), "lat": g[:, 1], "lon": g[:, 2], "alt_kft": g[:, 3]})
-
-    return _per_track(positions, s).mapInPandas(run, "track_id string, k long, lat double, lon double, alt_kft double")
+    Every report covers the grid's places up to the next report, where values are linear between the two, so a row is
+    made from a row and its successor.
+    """
+    n = s.track_resample_points
+    w = order("icao24", "island")
+    whole = W.partitionBy("icao24", "island")
+    rows = segments(positions, s).select("icao24", "island", "us", "id", "ts", "lat", "lon", (F.coalesce("alt_baro_ft", F.lit(0.0)) / 1000.0).alias("alt"))
+    ends = {
+        "point_count": F.count(F.lit(1)).over(whole), "start_us": F.min("us").over(whole), "end_us": F.max("us").over(whole),
+        "start_ts": F.min_by("ts", F.struct("us", "id")).over(whole), "last": F.max_by(F.struct("lat", "lon"), F.struct("us", "id")).over(whole),
+        "next": F.lead(F.struct("us", "lat", "lon", "alt")).over(w), "after": F.lead("us", 2).over(w),
+    }
+    rows = rows.withColumns(ends).where(F.col("point_count") >= s.track_min_points)
+    span = (F.col("end_us") - F.col("start_us")) / 1e6
+    seconds = lambda us: (us - F.col("start_us")) / 1e6
+    place = lambda us: F.when(span > 0, F.ceil(seconds(us) / span * (n - 1))).otherwise(F.lit(0)).cast("int")
+    # The last pair has the grid's last place too; a track without duration has all of its places there.
+    upto = F.when(F.col("after").isNull(), F.lit(n - 1)).otherwise(place(F.col("next.us")) - 1)
+    low = F.when((span <= 0) & F.col("after").isNull(), F.lit(0)).otherwise(place(F.col("us")))
+    rows = rows.where(F.col("next").isNotNull()).withColumn("upto", upto).withColumn("low", low).where("low <= upto")
+    rows = rows.withColumn("k", F.explode(F.sequence("low", "upto")))
+    t, t0, t1 = span * F.col("k") / (n - 1), seconds(F.col("us")), seconds(F.col("next.us"))
+    at = lambda c: F.when(t1 > t0, F.col(c) + (F.col(f"next.{c}") - F.col(c)) * (t - t0) / (t1 - t0)).otherwise(F.col(f"next.{c}"))
+    return rows.select(
+        F.concat_ws(":", "icao24", iso(F.col("start_ts"))).alias("track_id"), "icao24", "point_count", F.col("k").cast("long").alias("k"), at("lat").alias("lat"), at("lon").alias("lon"), at("alt").alias("alt_kft"),
+        "start_us", "end_us", F.col("last.lat").alias("end_lat"), F.col("last.lon").alias("end_lon"),
+    )
 
 
 def sequences(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """track_id, icao24, point_count, end_us, end_lat, end_lon, sequence, features (the sequence, flattened)."""
-    n = s.track_resample_points
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                q = descriptor(resampled((r.us - r.us[0]) / 1e6, r.lat, r.lon, r.alt, n))
-                rows.append((r.track_id, r.icao24, len(r.us), int(r.us[0]), int(r.us[-1]), float(r.lat[-1]), float(r.lon[-1]), q.tolist(), q.ravel().tolist()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["track_id", "icao24", "point_count", "start_us", "end_us", "end_lat", "end_lon", "sequence", "features"])
-
-    kind = "track_id string, icao24 string, point_count long, start_us long, end_us long, end_lat double, end_lon double, sequence array<array<double>>, features array<double>"
-    return _per_track(positions, s).mapInPandas(run, kind)
+    """track_id, icao24, point_count, start_us, end_us, end_lat, end_lon, sequence, features (the sequence, flattened): what ``descriptor`` says, a fixed number of steps a track."""
+    keys = ["track_id", "icao24", "point_count", "start_us", "end_us", "end_lat", "end_lon"]
+    per = resample(positions, s).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "lat", "lon", "alt_kft"))).alias("p"))
+    steps = F.sequence(F.lit(0), F.size("p") - 2)
+
+    def step(i: Column) -> Column:
+        a, b = F.get("p", i), F.get("p", i + 1)
+        north = (b["lat"] - a["lat"]) * 111.0
+        east = (b["lon"] - a["lon"]) * 111.0 * F.cos(F.radians((a["lat"] + b["lat"]) / 2))
+        return F.struct(north.alias("north"), east.alias("east"), F.atan2(east, north).alias("heading"), (b["alt_kft"] - a["alt_kft"]).alias("climb"))
+
+    def shown(i: Column) -> Column:
+        d, before = F.get("d", i), F.get("d", F.greatest(i - 1, F.lit(0)))
+        turn = d["heading"] - before["heading"]
+        return F.array(d["north"], d["east"], F.hypot(d["north"], d["east"]), F.atan2(F.sin(turn), F.cos(turn)), d["climb"])
+
+    moved = per.select(*keys, F.transform(steps, step).alias("d"))
+    out = moved.select(*keys, F.transform(F.sequence(F.lit(0), F.size("d") - 1), shown).alias("sequence"))
+    return out.withColumn("features", F.flatten("sequence"))
 
 
 def geometry(tracks_: DataFrame, positions: DataFrame) -> DataFrame:

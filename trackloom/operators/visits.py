@@ -9,7 +9,7 @@ from ..functions.geo import haversine_km, implied_speed_kt
 from ..functions.timefn import iso
 from ..settings import DEFAULTS, MINUTE_US, Settings
 from ..zones import zones_at
-from .incidents import incidents
+from .incidents import Spec, described
 from .sequences import first_by, islands, last_by, pairs
 
 
@@ -52,6 +52,10 @@ def incursions(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | Non
     level = visits(positions, s).where(F.col("median_rate").isNull() | (F.col("median_rate") < s.incursion_max_rate_fpm))
     if since_us is not None:
         level = level.where(F.col("end_us") >= since_us)
+    return described(level, incursion_spec(s))
+
+
+def incursion_spec(s: Settings = DEFAULTS) -> Spec:
     evidence = [
         F.col("zone").alias("zone_id"),
         F.col("samples").alias("samples_in_visit"),
@@ -62,12 +66,12 @@ def incursions(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | Non
         F.lit(s.incursion_max_alt_ft).alias("altitude_floor_ft"),
         F.lit("low flight in a watch box may be routine").alias("caveat"),
     ]
-    return incidents(
-        level, "incursion", "AT-ZONE-INCURSION", "low-level watch-box incursion", evidence,
+    columns = dict(
         incident_id=F.concat_ws(":", F.lit("incursion"), "icao24", "zone", iso(F.col("start_ts"))),
         score=F.least(F.lit(1.0), 0.5 + 0.02 * F.col("dwell_minutes")),
         reliability=F.lit("C"), start_us=F.col("start_us"), end_us=F.col("end_us"), lat=F.col("lat"), lon=F.col("lon"),
     )
+    return Spec("incursion", "AT-ZONE-INCURSION", "low-level watch-box incursion", evidence, columns)
 
 
 def squawk_runs(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -95,6 +99,10 @@ def squawks(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
     runs = squawk_runs(positions, s).where(F.col("samples") >= s.squawk_min_samples)
     if since_us is not None:
         runs = runs.where(F.col("end_us") >= since_us)
+    return described(runs, squawk_spec(s))
+
+
+def squawk_spec(s: Settings = DEFAULTS) -> Spec:
     means = F.create_map(*[F.lit(x) for kv in MEANING.items() for x in kv])
     evidence = [
         F.col("squawk"),
@@ -103,11 +111,11 @@ def squawks(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
         ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_seconds"),
         F.lit("self-reported; miscoding is possible").alias("caveat"),
     ]
-    return incidents(
-        runs, "squawk", "AT-EMERGENCY-SQUAWK", F.lit(None), evidence,
+    columns = dict(
         incident_id=F.concat_ws(":", F.lit("squawk"), "icao24", "squawk", iso(F.col("start_ts"))),
         score=F.lit(0.55), reliability=F.lit("C"), start_us=F.col("start_us"), end_us=F.col("end_us"), lat=F.col("lat"), lon=F.col("lon"),
     )
+    return Spec("squawk", "AT-EMERGENCY-SQUAWK", F.concat(F.lit("emergency squawk "), F.col("squawk")), evidence, columns)
 
 
 def speed_steps(positions: DataFrame, since_us: int | None = None) -> DataFrame:
@@ -134,6 +142,10 @@ def spoofs(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
         first_by("lon", "lon"),
         first_by("region", "region"),
     ).where(F.col("violations") >= s.spoof_min_violations)
+    return described(found, spoof_spec(s))
+
+
+def spoof_spec(s: Settings = DEFAULTS) -> Spec:
     evidence = [
         F.col("violations"),
         F.bround("max_speed", 0).alias("max_implied_speed_kt"),
@@ -141,9 +153,9 @@ def spoofs(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
         F.col("max_speed").alias("exact_max_kt"),
         F.lit("two aircraft may share an address").alias("caveat"),
     ]
-    return incidents(
-        found, "spoof", "AT-KINEMATIC-SPOOF", "kinematic impossibility / identity anomaly", evidence,
+    columns = dict(
         incident_id=F.concat_ws(":", F.lit("spoof"), "icao24", iso(F.col("start_ts"))),
         score=F.least(F.lit(1.0), 0.6 + 0.1 * F.col("violations")),
         reliability=F.lit("C"), start_us=F.col("start_us"), end_us=F.col("end_us"), lat=F.col("lat"), lon=F.col("lon"),
     )
+    return Spec("spoof", "AT-KINEMATIC-SPOOF", "kinematic impossibility / identity anomaly", evidence, columns)

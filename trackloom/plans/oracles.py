@@ -91,7 +91,7 @@ CTE = {
       list(lat ORDER BY us, id)[count(*)//2+1] AS lat, list(lon ORDER BY us, id)[count(*)//2+1] AS lon FROM lowseg GROUP BY icao24, zone, island HAVING count(*)>=3""",
     "level": "SELECT * FROM visits WHERE median_rate IS NULL OR median_rate<500",
     "entered": f"""SELECT 'incursion:'||icao24||':'||zone||':'||{ISO.format('ts0')} AS incident_id, icao24, 'incursion' AS detector, 'low-level watch-box incursion' AS incident_type,
-      least(1.0::DOUBLE, 0.5::DOUBLE+0.02::DOUBLE*dwell) AS score, 'C' AS reliability, start_us, end_us, lat, lon, CAST(NULL AS BIGINT) AS affected_count, 'AT-ZONE-INCURSION' AS technique, region FROM level""",
+      least(1.0::DOUBLE, 0.5::DOUBLE+0.02::DOUBLE*dwell) AS score, 'C' AS reliability, start_us, end_us, lat, lon, CAST(NULL AS BIGINT) AS affected_count, 'AT-ZONE-INCURSION' AS technique, region, dwell FROM level""",
     "sqcut": """SELECT *, CASE WHEN us-lag(us) OVER w>900000000 OR squawk<>lag(squawk) OVER w THEN 1 ELSE 0 END AS fresh FROM positions WHERE squawk IS NOT NULL WINDOW w AS (PARTITION BY icao24 ORDER BY us, id)""",
     "sqseg": "SELECT *, sum(fresh) OVER (PARTITION BY icao24 ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM sqcut",
     "squawked": f"""SELECT 'squawk:'||icao24||':'||min(squawk)||':'||{ISO.format('arg_min(ts,us)')} AS incident_id, icao24, 'squawk' AS detector, 'emergency squawk '||min(squawk) AS incident_type, 0.55::DOUBLE AS score,
@@ -172,6 +172,9 @@ QUERY: dict[str, str] = {
     "zone_kind_semi": "SELECT DISTINCT icao24 FROM positions WHERE lat>=0.50::DOUBLE AND lat<1.10::DOUBLE AND lon>=103.80::DOUBLE AND lon<104.70::DOUBLE",
     "all_incidents": f"SELECT {FLAT} FROM graded",
     "top_incidents": "SELECT incident_id, round(score,6) AS score FROM graded ORDER BY score DESC, incident_id LIMIT 20",
+    "filtered_incidents": "SELECT incident_id, round(score,6) AS score FROM graded WHERE detector='gap' AND score>=0.62 ORDER BY graded.score DESC, incident_id LIMIT 1000",
+    "grade_tones": """SELECT icao24, grade, CASE WHEN grade='B' THEN 'strong' WHEN grade='C' THEN 'fair' ELSE 'weak' END AS tone, CASE WHEN n%10>=8 THEN 'alert' WHEN n%10>=6 THEN 'warn' ELSE 'calm' END AS risk_tone FROM
+      (SELECT icao24, n, CASE WHEN high AND n//7>=8 THEN 'B' WHEN n//7>=8 OR (high AND n//7>=4) THEN 'C' WHEN n//7>=4 OR (high AND n//7>=2) THEN 'D' ELSE 'E' END AS grade FROM (SELECT icao24, count(*) AS n, coalesce(max(alt)>=33000,false) AS high FROM positions GROUP BY 1))""",
     "air_picture_aircraft": """SELECT icao24, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques, min(reliability) AS reliability,
       string_agg(incident_id, ',' ORDER BY incident_id) AS incidents, min(start_us) AS start_us, bool_or(sens) AS in_sensitive,
       round(least(1.0::DOUBLE, max(score)+0.15::DOUBLE*(count(DISTINCT detector)-1)+(CASE WHEN bool_or(sens) THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)),3) AS risk FROM sensitive WHERE icao24 IS NOT NULL GROUP BY 1""",
@@ -179,9 +182,15 @@ QUERY: dict[str, str] = {
     "stats_by_detector": "SELECT d AS detector, (SELECT count(*) FROM incidents i WHERE i.detector=d) AS incidents FROM (VALUES ('jamming'),('gap'),('incursion'),('spoof'),('squawk'),('anomaly')) v(d)",
     "stats_counts": "SELECT (SELECT count(DISTINCT icao24) FROM positions) AS aircraft, (SELECT count(*) FROM positions) AS positions, (SELECT count(*) FROM tracks) AS tracks, (SELECT count(*) FROM incidents) AS incidents, (SELECT max(us) FROM positions) AS newest_us",
     "evidence_feed": """SELECT incident_id AS doc_id, reliability, CASE WHEN score>=0.85 THEN 2 WHEN score>=0.65 THEN 3 WHEN score>=0.45 THEN 4 WHEN score>=0.25 THEN 5 ELSE 6 END AS credibility,
-      CASE detector WHEN 'jamming' THEN 'GNSS interference' WHEN 'gap' THEN 'Dark aircraft (transponder gap)' WHEN 'incursion' THEN 'Low-level watch-box incursion' WHEN 'spoof' THEN 'Kinematic impossibility / identity anomaly' ELSE incident_type END
-      || ' - ' || coalesce('aircraft '||icao24, z.name, 'area') AS title, '/incidents/'||incident_id AS url, z.name AS zone, start_us AS published_us, round(score,6) AS score
-      FROM graded LEFT JOIN (VALUES """
+      phrase || ' - ' || coalesce('aircraft '||icao24, z.name, 'area') AS title, 'air domain awareness' AS source, 'geoint-air' AS kind, detector, icao24,
+      phrase || ': ' || coalesce('aircraft '||icao24, 'area-level signal') || coalesce(' in the '||z.name, '') || coalesce(detail, '') || '. Human-review decision support, not a verdict.' || CASE WHEN detector='gap' THEN ' A gap may be benign coverage loss.' ELSE '' END AS summary,
+      '/incidents/'||incident_id AS url, z.name AS zone, start_us AS published_us, round(lat,6) AS lat, round(lon,6) AS lon, affected_count, technique, region, round(score,6) AS score
+      FROM (SELECT *, CASE detector WHEN 'jamming' THEN 'GNSS interference' WHEN 'gap' THEN 'Dark aircraft (transponder gap)' WHEN 'incursion' THEN 'Low-level watch-box incursion' WHEN 'spoof' THEN 'Kinematic impossibility / identity anomaly' ELSE incident_type END AS phrase FROM graded) graded
+      LEFT JOIN (SELECT incident_id AS did, ' — '||degraded||'/'||n||' aircraft degraded (worst-NIC cluster)' AS detail FROM jammed
+        UNION ALL SELECT incident_id, ' — silent '||round_even(gap_minutes,1)||' min at altitude, reappearing '||round_even(km,1)||' km displaced' FROM gapped
+        UNION ALL SELECT incident_id, ' — dwelling '||round_even(dwell,1)||' min below the altitude floor' FROM entered
+        UNION ALL SELECT incident_id, ' — implied speed '||round_even(max_speed,0)||' kt (impossible)' FROM spoofed) details ON did=incident_id
+      LEFT JOIN (VALUES """
     + ",".join(f"('{z.zone_id}','{z.name}')" for z in REGISTRY)
     + """) z(zid,name) ON z.zid=zone_id ORDER BY graded.score DESC, incident_id LIMIT 100""",
     "latest_before": f"SELECT icao24, id, us FROM (SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY us DESC, id DESC) AS rn FROM positions WHERE us<{EPOCH_US + 1_800_000_000}) WHERE rn=1",
@@ -193,7 +202,7 @@ QUERY: dict[str, str] = {
     "incursion_incremental": f"SELECT incident_id FROM entered WHERE end_us>={EPOCH_US + 3_000_000_000}",
     "squawk_incremental": f"SELECT incident_id, samples FROM squawked WHERE end_us>={EPOCH_US + 800_000_000}",
     "track_geometry": "SELECT t.track_id, count(*) AS points, round(sum(p.lat),5) AS sum_lat, round(sum(p.lon),5) AS sum_lon, min(p.us) AS first_us, max(p.us) AS last_us FROM tracks t JOIN positions p ON p.icao24=t.icao24 AND p.us BETWEEN t.start_us AND t.end_us AND (t.region IS NULL OR p.region=t.region) GROUP BY 1",
-    "integrity_series": "SELECT icao24, count(*) AS points, count(nic) AS known, string_agg(coalesce(CAST(nic AS VARCHAR),'-'), ' ' ORDER BY us, id) AS nics FROM positions GROUP BY 1",
+    "integrity_series": "SELECT icao24, us - us%86400000000 AS day_us, count(*) AS points, count(nic) AS known, string_agg(coalesce(CAST(nic AS VARCHAR),'-'), ' ' ORDER BY us, id) AS nics FROM positions GROUP BY 1, 2",
     "integrity_runs": """WITH k AS (SELECT *, CASE WHEN (nic IS NULL) <> lag(nic IS NULL) OVER w THEN 1 ELSE 0 END AS fresh FROM positions WINDOW w AS (PARTITION BY icao24 ORDER BY us, id)),
       g AS (SELECT *, sum(fresh) OVER (PARTITION BY icao24 ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM k)
       SELECT icao24, count(*) AS points, min(us) AS start_us, max(us) AS end_us, min(nic) AS min_nic FROM g WHERE nic IS NOT NULL GROUP BY icao24, island""",
@@ -215,7 +224,18 @@ QUERY: dict[str, str] = {
     "clock_hour_profile": """SELECT (hour_us//3600000000+8)%24 AS local_hour, count(*) AS samples, round(avg(reports),6) AS reports_mean, round(stddev_pop(reports),6) AS reports_spread, round(avg(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_mean,
       round(stddev_pop(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_spread FROM (SELECT epoch_us(ts)-epoch_us(ts)%3600000000 AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cell_windows, count(*) FILTER (event_type='purchase') AS unscoreable FROM events GROUP BY 1)
       WHERE cell_windows>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1""",
-    "missing_clock_hours": """SELECT h AS local_hour FROM range(24) r(h) WHERE h NOT IN (SELECT (epoch_us(ts)//3600000000+8)%24 FROM events WHERE event_type='purchase' AND user_id%7=0)""",
+    "missing_clock_hours": """SELECT h AS local_hour FROM range(24) r(h) WHERE h NOT IN (SELECT (epoch_us(ts)//3600000000+8)%24 FROM events)""",
+    "missing_report_hours": """SELECT h AS local_hour FROM range(24) r(h) WHERE h NOT IN (SELECT (us//3600000000+8)%24 FROM positions)""",
+    "busiest_hours": """WITH h AS (SELECT (epoch_us(ts)-epoch_us(ts)%3600000000) AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cells FROM events GROUP BY 1),
+      m AS (SELECT (hour_us//3600000000+8)%24 AS local_hour, avg(reports) AS mean FROM h WHERE cells>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1)
+      SELECT (SELECT local_hour FROM m ORDER BY mean DESC, local_hour LIMIT 1) AS busiest, (SELECT local_hour FROM m ORDER BY mean, local_hour LIMIT 1) AS quietest""",
+    "hourly_table": """SELECT hour_us, reports, aircraft, coalesce(cell_windows,0) AS cell_windows, coalesce(unscoreable,0) AS unscoreable, """
+    + ", ".join(f"coalesce({d},0) AS {d}" for d in ("jamming", "gap", "incursion", "spoof", "squawk"))
+    + f""", round(coalesce(minutes,0),6) AS outage_minutes FROM hours
+      LEFT JOIN (SELECT bucket*600000000 - (bucket*600000000)%3600000000 AS hour_us, count(*) AS cell_windows FROM (SELECT DISTINCT fi,fj,bucket FROM integ) GROUP BY 1) c USING (hour_us)
+      LEFT JOIN (SELECT bucket*600000000 - (bucket*600000000)%3600000000 AS hour_us, count(*) FILTER (NOT scoreable) AS unscoreable FROM cells GROUP BY 1) l USING (hour_us)
+      LEFT JOIN (SELECT start_us - start_us%3600000000 AS hour_us, {", ".join(f"count(*) FILTER (detector='{d}') AS {d}" for d in ("jamming", "gap", "incursion", "spoof", "squawk"))} FROM incidents GROUP BY 1) i USING (hour_us)
+      LEFT JOIN (SELECT s - s%3600000000 AS hour_us, sum((e-s)/60000000.0::DOUBLE) AS minutes FROM (SELECT greatest(opened_us, (SELECT min(us) FROM positions)) AS s, least(coalesce(closed_us, (SELECT max(us)+1 FROM positions)), (SELECT max(us)+1 FROM positions)) AS e FROM outages) WHERE e>s GROUP BY 1) o USING (hour_us)""",
     "merge_intervals": """WITH v AS (SELECT o_custkey, epoch_us(o_orderdate::TIMESTAMP) AS s, epoch_us(o_orderdate::TIMESTAMP)+(o_orderkey%90)*86400000000 AS e FROM orders),
       m AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
       g AS (SELECT *, sum(CASE WHEN before IS NULL OR s>before THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS i FROM m)
@@ -257,6 +277,65 @@ QUERY: dict[str, str] = {
     "rate_limit": """SELECT event_id AS id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000-1 PRECEDING AND CURRENT ROW) AS in_window FROM events""",
     "zones_table": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{z.kind}',{str(z.sensitive).lower()},{z.lat[0]}::DOUBLE,{z.lon[0]}::DOUBLE,{z.lat[1]}::DOUBLE,{z.lon[1]}::DOUBLE)" for z in REGISTRY) + ") v(zone_id,kind,sensitive,min_lat,min_lon,max_lat,max_lon)",
 }
+def _number(x: float) -> str:
+    return repr(float(x))
+
+
+def _feature(z) -> str:
+    ring = [*z.ring, z.ring[0]]
+    at = ",".join(f"[{_number(b)},{_number(a)}]" for a, b in ring)
+    country = "" if z.country is None else f'"country":"{z.country}",'
+    return (
+        f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[{at}]]}},"properties":{{"zone_id":"{z.zone_id}","name":"{z.name}","kind":"{z.kind}",{country}"sensitive":{str(z.sensitive).lower()}}}}}'
+    )
+
+
+def _crossed(a: tuple[float, float], b: tuple[float, float]) -> str:
+    return f"(({b[1]}::DOUBLE-{a[1]}::DOUBLE)*(lat-{a[0]}::DOUBLE)-({b[0]}::DOUBLE-{a[0]}::DOUBLE)*(lon-{a[1]}::DOUBLE)>0)"
+
+
+RING = [(0.55, 102.95), (2.05, 103.77), (0.57, 104.61)]
+_SIDES = [_crossed(a, b) for a, b in zip(RING, RING[1:] + RING[:1], strict=True)]
+_AT = "epoch_us(ts)//1000000"
+
+CTE |= {
+    "spans": "SELECT icao24, island, count(*) AS n, min(us) AS s, max(us) AS e, arg_min(ts,us) AS ts0 FROM seg GROUP BY ALL HAVING count(*)>=10",
+    "knots": """SELECT * FROM (SELECT seg.icao24, seg.island, (us-s)/1000000.0::DOUBLE AS t, lat, lon, coalesce(alt,0)/1000.0::DOUBLE AS alt, (lead(us) OVER w - s)/1000000.0::DOUBLE AS nt, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, lead(coalesce(alt,0)/1000.0::DOUBLE) OVER w AS nalt
+      FROM seg JOIN spans ON spans.icao24=seg.icao24 AND spans.island=seg.island WINDOW w AS (PARTITION BY seg.icao24, seg.island ORDER BY us, id)) WHERE nt IS NULL OR nt>t""",
+    "grid": "SELECT icao24, island, n, ts0, k, ((e-s)/1000000.0::DOUBLE)*k/63 AS g FROM spans, range(64) r(k)",
+    "resampled": f"""SELECT g.icao24||':'||{ISO.format('ts0')} AS track_id, n, k, CASE WHEN nt IS NULL THEN lat ELSE lat+(nlat-lat)*(g-t)/(nt-t) END AS lat, CASE WHEN nt IS NULL THEN lon ELSE lon+(nlon-lon)*(g-t)/(nt-t) END AS lon,
+      CASE WHEN nt IS NULL THEN alt ELSE alt+(nalt-alt)*(g-t)/(nt-t) END AS alt FROM grid g ASOF JOIN knots p ON g.icao24=p.icao24 AND g.island=p.island AND g.g>=p.t""",
+    "moved": """SELECT track_id, n, k, (lead(lat) OVER w - lat)*111.0::DOUBLE AS north, (lead(lon) OVER w - lon)*111.0::DOUBLE*cos(radians((lat+lead(lat) OVER w)/2)) AS east, lead(alt) OVER w - alt AS climb FROM resampled WINDOW w AS (PARTITION BY track_id ORDER BY k)""",
+    "turned": "SELECT *, atan2(east,north) - lag(atan2(east,north)) OVER (PARTITION BY track_id ORDER BY k) AS turn FROM moved WHERE k<63",
+}
+QUERY |= {
+    "track_resample": "SELECT track_id, k, round(lat,6) AS lat, round(lon,6) AS lon, round(alt,6) AS alt_kft FROM resampled",
+    "track_sequence": """SELECT track_id, n AS point_count, 63 AS steps, 315 AS width, round(sum(north),4) AS north_km, round(sum(east),4) AS east_km, round(sum(sqrt(north*north+east*east)),4) AS length_km,
+      round(coalesce(sum(abs(atan2(sin(turn),cos(turn)))),0),4) AS turned, round(sum(climb),4) AS climb_kft FROM turned GROUP BY 1,2""",
+    "zones_geojson": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{_feature(z)}')" for z in REGISTRY) + ") v(zone_id,feature)",
+    "parse_snapshot": """SELECT 'a'||user_id AS icao24, trunc(((epoch_us(ts)//1000)::DOUBLE/1000.0::DOUBLE-(event_id%90)::DOUBLE)*1000000.0::DOUBLE)::BIGINT AS us, CASE WHEN event_id%17>0 THEN 'F'||user_id END AS callsign, (user_id%180-90)::DOUBLE AS lat, (user_id%360-180)::DOUBLE AS lon,
+      CASE WHEN event_id%5<>0 THEN (event_id%40000)::DOUBLE END AS alt_baro_ft, CASE WHEN event_id%7<>0 THEN (event_id%500)::DOUBLE END AS gs_kt, event_id%5=0 AS on_ground, CASE event_id%3 WHEN 0 THEN 7 WHEN 1 THEN 8 END AS nic
+      FROM events WHERE event_id%11<>0 AND event_id%19<>0 AND event_id%13<>0 AND event_id%90<=60""",
+    "parse_state_vectors": f"""SELECT 'b'||user_id AS icao24, 'C'||user_id AS callsign, ({_AT}-event_id%70+3)*1000000 AS us, (user_id%180-90)::DOUBLE AS lat, (user_id%360-180)::DOUBLE AS lon, CASE WHEN event_id%9<>0 THEN round((event_id%1000)*3.280839895::DOUBLE,4) END AS alt_baro_ft,
+      round((event_id%250)*1.943844492::DOUBLE,4) AS gs_kt, round((event_id%20-10)*196.8503937::DOUBLE,4) AS baro_rate_fpm, event_id%9=0 AS on_ground, 'OS'||(event_id%8) AS category FROM events WHERE event_id%23<>0 AND event_id%70<=63""",
+    "parse_evidence": f"""SELECT 'doc'||event_id AS doc_id, 'Title '||(event_id%7) AS title, 'sea' AS source, CASE WHEN event_id%4>0 THEN 'B' ELSE 'F' END AS reliability, greatest(1,least(6,event_id%9))::INT AS credibility, 'Title '||(event_id%7) AS summary,
+      ({_AT})*1000000 - CASE WHEN event_id%3=1 THEN 28800000000 ELSE 0 END AS us, CASE WHEN event_id%2=0 THEN 'http://a/x/'||event_id END AS url, 'unknown' AS detector, (event_id%100)::DOUBLE AS lat, (event_id%200)::DOUBLE AS lon FROM events
+      WHERE event_id%29>0 AND event_id%100<=90 AND event_id%200<=180""",
+    "poll_pauses": """SELECT region, opened_us, us AS closed_us FROM (SELECT user_id%5 AS region, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id%5 ORDER BY epoch_us(ts)) AS opened_us FROM events) WHERE us-opened_us>1200000000""",
+    "phase_notes": "SELECT incident_id, CASE WHEN alt_known=0 THEN 'unknown' WHEN terminal=0 THEN 'all above' WHEN terminal=alt_known THEN 'all below' ELSE 'mixed' END AS phase FROM jammed",
+    "ring_membership": f"SELECT id FROM positions WHERE ({' AND '.join(_SIDES)}) OR NOT ({' OR '.join(_SIDES)})",
+    "jamming_incremental": f"SELECT incident_id, affected_count FROM jammed WHERE start_us>={EPOCH_US + 1_200_000_000}",
+    "refreshed_incidents": f"SELECT incident_id, region, CASE WHEN region='north' AND end_us>={EPOCH_US + 1_200_000_000} THEN round(score,6) ELSE 0.0::DOUBLE END AS score FROM incidents WHERE detector<>'jamming'",
+    "squawk_stays": "SELECT icao24, squawk, count(*) AS samples, min(us) AS start_us, max(us) AS end_us FROM sqseg GROUP BY icao24, island, squawk",
+    "track_list": "SELECT track_id, start_us FROM tracks ORDER BY start_us, track_id LIMIT 50",
+    "aircraft_list": "SELECT icao24, min(us) AS first_us, max(us) AS last_us FROM positions GROUP BY 1 ORDER BY icao24 LIMIT 100",
+    "incident_lookup": f"""SELECT incident_id, icao24, detector, round(score,6) AS score, {ISO.format('make_timestamp(start_us)')} AS ts_start, {ISO.format('make_timestamp(end_us)')} AS ts_end, zone_id AS zone FROM graded
+      WHERE incident_id=(SELECT min(incident_id) FROM incidents WHERE detector='spoof')""",
+    "track_features": "SELECT t.track_id, count(*) AS points, round(arg_min(p.lon,p.us),6) AS first_lon, round(arg_max(p.lat,p.us),6) AS last_lat FROM tracks t JOIN positions p ON p.icao24=t.icao24 AND p.us BETWEEN t.start_us AND t.end_us AND (t.region IS NULL OR p.region=t.region) GROUP BY 1",
+    "aircraft_track": f"SELECT us, {ISO.format('make_timestamp(us)')} AS ts, round(lon,6) AS lon, round(lat,6) AS lat, coalesce(alt,0.0::DOUBLE) AS alt_ft, nic, nac AS nac_p, region FROM positions WHERE icao24='a00007'",
+    "last_runs": "SELECT id, region, report_count FROM runs ORDER BY id DESC LIMIT 2",
+    "scenario_scores": "SELECT * FROM (VALUES ('gap',2::BIGINT,2::BIGINT,2::BIGINT,1.0::DOUBLE,1.0::DOUBLE),('incursion',1,1,1,1.0,1.0),('spoof',1,1,1,1.0,1.0),('squawk',1,1,1,1.0,1.0)) v(detector,tp,wanted,found,recall,precision)",
+}
 CTE["late"] = f"SELECT * FROM {values([(1, 0, 500_000_000, None, 'a'), (2, 700_000_000, 900_000_000, None, 'a'), (3, 950_000_000, None, None, 'a'), (4, 0, None, 5_000_000, None), (5, 400_000_000, None, None, None)], ['BIGINT'] * 4 + ['VARCHAR'])} r(id,started_us,last_message_us,stopped_us,region)"
 
 ORACLES = {name: with_ctes(sql) if not sql.lstrip().upper().startswith("WITH") else with_ctes(sql).replace(" WITH ", ", ", 1) for name, sql in QUERY.items()}

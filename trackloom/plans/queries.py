@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grading
-from ..functions.geo import equirect_nm
+from ..functions.geo import equirect_nm, in_ring
 from ..functions.timefn import micros
-from ..operators import anomaly, evaluation, gaps, incremental, ingest, jamming, picture, sequences, tracks, visits
+from ..operators import anomaly, evaluation, gaps, incremental, ingest, jamming, picture, sequences, serving, tracks, visits
 from ..settings import DEFAULTS, HOUR_US
-from ..sources import ledger, positions
+from ..sources import ledger, positions, scenario, snapshots
 from ..sources.positions import EPOCH_US, scan
+from ..streaming import live
 from ..zones import frame, geojson, zone_for, zones_at
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +198,21 @@ def top_incidents(spark, d):
     return picture.top(every(spark, d), 20).select("incident_id", r("score"))
 
 
+@query
+def filtered_incidents(spark, d):
+    """One detector's incidents from a score on."""
+    return picture.top(every(spark, d), 1_000, 0.62, "gap").select("incident_id", r("score"))
+
+
+@query
+def grade_tones(spark, d):
+    """Grades by number of reports and altitude, and the tones that they and risks are shown in."""
+    per = pos(spark, d).groupBy("icao24").agg(F.count(F.lit(1)).alias("n"), F.max("alt_baro_ft").alias("alt"))
+    grade = grading.reliability(F.floor(F.col("n") / 7), F.coalesce(F.col("alt") >= 33_000, F.lit(False)))
+    risk = (F.col("n") % 10) / 10
+    return per.select("icao24", grade.alias("grade"), grading.reliability_tone(grade).alias("tone"), grading.risk_tone(risk).alias("risk_tone"))
+
+
 @query
 def air_picture_aircraft(spark, d):
     joined = lambda c: F.array_join(c, ",").alias(c)
@@ -229,7 +246,9 @@ def stats_counts(spark, d):
 @query
 def evidence_feed(spark, d):
     best = picture.top(every(spark, d), 100)
-    return picture.evidence_feed(best).select("doc_id", "reliability", "credibility", "title", "url", "zone", "published_us", r("score"))
+    return picture.evidence_feed(best).select(
+        "doc_id", "reliability", "credibility", "title", "summary", "source", "kind", "detector", "icao24", "url", "zone", "published_us", r("lat"), r("lon"), "affected_count", F.array_join("techniques", ",").alias("technique"), "region", r("score")
+    )
 
 
 @query
@@ -288,7 +307,7 @@ def track_geometry(spark, d):
 def integrity_series(spark, d):
     s = picture.integrity_series(pos(spark, d))
     shown = F.array_join(F.transform("nic", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), " ")
-    return s.select("icao24", F.size("us").cast("long").alias("points"), F.size(F.array_compact("nic")).cast("long").alias("known"), shown.alias("nics"))
+    return s.select("icao24", "day_us", F.size("us").cast("long").alias("points"), F.size(F.array_compact("nic")).cast("long").alias("known"), shown.alias("nics"))
 
 
 @query
@@ -337,6 +356,13 @@ def hourly_outage(spark, d):
     return out.select("hour_us", r("outage_minutes"))
 
 
+@query
+def hourly_table(spark, d):
+    """One row an hour: everything the hourly study reports."""
+    p, runs, outages = pos(spark, d), ledger.runs(spark), ledger.outages(spark)
+    return evaluation.hourly(p, every(spark, d), runs, outages).withColumn("outage_minutes", F.round("outage_minutes", 6))
+
+
 def event_hours(spark: SparkSession, d: str) -> DataFrame:
     """Hours of the event table's own 30 days: users stand for cells, purchases for those that can't be scored."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("us", micros("ts"))
@@ -360,6 +386,18 @@ def missing_clock_hours(spark, d):
     return evaluation.missing_hours(seen)
 
 
+@query
+def missing_report_hours(spark, d):
+    """The local clock hours without a report: all but one, as the reports cover an hour."""
+    local = F.pmod(F.floor(F.col("us") / HOUR_US).cast("long") + 8, F.lit(24))
+    return evaluation.missing_hours(pos(spark, d).select(local.alias("local_hour")).distinct())
+
+
+@query
+def busiest_hours(spark, d):
+    return evaluation.busiest(evaluation.clock_hours(event_hours(spark, d)))
+
+
 @query
 def merge_intervals(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -408,6 +446,150 @@ def coverage_compare(spark, d):
     return evaluation.coverage_compare(pos(spark, d), "north", "south", source="region")
 
 
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").withColumn("us", micros("ts"))
+
+
+@query
+def parse_snapshot(spark, d):
+    """Snapshots made of the events, with values missing, of other types and out of range."""
+    i, u = F.col("event_id"), F.col("user_id")
+    entry = F.struct(
+        F.when(i % 11 == 0, F.concat(F.lit("~A"), u.cast("string"))).otherwise(F.concat(F.lit(" A"), u.cast("string"))).alias("hex"),
+        F.when(i % 17 > 0, F.concat(F.lit(" F"), u.cast("string"), F.lit(" "))).otherwise("  ").alias("flight"),
+        (u % 180 - 90).cast("string").alias("lat"),
+        F.when(i % 19 == 0, "NaN").otherwise((u % 360 - 180).cast("string")).alias("lon"),
+        F.when(i % 5 == 0, "ground").otherwise((i % 40000).cast("string")).alias("alt_baro"),
+        F.when(i % 7 == 0, "fast").otherwise((i % 500).cast("string")).alias("gs"),
+        F.when(i % 3 == 0, "7.0").when(i % 3 == 1, "8").otherwise("x").alias("nic"),
+        F.when(i % 13 > 0, (i % 90).cast("string")).alias("seen_pos"),
+    )
+    made = events(spark, d).select(F.to_json(F.struct(F.floor(F.col("us") / 1000).alias("now"), F.array(entry).alias("ac"))).alias("value"), F.lit(0).cast("long").alias("received_us"))
+    found = snapshots.parse_snapshots(snapshots.from_polls(made))
+    return found.select("icao24", "us", "callsign", "lat", "lon", "alt_baro_ft", "gs_kt", "on_ground", "nic")
+
+
+@query
+def parse_state_vectors(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    text = lambda c: c.cast("string")
+    at = F.floor(F.col("us") / 1_000_000)
+    v = [F.concat(F.lit("B"), text(u)), F.concat(F.lit("C"), text(u), F.lit("  ")), F.lit("Land"), text(at - i % 70 + 3), text(at), text(u % 360 - 180), text(u % 180 - 90), text(i % 1000), text(i % 9 == 0), text(i % 250), text(i % 360), text(i % 20 - 10), F.lit(None).cast("string"), text(i % 1100), F.lit("2000"), F.lit("false"), F.lit("0"), text(i % 8)]
+    rows = events(spark, d).select(at.cast("double").alias("snapshot_s"), F.when(i % 23 == 0, F.slice(F.array(*v), 1, 12)).otherwise(F.array(*v)).alias("v"))
+    return snapshots.parse_state_vectors(rows).select("icao24", "callsign", "us", "lat", "lon", r("alt_baro_ft", 4), r("gs_kt", 4), r("baro_rate_fpm", 4), "on_ground", "category")
+
+
+@query
+def parse_evidence(spark, d):
+    i = F.col("event_id")
+    text = lambda c: c.cast("string")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    rows = events(spark, d).select(
+        F.when(i % 29 > 0, F.concat(F.lit("doc"), text(i))).otherwise(" ").alias("doc_id"), F.concat(F.lit(" Title "), text(i % 7)).alias("title"), F.lit(None).cast("string").alias("source"),
+        F.when(i % 4 > 0, "b2").alias("reliability"), text(i % 9).alias("credibility"), F.lit("").alias("summary"),
+        F.when(i % 3 == 0, F.concat(stamp, F.lit("Z"))).when(i % 3 == 1, F.concat(stamp, F.lit("+08:00"))).otherwise(stamp).alias("published"),
+        F.when(i % 2 == 0, F.concat(F.lit("/x/"), text(i))).alias("url"), F.lit(None).cast("string").alias("detector"), text(i % 100).alias("lat"), text(i % 200).alias("lon"), F.lit("z").alias("zone"),
+    )
+    return snapshots.parse_evidence(rows, "sea", "http://a/").select("doc_id", "title", "source", "reliability", "credibility", "summary", "us", "url", "detector", "lat", "lon")
+
+
+@query
+def poll_pauses(spark, d):
+    beats = events(spark, d).select((F.col("user_id") % 5).alias("region"), "us", F.lit(True).alias("ok"))
+    return ingest.pauses(beats, replace(DEFAULTS, poll_seconds=300)).drop("reason")
+
+
+@query
+def phase_notes(spark, d):
+    found = jamming.detect(scan(pos(spark, d)))
+    return found.select("incident_id", grading.phase_note(F.col("evidence.degraded_in_terminal_phase"), F.col("evidence.degraded_altitude_known")).alias("phase"))
+
+
+@query
+def ring_membership(spark, d):
+    """Reports in a zone that is no rectangle."""
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in RING])
+    return pos(spark, d).where(in_ring(F.col("lat"), F.col("lon"), ring)).select("id")
+
+
+#: A triangle with corners off the reports' lattice.
+RING = [(0.55, 102.95), (2.05, 103.77), (0.57, 104.61)]
+
+
+@query
+def jamming_incremental(spark, d):
+    """The grid since an aligned time: the whole's buckets from then on."""
+    return jamming.detect(scan(pos(spark, d), since_us=at(1200))).select("incident_id", "affected_count")
+
+
+@query
+def refreshed_incidents(spark, d):
+    """A cycle of one region over stored incidents of two: its own are derived again, the other's stay."""
+    p, runs, outages = pos(spark, d), ledger.runs(spark), ledger.outages(spark)
+    since = at(1200)
+    recent = incremental.recent_incidents(p, runs, outages, since, region="north")
+    old = every(spark, d).withColumn("score", F.lit(0.0))
+    return incremental.refreshed_incidents(old, recent, since, "north").where(F.col("detector") != "jamming").select("incident_id", "region", r("score"))
+
+
+@query
+def squawk_stays(spark, d):
+    """Runs of one code, whatever it is: the batch form of value-aware sessions."""
+    return live.run_lengths(pos(spark, d).where("squawk is not null"), "squawk").drop("island")
+
+
+@query
+def track_list(spark, d):
+    return serving.track_list(tracks.tracks(pos(spark, d)), 50).select("track_id", "start_us")
+
+
+@query
+def aircraft_list(spark, d):
+    rows = pos(spark, d).withColumns({"callsign": F.col("squawk"), **{c: F.lit(None).cast("string") for c in ("registration", "type_code", "category")}})
+    return serving.aircraft_list(ingest.identities(rows), 100).select("icao24", "first_us", "last_us")
+
+
+@query
+def incident_lookup(spark, d):
+    """The incident of the smallest spoof id, as an interface shows it."""
+    found = every(spark, d)
+    first = found.where("detector = 'spoof'").agg(F.min("incident_id").alias("i"))
+    return serving.incident_rows(found.withColumn("_first", first.scalar()).where("incident_id = _first")).select("incident_id", "icao24", "detector", r("score"), "ts_start", "ts_end", "zone")
+
+
+@query
+def track_features(spark, d):
+    """Points of every track's line, read back from its GeoJSON."""
+    p = pos(spark, d)
+    line = F.from_json("feature", "geometry struct<type:string,coordinates:array<array<double>>>, properties struct<track_id:string,point_count:long>")
+    out = serving.track_features(tracks.tracks(p), p).select("track_id", line.alias("f"))
+    return out.select("track_id", F.size("f.geometry.coordinates").cast("long").alias("points"), r(F.element_at("f.geometry.coordinates", 1)[0], 6, "first_lon"), r(F.element_at("f.geometry.coordinates", -1)[1], 6, "last_lat"))
+
+
+@query
+def aircraft_track(spark, d):
+    return serving.aircraft_track(pos(spark, d), "a00007").select("us", "ts", r("lon"), r("lat"), "alt_ft", "nic", "nac_p", "region")
+
+
+@query
+def last_runs(spark, d):
+    return serving.last_runs(ledger.runs(spark), 2).select("id", "region", "report_count")
+
+
+@query
+def scenario_positions(spark, d):
+    return scenario.positions(spark).select("id", "icao24", "us", r("lat"), r("lon"), r("alt_baro_ft", 4), r("gs_kt", 4), "squawk", "nic", "nac_p", "callsign")
+
+
+@query
+def scenario_scores(spark, d):
+    """Recall and precision of each detector on the labelled scenario."""
+    p = scenario.positions(spark)
+    none = ledger.outages(spark).limit(0)
+    found = picture.all_incidents(p, ledger.runs(spark).limit(0), none)
+    return evaluation.scores(scenario.labels(spark).select("kind", "icao24"), found).select("detector", "tp", "wanted", "found", r("recall"), r("precision"))
+
+
 @query
 def eval_scores(spark, d):
     cls = F.substring("icao24", 2, 5).cast("long") % 10
@@ -492,12 +674,16 @@ def zones_geojson(spark, d):
 
 @query
 def track_resample(spark, d):
-    return tracks.resample(pos(spark, d))
+    return tracks.resample(pos(spark, d)).select("track_id", "k", r("lat"), r("lon"), r("alt_kft"))
 
 
 @query
 def track_sequence(spark, d):
-    return tracks.sequences(pos(spark, d)).select("track_id", "point_count", F.size("sequence").alias("steps"), F.size("features").alias("width"))
+    """Sums of the descriptor's channels; turns by size, as the sign of half a turn is chance."""
+    total = lambda i, f=lambda x: x: F.aggregate("sequence", F.lit(0.0), lambda a, x: a + f(x[i]))
+    sums = [total(0).alias("north_km"), total(1).alias("east_km"), total(2).alias("length_km"), total(3, F.abs).alias("turned"), total(4).alias("climb_kft")]
+    out = tracks.sequences(pos(spark, d)).select("track_id", "point_count", F.size("sequence").alias("steps"), F.size("features").alias("width"), *sums)
+    return out.select("track_id", "point_count", "steps", "width", r("north_km", 4), r("east_km", 4), r("length_km", 4), r("turned", 4), r("climb_kft", 4))
 
 
 @query

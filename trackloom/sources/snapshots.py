@@ -41,9 +41,15 @@ def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> D
     return reader.schema(SNAPSHOT).json(path)
 
 
+def from_polls(polls: DataFrame) -> DataFrame:
+    """Polled texts (received_us, value; see ``poll``) as snapshots."""
+    return polls.select("received_us", F.from_json("value", SNAPSHOT).alias("s")).select("received_us", "s.*")
+
+
 def parse_snapshots(snapshots: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """One row a usable aircraft entry. ``now`` is in milliseconds; positions without an age or too old are left out."""
-    e = snapshots.select((F.col("now") / 1000.0).alias("now_s"), F.explode("ac").alias("e")).select("now_s", "e.*")
+    """One row a usable aircraft entry. ``now`` is in milliseconds, or when the snapshot was received (``received_us``, or the clock) if missing; positions without an age or too old are left out."""
+    received = F.col("received_us") if "received_us" in snapshots.columns else F.unix_micros(F.current_timestamp())
+    e = snapshots.select(F.coalesce(F.col("now") / 1000.0, received / 1e6).alias("now_s"), F.explode("ac").alias("e")).select("now_s", "e.*")
     seen = number(F.col("seen_pos"))
     hex_ = F.lower(F.trim("hex"))
     e = e.withColumns({"icao24": hex_, "seen": seen, "lat_": number(F.col("lat")), "lon_": number(F.col("lon"))})
@@ -100,3 +106,10 @@ def lane(spark: SparkSession, path: str, name: str, api_url: str) -> tuple[DataF
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     raw = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", EVIDENCE + ", _corrupt string", options).alias("e")).select("e.*")
     return parse_evidence(raw.where("_corrupt is null"), name, api_url), raw.where("_corrupt is not null")
+
+
+def lane_status(items: DataFrame, corrupt: DataFrame, name: str) -> DataFrame:
+    """One row: the lane, its usable items and its rows that aren't JSON, and whether it can be used."""
+    rows = items.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).unionByName(corrupt.select(F.lit(0).alias("good"), F.lit(1).alias("bad")))
+    out = rows.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("items"), F.coalesce(F.sum("bad"), F.lit(0)).alias("corrupt"))
+    return out.select(F.lit(name).alias("lane"), "items", "corrupt", F.when(F.col("items") > 0, "ok").when(F.col("corrupt") > 0, "unreadable").otherwise("empty").alias("status"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.ingest import KEY, SECOND
+from ..operators.ingest import KEY, SECOND, run_rows
 from ..operators.sequences import islands
 from ..settings import DEFAULTS, MINUTE_US, Settings
 from ..sources.snapshots import parse_snapshots, read_snapshots
+from ..zones import zones_at
 
 
 def positions_stream(spark: SparkSession, path: str, source: str, region: str | None, s: Settings = DEFAULTS) -> DataFrame:
@@ -32,6 +33,18 @@ def appended(stream: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def collected(stream: DataFrame, out: str, ledger: str, checkpoint: str, run_id: int, region: str | None, started_us: int) -> DataStreamWriter:
+    """``appended``, with a row in the run ledger for each batch, under its number as well."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for df, path in ((batch, out), (run_rows(batch, run_id, region, started_us), ledger)):
+            df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def activity_stream(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Reports and aircraft (estimated) per tumbling window and finest cell."""
     keys = [F.window("ts", f"{s.window_minutes} minutes"), F.floor(F.col("lat") / s.cell_deg).alias("ci"), F.floor(F.col("lon") / s.cell_deg).alias("cj")]
@@ -45,22 +58,43 @@ def session_tracks(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return airborne.groupBy(*keys).agg(F.count(F.lit(1)).alias("point_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us")).where(F.col("point_count") >= s.track_min_points)
 
 
-def processed(spark: SparkSession, positions_path: str, out: str, s: Settings = DEFAULTS):
-    """A foreachBatch function: aircraft in the batch get their tracks derived again from the stored history."""
+def processed(spark: SparkSession, positions_path: str, out: str, s: Settings = DEFAULTS, buckets: int = 256):
+    """A foreachBatch function: tracks are kept by bucket of aircraft, and a batch derives those of the buckets it touches again from the stored history.
+
+    A bucket is overwritten as a whole, so a reader sees each track once, whatever batches it came in and whichever are run again.
+    """
     from ..operators.tracks import tracks
 
+    own = F.pmod(F.xxhash64("icao24"), F.lit(buckets)).cast("int").alias("bucket")
+
     def process(batch: DataFrame, number: int) -> None:
-        keys = batch.select("icao24").distinct()
-        history = spark.read.parquet(positions_path).join(keys, "icao24", "left_semi")
+        touched = batch.select(own).distinct()
+        history = spark.read.parquet(positions_path)
+        history = history.select("*", own).join(touched, "bucket", "left_semi").drop("bucket")
         if "ts" in history.columns:
             history = history.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         if "id" not in history.columns:
             history = history.withColumn("id", F.col("us"))
-        tracks(history, s).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        tracks(history, s).select("*", own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
 
     return process
 
 
+def session_visits(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Low stays in border zones as session windows, emitted once the watermark passes their end."""
+    low = stream.where(~F.col("on_ground") & (F.coalesce("alt_baro_ft", F.lit(0.0)) < s.incursion_max_alt_ft))
+    inside = low.withColumn("zone", F.explode(zones_at(F.col("lat"), F.col("lon"), "border")))
+    keys = ["icao24", "zone", F.session_window("ts", f"{s.incursion_gap_minutes} minutes")]
+    return inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.min("us").alias("start_us"), F.max("us").alias("end_us")).where(F.col("samples") >= s.incursion_min_samples)
+
+
+def session_squawks(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Stays on one emergency code as session windows. Unlike the batch form, another code in between doesn't end one."""
+    keys = ["icao24", "squawk", F.session_window("ts", f"{s.incursion_gap_minutes} minutes")]
+    coded = stream.where(F.col("squawk").isin(*s.squawk_codes))
+    return coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.min("us").alias("start_us"), F.max("us").alias("end_us")).where(F.col("samples") >= s.squawk_min_samples)
+
+
 def run_lengths(rows: DataFrame, value: str, s: Settings = DEFAULTS) -> DataFrame:
     """The batch form of value-aware sessions: runs of one value without a long silence."""
     runs = islands(rows, s.track_gap_minutes * MINUTE_US, value=value)
