@@ -132,6 +132,30 @@ def test_token_counts(docs, none):
     assert token_counts.edited(docs, F.lit(None).cast("array<struct<start:int,end:int,replacement:string>>")).where("n_tokens != n_tokens_edited").count() == 0
 
 
+def test_token_trees_are_kept(spark, docs, tmp_path, monkeypatch):
+    """Trees written by one run are edited in the next, twice, without encoding the old text."""
+    enc = token_counts.encoder(token_counts.FOLDER, token_counts.VOCABULARY)
+    long = "some plain words, " * 5000
+    seen = []
+    monkeypatch.setattr(type(enc), "counts", lambda self, pieces, f=type(enc).counts: seen.append(sum(map(len, pieces))) or f(self, pieces))
+    saved = token_counts.TokenTree(long, enc).saved()
+    seen.clear()
+    tree = token_counts.TokenTree.of(long, saved, enc)
+    tree.edit(40_000, 40_010, "other")
+    assert sum(seen) < 60 and tree.total == len(enc.encoding.encode_ordinary(tree.text))
+    assert token_counts.TokenTree.of(tree.text, tree.saved(), enc).total == tree.total
+    monkeypatch.undo()
+    edit = lambda a, b, t: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("replacement")))
+    token_counts.trees(docs).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    assert set(docs.columns) < set(kept.columns)
+    token_counts.apply_edits(kept, edit(3, 8, "été ")).write.parquet(f"{tmp_path}/again")
+    out = token_counts.apply_edits(spark.read.parquet(f"{tmp_path}/again"), edit(0, 0, "A start"))
+    after = lambda t: "A start" + (t or "")[:3] + "été " + (t or "")[8:]
+    assert got(out, "doc_id", "text", "n_tokens_edited") == Counter((i, after(t), len(enc.encoding.encode_ordinary(after(t)))) for i, t in corpus())
+    assert out.agg(F.max("n_encoded")).first()[0] < 700
+
+
 @pytest.mark.parametrize("blocks", [None, 7])
 def test_substring_dedup(docs, none, monkeypatch, blocks):
     if blocks:
@@ -182,6 +206,13 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("a.*b") == [] and secret_scan.trigram_query("(abcd)?x") == []
 
 
+def test_trigram_clauses():
+    """All runs that a match must contain, not the best alone."""
+    assert secret_scan.trigram_clauses("abc[0-9]+defg") == [[frozenset({"abc"})], [frozenset({"def", "efg"})]]
+    key = next(r for r in secret_scan.RULES if r.kind == "private_key")
+    assert len(secret_scan.trigram_clauses(key.pattern)) == 2 and secret_scan.trigram_clauses("[0-9a-f]{32,}") == []
+
+
 def test_secret_scan(docs, none):
     out = secret_scan.digest(secret_scan.scan(docs))
     want = Counter((i, hashlib.sha256(brute.spans(t).encode()).hexdigest(), brute.spans(t)) for i, t in corpus())
@@ -269,6 +300,49 @@ def test_folding():
     assert toxicity.evidence("", a) == (0.0, 0.0)
 
 
+def test_evidence_equals_a_plain_matcher():
+    """Terms that begin words or are whole ones, exceptions that cover each other, random texts with signs and digits."""
+    rng = random.Random(13)
+    own = toxicity.Lexicon({"abb": 2.0, "abba ": 3.0, "ba ": 1.5, "cab": 0.5}, ("abb c", "ba ab", "cab ba a"), (0, 1, 1))
+    automaton = own.automaton()
+
+    def plain(text):
+        t = toxicity.folded(text)
+        letter = lambda i: 0 <= i < len(t) and t[i].isalpha()
+        ends = lambda i, x: t.startswith(x, i) and not letter(i - 1) and not letter(i + len(x))
+        covered = {j for i in range(len(t)) for x in own.exceptions if ends(i, x) for j in range(i, i + len(x))}
+        hits = {}
+        for i in range(len(t)):
+            for x, w in own.weights.items():
+                whole = x.endswith(" ")
+                if (ends(i, x.rstrip()) if whole else t.startswith(x, i) and not letter(i - 1)) and i not in covered:
+                    hits[i] = max(w, hits.get(i, 0))
+        return sum(hits.values()), 100 * sum(hits.values()) / max(1, len(t.split()))
+
+    for _ in range(3000):
+        text = "".join(rng.choices("aabbc 4@!а ", k=rng.randrange(30)))
+        assert toxicity.evidence(text, automaton) == pytest.approx(plain(text)), text
+
+
+def test_folding_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a" * 1_000_000 + " 1", "1" * 1_000_000 + " a", "a1" * 500_000 + "!" * 500_000 + " b", "!" * 1_000_000 + "a"):
+        assert len(toxicity.folded(text)) == len(text)
+    assert time.perf_counter() - began < 4
+
+
+def test_toxicity_learns_from_bounded_rows(spark):
+    """Repeated ids are learned from once, and whole texts up to the bound on characters; a column named like the score stays."""
+    rows = [(i, "x" * 100) for i in range(40) for _ in range(3)] + [(99, "y" * 5000)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, _tox_score double")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in [*range(40), 99]], LABELS)
+    assert toxicity.labelled(docs, labels, chars=1000).count() == 10
+    assert toxicity.labelled(docs, labels, rows=12, chars=10**6).count() == 12
+    assert toxicity.harmless(docs, labels.limit(0)).columns == docs.columns
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -357,6 +431,42 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_by_tokens_and_written_out(spark):
+    """Lengths are token counts if given; the words of all bins are those of the documents."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices(["plain", "words", "of", "any"], k=rng.randrange(120))), f"s{i % 5}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = token_counts.trees(docs)
+    sizes = {r.doc_id: r.n_tokens for r in counted.collect()}
+    packed = packing.pack(counted, 64, units=F.col("n_tokens"), shard_size=20)
+    total: Counter = Counter()
+    for r in packed.collect():
+        total[r.doc_id] += r.end - r.start
+    assert dict(total) == sizes
+    whole = packing.written(docs, packing.pack(docs, 64, shard_size=20)).collect()
+    assert all(r.n_words <= 64 and len(r.doc_ids) == len(r.text.split("\n\n")) for r in whole)
+    assert Counter(w for r in whole for w in r.text.split()) == Counter(w for _, t, _ in rows for w in t.split())
+
+
+def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty and repeated rows, ties and tables without rows pass all stages; null ids and wordless rows are never filtered out."""
+    import corpus_pipeline as pipeline
+
+    d = "/root/testdata/sf0.001"
+    odd = docs.select(*pipeline.COLUMNS)
+    for n, rows in enumerate((odd, odd.limit(0))):
+        here = f"{tmp_path}/{n}"
+        rows.write.parquet(f"{here}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            (spark.read.parquet(f"{d}/{t}.parquet").limit(0) if n else spark.read.parquet(f"{d}/{t}.parquet")).write.parquet(f"{here}/{t}.parquet")
+        out = pipeline.run(spark, here).collect()
+        if n == 0:
+            ids = Counter(r.doc_id for r in out)
+            assert ids[1] == 1 and not ids[2] and not ids[71] and ids[60] == ids[61] == ids[62] == 1 and ids[None] == 1
+        else:
+            assert not out
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
     from trackloom.llm.common import stored

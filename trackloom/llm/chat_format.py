@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are context, and its text
-alone is trainable. Writing each context out in full would cost the square of a conversation's
-length, so an example stores what it adds: ``delta`` is the formatted turns since the previous
-assistant reply with the header of the reply, ``target`` the formatted reply. The context of
-example k is all deltas, targets and end marks before it, and its own delta; ``context_chars`` is
-that length and ``rendered`` writes it out.
+Every assistant turn becomes an example of its own: all turns before it, formatted, are its context,
+and its text alone is trainable. ``examples`` gives them: ``text`` and the span of the loss mask in it.
+Written out, contexts grow with the square of a conversation's length; that is what the method asks
+for. ``expand`` is the same in a form to keep: an example holds what it adds, ``delta`` being the formatted turns
+since the previous assistant reply with the header of the reply, ``target`` the formatted reply, and
+``rendered`` puts the contexts together again.
 
 Turns after the last reply (or of a conversation without any) make a last row without a target.
 
@@ -13,8 +13,9 @@ Format of a turn: ``<|start|>role<|sep|>text<|end|>``. Control strings inside a
 broken with a backslash after their first character, backslashes are doubled, so that the original
 comes back exactly.
 
-Defined cases: a null text or role is the empty string; a null conv_id is a conversation of its
-own; turns are ordered by turn (null first), then role, then text; repeated rows are kept; extra
+Defined cases: a null text or role is the empty string; all rows with a null conv_id are one conversation; turns
+are ordered by turn (null first), then role, then text; repeated rows are kept, in any order as they are
+equal; a text of any length is read whole, and an example is at most Spark's 2 GB a value; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -48,51 +49,27 @@ def unescaped(text: Column) -> Column:
 def expand(conversations: DataFrame) -> DataFrame:
     """conv_id, example, first_turn, delta, target (null: none), context_chars, delta_chars, target_chars.
 
-    One row for each assistant turn and one for turns after the last. The turns of a conversation
-    meet in one row, as its text must in the end; a conversation is at most Spark's 2 GB a row.
+    One row for each assistant turn and one for turns after the last. Turns meet by running sums over a window;
+    only those between two replies are put together in a row.
     """
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    per = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("t")).alias("ts")
-    )
-    n = F.size("ts")
-    # Numbers of the assistant turns, and of a turn after the last that stands for the rest.
-    stops = F.filter(
-        F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(F.col("ts"), i)["role"] == "assistant")
-    )
-
-    def pieces(ends: Column) -> Column:
-        def piece(end: Column, k: Column) -> Column:
-            first = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
-            return F.struct(k.alias("example"), first.alias("first_turn"), end.alias("end"))
-
-        return F.transform(ends, piece)
-
-    parts = per.select("conv_id", "ts", F.explode(let(stops, pieces)).alias("p"), n.alias("n")).where(
-        (F.col("p.end") < F.col("n")) | (F.col("p.first_turn") < F.col("n"))
-    )
-    shown = lambda t: F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP), escaped(t["text"]), F.lit(END))
-    before = F.slice("ts", F.col("p.first_turn") + 1, F.col("p.end") - F.col("p.first_turn"))
-    reply = F.get(F.col("ts"), F.col("p.end"))
-    has = F.col("p.end") < F.col("n")
-    header = F.when(has, F.concat(F.lit(START), escaped(reply["role"]), F.lit(SEP))).otherwise("")
-    rows = parts.select(
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    turns = conversations.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"))
+    w = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    reply = F.col("role") == "assistant"
+    header = F.concat(F.lit(START), escaped(F.col("role")), F.lit(SEP))
+    placed = turns.select(
         "conv_id",
-        F.col("p.example").alias("example"),
-        F.col("p.first_turn").alias("first_turn"),
-        F.concat(F.array_join(F.transform(before, shown), ""), header).alias("delta"),
-        F.when(has, escaped(reply["text"])).alias("target"),
+        (F.row_number().over(w) - 1).alias("place"),
+        F.coalesce(F.sum(reply.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("example"),
+        F.when(reply, header).otherwise(F.concat(header, escaped(F.col("text")), F.lit(END))).alias("piece"),
+        F.when(reply, escaped(F.col("text"))).alias("target"),
     )
-    rows = rows.withColumns(
-        {
-            "delta_chars": F.length("delta").cast("long"),
-            "target_chars": F.length("target").cast("long"),
-        }
+    rows = placed.groupBy("conv_id", "example").agg(
+        F.min("place").alias("first_turn"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), "").alias("delta"),
+        F.max("target").alias("target"),  # there is one at most
     )
+    rows = rows.withColumns({"delta_chars": F.length("delta").cast("long"), "target_chars": F.length("target").cast("long")})
     added = F.col("delta_chars") + F.coalesce(F.col("target_chars") + len(END), F.lit(0))
     earlier = W.partitionBy("conv_id").orderBy("example").rowsBetween(W.unboundedPreceding, -1)
     total = F.coalesce(F.sum(added).over(earlier), F.lit(0).cast("long"))
@@ -117,20 +94,29 @@ def rendered(examples: DataFrame) -> DataFrame:
     )
 
 
-def digest(examples: DataFrame) -> DataFrame:
+def examples(conversations: DataFrame) -> DataFrame:
+    """conv_id, example, context, target, text, loss_start, loss_end: every example with all preceding turns."""
+    return rendered(expand(conversations)).select("conv_id", "example", "context", "target", "text", "loss_start", "loss_end")
+
+
+def digest(expanded: DataFrame) -> DataFrame:
     """Per conversation, what the formatted examples say when they are parsed back.
 
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples as
-    rendered: contexts, targets and end marks), n_examples.
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples: contexts, targets and
+    end marks), n_examples. The turns are those of the last example's text, which has all; the loss is what
+    the span of each example marks in its text.
     """
-    whole = F.concat(F.col("delta"), F.coalesce(F.concat(F.col("target"), F.lit(END)), F.lit("")))
-    one = F.struct("example", whole.alias("whole"), "target", "context_chars", "target_chars")
-    per = examples.select("conv_id", one.alias("e")).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("e")).alias("es")
+    shown = rendered(expanded)
+    marked = F.when(F.col("target").isNotNull(), unescaped(F.substring(F.col("text"), F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))))
+    per = shown.select("conv_id", "example", "text", marked.alias("loss")).groupBy("conv_id").agg(
+        F.max_by("text", "example").alias("text"),
+        F.array_sort(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))).alias("losses"),
+        F.sum(F.length("text")).cast("long").alias("formatted_chars"),
+        F.count(F.lit(1)).alias("n_examples"),
     )
-    text = F.array_join(F.transform("es", lambda e: e["whole"]), "")
     # A turn ends with END, and END can't stand inside a role or text.
-    turns = F.slice(F.split(text, _literal(END)), 1, F.size(F.split(text, _literal(END))) - 1)
+    cut = F.split("text", _literal(END))
+    turns = let(cut, lambda x: F.slice(x, 1, F.size(x) - 1))
 
     def said(t: Column) -> Column:
         body = F.substring(t, len(START) + 1, 2147483647)
@@ -141,18 +127,13 @@ def digest(examples: DataFrame) -> DataFrame:
             F.lit("\n"),
         )
 
-    loss = F.array_join(F.transform(F.filter("es", lambda e: e["target"].isNotNull()), lambda e: unescaped(e["target"])), "")
-    length = F.aggregate(
-        "es",
-        F.lit(0).cast("long"),
-        lambda a, e: a + e["context_chars"] + F.coalesce(e["target_chars"] + len(END), F.lit(0)),
-    )
+    loss = F.array_join(F.transform("losses", lambda e: e["loss"]), "")
     return per.select(
         "conv_id",
         let(turns, lambda ts: F.struct(F.size(ts).cast("long").alias("n"), F.sha2(F.array_join(F.transform(ts, said), ""), 256).alias("h"))).alias("t"),
         let(loss, lambda x: F.struct(F.length(x).cast("long").alias("n"), F.sha2(x, 256).alias("h"))).alias("l"),
-        length.alias("formatted_chars"),
-        F.size("es").cast("long").alias("n_examples"),
+        "formatted_chars",
+        "n_examples",
     ).select(
         "conv_id",
         F.col("t.n").alias("n_turns"),

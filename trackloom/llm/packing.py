@@ -1,24 +1,28 @@
 """Best-fit packing of documents into sequences, with conflicts.
 
-A document is cut into pieces of at most ``capacity`` units (words); whole pieces fill bins of their
-own and the rest is packed best-fit decreasing: bins are ordered by residual capacity, and from the
+A document is cut into pieces of at most ``capacity`` units (words, or the tokens that ``units`` counts); whole
+pieces fill bins of their own and the rest is packed best-fit decreasing: bins are ordered by residual capacity, and from the
 smallest residual that is large enough a successor search goes on until the first, that is the
 tightest, bin whose bitmaps of sources and duplicate clusters hold neither of the piece's. If none
 is compatible a bin is opened. So no bin holds two pieces of one source among the packed rests, or
-two texts of one duplicate cluster: by default equal texts, up to case and white space; with
-``with_clusters``, as the query has it, groups of near duplicates (five words, 0.8).
+two texts of one duplicate cluster: by default equal texts, up to case and white space; the query gives
+groups of near duplicates (``ngram_join.with_groups``: five words, 0.8).
 
 Documents are dealt into shards by a hash of their id, so a hot source spreads over all of them; a
-shard is packed in one task and holds lengths and ids, not texts. A source with a third of all
+shard is packed in one task and holds lengths and ids, not texts. The tightest bin is that of the shard (README has the
+loss against one packing of all). A source with a third of all
 documents still needs a bin for each: that is what the condition says.
 
 Search within a shard: bins are kept in buckets of equal residual. A bucket keeps the bins in order
 of opening; a source's own bins are skipped by looking at one bit each, so a step costs no more than
 an integer operation.
 
+``written`` puts the words of every bin together.
+
 Defined cases: documents without words take no bin and get one row with bin null; null source or
 cluster values conflict with nothing; repeated rows are packed separately (and conflict as one
-cluster); null doc_ids are dealt by text; extra columns are ignored; an empty table gives no rows.
+cluster); null doc_ids are dealt by text; ties in size are broken by hash, then id; a text of any length fills as many bins as it
+needs; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, blocks_for, small, stored, text_of, words_of
-from .ngram_join import linked
+from .common import SPACE, blocks_for, text_of, words_of
 
 CAPACITY = 2048
 SHARD = 4_096
@@ -43,14 +46,6 @@ def same_text() -> Column:
     return F.when(said != "", F.sha2(said, 256))
 
 
-def with_clusters(documents: DataFrame) -> DataFrame:
-    """The documents with ``_pk_cluster``: their group of near duplicates (a number). Null and repeated ids do no harm."""
-    key = F.xxhash64("doc_id", text_of())
-    groups = linked(documents.select(key.alias("doc_id"), F.lower(text_of()).alias("text")).dropDuplicates(["doc_id"]))
-    groups = stored(groups.select(F.col("doc_id").alias("_pk_key"), F.col("component_id").alias("_pk_cluster")))
-    return documents.withColumn("_pk_key", key).join(small(groups), "_pk_key", "left").drop("_pk_key")
-
-
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """The bin of each item, and the residuals of the bins. Items are taken in the order given.
 
@@ -105,11 +100,14 @@ def _numbers(values: pd.Series) -> list[int]:
     return pd.factorize(values, sort=True)[0].tolist()
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None) -> DataFrame:
-    """doc_id, bin, place (in the bin), start, end (units of the document), residual (of the bin, at the end)."""
-    units = F.size(words_of(text_of())).cast("long")
-    items = documents.select("doc_id", F.col("source").alias("source"), (same_text() if cluster is None else cluster).alias("cluster"), units.alias("units"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text_of())).alias("deal"))
-    shards = blocks_for(documents.count(), SHARD)
+def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, units: Column | None = None, shard_size: int = SHARD) -> DataFrame:
+    """doc_id, bin, place (in the bin), start, end (units of the document), residual (of the bin, at the end).
+
+    units: the length of each document, such as n_tokens of ``token_counts.trees``; words by default.
+    """
+    length = (F.size(words_of(text_of())) if units is None else F.coalesce(units, F.lit(0))).cast("long")
+    items = documents.select("doc_id", F.col("source").alias("source"), (same_text() if cluster is None else cluster).alias("cluster"), length.alias("units"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text_of())).alias("deal"))
+    shards = blocks_for(documents.count(), shard_size)
 
     def shard(key: tuple[int], f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(rest=f["units"] % capacity).sort_values(["rest", "deal", "doc_id", "units"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -131,3 +129,17 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None
 
     dealt = items.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(shard, RESULT)
+
+
+def written(documents: DataFrame, packed: DataFrame) -> DataFrame:
+    """bin, text (its pieces in order, a blank line between), doc_ids, n_words: the sequences of a packing by words.
+
+    A bin holds at most its capacity, so its pieces fit a row. Ids must be unique; rows without one are left out.
+    """
+    pieces = packed.where(F.col("bin").isNotNull() & F.col("doc_id").isNotNull())
+    words = documents.select("doc_id", words_of(text_of()).alias("words"))
+    said = pieces.join(words, "doc_id").select("bin", "place", "doc_id", F.array_join(F.slice("words", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), " ").alias("said"), (F.col("end") - F.col("start")).alias("n"))
+    one = F.array_sort(F.collect_list(F.struct("place", "doc_id", "said")))
+    return said.groupBy("bin").agg(one.alias("pieces"), F.sum("n").alias("n_words")).select(
+        "bin", F.array_join(F.transform("pieces", lambda p: p["said"]), "\n\n").alias("text"), F.transform("pieces", lambda p: p["doc_id"]).alias("doc_ids"), "n_words"
+    )

@@ -30,8 +30,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat_format.digest(chat_format.expand(rows))
 
@@ -49,7 +48,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.with_clusters(table(spark, sf_dir, "documents")), cluster=F.col("_pk_cluster"))
+    documents = ngram_join.with_groups(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "cluster")
+    return packing.pack(documents, cluster=F.col("cluster"))
 
 
 _ALL = (

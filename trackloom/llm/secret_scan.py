@@ -1,7 +1,7 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-For every rule, a Boolean query over trigrams is derived from its regular expression: a text the
-rule matches holds all trigrams of one of the query's alternatives. ``postings`` is the inverted
+For every rule, a Boolean query over trigrams is derived from its regular expression: for each run of
+characters that a match must contain, a text the rule matches holds all trigrams of one of the run's alternatives. ``postings`` is the inverted
 index over the trigrams that the rules ask for, ``candidates`` intersects the postings of every
 rule, and ``scan`` runs a rule's expression only on its candidates. A rule without a mandatory
 trigram is run on every text.
@@ -103,19 +103,18 @@ def _joined(pieces) -> set[str] | None:
     return have
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of trigrams: a matching text, lower-cased, holds all of one alternative's. []: no mandatory trigram."""
-    best: list[frozenset[str]] = []
+def trigram_clauses(pattern: str) -> list[list[frozenset[str]]]:
+    """For every run that a match must contain, its alternatives of trigrams: a matching text, lower-cased, holds all of one alternative's, for each run."""
+    clauses: list[list[frozenset[str]]] = []
     run: set[str] = {""}
 
     def keep() -> None:
-        nonlocal best
         found = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run}
         # An alternative that holds another one adds nothing; one without trigrams makes the run useless.
         if all(found) and found:
             least = sorted((x for x in found if not any(y < x for y in found)), key=sorted)
-            if not best or min(map(len, least)) > min(map(len, best)):
-                best = least
+            if least not in clauses:
+                clauses.append(least)
 
     for p in [*_strings(sre_parse.parse(pattern)), None]:
         if p is None or len(run) * len(p) > EXPANSIONS:
@@ -123,7 +122,12 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             run = {""} if p is None else set(p)
         else:
             run = {a + b for a in run for b in p}
-    return best
+    return clauses
+
+
+def trigram_query(pattern: str) -> list[frozenset[str]]:
+    """The most selective of a rule's clauses; []: no mandatory trigram."""
+    return max(trigram_clauses(pattern), key=lambda c: min(map(len, c)), default=[])
 
 
 def postings(documents: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -133,8 +137,8 @@ def postings(documents: DataFrame, trigrams: list[str]) -> DataFrame:
     return documents.select("doc_id", F.explode(held).alias("trigram"))
 
 
-def candidates(index: DataFrame, queries: list[list[frozenset[str]]], trigrams: list[str]) -> DataFrame:
-    """(doc_id, rules): the rules, as an array of numbers, whose Boolean query the document's postings meet.
+def candidates(index: DataFrame, queries: list[list[list[frozenset[str]]]], trigrams: list[str]) -> DataFrame:
+    """(doc_id, rules): the rules, as an array of numbers, whose Boolean query (all clauses, of each one alternative) the document's postings meet.
 
     Postings are intersected as bit sets: one bit a trigram, ored together before the shuffle.
     """
@@ -143,12 +147,12 @@ def candidates(index: DataFrame, queries: list[list[frozenset[str]]], trigrams:
     have = index.groupBy("doc_id").agg(*[bit(w) for w in range(words)])
     place = {g: i for i, g in enumerate(trigrams)}
 
-    def met(alternatives: list[frozenset[str]]) -> Column:
-        ways = []
-        for grams in alternatives:
-            masks = [sum(1 << place[g] % 60 for g in grams if place[g] // 60 == w) for w in range(words)]
-            ways.append(reduce(lambda a, b: a & b, [F.col(f"b{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in enumerate(masks) if m]))
-        return reduce(lambda a, b: a | b, ways)
+    def holds(grams: frozenset[str]) -> Column:
+        masks = [sum(1 << place[g] % 60 for g in grams if place[g] // 60 == w) for w in range(words)]
+        return reduce(lambda a, b: a & b, [F.col(f"b{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in enumerate(masks) if m])
+
+    def met(clauses: list[list[frozenset[str]]]) -> Column:
+        return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(holds, ways)) for ways in clauses])
 
     rules = F.array(*[F.when(met(q), F.lit(r)) for r, q in enumerate(queries) if q])
     return have.select("doc_id", F.array_compact(rules).alias("rules")).where(F.size("rules") > 0)
@@ -180,8 +184,8 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, spans: array of (start, order, end, kind) by start, then by the order of the rules."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    trigrams = sorted({g for q in queries for way in q for g in way})
+    queries = [trigram_clauses(r.pattern) for r in rules]
+    trigrams = sorted({g for clauses in queries for ways in clauses for way in ways for g in way})
     found = stored(candidates(postings(documents, trigrams), queries, trigrams))
     known = documents.select("doc_id", text_of().alias("text")).alias("d")
     # eqNullSafe: documents without an id have their candidates too.

@@ -1,4 +1,4 @@
-"""Edit-aware token counts with pre-token segment trees.
+"""Edit-aware token counts with pre-token segment trees, kept per document.
 
 ``TokenTree`` cuts a text into pre-tokens (the pieces byte-level BPE never merges across), counts
 each one's tokens, and keeps lengths and counts in the leaves of a segment tree whose inner nodes hold
@@ -6,14 +6,17 @@ the sums of their subtrees. An edit re-encodes only the leaves it touches: from
 boundary that the edit can't have moved, until a new boundary falls on an old one behind the edit;
 from there on both texts are cut alike. Only the sums above replaced leaves are computed again.
 
-``count`` gives the tokens of every document; ``edited`` applies each document's edits to its tree and
-gives the tokens before and after, and how much was encoded again.
+``trees`` makes every document's tree, as a table that can be kept: two numbers a pre-token, and its sums come back by
+addition. ``apply_edits`` takes such a table, in a later run too, applies each document's edits without encoding
+anything of the old text but what they touch, and gives texts and trees as they are now, to be kept in turn, with the counts
+before and after and how much was encoded. ``edited`` does both at once; ``count`` gives the tokens alone.
 
 Vocabularies are read from the folder ``folder`` on every executor.
 
 Defined cases: a null text is empty and has no tokens; edits are applied in order, each to the text
 the ones before it left; positions are code points and are clipped to the text; a null replacement
-is empty; extra columns are ignored; an empty table gives no rows; texts are whole.
+is empty; repeated rows are counted each; texts of any length, with or without white space, are whole (a pre-token is
+encoded in one piece, however long); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text into pre-tokens. Fixed value: counts must equal the tokenizer's.
@@ -72,6 +78,22 @@ class TokenTree:
         self.encoded = 0
         self._build(self._encode(text))
 
+    @classmethod
+    def of(cls, text: str, saved: bytes, enc: Encoder) -> TokenTree:
+        """The tree of a text as ``saved`` has it: nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.enc, tree.text, tree.encoded = enc, text, 0
+        kind = np.uint8 if saved[:1] == b"1" else np.uint32
+        chars, tokens = np.frombuffer(saved[1:], kind).reshape(2, -1).tolist()
+        tree._build(list(zip(chars, tokens, strict=True)))
+        return tree
+
+    def saved(self) -> bytes:
+        """Lengths and counts of all pre-tokens, a byte each if they all fit one."""
+        pieces = np.array([p for leaf in self.leaves for p in leaf], np.uint32).reshape(-1, 2).T
+        small = not pieces.size or int(pieces.max()) < 256
+        return (b"1" if small else b"4") + pieces.astype(np.uint8 if small else np.uint32).tobytes()
+
     def _encode(self, text: str) -> list[tuple[int, int]]:
         pieces = self.enc.cut.findall(text)
         return list(zip(map(len, pieces), self.enc.counts(pieces), strict=True))
@@ -175,27 +197,50 @@ def count(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULA
     return documents.select("doc_id", tokens(F.col("text")).alias("n_tokens"))
 
 
-def edited(documents: DataFrame, edits: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_encoded (characters encoded for the edits).
+def trees(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The documents with ``tree`` (binary, see ``TokenTree.saved``) and ``n_tokens``."""
+
+    @F.pandas_udf("tree binary, n_tokens long")
+    def build(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = encoder(folder, vocabulary)
+        for s in texts:
+            made = [TokenTree(x or "", enc) for x in s]
+            yield pd.DataFrame({"tree": [t.saved() for t in made], "n_tokens": [t.total for t in made]})
 
-    edits: each row's edits, an array of structs (start, end, replacement); null: none.
+    name = fresh(documents, "_tc")
+    others = [c for c in documents.columns if c not in ("tree", "n_tokens")]
+    return documents.withColumn(name, build(F.col("text"))).select(*others, f"{name}.tree", f"{name}.n_tokens")
+
+
+def apply_edits(kept: DataFrame, edits: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
+    """doc_id, text and tree after the edits, n_tokens (before), n_tokens_edited, n_chars_edited, n_encoded (characters encoded for the edits).
+
+    kept: what ``trees``, or this function, gave: doc_id, text, tree. edits: each row's edits, an array of structs (start, end, replacement); null: none.
+    keep: false leaves out text and tree.
     """
-    out = "n_tokens long, n_tokens_edited long, n_chars_edited long, n_encoded long"
+    out = {"text": "string", "tree": "binary"} if keep else {}
+    out |= dict.fromkeys(("n_tokens", "n_tokens_edited", "n_chars_edited", "n_encoded"), "long")
 
-    @F.pandas_udf(out)
-    def apply(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join(map(" ".join, out.items())))
+    def change(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, vocabulary)
-        for texts, changes in frames:
+        for texts, saved, changes in frames:
             rows = []
-            for text, own in zip(texts, changes, strict=True):
-                tree = TokenTree(text or "", enc)
+            for text, blob, own in zip(texts, saved, changes, strict=True):
+                tree = TokenTree.of(text or "", bytes(blob), enc)
                 before = tree.total
                 for e in own if own is not None else ():
                     tree.edit(int(e["start"]), int(e["end"]), e["replacement"] or "")
-                rows.append((before, tree.total, len(tree.text), tree.encoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_chars_edited", "n_encoded"])
+                rows.append((*((tree.text, tree.saved()) if keep else ()), before, tree.total, len(tree.text), tree.encoded))
+            yield pd.DataFrame(rows, columns=list(out))
 
-    return documents.select("doc_id", apply(F.col("text"), edits).alias("x")).select("doc_id", "x.*")
+    return kept.select("doc_id", change(F.col("text"), F.col("tree"), edits).alias("x")).select("doc_id", "x.*")
+
+
+def edited(documents: DataFrame, edits: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_encoded: the edits applied to the documents' new trees."""
+    kept = trees(documents.select("doc_id", "text", edits.alias("edits")), folder, vocabulary)
+    return apply_edits(kept, F.col("edits"), folder, vocabulary, keep=False)
 
 
 def sample_edits() -> Column:
