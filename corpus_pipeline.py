@@ -14,34 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from trackloom.llm.common import stored, table
+from trackloom.llm.common import fresh, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null and empty texts get the score of a text without matches; repeated rows go or stay alike."""
     return toxicity.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, and ``n_chars`` follows; no document goes."""
-    done = line_dedup.cleaned(docs)
+    """Recurring lines go, and ``n_chars`` follows; no document goes, and null texts stay null.
+
+    A group of near copies counts as one document, so that what they have in common doesn't go from
+    all of them before the next stage keeps one.
+    """
+    group = fresh(docs, "near")
+    done = line_dedup.cleaned(ngram_join.with_groups(docs, group), group=F.col(group))
     return done.withColumn("n_chars", F.when(F.size("_ld_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates one row stays: the smallest id, null last. Rows without words stay."""
     return ngram_join.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
+    """Documents into which a benchmark item leaks go; rows without an id stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in the packed sequences."""
+    """Every document's place in the packed sequences; one without words has a row without a bin. Near duplicates are gone, so clusters are equal texts."""
     return packing.pack(docs)
 
 
