@@ -186,7 +186,7 @@ QUERY: dict[str, str] = {
       phrase || ': ' || coalesce('aircraft '||icao24, 'area-level signal') || coalesce(' in the '||z.name, '') || coalesce(detail, '') || '. Human-review decision support, not a verdict.' || CASE WHEN detector='gap' THEN ' A gap may be benign coverage loss.' ELSE '' END AS summary,
       '/incidents/'||incident_id AS url, z.name AS zone, start_us AS published_us, round(lat,6) AS lat, round(lon,6) AS lon, affected_count, technique, region, round(score,6) AS score
       FROM (SELECT *, CASE detector WHEN 'jamming' THEN 'GNSS interference' WHEN 'gap' THEN 'Dark aircraft (transponder gap)' WHEN 'incursion' THEN 'Low-level watch-box incursion' WHEN 'spoof' THEN 'Kinematic impossibility / identity anomaly' ELSE incident_type END AS phrase FROM graded) graded
-      LEFT JOIN (SELECT incident_id AS did, ' — '||degraded||'/'||n||' aircraft degraded (worst-NIC cluster)' AS detail FROM jammed
+      LEFT JOIN (SELECT incident_id AS did, ' — '||affected_count||'/'||n||' aircraft degraded (worst-NIC cluster)' AS detail FROM jammed
         UNION ALL SELECT incident_id, ' — silent '||round_even(gap_minutes,1)||' min at altitude, reappearing '||round_even(km,1)||' km displaced' FROM gapped
         UNION ALL SELECT incident_id, ' — dwelling '||round_even(dwell,1)||' min below the altitude floor' FROM entered
         UNION ALL SELECT incident_id, ' — implied speed '||round_even(max_speed,0)||' kt (impossible)' FROM spoofed) details ON did=incident_id
