@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express.
 
-The others are held against plain versions in the tests: op1 (its hash isn't DuckDB's), op3
+The others are held against plain versions in the tests: op1 (its hash isn't DuckDB's; ``quality_base`` has its base rules), op3
 (tokenizer), op8 (a fitted model), op10 (packing), and the pipeline.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .chat_format import CONTROL, END, SEP, START
 from .line_dedup import CONSTANT, DEPTH, LONG, MIN_DOCUMENTS, STEP
+from .quality import MAX_REPEATED, MIN_WORDS
 from .secret_scan import BASE, RULES
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,6 +33,15 @@ sizes AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_matched FROM ds JOIN bs USING (g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*)*100 >= n*80
 """
 
+QUALITY_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text,'') AS t, {_words("coalesce(text,'')")} AS w, list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS ({_runs("d", "doc_id", 8)}), again AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p+k) AS n FROM win JOIN again USING (doc_id, g), range(8) r(k) GROUP BY doc_id),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100*n_repeat_words > {MAX_REPEATED}*n_words AS base_failed FROM s
+"""
+
 OP4 = f"""
 WITH d AS (SELECT doc_id, {_words("coalesce(text,'')")} AS w FROM documents), win AS ({_runs("d", "doc_id", 13)}),
 first AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
@@ -116,6 +126,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines
 """
 
 ORACLES: dict[str, str] = {
+    "quality_base": QUALITY_BASE,
     "op2_decontamination": OP2,
     "op4_substring_dedup": OP4,
     "op5_secret_scan": OP5,

@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
-from .common import table
+from .common import table, text_of
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rules of op1 alone, which SQL can express too."""
+    base = quality.base_stats(text_of()).alias("s")
+    failed = (F.col("n_words") < quality.MIN_WORDS) | (100 * F.col("n_repeat_words") > quality.MAX_REPEATED * F.col("n_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", base).select("doc_id", "s.*").withColumn("base_failed", failed)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_quality_rules,
+    quality_base,
     op2_decontamination,
     op3_token_counts,
     op4_substring_dedup,
