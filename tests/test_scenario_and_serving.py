@@ -113,6 +113,18 @@ def test_two_batches_of_one_track_are_one_track(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(out)
 
 
+def test_sessions_of_visits_and_codes(spark):
+    """Session windows, here over a batch: two stays in the zone; a code's stay isn't ended by another code."""
+    from trackloom.streaming import live
+
+    low = [{"t": 60 * k, "lat": 0.8, "lon": 104.0, "alt": 2000.0} for k in (*range(4), *range(30, 33))]
+    found = sorted((r.zone, r.samples) for r in live.session_visits(rows(spark, low)).collect())
+    assert found == [("riau-border-watch", 3), ("riau-border-watch", 4)]
+    codes = ["7700", "7700", "2000", "7700", None, "7600"]
+    held = live.session_squawks(rows(spark, [{"t": 60 * k, "squawk": c} for k, c in enumerate(codes)])).collect()
+    assert [(r.squawk, r.samples) for r in held] == [("7700", 3)]
+
+
 def test_collected_writes_reports_and_ledger_once(spark, tmp_path):
     from trackloom.streaming import live
 
@@ -140,7 +152,7 @@ def test_poll_source(spark, tmp_path):
     assert late.us == r.received_us - 1_000_000
     stream = spark.readStream.format("trackloom_poll").option("url", url).load()
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable() if False else query.awaitTermination(8)
+    query.awaitTermination(8)
     query.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() >= 1
 

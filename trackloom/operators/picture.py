@@ -155,12 +155,18 @@ def evidence_feed(incidents: DataFrame) -> DataFrame:
     phrase = F.coalesce(known[F.col("detector")], F.col("incident_type"))
     zone = lookup(F.col("zone_id"), "name")
     ev = lambda k: F.coalesce(F.get_json_object("evidence", f"$.{k}"), F.lit("?"))
+
+    def tenths(k: str) -> Column:
+        """A number as text, also if JSON has it with an exponent."""
+        x = F.get_json_object("evidence", f"$.{k}").try_cast("double")
+        return F.when(x.isNotNull(), F.format_string("%.1f", x)).otherwise("?")
+
     # The wording of titles and summaries.
     detail = (
         F.when(F.col("detector") == "jamming", F.concat(F.lit(" — "), ev("aircraft_degraded"), F.lit("/"), ev("aircraft_observed"), F.lit(" aircraft degraded (worst-NIC cluster)")))
-        .when(F.col("detector") == "gap", F.concat(F.lit(" — silent "), ev("gap_minutes"), F.lit(" min at altitude, reappearing "), ev("displacement_km"), F.lit(" km displaced")))
-        .when(F.col("detector") == "incursion", F.concat(F.lit(" — dwelling "), ev("dwell_minutes"), F.lit(" min below the altitude floor")))
-        .when(F.col("detector") == "spoof", F.concat(F.lit(" — implied speed "), ev("max_implied_speed_kt"), F.lit(" kt (impossible)")))
+        .when(F.col("detector") == "gap", F.concat(F.lit(" — silent "), tenths("gap_minutes"), F.lit(" min at altitude, reappearing "), tenths("displacement_km"), F.lit(" km displaced")))
+        .when(F.col("detector") == "incursion", F.concat(F.lit(" — dwelling "), tenths("dwell_minutes"), F.lit(" min below the altitude floor")))
+        .when(F.col("detector") == "spoof", F.concat(F.lit(" — implied speed "), tenths("max_implied_speed_kt"), F.lit(" kt (impossible)")))
         .otherwise("")
     )
     plane = F.concat(F.lit("aircraft "), F.col("icao24"))
