@@ -28,7 +28,7 @@ bytes. They only order the shingles: any order gives the same links.
 Defined cases: a document without words has an empty set and links with nothing; rows with equal
 sets are of one class, whatever their ids; a row with a null doc_id is searched and linked like any other, and gets
 the component of its links, or null if none of them has an id; extra columns are ignored; an empty
-table gives no rows; texts of any length are read whole, in slices of ``SLICE`` bytes of rows.
+table gives no rows; texts of any length are read whole, in slices of rows of a few MB.
 """
 
 from __future__ import annotations
@@ -74,14 +74,14 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about 4 * ``SLICE`` bytes of a column, or one row."""
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 8 * SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``size`` bytes of a column, or one row."""
     for b in batches:
         data = b[column].cast(pa.large_binary())
         at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
         low = 0
         while low < len(data):
-            high = max(low + 1, int(np.searchsorted(at, at[low] + 4 * SLICE, "right")) - 1)
+            high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
             yield b.slice(low, min(high, len(data)) - low)
             low = high
 
@@ -157,7 +157,10 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """key, times: how many prefix shingles of a class in this part another class has too."""
+    """key, times: a row for each prefix shingle of a class that another class has too, and what batches knew already.
+
+    They are added up per class behind the part: sums per part would be as many as there are parts.
+    """
     gram, key, times = (table[c].to_numpy() for c in ("gram", "key", "times"))
     asked = times <= 0
     order = np.lexsort((key[asked], gram[asked]))
@@ -167,10 +170,7 @@ def _answers(table: pa.Table) -> pa.Table:
     other = new | first_of_runs(k)
     shared = (np.add.reduceat(other.astype(np.int64), starts) > 1) | np.maximum.reduceat(told, starts) if len(g) else np.zeros(0, bool)
     hit = shared[np.cumsum(new) - 1] & other & ~told if len(g) else np.zeros(0, bool)
-    keys = np.concatenate([k[hit], key[~asked]])
-    found, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, np.concatenate([np.ones(int(hit.sum())), times[~asked]]), len(found)) if len(found) else np.zeros(0)
-    return pa.table({"key": pa.array(found), "times": pa.array(total.astype(np.int64))})
+    return pa.table({"key": pa.array(np.concatenate([k[hit], key[~asked]])), "times": pa.array(np.concatenate([np.ones(int(hit.sum()), np.int64), times[~asked].astype(np.int64)]))})
 
 
 def _live(signed: DataFrame, percent: int) -> DataFrame:
