@@ -156,6 +156,25 @@ def test_token_trees_are_kept(spark, docs, tmp_path, monkeypatch):
     assert out.agg(F.max("n_encoded")).first()[0] < 700
 
 
+def test_words_are_hashed_alike_in_pieces_of_any_size(monkeypatch):
+    """Documents, words and single words longer than a piece; empty documents between."""
+    import pyarrow as pa
+
+    from trackloom.llm import hashing
+
+    rng = random.Random(15)
+    texts = ["", " ", *("".join(rng.choices("ab é\n", k=rng.randrange(60))) for _ in range(80)), "x" * 500, "", "x" * 499 + " y", "z" * 64, "é" * 100]
+    whole = hashing.Words(pa.array(texts))
+    assert whole.counts.tolist() == [len(brute.words(t)) for t in texts]
+    said = [w for t in texts for w in brute.words(t)]
+    names: dict = {}
+    assert all(names.setdefault(w, h) == h for w, h in zip(said, whole.hash.tolist(), strict=True)) and len(set(names.values())) == len(set(said))
+    for size in (1, 7, 64, 100):
+        monkeypatch.setattr(hashing, "SLICE", size)
+        part = hashing.Words(pa.array(["pad", *texts]).slice(1))
+        assert (part.hash == whole.hash).all() and (part.doc == whole.doc).all() and (part.counts == whole.counts).all()
+
+
 @pytest.mark.parametrize("blocks", [None, 7])
 def test_substring_dedup(docs, none, monkeypatch, blocks):
     if blocks:
@@ -448,6 +467,25 @@ def test_packing_by_tokens_and_written_out(spark):
     assert Counter(w for r in whole for w in r.text.split()) == Counter(w for _, t, _ in rows for w in t.split())
 
 
+def test_very_long_unbroken_words(spark):
+    """All ten operators on words of 200,000 characters, beside a long ordinary text."""
+    rows = [(1, "a" * 200_000, "s"), (2, "ab cd " * 30_000, "t"), (3, "x" * 200_000 + " 1\n" + "#" * 200_000, "u"), (4, "a" * 200_000, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 1)], LABELS)
+    items = spark.createDataFrame([(1, "A" * 200_000), (2, "ab cd ab cd ab")], "item_id long, text string")
+    assert quality.quality(docs, labels).count() == 4
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 1), (4, 1), (2, 2)}
+    assert token_counts.edited(docs, token_counts.sample_edits()).where("n_tokens > 0").count() == 4
+    assert {r.doc_id: r.n_removed for r in substring_dedup.repeats_removed(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs)).collect()} == {1: "hex:0:200000", 2: "", 3: "", 4: "hex:0:200000"}
+    turns = spark.createDataFrame([(1, 0, "user", rows[0][1]), (1, 1, "assistant", rows[2][1])], "conv_id long, turn long, role string, text string")
+    assert chat_format.digest(chat_format.expand(turns)).first().loss_chars == len(rows[2][1])
+    assert {r.doc_id: r.component_id for r in ngram_join.linked(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert toxicity.toxicity(docs, labels).count() == 4
+    assert line_dedup.digest(line_dedup.cleaned(docs)).where("n_dropped = 0").count() == 4
+    assert {r.doc_id: r.end for r in packing.pack(docs, 100_000).collect()} == {1: 1, 2: 60_000, 3: 3, 4: 1}
+
+
 def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     """Nulls, empty and repeated rows, ties and tables without rows pass all stages; null ids and wordless rows are never filtered out."""
     import corpus_pipeline as pipeline

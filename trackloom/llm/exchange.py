@@ -8,6 +8,8 @@ that asked. One row is one hash: their number grows with the text, whatever the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +20,10 @@ from .hashing import first_of_runs
 
 #: Bytes of text in a block, and so about the hashes in a part: what one task holds.
 BLOCK_BYTES = 8 << 20
-#: say: ASKS wants to hear if the hash is shared, KNOWS has seen it in two documents; BOTH is heard again for certain.
+#: What a question says besides its block (``asked`` is 4 * block and this): ASKS wants to hear if the hash is shared, KNOWS has seen it
+#: in two documents; BOTH is heard again for certain.
 ASKS, KNOWS, BOTH = 1, 2, 3
-QUESTION = "block int, hash long, say int"
+QUESTION = "asked int, hash long"
 ANSWER = "block int, hash long"
 
 
@@ -35,11 +38,22 @@ def blocked(documents: DataFrame, blocks: int) -> DataFrame:
     return documents.select("doc_id", text_of().alias("text"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"))
 
 
+def by_hash(rows: DataFrame, parts: int, answer, schema: str) -> DataFrame:
+    """``answer`` on all rows of each part of the hash space. Rows carry no part number: they are dealt by the hash itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if own := list(batches):
+            yield from answer(pa.Table.from_batches(own)).to_batches()
+
+    return rows.repartition(parts, "hash").mapInArrow(run, schema)
+
+
 def _elsewhere(table: pa.Table) -> pa.Table:
     """The blocks that asked about a hash that two documents hold."""
-    block, hash_, say = (table[c].to_numpy() for c in ("block", "hash", "say"))
-    order = np.lexsort((block, hash_))
-    block, hash_, say = block[order], hash_[order], say[order]
+    asked, hash_ = table["asked"].to_numpy(), table["hash"].to_numpy()
+    order = np.lexsort((asked, hash_))
+    asked, hash_ = asked[order], hash_[order]
+    block, say = asked >> 2, asked & 3
     if not len(block):
         return pa.table({"block": pa.array(block, pa.int32()), "hash": pa.array(hash_, pa.int64())})
     new = first_of_runs(hash_)
@@ -52,4 +66,4 @@ def _elsewhere(table: pa.Table) -> pa.Table:
 
 
 def answered(questions: DataFrame, parts: int) -> DataFrame:
-    return questions.withColumn("part", F.pmod("hash", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_elsewhere, ANSWER)
+    return by_hash(questions, parts, _elsewhere, ANSWER)

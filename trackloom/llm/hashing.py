@@ -7,16 +7,18 @@ words' hashes. Words are runs of bytes other than U+0009 to U+000D and U+0020, w
 
 from __future__ import annotations
 
-from functools import lru_cache
+import contextlib
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text hashed at a time, at least one document.
-SLICE = 1 << 21
+#: Bytes of text hashed at a time.
+SLICE = 1 << 20
 BASE = U(0x9E3779B97F4A7C13)  # odd, and 3 modulo 4
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
+LENGTH = U(0xD6E8FEB86659FD93)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,15 +38,20 @@ FOLDED = BYTES.copy()
 FOLDED[65:91] = BYTES[97:123]
 
 
-@lru_cache(4)
+_POWERS = [np.ones(0, U), np.ones(0, U)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, U), np.full(n, INVERSE, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    """At least n powers of the base and of its inverse; a worker keeps one table of each."""
+    if n > len(_POWERS[0]):
+        up, down = np.full(n, BASE, U), np.full(n, INVERSE, U)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return _POWERS[0], _POWERS[1]
 
 
 class Words:
-    """hash, start and end (bytes in ``data``) and doc (row) of every word of an Arrow text column."""
+    """hash and doc (row) of every word of an Arrow text column, and the number of words of each row (``counts``)."""
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> None:
         if isinstance(texts, pa.ChunkedArray):
@@ -54,40 +61,62 @@ class Words:
         _, at, data = texts.buffers()
         self.offsets = np.frombuffer(at, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
         self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        parts = []
-        lo = 0
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(self.offsets, self.offsets[lo] + SLICE, "right")) - 1)
-            hi = min(hi, n)
-            parts.append(self._slice(lo, hi, FOLDED if fold_case else BYTES))
-            lo = hi
+        table = FOLDED if fold_case else BYTES
+        parts = [self._piece(*p, table) for p in self._pieces()]
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
-        self.hash, self.start, self.end, self.doc = join(0, U), join(1, np.int64), join(2, np.int64), join(3, np.int32)
+        self.hash, self.doc = join(0, U), join(1, np.int32)
         self.counts = np.bincount(self.doc, minlength=n) if n else np.zeros(0, np.int64)
 
-    def _slice(self, lo: int, hi: int, table: np.ndarray):
-        a, b = int(self.offsets[lo]), int(self.offsets[hi])
+    def _boundary(self, a: int, b: int, last: bool) -> int:
+        """The last, or first, place in (a, b] where no word goes on: behind a white space, or between documents; -1 if there is none."""
+        gaps = np.flatnonzero(SPACES[self.data[a:b]])
+        cuts = self.offsets[np.searchsorted(self.offsets, a, "right") : np.searchsorted(self.offsets, b, "right")]
+        found = [int(x[-1 if last else 0]) + more for x, more in ((gaps, a + 1), (cuts, 0)) if len(x)]
+        return -1 if not found else max(found) if last else min(found)
+
+    def _pieces(self):
+        """Runs of bytes [a, b) that hold whole words, of at most ``SLICE`` bytes but for a single longer word."""
+        a, end = int(self.offsets[0]), int(self.offsets[-1])
+        while a < end:
+            b = min(a + SLICE, end)
+            if b < end:
+                cut = self._boundary(a, b, True)
+                while cut < 0:
+                    low, b = b, min(b + SLICE, end)
+                    cut = b if b == end and self._boundary(low, b, False) < 0 else self._boundary(low, b, False)
+                b = cut
+            yield a, b
+            a = b
+
+    def _piece(self, a: int, b: int, table: np.ndarray):
         raw = self.data[a:b]
         n = b - a
-        if not n:
-            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if n > SLICE:  # one word, and perhaps the white space behind it
+            n -= int(SPACES[raw[-1]])
+            up = _powers(SLICE)[0]
+            h, scale = 0, 1
+            for k in range(0, n, SLICE):
+                part = table[raw[k : min(k + SLICE, n)]]
+                h = (h + scale * int((part * up[: len(part)]).sum(dtype=U))) % (1 << 64)
+                scale = scale * pow(int(BASE), SLICE, 1 << 64) % (1 << 64)
+            h = mixed(np.array([h], U) + np.array([n], U) * LENGTH)
+            return h, np.searchsorted(self.offsets, [a], "right").astype(np.int32) - 1
+        lo = int(np.searchsorted(self.offsets, a, "right")) - 1
+        inside = self.offsets[lo : int(np.searchsorted(self.offsets, b, "left")) + 1]
         space = SPACES[raw]
-        cut = np.zeros(n + 1, bool)
-        cut[self.offsets[lo : hi + 1] - a] = True
         apart = np.ones(n + 1, bool)  # nothing of a word lies on both sides of this place
         apart[1:n] = space[:-1] | space[1:]
-        apart |= cut
+        apart[inside[(inside >= a) & (inside <= b)] - a] = True
         start = np.flatnonzero(~space & apart[:-1])
         end = np.flatnonzero(~space & apart[1:]) + 1
-        size = 1 << max(16, (n - 1).bit_length())
-        up, down = _powers(size)
+        up, down = _powers(SLICE)
         sums = np.empty(n + 1, U)
         sums[0] = 0
         np.cumsum(table[raw] * up[:n], out=sums[1:])
         h = (sums[end] - sums[start]) * down[start]
-        h = mixed(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-        doc = np.searchsorted(self.offsets[lo : hi + 1] - a, start, "right") - 1 + lo
-        return h, start + a, end + a, doc.astype(np.int32)
+        h = mixed(h + (end - start).astype(U) * LENGTH)
+        doc = np.searchsorted(inside, start + a, "right") - 1 + lo
+        return h, doc.astype(np.int32)
 
 
 def windows(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +132,13 @@ def windows(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.nda
     return mixed(out), words.doc[:n] == words.doc[width - 1 :]
 
 
+def released() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def first_of_runs(values: np.ndarray) -> np.ndarray:
     out = np.ones(len(values), bool)
     out[1:] = values[1:] != values[:-1]

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exchange import ANSWER, ASKS, BOTH, KNOWS, QUESTION, answered, block_count, blocked
-from .hashing import U, Words, first_of_runs, windows
+from .exchange import ANSWER, ASKS, BOTH, KNOWS, QUESTION, answered, block_count, blocked, by_hash
+from .hashing import SLICE, U, Words, first_of_runs, released, windows
 from .ngram_join import _slices
 
 WINDOW = 13
@@ -69,7 +69,7 @@ def _first(lengths: list[int]):
     """The first level's questions, asked by batches of documents as they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in _slices(batches, size=2 * SLICE):
             words = Words(b["text"])
             hashed, at = _picked(b, words, *lengths[:2])
             doc, block = words.doc[at], b["block"].to_numpy()
@@ -83,7 +83,7 @@ def _first(lengths: list[int]):
             mine = np.flatnonzero(np.repeat(held > 1, held))
             say = np.concatenate([np.where(held > 1, KNOWS, ASKS), np.full(len(mine), BOTH)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array(np.concatenate([block[d[starts]], block[d[mine]]]).astype(np.int32)), "hash": pa.array(np.concatenate([h[starts], h[mine]]).view(np.int64)), "say": pa.array(say)}
+                {"asked": pa.array((4 * np.concatenate([block[d[starts]], block[d[mine]]]) + say).astype(np.int32)), "hash": pa.array(np.concatenate([h[starts], h[mine]]).view(np.int64))}
             )
 
     return run
@@ -134,8 +134,7 @@ class _Block:
         h, d = hashed[order], doc[order]
         starts = np.flatnonzero(first_of_runs(h))
         two = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) if len(d) else np.zeros(0, bool)
-        n = len(starts)
-        return pa.table({"block": pa.array(np.full(n, self.block, np.int32)), "hash": pa.array(h[starts].view(np.int64)), "say": pa.array(np.where(two, BOTH, ASKS).astype(np.int32))})
+        return pa.table({"asked": pa.array((4 * self.block + np.where(two, BOTH, ASKS)).astype(np.int32)), "hash": pa.array(h[starts].view(np.int64))})
 
     def _distinct(self):
         """The distinct candidates of the last level: hash, 32 further bits, smallest doc_id; each candidate's number among them; its place and id."""
@@ -183,7 +182,7 @@ def _earlier(table: pa.Table) -> pa.Table:
 REMOVED = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 EMPTY = {
-    QUESTION: pa.schema([("block", pa.int32()), ("hash", pa.int64()), ("say", pa.int32())]),
+    QUESTION: pa.schema([("asked", pa.int32()), ("hash", pa.int64())]),
     LAST: pa.schema([("block", pa.int32()), ("hash", pa.int64()), ("more", pa.int32()), ("low", pa.int64())]),
     REMOVED: pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string()), ("spans", SPANS)]),
 }
@@ -208,7 +207,7 @@ def _removed(table: pa.Table | pa.RecordBatch, words: Words, gone: np.ndarray) -
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
+    for b in _slices(batches, size=2 * SLICE):
         words = Words(b["text"])
         yield pa.RecordBatch.from_pydict(_removed(b, words, np.zeros(len(words.hash), bool)))
 
@@ -228,10 +227,15 @@ def repeats_removed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def each(work, schema: str) -> DataFrame:
         """``work`` on every block that has documents, with what it has heard."""
+
+        def one(t: pa.Table, a: pa.Table | None) -> pa.Table:
+            out = work(_Block(t, a, window)) if t.num_rows else EMPTY[schema].empty_table()
+            released()
+            return out
+
         if heard is None:
-            return blocks.groupBy("block").applyInArrow(lambda t: work(_Block(t, None, window)), schema)
-        none = EMPTY[schema].empty_table()
-        return blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda t, a: work(_Block(t, a, window)) if t.num_rows else none, schema)
+            return blocks.groupBy("block").applyInArrow(lambda t: one(t, None), schema)
+        return blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(one, schema)
 
     for level in range(last):
         asked = blocks.mapInArrow(_first(lengths), QUESTION) if level == 0 else each(lambda b, k=level: b.ask(k), QUESTION)
@@ -240,8 +244,7 @@ def repeats_removed(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             return blocks.mapInArrow(_whole, REMOVED)
         answers = _heard(answers, level)
         heard = answers if heard is None else heard.unionByName(answers)
-    asked = each(lambda b: b.ask_last(), LAST).withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
-    answers = _heard(asked.groupBy("part").applyInArrow(_earlier, f"{ANSWER}, more int"), last)
+    answers = _heard(by_hash(each(lambda b: b.ask_last(), LAST), parts, _earlier, f"{ANSWER}, more int"), last)
     heard = answers if heard is None else heard.unionByName(answers)
     return each(lambda b: pa.table(_removed(b.table, b.words, b.covered())), REMOVED)
 
