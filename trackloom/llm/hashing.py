@@ -2,7 +2,7 @@
 
 A word's hash is a polynomial over its bytes, each replaced by a random number, modulo 2**64; words
 are found at all places at once through a prefix sum. A window's hash is a polynomial over its
-words' hashes. Words are runs of bytes other than U+0009 to U+000D and U+0020, within one document.
+words' hashes. Words are runs of bytes other than U+0009 to U+000D and U+0020 (or other ``breaks``), within one document.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 BYTES = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 FOLDED = BYTES.copy()
 FOLDED[65:91] = BYTES[97:123]
+#: Breaks of terms rather than words: every ASCII character that is no letter or digit.
+TERM_BREAKS = np.zeros(256, bool)
+TERM_BREAKS[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
 _POWERS = [np.ones(0, U), np.ones(0, U)]
@@ -53,7 +56,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """hash and doc (row) of every word of an Arrow text column, and the number of words of each row (``counts``)."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> None:
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, fold_case: bool = False, breaks: np.ndarray = SPACES) -> None:
+        self.breaks = breaks
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_string())
@@ -69,7 +73,7 @@ class Words:
 
     def _boundary(self, a: int, b: int, last: bool) -> int:
         """The last, or first, place in (a, b] where no word goes on: behind a white space, or between documents; -1 if there is none."""
-        gaps = np.flatnonzero(SPACES[self.data[a:b]])
+        gaps = np.flatnonzero(self.breaks[self.data[a:b]])
         cuts = self.offsets[np.searchsorted(self.offsets, a, "right") : np.searchsorted(self.offsets, b, "right")]
         found = [int(x[-1 if last else 0]) + more for x, more in ((gaps, a + 1), (cuts, 0)) if len(x)]
         return -1 if not found else max(found) if last else min(found)
@@ -92,7 +96,7 @@ class Words:
         raw = self.data[a:b]
         n = b - a
         if n > SLICE:  # one word, and perhaps the white space behind it
-            n -= int(SPACES[raw[-1]])
+            n -= int(self.breaks[raw[-1]])
             up = _powers(SLICE)[0]
             h, scale = 0, 1
             for k in range(0, n, SLICE):
@@ -103,7 +107,7 @@ class Words:
             return h, np.searchsorted(self.offsets, [a], "right").astype(np.int32) - 1
         lo = int(np.searchsorted(self.offsets, a, "right")) - 1
         inside = self.offsets[lo : int(np.searchsorted(self.offsets, b, "left")) + 1]
-        space = SPACES[raw]
+        space = self.breaks[raw]
         apart = np.ones(n + 1, bool)  # nothing of a word lies on both sides of this place
         apart[1:n] = space[:-1] | space[1:]
         apart[inside[(inside >= a) & (inside <= b)] - a] = True

@@ -9,6 +9,7 @@ from __future__ import annotations
 from .chat_format import CONTROL, END, SEP, START
 from .line_dedup import CONSTANT, DEPTH, LONG, MIN_DOCUMENTS, STEP
 from .quality import MAX_REPEATED, MIN_WORDS
+from .search import BEST, TERM
 from .secret_scan import BASE, RULES
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -125,6 +126,18 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines
   sha256(CASE WHEN len(gone) > 0 THEN array_to_string(list_transform(list_filter(range(1, len(ls)+1), lambda i: NOT list_contains(gone, i-1)), lambda i: ls[i]), chr(10)) ELSE text END) AS kept_sha256 FROM done
 """
 
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+own AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM own),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000*ln((2*docs+2)/(2*df+1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY 1), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, r, sum(times*w*((1000000000*tf)//(1000*tf+8*(100-75+((75*n*docs)//total)))))::BIGINT AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN own USING (r), s GROUP BY ALL),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored JOIN own USING (r) WHERE score > 0)
+SELECT * FROM placed WHERE rank <= {BEST}
+"""
+
 ORACLES: dict[str, str] = {
     "quality_base": QUALITY_BASE,
     "op2_decontamination": OP2,
@@ -133,4 +146,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": OP6,
     "op7_ngram_join": OP7,
     "op9_line_dedup": OP9,
+    "op12_ranked_search": OP12,
 }
