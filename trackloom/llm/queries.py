@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, search, secret_scan, substring_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, search, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from .common import table, text_of
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents, cluster=F.col("cluster"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ _ALL = (
     op8_toxicity,
     op9_line_dedup,
     op10_packing,
+    op11_simhash,
     op12_ranked_search,
 )
 QUERIES = {f.__name__: f for f in _ALL}
