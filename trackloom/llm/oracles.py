@@ -138,6 +138,38 @@ placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT * FROM placed WHERE rank <= {BEST}
 """
 
+# CRC-32, bit by bit: its polynomial, reversed, is a fixed value.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k)+1), lambda i: ascii(k[i])::BIGINT)), lambda h, c: list_reduce(list_prepend(xor(h, c), list_transform(range(8), lambda x: x::BIGINT)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+_BLANK = r"[\x20\x09-\x0D]"
+# States: 0 empty, 1 behind the system turn, 2 behind a user's, 3 behind an assistant's. Best ends of a conversation, from its last row back.
+OP13 = f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, coalesce(conv_id::VARCHAR,' ')||':'||coalesce(turn::VARCHAR,' ') AS k FROM conversations),
+hit AS (SELECT *, {_CRC} % 20 AS f FROM keyed),
+rows_ AS (SELECT conv_id, turn, CASE WHEN f=4 THEN 'user' ELSE role END AS role, CASE WHEN f=1 THEN '' WHEN f=2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hit, range(CASE WHEN f=0 THEN 0 WHEN f=3 THEN 2 ELSE 1 END) r(again)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, left(role, 1) AS c FROM rows_),
+marked AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?]{_BLANK}*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM placed),
+goes(c, s, t) AS (VALUES ('s',0,1), ('u',0,2), ('u',1,2), ('u',3,2), ('a',2,3)),
+adds(s, n, t) AS (SELECT s, 0, s FROM range(4) x(s) UNION ALL SELECT s, 1, t FROM goes WHERE c<>'s' UNION ALL SELECT a.s, 2, b.t FROM goes a JOIN goes b ON a.c<>'s' AND b.c<>'s' AND a.t=b.s),
+ways AS (SELECT m.conv_id, m.i, adds.s, g.t, 2*n + price + CASE WHEN e<>'D' AND fault='truncated' THEN 1 ELSE 0 END AS cost, repeat('I', n)||e AS said
+  FROM marked m, adds, (SELECT c, s, t, 'K' AS e, 0 AS price FROM goes UNION ALL SELECT NULL, s, t, 'R', 2 FROM goes WHERE c<>'s' UNION ALL SELECT NULL, s, s, 'D', 3 FROM range(4) x(s)) g
+  WHERE g.s = adds.t AND (g.c IS NULL OR g.c = m.c) AND (e='D' OR fault NOT IN ('blank','duplicate'))),
+n AS (SELECT conv_id, count(*) AS n FROM marked GROUP BY 1),
+best(conv_id, i, s, cost, said) AS (SELECT conv_id, n+1, s, 2*v, repeat('I', v) FROM n, (VALUES (0,0), (1,2), (2,1), (3,0)) x(s, v)
+  UNION ALL (SELECT w.conv_id, w.i, w.s, min(w.cost+b.cost), arg_min(w.said||b.said, struct_pack(c := w.cost+b.cost, x := w.said||b.said))
+    FROM best b JOIN ways w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i-1 AND w.t = b.s GROUP BY ALL)),
+chosen AS (SELECT conv_id, cost, said FROM best WHERE i=1 AND s=0),
+letters AS (SELECT conv_id, said, p, said[p] AS e, count(*) FILTER (said[p]<>'I') OVER (PARTITION BY conv_id ORDER BY p) AS i,
+  count(*) FILTER (said[p]<>'D') OVER (PARTITION BY conv_id ORDER BY p) AS o FROM chosen, unnest(range(1, length(said)+1)) u(p)),
+turns AS (SELECT l.conv_id, l.p, CASE WHEN e='K' THEN m.role ELSE CASE WHEN (o + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END||':'||CASE WHEN e='I' THEN '' ELSE m.text END AS line
+  FROM letters l JOIN (SELECT conv_id, count(*) FILTER (e<>'D') % 2 AS odd FROM letters GROUP BY 1) q ON q.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i WHERE e<>'D'),
+hashed AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS whole FROM turns GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault='blank') AS blank, count(*) FILTER (fault='duplicate') AS duplicate, count(*) FILTER (fault='truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su','ua','au')) AS illegal FROM marked GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps,0)::BIGINT AS gaps, coalesce(blank,0) AS blank, coalesce(duplicate,0) AS duplicate, coalesce(truncated,0) AS truncated, coalesce(illegal,0) AS illegal, coalesce(cost,0)::BIGINT AS cost, coalesce(said,'') AS audit, sha256(coalesce(whole,'')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN chosen b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashed h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "quality_base": QUALITY_BASE,
     "op2_decontamination": OP2,
@@ -147,4 +179,5 @@ ORACLES: dict[str, str] = {
     "op7_ngram_join": OP7,
     "op9_line_dedup": OP9,
     "op12_ranked_search": OP12,
+    "op13_structure_repair": OP13,
 }

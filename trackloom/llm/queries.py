@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, search, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, repair, search, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from .common import table, text_of
 
 
@@ -67,6 +67,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digest(rows, repair.damaged(rows))
+
+
 _ALL = (
     op1_quality_rules,
     quality_base,
@@ -81,5 +86,6 @@ _ALL = (
     op10_packing,
     op11_simhash,
     op12_ranked_search,
+    op13_structure_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
