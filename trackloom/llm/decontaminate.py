@@ -9,12 +9,12 @@ the items by size (powers of two of their shingle count). An item's sketch is th
 its shingles that may be missing, and ``SPARE`` more. A document's sketch in a partition is all its
 hashes up to the largest one in the partition's item sketches (MinHash at a threshold), so that a short passage in a
 long document is in it; a document has a sketch only in partitions whose smallest item it is long enough
-to contain. The share of an item's sketch that a document's has estimates the containment; a pair is a
+to contain. Rows with equal ids are one document whose length isn't known from one row; they have sketches in all partitions. The share of an item's sketch that a document's has estimates the containment; a pair is a
 candidate if it is as much as a true pair can't fall below: of a sketch, at most the shingles that may
 be missing are missing. So no true pair is lost.
 
-Of a document's sketch only hashes that a Bloom filter of the item sketches holds leave the row. Its
-size is bounded (``BLOOM_BITS``), so it goes to all executors whatever the number of items.
+Of a document's sketch only hashes that a Bloom filter of the item sketches holds leave the row: it grows with the items'
+sketches (``BITS_EACH``) up to a bound (``BLOOM_BITS``), so it can go to all executors.
 
 Verification. Candidate documents are read again and the real shingles are compared.
 
@@ -36,8 +36,10 @@ WIDTH = 5
 CONTAINMENT = 80
 #: Hashes of an item's sketch beyond those that may be missing: a true pair has so many in common at least.
 SPARE = 4
-#: At this size the filter is 128 KB; with over 100,000 hashes in the sketches it lets more pass, and nothing else changes.
-BLOOM_BITS = 1 << 20
+#: Bits of the filter for each hash of the item sketches, and at most: 64 MB, enough for 30 million hashes. Beyond, more pass and nothing else changes.
+BITS_EACH, BLOOM_BITS = 16, 1 << 29
+#: Shingles of the items are sent to all executors only up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def clean_words(text: Column) -> Column:
@@ -111,7 +113,7 @@ def search(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, conta
     sketch = stored(sketches(benchmark, width, containment))
     # One row for each power of two, so at most 31.
     parts = sketch.groupBy("part").agg(F.min("n").alias("least"), F.max("hash").alias("limit")).collect()
-    bits = min(BLOOM_BITS, 1 << max(13, (16 * sketch.count()).bit_length()))
+    bits = min(BLOOM_BITS, 1 << max(13, (BITS_EACH * sketch.count() - 1).bit_length()))
     bloom = stored(_bloom(sketch, bits))
 
     def held(x: Column) -> Column:
@@ -119,10 +121,11 @@ def search(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, conta
         return one & two
 
     def under(h: Column, x: Column) -> Column:
-        return x <= F.array_max(F.array(F.lit(-(2**63)), *[F.when(F.size(h) * 100 >= p["least"] * containment, F.lit(p["limit"])) for p in parts]))
+        return x <= F.array_max(F.array(F.lit(-(2**63)), *[F.when(F.col("_again") | (F.size(h) * 100 >= p["least"] * containment), F.lit(p["limit"])) for p in parts]))
 
     found = let(document_hashes(text_of(), _widths(benchmark, width) or [width]), lambda h: F.array_distinct(F.filter(h, lambda x: held(x) & under(h, x))))
-    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bloom.scalar().alias("_bloom"))
+    repeated = stored(documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
+    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(small(repeated), "doc_id", "left").select("doc_id", "text", F.coalesce("again", F.lit(False)).alias("_again"), bloom.scalar().alias("_bloom"))
     sent = named.select("doc_id", F.explode(found).alias("hash"))
     met = sent.join(small(sketch.select("item_id", "need", "hash")), "hash").distinct()
     return met.groupBy("doc_id", "item_id", "need").agg(F.count(F.lit(1)).alias("common")).where("common >= need").select("doc_id", "item_id")
@@ -139,7 +142,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     wanted = items.join(small(pairs.select("item_id").distinct()), "item_id", "left_semi")
     widths = _widths(benchmark, width) or [width]
     said = suspects.select("doc_id", F.explode(F.array_distinct(let(clean_words(text_of()), lambda w: F.concat(*[shingles(w, k) for k in widths])))).alias("shingle"))
-    matched = said.join(small(stored(wanted)), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"))
+    wanted = stored(wanted)
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("shingle")), F.lit(0))).first()[0]
+    matched = said.join(small(wanted) if size <= BROADCAST_BYTES else wanted.hint("merge"), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"))
     return (
         matched.join(pairs, ["doc_id", "item_id"], "left_semi")
         .join(sizes, "item_id")

@@ -55,10 +55,13 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n
 
 def _kind(n: int) -> str:
     r = RULES[n]
-    p = r.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {n} AS k, '{r.kind}' AS kind, s, s+length(m) AS e FROM (SELECT doc_id, ms[i] AS m,
+    # DuckDB's expressions can't look behind: the character before is part of the match, and taken off.
+    p, group = (f"(?:^|[^{r.apart[1:-1]}])({r.pattern})", 1) if r.apart else (r.pattern, r.group)
+    p = p.replace("'", "''")
+    own = f"regexp_extract(m, '{p}', {1 if r.apart else 0})"
+    return f"""SELECT doc_id, {n} AS k, '{r.kind}' AS kind, s+length(m)-length({own}) AS s, s+length(m) AS e FROM (SELECT doc_id, ms[i] AS m,
       (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
-      FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d), unnest(range(1, len(ms)+1)) r(i)) WHERE length(regexp_extract(m, '{p}', {r.group})) >= {r.least}"""
+      FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d), unnest(range(1, len(ms)+1)) r(i)) WHERE length(regexp_extract(m, '{p}', {group})) >= {r.least}"""
 
 
 OP5 = f"""

@@ -7,7 +7,7 @@ rule, and ``scan`` runs a rule's expression only on its candidates. A rule witho
 trigram is run on every text.
 
 Defined cases: a null text is empty; documents with a null or repeated doc_id are scanned row by
-row like any other (candidates of a repeated id are the union of its rows'); extra columns are
+row like any other (candidates of a repeated id are the union of its rows', those of rows without one go by their texts); extra columns are
 ignored; an empty table gives no rows; whole texts of any length are scanned.
 """
 
@@ -26,12 +26,21 @@ from .common import let, small, stored, text_of
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind`` names the spans. A match counts if its group ``group`` (0: all of it) has ``least`` code points."""
+    """``kind`` names the spans. A match counts if its group ``group`` (0: all of it) has ``least`` code points.
+
+    ``apart``: a class of characters none of which stands right before a match. A pattern that begins inside its own first run needs
+    it: else a long run is read again from each place where it could begin.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    apart: str = ""
+
+    @property
+    def bounded(self) -> str:
+        return f"(?<!{self.apart}){self.pattern}" if self.apart else self.pattern
 
 
 #: The base kinds, in the order that breaks ties, then the method's own.
@@ -48,7 +57,7 @@ BASE = (
 EXTRA = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", apart="[A-Za-z0-9_-]"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("live_key", r"[sr]k_(live|test)_[A-Za-z0-9]{16,}"),
@@ -57,6 +66,8 @@ RULES = BASE + EXTRA
 
 #: An expression is expanded to at most so many exact strings before it is cut there.
 EXPANSIONS = 64
+#: Matches whose places are put together at a time.
+PIECE = 256
 
 
 def _strings(tree) -> list[set[str] | None]:
@@ -130,21 +141,26 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return max(trigram_clauses(pattern), key=lambda c: min(map(len, c)), default=[])
 
 
+def row_key() -> list[Column]:
+    """What a row's candidates are found by: its id, or its text if it has none, so that rows without an id are no one key."""
+    return [F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.xxhash64(text_of())).alias("key")]
+
+
 def postings(documents: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index over ``trigrams``: (trigram number, doc_id), one row for each document that holds it."""
+    """The inverted index over ``trigrams``: (trigram number, unnamed, key), one row for each document that holds it."""
     low = F.lower(text_of())
     held = let(low, lambda t: F.filter(F.array(*[F.when(t.contains(g), F.lit(i)) for i, g in enumerate(trigrams)]), lambda x: x.isNotNull()))
-    return documents.select("doc_id", F.explode(held).alias("trigram"))
+    return documents.select(*row_key(), F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: list[list[list[frozenset[str]]]], trigrams: list[str]) -> DataFrame:
-    """(doc_id, rules): the rules, as an array of numbers, whose Boolean query (all clauses, of each one alternative) the document's postings meet.
+    """(unnamed, key, rules): the rules, as an array of numbers, whose Boolean query (all clauses, of each one alternative) the document's postings meet.
 
     Postings are intersected as bit sets: one bit a trigram, ored together before the shuffle.
     """
     words = -(-len(trigrams) // 60)
     bit = lambda w: F.bit_or(F.when((F.col("trigram") / 60).cast("int") == w, F.expr("shiftleft(1L, trigram % 60)")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}")
-    have = index.groupBy("doc_id").agg(*[bit(w) for w in range(words)])
+    have = index.groupBy("unnamed", "key").agg(*[bit(w) for w in range(words)])
     place = {g: i for i, g in enumerate(trigrams)}
 
     def holds(grams: frozenset[str]) -> Column:
@@ -155,16 +171,16 @@ def candidates(index: DataFrame, queries: list[list[list[frozenset[str]]]], trig
         return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(holds, ways)) for ways in clauses])
 
     rules = F.array(*[F.when(met(q), F.lit(r)) for r, q in enumerate(queries) if q])
-    return have.select("doc_id", F.array_compact(rules).alias("rules")).where(F.size("rules") > 0)
+    return have.select("unnamed", "key", F.array_compact(rules).alias("rules")).where(F.size("rules") > 0)
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """All matches of a rule as structs (start, order, end, kind): code points, end exclusive, leftmost and not overlapping."""
-    whole = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
+    whole = F.regexp_extract_all(text, F.lit(f"({rule.bounded})"), F.lit(1))
     if rule.kind == "hex":
         # Runs are maximal either way; the shorter ones needn't be listed first.
         whole = F.regexp_extract_all(text, F.lit("([0-9a-f]{32,})"), F.lit(1))
-    between = F.split(text, "[0-9a-f]{32,}" if rule.kind == "hex" else rule.pattern, -1)
+    between = F.split(text, "[0-9a-f]{32,}" if rule.kind == "hex" else rule.bounded, -1)
 
     def placed(found: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
@@ -174,9 +190,19 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
             good = F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least
             return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>").alias("spans"))
+        spans = "array<struct<start:int,order:int,end:int,kind:string>>"
         pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        return F.aggregate(pairs, zero, step, lambda a: a["spans"])
+
+        def piece(acc: Column, own: Column) -> Column:
+            inner = F.aggregate(own, F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("spans")), step)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], F.array(x["spans"])).alias("spans")))
+
+        def pieces(all_: Column) -> Column:
+            # An array that grows by one is copied each time, so matches are put together piece by piece.
+            cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda k: F.slice(all_, k * PIECE + 1, PIECE))
+            return F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("spans")), piece, lambda a: F.flatten(a["spans"]))
+
+        return let(pairs, pieces)
 
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     return let(whole, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
@@ -187,15 +213,14 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = [trigram_clauses(r.pattern) for r in rules]
     trigrams = sorted({g for clauses in queries for ways in clauses for way in ways for g in way})
     found = stored(candidates(postings(documents, trigrams), queries, trigrams))
-    known = documents.select("doc_id", text_of().alias("text")).alias("d")
-    # eqNullSafe: documents without an id have their candidates too.
-    marked = known.join(small(found).alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
+    known = documents.select("doc_id", text_of().alias("text"), *row_key())
+    marked = known.join(small(found), ["unnamed", "key"], "left")
     parts = []
     for n, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         spans = _spans(F.col("text"), rule, n)
         none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
         parts.append(F.when(F.array_contains("rules", n), spans).otherwise(none) if query else spans)
-    return marked.select(F.col("d.doc_id").alias("doc_id"), F.array_sort(F.concat(*parts)).alias("spans"))
+    return marked.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def digest(found: DataFrame, base: int = len(BASE)) -> DataFrame:

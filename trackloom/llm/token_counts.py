@@ -203,9 +203,14 @@ def trees(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULA
     @F.pandas_udf("tree binary, n_tokens long")
     def build(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, vocabulary)
+
+        def saved(text: str | None) -> tuple[bytes, int]:
+            tree = TokenTree(text or "", enc)
+            return tree.saved(), tree.total
+
         for s in texts:
-            made = [TokenTree(x or "", enc) for x in s]
-            yield pd.DataFrame({"tree": [t.saved() for t in made], "n_tokens": [t.total for t in made]})
+            # One tree at a time: only what is saved of it stays.
+            yield pd.DataFrame([saved(x) for x in s], columns=["tree", "n_tokens"])
 
     name = fresh(documents, "_tc")
     others = [c for c in documents.columns if c not in ("tree", "n_tokens")]
