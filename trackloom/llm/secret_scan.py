@@ -212,9 +212,10 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, spans: array of (start, order, end, kind) by start, then by the order of the rules."""
     queries = [trigram_clauses(r.pattern) for r in rules]
     trigrams = sorted({g for clauses in queries for ways in clauses for way in ways for g in way})
-    found = stored(candidates(postings(documents, trigrams), queries, trigrams))
-    known = documents.select("doc_id", text_of().alias("text"), *row_key())
-    marked = known.join(small(found), ["unnamed", "key"], "left")
+    marked = documents.select("doc_id", text_of().alias("text"), *row_key())
+    if trigrams:
+        found = stored(candidates(postings(documents, trigrams), queries, trigrams))
+        marked = marked.join(small(found), ["unnamed", "key"], "left")
     parts = []
     for n, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         spans = _spans(F.col("text"), rule, n)
