@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,9 +20,14 @@ from ..settings import DEFAULTS, MINUTE_US, Settings
 from .incidents import incidents
 
 
-def worst(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Per finest cell (fi, fj), bucket and aircraft: nic (the worst), alt (at the first report with it), nac_p, times, region."""
-    keyed = reports.select(
+def worst_of() -> list[Column]:
+    """What is kept of an aircraft's reports in a finest cell and bucket."""
+    return [F.min("at").alias("at"), F.min("nac_p").alias("nac_p"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("named").alias("named")]
+
+
+def keyed(reports: DataFrame, s: Settings = DEFAULTS, *more: str) -> DataFrame:
+    """Reports with their finest cell (fi, fj) and bucket, and what ``worst_of`` aggregates."""
+    return reports.select(
         cell(F.col("lat"), s.cell_deg).alias("fi"),
         cell(F.col("lon"), s.cell_deg).alias("fj"),
         F.expr(f"us div {s.window_minutes * MINUTE_US}").alias("bucket"),
@@ -31,18 +36,25 @@ def worst(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
         "nac_p",
         "us",
         F.when(F.col("region").isNotNull(), F.struct("id", "region")).alias("named"),
-    )
-    return keyed.groupBy("fi", "fj", "bucket", "icao24").agg(
-        F.min("at").alias("at"), F.min("nac_p").alias("nac_p"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("named").alias("named")
+        *more,
     )
 
 
+def worst(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Per finest cell (fi, fj), bucket and aircraft: nic (the worst), alt (at the first report with it), nac_p, times, region."""
+    return keyed(reports, s).groupBy("fi", "fj", "bucket", "icao24").agg(*worst_of())
+
+
 def levels(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Judged cells of all levels and the finest cells that none could judge.
 
     level, ci, cj, bucket, cell_deg, scoreable, aircraft (array of struct: icao24, nic, alt, nac_p), start_us, end_us, region
     """
-    rows = worst(reports, s)
+    return levels_of(worst(reports, s), s)
+
+
+def levels_of(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``levels`` of what ``worst`` gives, of whole buckets."""
     top = s.coarsen_levels
     keys = {lv: [F.floor(F.col(c) / 2**lv).cast("long") for c in ("fi", "fj")] for lv in range(top + 1)}
     rows = rows.withColumns({"_ti": keys[top][0], "_tj": keys[top][1]}).repartition("_ti", "_tj", "bucket")
@@ -100,7 +112,12 @@ def coverage(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def detect(reports: DataFrame, s: Settings = DEFAULTS, region: str | None = None) -> DataFrame:
-    fired = judged(levels(reports, s).where("scoreable"), s).where(F.col("fraction") >= s.bad_fraction)
+    return detected(levels(reports, s), s, region)
+
+
+def detected(cells: DataFrame, s: Settings = DEFAULTS, region: str | None = None) -> DataFrame:
+    """The incidents of the cells that ``levels`` gives."""
+    fired = judged(cells.where("scoreable"), s).where(F.col("fraction") >= s.bad_fraction)
     alts = F.array_sort(F.transform(F.filter("degraded", lambda a: a["alt"].isNotNull()), lambda a: F.bround(a["alt"], -2)))
     fired = fired.withColumn("alts", alts)
     evidence = [

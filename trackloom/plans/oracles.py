@@ -338,4 +338,8 @@ QUERY |= {
 }
 CTE["late"] = f"SELECT * FROM {values([(1, 0, 500_000_000, None, 'a'), (2, 700_000_000, 900_000_000, None, 'a'), (3, 950_000_000, None, None, 'a'), (4, 0, None, 5_000_000, None), (5, 400_000_000, None, None, None)], ['BIGINT'] * 4 + ['VARCHAR'])} r(id,started_us,last_message_us,stopped_us,region)"
 
+# A stream, however it is cut and out of order, has the rows of the table.
+QUERY |= {streamed: QUERY[batch] for streamed, batch in {"grid_streamed": "coverage_levels", "squawk_streamed": "squawk_incidents", "outages_streamed": "outage_from_heartbeats", "pauses_streamed": "poll_pauses", "tracks_streamed": "tracks"}.items()}
+QUERY["jamming_streamed"] = one("jammed")
+
 ORACLES = {name: with_ctes(sql) if not sql.lstrip().upper().startswith("WITH") else with_ctes(sql).replace(" WITH ", ", ", 1) for name, sql in QUERY.items()}

@@ -15,7 +15,9 @@ from ..operators import anomaly, evaluation, gaps, incremental, ingest, jamming,
 from ..settings import DEFAULTS, HOUR_US
 from ..sources import ledger, positions, scenario, snapshots
 from ..sources.positions import EPOCH_US, scan
-from ..streaming import live
+from ..storage import shared_folder
+from ..streaming import grid, live, ordered, store
+from . import streams
 from ..zones import frame, geojson, zone_for, zones_at
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -698,5 +700,70 @@ def anomaly_auc(spark, d):
     return evaluation.auc(scored)
 
 
+@query
+def grid_streamed(spark, d):
+    """The fall-through grid, of reports that come as a stream of files out of order."""
+    home = shared_folder(spark)
+    reports = streams.streamed(spark, streams.landed(pos(spark, d)))
+    streams.run(grid.judged_buckets(reports, f"{home}/cells", f"{home}/incidents", f"{home}/checkpoint", delay=streams.DELAY))
+    return spark.read.parquet(f"{home}/cells").select("level", "scoreable", "ci", "cj", "bucket", F.size("aircraft").cast("long").alias("aircraft"))
+
+
+@query
+def jamming_streamed(spark, d):
+    """Area incidents of the same stream."""
+    home = shared_folder(spark)
+    reports = streams.streamed(spark, streams.landed(pos(spark, d)))
+    streams.run(grid.judged_buckets(reports, f"{home}/cells", f"{home}/incidents", f"{home}/checkpoint", delay=streams.DELAY))
+    return flat(spark.read.parquet(f"{home}/incidents"))
+
+
+@query
+def squawk_streamed(spark, d):
+    """Emergency codes of a stream, by value-aware sessions."""
+    home = shared_folder(spark)
+    reports = streams.streamed(spark, streams.landed(pos(spark, d)))
+    streams.run(streams.appended(ordered.stays(reports, delay=streams.DELAY), f"{home}/stays", f"{home}/checkpoint"))
+    found = ordered.incidents_of_stays(spark.read.parquet(f"{home}/stays"))
+    return flat(found, F.col("evidence.samples").alias("samples"))
+
+
+def beats_of(spark: SparkSession, d: str) -> DataFrame:
+    """Poll outcomes made of the events: five regions; a click is a failure."""
+    e = events(spark, d)
+    return e.select((F.col("user_id") % 5).cast("string").alias("region"), "us", F.col("event_id").alias("id"), (F.col("event_type") != "click").alias("ok"), F.lit(False).alias("stop"))
+
+
+@query
+def outages_streamed(spark, d):
+    """The outage ledger's failures, kept by a state machine on a stream of poll outcomes."""
+    home = shared_folder(spark)
+    beats = streams.streamed(spark, streams.landed(beats_of(spark, d)))
+    streams.run(streams.appended(ordered.outages(beats, replace(DEFAULTS, poll_seconds=300), streams.DELAY), f"{home}/changes", f"{home}/checkpoint"))
+    told = ordered.ledger(spark.read.parquet(f"{home}/changes"))
+    return told.where("reason = 'failures'").select(F.col("region").cast("long").alias("region"), "opened_us", "closed_us")
+
+
+@query
+def pauses_streamed(spark, d):
+    """The outage ledger's pauses on the same stream, those that have ended."""
+    home = shared_folder(spark)
+    beats = streams.streamed(spark, streams.landed(beats_of(spark, d)))
+    streams.run(streams.appended(ordered.outages(beats, replace(DEFAULTS, poll_seconds=300), streams.DELAY), f"{home}/changes", f"{home}/checkpoint"))
+    told = ordered.ledger(spark.read.parquet(f"{home}/changes"))
+    return told.where("reason = 'pause' AND closed_us IS NOT NULL").select(F.col("region").cast("long").alias("region"), "opened_us", "closed_us")
+
+
+@query
+def tracks_streamed(spark, d):
+    """Tracks kept current by pruned cycles on a stream whose reports come late: equal to those of all reports."""
+    home = shared_folder(spark)
+    reports = streams.streamed(spark, streams.landed(pos(spark, d))).where("icao24 IS NOT NULL")
+    kept = store.Store(spark, home)
+    streams.run(reports.writeStream.foreachBatch(kept.cycle).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True))
+    out = kept.tracks()
+    return out.select("track_id", "icao24", "point_count", r("distance_km"), "start_us", "end_us", "region", r("start_lat"), r("start_lon"), r("end_lat"), r("end_lon"))
+
+
 FLAGSHIP: Query = QUERIES["air_picture_aircraft"]
 
