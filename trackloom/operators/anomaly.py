@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
+from ..storage import kept
+from . import baselines
+from .evaluation import quantiles
 from .incidents import incidents
 from .tracks import descriptor, resampled
 
@@ -249,11 +252,12 @@ def scale_over(sequences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(sequences: DataFrame, epochs: int = 60, most: int = MOST_TRACKS, least: int = LEAST_TRACKS) -> Model | None:
     """A model with weights from at most ``most`` tracks, and scale and threshold from all; None with fewer than ``least``."""
+    sequences = kept(sequences.select("track_id", "sequence"))  # read three times
     x = sample_of(sequences, most)
     if len(x) < least:
         return None
     model = train(x, epochs=epochs, scale=scale_over(sequences))
-    model.threshold = float(scored(sequences, model).agg(F.percentile("error", F.lit(0.99))).first()[0])
+    model.threshold = float(quantiles(scored(sequences, model), "error", [0.99])[0])
     return model
 
 
@@ -282,14 +286,19 @@ def freeze(sequences: DataFrame, path: str | Path, least: int = 20, epochs: int
 
 
 def benchmark(sequences: DataFrame, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), epochs: int = 60, most: int = MOST_TRACKS) -> dict[str, dict[str, float]]:
-    """How stably each model ranks the same tracks (at most ``most``) over several seeds."""
+    """How stably each model ranks all tracks over several seeds. The recurrent ones are fitted on at most ``most`` tracks; a model without randomness repeats itself."""
+    sequences = kept(sequences.select("track_id", "sequence", "features"))
     x = sample_of(sequences, most)
-    flat_ = x.reshape(len(x), -1)
-    return {
-        "recurrent": stability([train(x, epochs=epochs, seed=k).errors(x) for k in seeds]),
-        "isolation": stability([isolation_scores(flat_, seed=k) for k in seeds]),
-        "pca": stability([pca_errors(flat_) for _ in seeds]),
+    pca = baselines.components(sequences)
+    if pca is None:
+        return {}
+    scale = scale_over(sequences)
+    runs = {
+        "recurrent": [scored(sequences, train(x, epochs=epochs, seed=k, scale=scale)).select("track_id", F.col("error").alias("score")) for k in seeds],
+        "isolation": [baselines.isolated(sequences, baselines.forest(sequences, seed=k)).select("track_id", "score") for k in seeds],
+        "pca": [baselines.rebuilt(sequences, pca).select("track_id", F.col("error").alias("score"))] * len(seeds),
     }
+    return {name: baselines.stability([kept(r) for r in own]) for name, own in runs.items()}
 
 
 def detect(sequences: DataFrame, model: Model | None = None, epochs: int = 60) -> DataFrame:

@@ -56,6 +56,29 @@ def ranked(values: DataFrame, value: str, band: Column) -> DataFrame:
     return by.join(sums, "_band").select(value, "n", (F.col("_before") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("below"), "total")
 
 
+#: Bands that are made from the values themselves.
+EDGE_COUNT = 200
+
+
+def banded(values: DataFrame, value: str) -> Column:
+    """Bands of about equal numbers of rows for ``ranked``: any edges will do, so they are estimated."""
+    edges = values.agg(F.percentile_approx(value, [k / EDGE_COUNT for k in range(1, EDGE_COUNT)], 10_000)).first()[0] or []
+    known = F.array(*[F.lit(float(x)) for x in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    return F.size(F.filter(known, lambda e: e <= F.col(value)))
+
+
+def quantiles(values: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, linear between neighbours, without all values in one task; null without rows."""
+    at = ranked(values.where(F.col(value).isNotNull()), value, banded(values, value))
+    out = []
+    for q in shares:
+        place = F.lit(q) * (F.col("total") - 1)
+        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+        low, high = (F.max(F.when(holds(k), F.col(value))) for k in (F.floor(place), F.ceil(place)))
+        out.append(low + (high - low) * F.max(place - F.floor(place)))
+    return list(at.agg(*out).first())
+
+
 def speed_percentiles(positions: DataFrame) -> DataFrame:
     """Percentiles of the steps' speeds, linear between neighbours, and the highest."""
     band = F.least(F.floor(F.col("speed_kt") / BAND_KT), F.lit(BANDS)).cast("long")

@@ -338,6 +338,13 @@ QUERY |= {
 }
 CTE["late"] = f"SELECT * FROM {values([(1, 0, 500_000_000, None, 'a'), (2, 700_000_000, 900_000_000, None, 'a'), (3, 950_000_000, None, None, 'a'), (4, 0, None, 5_000_000, None), (5, 400_000_000, None, None, None)], ['BIGINT'] * 4 + ['VARCHAR'])} r(id,started_us,last_message_us,stopped_us,region)"
 
+QUERY["rank_stability"] = """m AS (SELECT track_id, k, CASE k WHEN 0 THEN point_count::DOUBLE WHEN 1 THEN round(distance_km,3) ELSE round((end_us-start_us)/60e6::DOUBLE,3) END AS score FROM tracks, range(3) r(k)),
+  rk AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY score) + (count(*) OVER (PARTITION BY k, score) - 1)/2.0::DOUBLE AS rk, row_number() OVER (PARTITION BY k ORDER BY score DESC, track_id) AS place FROM m),
+  c AS (SELECT a.k AS i, b.k AS j, corr(a.rk, b.rk) AS c, count(*) FILTER (a.place <= 10 AND b.place <= 10)/count(*) FILTER (a.place <= 10 OR b.place <= 10)::DOUBLE AS o FROM rk a JOIN rk b ON a.track_id = b.track_id AND a.k < b.k GROUP BY ALL),
+  s AS (SELECT k, quantile_cont(score, 0.9)/greatest(quantile_cont(score, 0.5), 1e-12::DOUBLE) AS s FROM m GROUP BY k)
+  SELECT round((SELECT avg(c) FROM c),6) AS spearman, round((SELECT avg(o) FROM c),6) AS top_overlap, round((SELECT avg(s) FROM s),6) AS separation"""
+QUERY["rank_stability"] = "WITH " + QUERY["rank_stability"]
+
 # A stream, however it is cut and out of order, has the rows of the table.
 QUERY |= {streamed: QUERY[batch] for streamed, batch in {"grid_streamed": "coverage_levels", "squawk_streamed": "squawk_incidents", "outages_streamed": "outage_from_heartbeats", "pauses_streamed": "poll_pauses", "tracks_streamed": "tracks"}.items()}
 QUERY["jamming_streamed"] = one("jammed")

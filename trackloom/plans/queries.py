@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import grading
 from ..functions.geo import equirect_nm, in_ring
 from ..functions.timefn import micros
-from ..operators import anomaly, evaluation, gaps, incremental, ingest, jamming, picture, sequences, serving, tracks, visits
+from ..operators import anomaly, baselines, evaluation, gaps, incremental, ingest, jamming, picture, sequences, serving, tracks, visits
 from ..settings import DEFAULTS, HOUR_US
 from ..sources import ledger, positions, scenario, snapshots
 from ..sources.positions import EPOCH_US, scan
@@ -765,5 +765,36 @@ def tracks_streamed(spark, d):
     return out.select("track_id", "icao24", "point_count", r("distance_km"), "start_us", "end_us", "region", r("start_lat"), r("start_lon"), r("end_lat"), r("end_lon"))
 
 
+@query
+def pca_errors(spark, d):
+    """Every track's error when rebuilt from the components of all tracks."""
+    seq = tracks.sequences(pos(spark, d))
+    fitted = baselines.components(seq)
+    return baselines.rebuilt(seq, fitted).select("track_id", r("error", 9))
+
+
+@query
+def isolation_scores(spark, d):
+    """Every track's score in an isolation forest whose trees are grown from samples of all tracks."""
+    seq = tracks.sequences(pos(spark, d))
+    return baselines.isolated(seq, baselines.forest(seq)).select("track_id", r("score", 9))
+
+
+@query
+def rank_stability(spark, d):
+    """How alike three measures rank all tracks: points, distance and duration."""
+    t = tracks.tracks(pos(spark, d))
+    measures = [F.col("point_count").cast("double"), F.round("distance_km", 3), F.round((F.col("end_us") - F.col("start_us")) / 60e6, 3)]
+    found = baselines.stability([t.select("track_id", m.alias("score")) for m in measures])
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)).select(*[r(k) for k in found])
+
+
+@query
+def model_stability(spark, d):
+    """How stably the recurrent model and its baselines rank all tracks over seeds."""
+    found = anomaly.benchmark(tracks.sequences(pos(spark, d)), (1, 2, 3), epochs=10)
+    return spark.createDataFrame([(name, *x.values()) for name, x in found.items()], "model string, spearman double, top_overlap double, separation double")
+
+
 FLAGSHIP: Query = QUERIES["air_picture_aircraft"]
 

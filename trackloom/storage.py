@@ -26,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
 def overwritten(df: DataFrame, path: str, *partition: str) -> None:
     """Writes ``df``, replacing the partitions it has rows for and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: derived once, however often it is read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
