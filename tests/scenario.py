@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .positions import EPOCH_US
+from trackloom.sources.positions import EPOCH_US
 
 # The scenario's clock, the area of lost integrity and its window (steps), and what is staged.
 STEP_S, STEPS = 30, 120

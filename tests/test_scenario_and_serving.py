@@ -13,7 +13,8 @@ from trackloom.operators import anomaly, evaluation, gaps, incremental, ingest,
 from trackloom.operators.incidents import flat
 from trackloom.plans import reports
 from trackloom.settings import Settings
-from trackloom.sources import ledger, poll, positions, scenario, snapshots
+import scenario
+from trackloom.sources import ledger, poll, positions, snapshots
 
 
 @pytest.fixture(scope="module")

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import equirect_nm, haversine_km
 from ..functions.timefn import iso
-from ..settings import DEFAULTS, HOUR_US, MINUTE_US, Settings
+from ..settings import DAY_US, DEFAULTS, MINUTE_US, Settings
 from .incidents import Spec, described
 from .sequences import pairs
 
-DAY_US = 24 * HOUR_US
-
 
 def days(lo: Column, hi: Column) -> Column:
     """The days that a span touches: the equi-join key of spans that may overlap."""

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..settings import DEFAULTS, Settings
+from ..settings import DAY_US, DEFAULTS, Settings
 
 SECOND = 1_000_000
-DAY_US = 86_400 * SECOND
 #: What makes two reports the same: aircraft, second, source and region.
 KEY = ["icao24", "second", "source", "region"]
 

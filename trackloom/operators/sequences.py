@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..settings import DAY_US
+
 
 def order(*keys: str) -> W:
     return W.partitionBy(*(keys or ("icao24",))).orderBy("us", "id")
@@ -56,9 +58,25 @@ def last_by(column: str | Column, name: str) -> Column:
 
 
 def merged_intervals(intervals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(start_us, end_us) with those that touch or overlap merged, per key."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("start_us", "end_us")
-    before = F.max("end_us").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", (before.isNull() | (F.col("start_us") > before)).cast("int"))
-    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return marked.groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_island")
+    """(start_us, end_us) with those that touch or overlap merged, per key.
+
+    Intervals are put in order within the day on which they start. What earlier days reach to, and how many merged ones they have,
+    comes from one row a day: so no task holds more than a day of a key, with keys or without.
+    """
+    dated = intervals.select(*keys, "start_us", "end_us", F.floor(F.col("start_us") / DAY_US).cast("long").alias("_day"))
+    days = W.partitionBy(*keys, F.lit(0)).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy(*keys, "_day").orderBy("start_us", "end_us")
+
+    def met(rows: DataFrame, per_day: DataFrame) -> DataFrame:
+        other = per_day.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_day").alias("_d"), per_day.columns[-1])
+        on = F.col("_day") == F.col("_d")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return rows.join(other, on).drop("_d", *[f"_k{i}" for i in range(len(keys))])
+
+    reach = dated.groupBy(*keys, "_day").agg(F.max("end_us").alias("_end")).withColumn("_reach", F.max("_end").over(days)).drop("_end")
+    before = F.greatest("_reach", F.max("end_us").over(own.rowsBetween(W.unboundedPreceding, -1)))
+    marked = met(dated, reach).withColumn("_before", before).withColumn("_new", (F.col("_before").isNull() | (F.col("start_us") > F.col("_before"))).cast("int"))
+    counts = marked.groupBy(*keys, "_day").agg(F.sum("_new").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(days), F.lit(0))).drop("_n")
+    island = F.col("_offset") + F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return met(marked, counts).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_island")

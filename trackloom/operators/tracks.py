@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.timefn import iso
-from ..settings import DEFAULTS, MINUTE_US, Settings
+from ..settings import DAY_US, DEFAULTS, MINUTE_US, Settings
 from .sequences import first_by, islands, last_by, order
 
 
@@ -111,10 +111,16 @@ def sequences(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def geometry(tracks_: DataFrame, positions: DataFrame) -> DataFrame:
-    """Per track, the reports between its start and end, of its region if it has one, in order: one join, not one per track."""
-    t, p = tracks_.alias("t"), positions.alias("p")
+    """Per track, the reports between its start and end, of its region if it has one, in order.
+
+    They meet by aircraft and day, so an address that very many reports share is split by days.
+    """
+    day = lambda us: F.floor(us / DAY_US).cast("long")
+    t = tracks_.withColumn("day", F.explode(F.sequence(day(F.col("start_us")), day(F.col("end_us"))))).alias("t")
+    p = positions.withColumn("day", day(F.col("us"))).alias("p")
     on = (
         (F.col("t.icao24") == F.col("p.icao24"))
+        & (F.col("t.day") == F.col("p.day"))
         & F.col("p.us").between(F.col("t.start_us"), F.col("t.end_us"))
         & (F.col("t.region").isNull() | F.col("t.region").eqNullSafe(F.col("p.region")))
     )

@@ -219,8 +219,6 @@ QUERY: dict[str, str] = {
     "hourly_incidents": "SELECT start_us - start_us%3600000000 AS hour_us, "
     + ", ".join(f"count(*) FILTER (detector='{d}') AS {d}" for d in ("jamming", "gap", "incursion", "spoof", "squawk"))
     + " FROM incidents GROUP BY 1",
-    "hourly_outage": f"""SELECT {EPOCH_US}::BIGINT + h*600000000 AS hour_us, round(sum((least(e,{EPOCH_US}+(h+1)*600000000)-greatest(s,{EPOCH_US}+h*600000000))/60000000.0::DOUBLE),6) AS outage_minutes
-      FROM (SELECT opened_us AS s, coalesce(closed_us,{EPOCH_US + 3_600_000_000}) AS e FROM outages), range(0,7) r(h) WHERE least(e,{EPOCH_US}+(h+1)*600000000)>greatest(s,{EPOCH_US}+h*600000000) GROUP BY 1""",
     "clock_hour_profile": """SELECT (hour_us//3600000000+8)%24 AS local_hour, count(*) AS samples, round(avg(reports),6) AS reports_mean, round(stddev_pop(reports),6) AS reports_spread, round(avg(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_mean,
       round(stddev_pop(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_spread FROM (SELECT epoch_us(ts)-epoch_us(ts)%3600000000 AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cell_windows, count(*) FILTER (event_type='purchase') AS unscoreable FROM events GROUP BY 1)
       WHERE cell_windows>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1""",
@@ -270,12 +268,10 @@ QUERY: dict[str, str] = {
       r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY region ORDER BY us) AS run FROM b),
       f AS (SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY us) AS nth FROM r WHERE NOT ok), c AS (SELECT region, run-1 AS run, min(us) AS closed_us FROM r WHERE ok GROUP BY ALL)
       SELECT f.region, f.us AS opened_us, c.closed_us FROM f LEFT JOIN c USING (region, run) WHERE nth=3""",
-    "bridge_runs": """SELECT id AS run_id, region, before AS opened_us, started_us AS closed_us FROM (SELECT *, lag(coalesce(last_message_us,stopped_us,started_us)) OVER (PARTITION BY region ORDER BY id) AS before FROM late) WHERE started_us-before>120000000""",
     "air_sea_correlate": f"""WITH e AS (SELECT incident_id, lat, lon, start_us AS us, detector FROM incidents WHERE lat BETWEEN 0.5 AND 2.0 AND lon BETWEEN 102.5 AND 104.8)
       SELECT a.incident_id AS air_doc_id, s.incident_id AS sea_doc_id, round(abs(a.us-s.us)/60000000.0::DOUBLE,6) AS delta_minutes, round({km('a.lat', 'a.lon', 's.lat', 's.lon')},6) AS distance_km FROM e a JOIN e s
       ON floor(a.lat/0.5::DOUBLE)=floor(s.lat/0.5::DOUBLE) AND floor(a.lon/0.5::DOUBLE)=floor(s.lon/0.5::DOUBLE) AND abs(a.us-s.us)<=1200000000 WHERE a.detector IN ('spoof','squawk','gap') AND s.detector IN ('jamming','incursion')""",
     "rate_limit": """SELECT event_id AS id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000-1 PRECEDING AND CURRENT ROW) AS in_window FROM events""",
-    "zones_table": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{z.kind}',{str(z.sensitive).lower()},{z.lat[0]}::DOUBLE,{z.lon[0]}::DOUBLE,{z.lat[1]}::DOUBLE,{z.lon[1]}::DOUBLE)" for z in REGISTRY) + ") v(zone_id,kind,sensitive,min_lat,min_lon,max_lat,max_lon)",
 }
 def _number(x: float) -> str:
     return repr(float(x))
@@ -312,7 +308,6 @@ QUERY |= {
     "track_resample": "SELECT track_id, k, round(lat,6) AS lat, round(lon,6) AS lon, round(alt,6) AS alt_kft FROM resampled",
     "track_sequence": """SELECT track_id, n AS point_count, 63 AS steps, 315 AS width, round(sum(north),4) AS north_km, round(sum(east),4) AS east_km, round(sum(sqrt(north*north+east*east)),4) AS length_km,
       round(coalesce(sum(abs(atan2(sin(turn),cos(turn)))),0),4) AS turned, round(sum(climb),4) AS climb_kft FROM turned GROUP BY 1,2""",
-    "zones_geojson": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{_feature(z)}')" for z in REGISTRY) + ") v(zone_id,feature)",
     "parse_snapshot": """SELECT 'a'||user_id AS icao24, trunc(((epoch_us(ts)//1000)::DOUBLE/1000.0::DOUBLE-(event_id%90)::DOUBLE)*1000000.0::DOUBLE)::BIGINT AS us, CASE WHEN event_id%17>0 THEN 'F'||user_id END AS callsign, (user_id%180-90)::DOUBLE AS lat, (user_id%360-180)::DOUBLE AS lon,
       CASE WHEN event_id%5<>0 THEN (event_id%40000)::DOUBLE END AS alt_baro_ft, CASE WHEN event_id%7<>0 THEN (event_id%500)::DOUBLE END AS gs_kt, event_id%5=0 AS on_ground, CASE event_id%3 WHEN 0 THEN 7 WHEN 1 THEN 8 END AS nic
       FROM events WHERE event_id%11<>0 AND event_id%19<>0 AND event_id%13<>0 AND event_id%90<=60""",
@@ -325,7 +320,6 @@ QUERY |= {
     "phase_notes": "SELECT incident_id, CASE WHEN alt_known=0 THEN 'unknown' WHEN terminal=0 THEN 'all above' WHEN terminal=alt_known THEN 'all below' ELSE 'mixed' END AS phase FROM jammed",
     "ring_membership": f"SELECT id FROM positions WHERE ({' AND '.join(_SIDES)}) OR NOT ({' OR '.join(_SIDES)})",
     "jamming_incremental": f"SELECT incident_id, affected_count FROM jammed WHERE start_us>={EPOCH_US + 1_200_000_000}",
-    "refreshed_incidents": f"SELECT incident_id, region, CASE WHEN region='north' AND end_us>={EPOCH_US + 1_200_000_000} THEN round(score,6) ELSE 0.0::DOUBLE END AS score FROM incidents WHERE detector<>'jamming'",
     "squawk_stays": "SELECT icao24, squawk, count(*) AS samples, min(us) AS start_us, max(us) AS end_us FROM sqseg GROUP BY icao24, island, squawk",
     "track_list": "SELECT track_id, start_us FROM tracks ORDER BY start_us, track_id LIMIT 50",
     "aircraft_list": "SELECT icao24, min(us) AS first_us, max(us) AS last_us FROM positions GROUP BY 1 ORDER BY icao24 LIMIT 100",
@@ -333,10 +327,32 @@ QUERY |= {
       WHERE incident_id=(SELECT min(incident_id) FROM incidents WHERE detector='spoof')""",
     "track_features": "SELECT t.track_id, count(*) AS points, round(arg_min(p.lon,p.us),6) AS first_lon, round(arg_max(p.lat,p.us),6) AS last_lat FROM tracks t JOIN positions p ON p.icao24=t.icao24 AND p.us BETWEEN t.start_us AND t.end_us AND (t.region IS NULL OR p.region=t.region) GROUP BY 1",
     "aircraft_track": f"SELECT us, {ISO.format('make_timestamp(us)')} AS ts, round(lon,6) AS lon, round(lat,6) AS lat, coalesce(alt,0.0::DOUBLE) AS alt_ft, nic, nac AS nac_p, region FROM positions WHERE icao24='a00007'",
-    "last_runs": "SELECT id, region, report_count FROM runs ORDER BY id DESC LIMIT 2",
-    "scenario_scores": "SELECT * FROM (VALUES ('gap',2::BIGINT,2::BIGINT,2::BIGINT,1.0::DOUBLE,1.0::DOUBLE),('incursion',1,1,1,1.0,1.0),('spoof',1,1,1,1.0,1.0),('squawk',1,1,1,1.0,1.0)) v(detector,tp,wanted,found,recall,precision)",
 }
-CTE["late"] = f"SELECT * FROM {values([(1, 0, 500_000_000, None, 'a'), (2, 700_000_000, 900_000_000, None, 'a'), (3, 950_000_000, None, None, 'a'), (4, 0, None, 5_000_000, None), (5, 400_000_000, None, None, None)], ['BIGINT'] * 4 + ['VARCHAR'])} r(id,started_us,last_message_us,stopped_us,region)"
+_INSIDE = " UNION ALL ".join(f"SELECT '{z}' AS zone_id FROM positions WHERE {c}" for z, c in _zone_cases(REGISTRY))
+CTE["zoned"] = _INSIDE
+CTE["day_runs"] = """SELECT epoch_us(ts)//86400000000*5 + user_id%5 AS id, min(epoch_us(ts)) AS started_us, max(epoch_us(ts)) AS last_message_us, user_id%5 AS region, count(*) AS report_count FROM events GROUP BY user_id%5, epoch_us(ts)//86400000000"""
+CTE["beaten"] = QUERY["outage_from_heartbeats"]
+QUERY |= {
+    "last_runs": "SELECT id, region, report_count FROM day_runs ORDER BY id DESC LIMIT 12",
+    "bridge_runs": "SELECT id AS run_id, region, before AS opened_us, started_us AS closed_us FROM (SELECT *, lag(last_message_us) OVER (PARTITION BY region ORDER BY id) AS before FROM day_runs) WHERE started_us-before>120000000",
+    "zones_table": "SELECT v.*, coalesce(n,0) AS reports FROM (VALUES " + ",".join(f"('{z.zone_id}','{z.kind}',{str(z.sensitive).lower()},{z.lat[0]}::DOUBLE,{z.lon[0]}::DOUBLE,{z.lat[1]}::DOUBLE,{z.lon[1]}::DOUBLE)" for z in REGISTRY)
+    + ") v(zone_id,kind,sensitive,min_lat,min_lon,max_lat,max_lon) LEFT JOIN (SELECT zone_id, count(*) AS n FROM zoned GROUP BY 1) z USING (zone_id)",
+    "zones_geojson": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{_feature(z)}')" for z in REGISTRY) + ") v(zone_id,feature) SEMI JOIN zoned USING (zone_id)",
+    "hourly_outage": """WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts))+1 AS hi FROM events), o AS (SELECT greatest(opened_us, lo) AS s, least(coalesce(closed_us, hi), hi) AS e FROM beaten, span WHERE least(coalesce(closed_us, hi), hi) > opened_us),
+      k AS (SELECT *, max(e) OVER (ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), g AS (SELECT *, sum((before IS NULL OR s>before)::INT) OVER (ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS i FROM k),
+      m AS (SELECT min(s) AS s, max(e) AS e FROM g GROUP BY i), h AS (SELECT s, e, unnest(range(s - s%3600000000, e+1, 3600000000)) AS hour_us FROM m)
+      SELECT hour_us, round(sum((least(e,hour_us+3600000000)-greatest(s,hour_us))/60e6::DOUBLE),6) AS outage_minutes FROM h GROUP BY 1 HAVING sum(least(e,hour_us+3600000000)-greatest(s,hour_us))>0""",
+}
+# One region's grid since an aligned time: the same expressions over its reports alone.
+_SINCE = EPOCH_US + 1_200_000_000
+_GRID = ["integ", "l0", "left1", "l1", "left2", "l2", "celled", "perplane", "cells", "fired", "jammed"]
+CTE["north_positions"] = f"SELECT * FROM positions WHERE region='north' AND us>={_SINCE}"
+for _name in _GRID:
+    CTE[f"north_{_name}"] = re.sub(r"\b(" + "|".join(["positions", *_GRID]) + r")\b", lambda m: f"north_{m[1]}", CTE[_name])
+QUERY["refreshed_incidents"] = f"""SELECT incident_id, detector, region, CASE WHEN region='north' AND end_us>={_SINCE} THEN round(score,6) ELSE 0.0::DOUBLE END AS score FROM incidents WHERE detector<>'jamming'
+  UNION ALL SELECT incident_id, 'jamming', 'north', round(score,6) FROM north_jammed
+  UNION ALL SELECT incident_id, detector, region, 0.0::DOUBLE FROM jammed j WHERE NOT (region IS NOT DISTINCT FROM 'north' AND start_us>={_SINCE})
+    AND NOT EXISTS (SELECT 1 FROM north_jammed n WHERE n.incident_id=j.incident_id AND j.region IS NOT DISTINCT FROM 'north')"""
 
 QUERY["rank_stability"] = """m AS (SELECT track_id, k, CASE k WHEN 0 THEN point_count::DOUBLE WHEN 1 THEN round(distance_km,3) ELSE round((end_us-start_us)/60e6::DOUBLE,3) END AS score FROM tracks, range(3) r(k)),
   rk AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY score) + (count(*) OVER (PARTITION BY k, score) - 1)/2.0::DOUBLE AS rk, row_number() OVER (PARTITION BY k ORDER BY score DESC, track_id) AS place FROM m),

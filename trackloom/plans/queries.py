@@ -13,7 +13,7 @@ from ..functions.geo import equirect_nm, in_ring
 from ..functions.timefn import micros
 from ..operators import anomaly, baselines, evaluation, gaps, incremental, ingest, jamming, picture, sequences, serving, tracks, visits
 from ..settings import DEFAULTS, HOUR_US
-from ..sources import ledger, positions, scenario, snapshots
+from ..sources import ledger, positions, snapshots
 from ..sources.positions import EPOCH_US, scan
 from ..storage import shared_folder
 from ..streaming import grid, live, ordered, store
@@ -354,8 +354,12 @@ def hourly_incidents(spark, d):
 
 @query
 def hourly_outage(spark, d):
-    out = evaluation.outage_minutes(ledger.outages(spark), ledger.runs(spark), None, at(0), at(3600), width=HOUR_US // 6)
-    return out.select("hour_us", r("outage_minutes"))
+    """Minutes of outage an hour, of the outages that the poll outcomes of all regions make."""
+    beats = beats_of(spark, d)
+    outages = ingest.outages_of_beats(beats).withColumn("run_id", F.col("region").cast("long"))
+    runs = beats.select("region", F.col("region").cast("long").alias("id")).distinct()
+    lo, hi = beats.agg(F.min("us"), F.max("us")).first()
+    return evaluation.outage_minutes(outages, runs, None, lo or 0, (hi or 0) + 1).select("hour_us", r("outage_minutes"))
 
 
 @query
@@ -531,7 +535,7 @@ def refreshed_incidents(spark, d):
     since = at(1200)
     recent = incremental.recent_incidents(p, runs, outages, since, region="north")
     old = every(spark, d).withColumn("score", F.lit(0.0))
-    return incremental.refreshed_incidents(old, recent, since, "north").where(F.col("detector") != "jamming").select("incident_id", "region", r("score"))
+    return incremental.refreshed_incidents(old, recent, since, "north").select("incident_id", "detector", "region", r("score"))
 
 
 @query
@@ -573,23 +577,17 @@ def aircraft_track(spark, d):
     return serving.aircraft_track(pos(spark, d), "a00007").select("us", "ts", r("lon"), r("lat"), "alt_ft", "nic", "nac_p", "region")
 
 
-@query
-def last_runs(spark, d):
-    return serving.last_runs(ledger.runs(spark), 2).select("id", "region", "report_count")
-
-
-@query
-def scenario_positions(spark, d):
-    return scenario.positions(spark).select("id", "icao24", "us", r("lat"), r("lon"), r("alt_baro_ft", 4), r("gs_kt", 4), "squawk", "nic", "nac_p", "callsign")
+def runs_of_days(spark: SparkSession, d: str) -> DataFrame:
+    """A run a day and region of the events: its first and last message and how many there were."""
+    e = events(spark, d).select((F.col("user_id") % 5).alias("region"), "us")
+    per = e.groupBy("region", F.floor(F.col("us") / (24 * HOUR_US)).cast("long").alias("day"))
+    runs = per.agg(F.min("us").alias("started_us"), F.max("us").alias("last_message_us"), F.count(F.lit(1)).alias("report_count"))
+    return runs.select((F.col("day") * 5 + F.col("region")).alias("id"), "started_us", "last_message_us", F.lit(None).cast("long").alias("stopped_us"), "region", "report_count")
 
 
 @query
-def scenario_scores(spark, d):
-    """Recall and precision of each detector on the labelled scenario."""
-    p = scenario.positions(spark)
-    none = ledger.outages(spark).limit(0)
-    found = picture.all_incidents(p, ledger.runs(spark).limit(0), none)
-    return evaluation.scores(scenario.labels(spark).select("kind", "icao24"), found).select("detector", "tp", "wanted", "found", r("recall"), r("precision"))
+def last_runs(spark, d):
+    return serving.last_runs(runs_of_days(spark, d), 12).select("id", "region", "report_count")
 
 
 @query
@@ -645,9 +643,7 @@ def outage_from_heartbeats(spark, d):
 
 @query
 def bridge_runs(spark, d):
-    rows = [(1, 0, 500_000_000, None, "a"), (2, 700_000_000, 900_000_000, None, "a"), (3, 950_000_000, None, None, "a"), (4, 0, None, 5_000_000, None), (5, 400_000_000, None, None, None)]
-    runs = spark.createDataFrame(rows, "id long, started_us long, last_message_us long, stopped_us long, region string")
-    return ingest.bridged(runs).drop("reason")
+    return ingest.bridged(runs_of_days(spark, d)).drop("reason")
 
 
 @query
@@ -665,13 +661,18 @@ def rate_limit(spark, d):
 
 @query
 def zones_table(spark, d):
+    """The zones, with the reports inside each."""
     box = lambda n, f, k: f(F.transform("polygon", lambda p: p[k])).alias(n)
-    return frame(spark).select("zone_id", "kind", "sensitive", box("min_lat", F.array_min, "lat"), box("min_lon", F.array_min, "lon"), box("max_lat", F.array_max, "lat"), box("max_lon", F.array_max, "lon"))
+    seen = pos(spark, d).select(F.explode(zones_at(F.col("lat"), F.col("lon"))).alias("zone_id")).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"))
+    zones = frame(spark).select("zone_id", "kind", "sensitive", box("min_lat", F.array_min, "lat"), box("min_lon", F.array_min, "lon"), box("max_lat", F.array_max, "lat"), box("max_lon", F.array_max, "lon"))
+    return zones.join(seen, "zone_id", "left").select(*zones.columns, F.coalesce("n", F.lit(0)).cast("long").alias("reports"))
 
 
 @query
 def zones_geojson(spark, d):
-    return geojson(spark)
+    """The features of the zones that have reports."""
+    seen = pos(spark, d).select(F.explode(zones_at(F.col("lat"), F.col("lon"))).alias("zone_id")).distinct()
+    return geojson(spark).join(seen, "zone_id", "left_semi")
 
 
 @query
