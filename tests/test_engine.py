@@ -206,12 +206,6 @@ def test_in_ring_of_a_triangle_and_too_few_corners(spark):
     assert tuple(r) == (True, False, False)
 
 
-def test_simplified_line():
-    line = [(0.0, 0.0), (0.0, 1.0), (0.001, 2.0), (1.0, 3.0)]
-    assert [(p["lat"], p["lon"]) for p in geo._kept(line, 5.0)] == [(0.0, 0.0), (0.001, 2.0), (1.0, 3.0)]
-    assert len(geo._kept(line[:2], 5.0)) == 2
-
-
 def test_grades(spark):
     r = spark.range(1).select(
         grading.severity(F.lit(0.85)), grading.severity(F.lit(0.39)), grading.reliability(F.lit(8)), grading.reliability(F.lit(8), F.lit(False)), grading.reliability(F.lit(2), F.lit(False)),

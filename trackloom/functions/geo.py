@@ -52,39 +52,3 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     walked = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), crossed)
     near = lat.between(box["min_lat"], box["max_lat"]) & lon.between(box["min_lon"], box["max_lon"])
     return F.when((n >= 3) & near, walked).otherwise(False)
-
-
-def simplified(points: Column, tolerance_km: float) -> Column:
-    """Douglas-Peucker on an array of (lat, lon) structs, in a vectorised UDF: recursion has no SQL form."""
-    import pandas as pd
-
-    @F.pandas_udf("array<struct<lat:double,lon:double>>")
-    def simplify(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda line: _kept([(p["lat"], p["lon"]) for p in line], tolerance_km))
-
-    return simplify(points)
-
-
-def _kept(line: list[tuple[float, float]], tolerance_km: float) -> list[dict[str, float]]:
-    import numpy as np
-
-    if len(line) < 3:
-        return [{"lat": a, "lon": b} for a, b in line]
-    at = np.array(line, float)
-    flat = np.column_stack([at[:, 1] * np.cos(np.radians(at[:, 0].mean())), at[:, 0]]) * 111.0
-    keep = np.zeros(len(line), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(line) - 1)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < 2:
-            continue
-        a, d = flat[lo], flat[hi] - flat[lo]
-        off = flat[lo + 1 : hi] - a
-        length = float(np.hypot(*d))
-        far = np.abs(d[0] * off[:, 1] - d[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
-        k = int(far.argmax())
-        if far[k] > tolerance_km:
-            keep[lo + 1 + k] = True
-            todo += [(lo, lo + 1 + k), (lo + 1 + k, hi)]
-    return [{"lat": float(a), "lon": float(b)} for (a, b), k in zip(line, keep, strict=True) if k]

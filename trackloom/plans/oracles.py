@@ -361,8 +361,8 @@ QUERY["rank_stability"] = """m AS (SELECT track_id, k, CASE k WHEN 0 THEN point_
   SELECT round((SELECT avg(c) FROM c),6) AS spearman, round((SELECT avg(o) FROM c),6) AS top_overlap, round((SELECT avg(s) FROM s),6) AS separation"""
 QUERY["rank_stability"] = "WITH " + QUERY["rank_stability"]
 
-# A stream, however it is cut and out of order, has the rows of the table.
-QUERY |= {streamed: QUERY[batch] for streamed, batch in {"grid_streamed": "coverage_levels", "squawk_streamed": "squawk_incidents", "outages_streamed": "outage_from_heartbeats", "pauses_streamed": "poll_pauses", "tracks_streamed": "tracks"}.items()}
+# A stream, however it is cut and out of order, has the rows of the table; so has what is written and read back.
+QUERY |= {streamed: QUERY[batch] for streamed, batch in {"grid_streamed": "coverage_levels", "squawk_streamed": "squawk_incidents", "outages_streamed": "outage_from_heartbeats", "pauses_streamed": "poll_pauses", "tracks_streamed": "tracks", "track_features_stored": "track_features"}.items()}
 QUERY["jamming_streamed"] = one("jammed")
 
 ORACLES = {name: with_ctes(sql) if not sql.lstrip().upper().startswith("WITH") else with_ctes(sql).replace(" WITH ", ", ", 1) for name, sql in QUERY.items()}

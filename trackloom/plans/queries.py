@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import grading
 from ..functions.geo import equirect_nm, in_ring
+from ..functions.lines import simplified
 from ..functions.timefn import micros
 from ..operators import anomaly, baselines, evaluation, gaps, incremental, ingest, jamming, picture, sequences, serving, tracks, visits
 from ..settings import DEFAULTS, HOUR_US
-from ..sources import ledger, positions, snapshots
+from ..sources import features, ledger, positions, snapshots
 from ..sources.positions import EPOCH_US, scan
 from ..storage import shared_folder
 from ..streaming import grid, live, ordered, store
@@ -797,5 +798,26 @@ def model_stability(spark, d):
     return spark.createDataFrame([(name, *x.values()) for name, x in found.items()], "model string, spearman double, top_overlap double, separation double")
 
 
+@query
+def track_lines(spark, d):
+    """Every track's line without the points that 2 km of tolerance spare."""
+    p = pos(spark, d)
+    line = F.transform("points", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
+    g = tracks.geometry(tracks.tracks(p), p).select("track_id", F.size("points").cast("long").alias("points"), simplified(line, 2.0).alias("line"))
+    total = lambda c: r(F.aggregate("line", F.lit(0.0), lambda a, x: a + x[c]), 5, f"sum_{c}")
+    return g.select("track_id", "points", F.size("line").cast("long").alias("kept"), total("lat"), total("lon"))
+
+
+@query
+def track_features_stored(spark, d):
+    """Points of every track's line, from features written to a table of part files and read back."""
+    p, home = pos(spark, d), shared_folder(spark)
+    spark.dataSource.register(features.Features)
+    serving.track_features(tracks.tracks(p), p).write.format("trackloom_features").option("path", home).mode("append").save()
+    line = F.from_json("feature", "geometry struct<type:string,coordinates:array<array<double>>>")
+    out = spark.read.format("trackloom_features").option("path", home).load().select("track_id", line.alias("f"))
+    return out.select("track_id", F.size("f.geometry.coordinates").cast("long").alias("points"), r(F.element_at("f.geometry.coordinates", 1)[0], 6, "first_lon"), r(F.element_at("f.geometry.coordinates", -1)[1], 6, "last_lat"))
+
+
 FLAGSHIP: Query = QUERIES["air_picture_aircraft"]
 
