@@ -93,11 +93,17 @@ def _places(hash_: Column, bits: int) -> list[Column]:
     return [F.pmod(hash_, F.lit(bits)), F.pmod(F.shiftrightunsigned(hash_, 32), F.lit(bits))]
 
 
-def _bloom(sketch: DataFrame, bits: int) -> DataFrame:
-    """One row with ``bloom``: the filter as an array of 64-bit words."""
-    placed = sketch.select(F.explode(F.array(*_places(F.col("hash"), bits))).alias("bit"))
+def in_bloom(filter_: Column, hash_: Column, bits: int) -> Column:
+    """Does the filter hold a hash? Always, if it was put in."""
+    one, two = (F.getbit(F.get(filter_, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in _places(hash_, bits))
+    return one & two
+
+
+def bloom(hashes: DataFrame, bits: int) -> DataFrame:
+    """One row with ``bloom``: the filter of the column ``hash`` as an array of 64-bit words."""
+    placed = hashes.select(F.explode(F.array(*_places(F.col("hash"), bits))).alias("bit"))
     held = placed.select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one"))
-    none = sketch.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("one"))
+    none = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("one"))
     words = held.unionByName(none).groupBy("word").agg(F.bit_or("one").alias("one"))
     return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "one"))), lambda x: x["one"]).alias("bloom"))
 
@@ -114,18 +120,17 @@ def search(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, conta
     # One row for each power of two, so at most 31.
     parts = sketch.groupBy("part").agg(F.min("n").alias("least"), F.max("hash").alias("limit")).collect()
     bits = min(BLOOM_BITS, 1 << max(13, (BITS_EACH * sketch.count() - 1).bit_length()))
-    bloom = stored(_bloom(sketch, bits))
+    known = stored(bloom(sketch.select("hash"), bits))
 
     def held(x: Column) -> Column:
-        one, two = (F.getbit(F.get(F.col("_bloom"), F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in _places(x, bits))
-        return one & two
+        return in_bloom(F.col("_bloom"), x, bits)
 
     def under(h: Column, x: Column) -> Column:
         return x <= F.array_max(F.array(F.lit(-(2**63)), *[F.when(F.col("_again") | (F.size(h) * 100 >= p["least"] * containment), F.lit(p["limit"])) for p in parts]))
 
     found = let(document_hashes(text_of(), _widths(benchmark, width) or [width]), lambda h: F.array_distinct(F.filter(h, lambda x: held(x) & under(h, x))))
     repeated = stored(documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
-    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(small(repeated), "doc_id", "left").select("doc_id", "text", F.coalesce("again", F.lit(False)).alias("_again"), bloom.scalar().alias("_bloom"))
+    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(small(repeated), "doc_id", "left").select("doc_id", "text", F.coalesce("again", F.lit(False)).alias("_again"), known.scalar().alias("_bloom"))
     sent = named.select("doc_id", F.explode(found).alias("hash"))
     met = sent.join(small(sketch.select("item_id", "need", "hash")), "hash").distinct()
     return met.groupBy("doc_id", "item_id", "need").agg(F.count(F.lit(1)).alias("common")).where("common >= need").select("doc_id", "item_id")

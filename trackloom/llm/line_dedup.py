@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, let, small, stored, text_of
+from .decontaminate import BITS_EACH, BLOOM_BITS, bloom, in_bloom
 
 MIN_DOCUMENTS = 8
 #: Words of a line that is dropped from its second document on.
@@ -66,22 +67,27 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), one)
 
 
+def _name(*parts: Column | str) -> Column:
+    """A name of 128 bits: two hashes. Of 10 ** 12 things no two share one, but for a chance of less than 10 ** -14."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
+
+
 def _key() -> Column:
-    return F.xxhash64("doc_id", text_of())
+    return _name("doc_id", text_of())
 
 
 def lines_of(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, group: Column | None = None) -> DataFrame:
     """The lines that may recur: _ld_key (of the document), _ld_group (what counts as one), doc_id, line (numbered from 0), said, leaf, long (may have LONG words), template."""
-    own = F.xxhash64(text_of())
+    own = _name(text_of())
     if group is not None:
-        own = F.when(group.isNotNull(), F.xxhash64(F.lit("group"), group)).otherwise(F.xxhash64(text_of()))
+        own = F.when(group.isNotNull(), _name(F.lit("group"), group)).otherwise(_name(text_of()))
     parsed = documents.select(_key().alias("_ld_key"), own.alias("_ld_group"), "doc_id", _lines(text_of()).alias("lines"))
     leaves = parsed.select(F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
     # Documents of one group are counted each here and once below: this is only the filter.
     heavy = leaves.where("leaf is not null").groupBy("leaf", "long").count().where(F.col("count") >= F.when(F.col("long"), 2).otherwise(min_documents))
     lines = parsed.select("_ld_key", "_ld_group", "doc_id", F.explode("lines").alias("x")).select("_ld_key", "_ld_group", "doc_id", "x.line", "x.said", "x.leaf", "x.long")
     heavy = stored(heavy.select("leaf"))
-    return stored(lines.join(small(heavy), "leaf", "left_semi").withColumn("template", F.xxhash64("said")))
+    return stored(lines.join(small(heavy), "leaf", "left_semi").withColumn("template", _name("said")))
 
 
 def passages(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -130,7 +136,7 @@ def _shaped(lines: DataFrame, min_documents: int) -> DataFrame:
     bars = F.array(*[F.lit(min_documents * STEP**k) for k in range(BARS)])
     most = F.array_max(F.transform("own", lambda x: x["times"]))
     good = F.filter(bars, lambda b: (b <= most) & (100 * (F.size(over(b)) + F.col("lead")) >= CONSTANT * F.col("n")))
-    shapes = F.transform(good, lambda b: F.xxhash64(F.transform(over(b), lambda x: F.struct(x["place"], x["token"]))))
+    shapes = F.transform(good, lambda b: _name(F.transform(over(b), lambda x: F.struct(x["place"], x["token"]))))
     return own.select("leaf", "template", F.explode(F.array_distinct(shapes)).alias("shape"))
 
 
@@ -145,10 +151,15 @@ def cleaned(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, group: Col
     drops = recurring(lines, min_documents).unionByName(passages(lines, min_documents))
     drops = stored(drops.groupBy("_ld_key").agg(F.array_sort(F.collect_set("line")).alias("_ld_drops")))
     discard(lines)
-    # Rows of any length, so a count of them bounds no broadcast.
-    marked = documents.withColumn("_ld_key", _key()).join(drops.hint("merge"), "_ld_key", "left")
+    # Only documents that may lose lines are sent to meet them; a filter that goes to all executors tells the others, which stay where they are.
+    size = min(BLOOM_BITS, 1 << max(13, (BITS_EACH * drops.count() - 1).bit_length()))
+    known = stored(bloom(drops.select(F.col("_ld_key.a").alias("hash")), size))
+    named = documents.withColumn("_ld_key", _key()).withColumn("_ld_bloom", known.scalar())
+    may = in_bloom(F.col("_ld_bloom"), F.col("_ld_key.a"), size)
+    marked = named.where(may).drop("_ld_bloom").join(drops.hint("merge"), "_ld_key", "left")
     none = F.array().cast("array<int>")
-    out = marked.withColumn("_ld_split", F.split(text_of(), "\n")).withColumn("_ld_dropped", F.coalesce(F.col("_ld_drops"), none))
+    still = named.where(~may).drop("_ld_bloom").withColumn("_ld_drops", none)
+    out = marked.unionByName(still).withColumn("_ld_split", F.split(text_of(), "\n")).withColumn("_ld_dropped", F.coalesce(F.col("_ld_drops"), none))
     kept = F.filter("_ld_split", lambda x, i: ~F.array_contains("_ld_dropped", i))
     return out.withColumns(
         {
