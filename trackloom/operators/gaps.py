@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,8 @@ def detect(positions: DataFrame, runs: DataFrame, outages: DataFrame, s: Setting
     return described(held.where(~left), gap_spec(s))
 
 
-def gap_spec(s: Settings = DEFAULTS) -> Spec:
+@cache
+def gap_spec(s: Settings) -> Spec:
     evidence = [
         F.bround("gap_minutes", 1).alias("gap_minutes"),
         F.bround("km", 1).alias("displacement_km"),

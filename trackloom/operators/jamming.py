@@ -8,7 +8,7 @@ the partitioning by the coarsest cell and the bucket, so raw reports are shuffle
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell
 from ..functions.grading import reliability
 from ..settings import DEFAULTS, MINUTE_US, Settings
-from .incidents import incidents
+from .incidents import Spec, described
 
 
 def worst_of() -> list[Column]:
@@ -86,21 +86,25 @@ def levels_of(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     ).select("level", "ci", "cj", "bucket", (s.cell_deg * F.pow(F.lit(2.0), F.col("level"))).alias("cell_deg"), "scoreable", "aircraft", "start_us", "end_us", "region")
 
 
-def judged(cells: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Cells with counts: observed, degraded and hard_loss (arrays of aircraft), and fractions."""
+@cache
+def _counts(s: Settings) -> tuple[dict[str, Column], dict[str, Column]]:
     bad = F.filter("aircraft", lambda a: a["nic"] <= s.bad_nic_max)
     hard = F.filter(bad, lambda a: (a["nic"] <= s.hard_loss_nic) & (F.coalesce(a["nac_p"], F.lit(s.hard_loss_nac_p)) <= s.hard_loss_nac_p))
-    out = cells.withColumns({"degraded": bad, "hard": hard, "observed": F.size("aircraft").cast("long")})
-    return out.withColumns(
-        {
-            "n_degraded": F.size("degraded").cast("long"),
-            "n_hard": F.size("hard").cast("long"),
-            "lat": (F.col("ci") + 0.5) * F.col("cell_deg"),
-            "lon": (F.col("cj") + 0.5) * F.col("cell_deg"),
-            "fraction": F.size("degraded") / F.size("aircraft"),
-            "hard_fraction": F.size("hard") / F.size("aircraft"),
-        }
-    )
+    lists = {"degraded": bad, "hard": hard, "observed": F.size("aircraft").cast("long")}
+    return lists, {
+        "n_degraded": F.size("degraded").cast("long"),
+        "n_hard": F.size("hard").cast("long"),
+        "lat": (F.col("ci") + 0.5) * F.col("cell_deg"),
+        "lon": (F.col("cj") + 0.5) * F.col("cell_deg"),
+        "fraction": F.size("degraded") / F.size("aircraft"),
+        "hard_fraction": F.size("hard") / F.size("aircraft"),
+    }
+
+
+def judged(cells: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Cells with counts: observed, degraded and hard_loss (arrays of aircraft), and fractions."""
+    lists, numbers = _counts(s)
+    return cells.withColumns(lists).withColumns(numbers)
 
 
 def coverage(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -115,11 +119,8 @@ def detect(reports: DataFrame, s: Settings = DEFAULTS, region: str | None = None
     return detected(levels(reports, s), s, region)
 
 
-def detected(cells: DataFrame, s: Settings = DEFAULTS, region: str | None = None) -> DataFrame:
-    """The incidents of the cells that ``levels`` gives."""
-    fired = judged(cells.where("scoreable"), s).where(F.col("fraction") >= s.bad_fraction)
-    alts = F.array_sort(F.transform(F.filter("degraded", lambda a: a["alt"].isNotNull()), lambda a: F.bround(a["alt"], -2)))
-    fired = fired.withColumn("alts", alts)
+@cache
+def jamming_spec(s: Settings, region: str | None) -> Spec:
     evidence = [
         F.col("observed").alias("aircraft_observed"),
         F.col("n_degraded").alias("aircraft_degraded"),
@@ -139,14 +140,21 @@ def detected(cells: DataFrame, s: Settings = DEFAULTS, region: str | None = None
         F.get("alts", F.floor(F.size("alts") / 2).cast("int")).alias("degraded_alt_ft_median"),
         F.get("alts", F.size("alts") - 1).alias("degraded_alt_ft_max"),
     ]
-    return incidents(
-        fired, "jamming", "AT-GNSS-JAM", "GNSS interference", evidence,
+    columns = dict(
         incident_id=F.concat(F.lit("jam:L"), F.concat_ws(":", "level", "ci", "cj", "bucket")),
         score=0.5 + 0.4 * F.col("fraction") + 0.1 * F.col("hard_fraction"),
         reliability=reliability(F.col("observed")),
         start_us=F.col("start_us"), end_us=F.col("end_us"), lat=F.col("lat"), lon=F.col("lon"),
         affected_count=F.col("n_degraded"), region=F.coalesce("region", F.lit(region)),
     )
+    return Spec("jamming", "AT-GNSS-JAM", "GNSS interference", evidence, columns)
+
+
+def detected(cells: DataFrame, s: Settings = DEFAULTS, region: str | None = None) -> DataFrame:
+    """The incidents of the cells that ``levels`` gives."""
+    fired = judged(cells.where("scoreable"), s).where(F.col("fraction") >= s.bad_fraction)
+    alts = F.array_sort(F.transform(F.filter("degraded", lambda a: a["alt"].isNotNull()), lambda a: F.bround(a["alt"], -2)))
+    return described(fired.withColumn("alts", alts), jamming_spec(s, region))
 
 
 def stats(reports: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

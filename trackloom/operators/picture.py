@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,69 @@ from .sequences import islands, order
 DETECTORS = ("jamming", "gap", "incursion", "spoof", "squawk", "anomaly")
 
 
+class _Path:
+    """The expressions of ``path_incidents``, made once for each ``Settings``."""
+
+    def __init__(self, s: Settings) -> None:
+        w = order()
+        before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        border = [z for z in REGISTRY if z.kind == "border"]
+        low = ~F.col("on_ground") & (F.coalesce("alt_baro_ft", F.lit(0.0)) < s.incursion_max_alt_ft)
+        self.here = {f"_low{k}": low & inside(z, F.col("lat"), F.col("lon")) for k, z in enumerate(border)}
+        past = F.struct("us", "id", "ts", "lat", "lon", "alt_baro_ft", "baro_rate_fpm", "gs_kt", "region")
+        coded = F.when(F.col("squawk").isNotNull(), F.struct("us", "squawk"))
+        was = {f"_was{k}": F.last(F.when(F.col(f"_low{k}"), F.col("us")), ignorenulls=True).over(before) for k in range(len(border))}
+        self.before = {"p": F.lag(past).over(w), "_code": F.last(coded, ignorenulls=True).over(before)} | was
+        gap = s.incursion_gap_minutes * MINUTE_US
+        changed = F.col("squawk").isNotNull() & ((F.col("us") - F.col("_code.us") > gap) | (F.col("squawk") != F.col("_code.squawk")))
+        new = {"_codes": changed} | {f"_stay{k}": F.col(f"_low{k}") & (F.col("us") - F.col(f"_was{k}") > gap) for k in range(len(border))}
+        self.runs = {n: F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(upto) for n, c in new.items()}
+        self.km = haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))
+        self.speed = implied_speed_kt(F.col("km"), (F.col("us") - F.col("p.us")) / 1e6)
+        silent = (
+            (F.col("us") - F.col("p.us") >= int(s.gap_min_minutes * MINUTE_US)) & (F.coalesce("p.alt_baro_ft", F.lit(0.0)) >= s.gap_min_alt_ft)
+            & (F.coalesce("p.baro_rate_fpm", F.lit(0.0)) >= s.gap_max_descent_fpm) & (F.col("km") >= s.gap_min_km)
+        )
+        part = lambda when, kind, key, run: F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("key"), run.cast("long").alias("run")))
+        parts = [
+            part(silent, "gap", F.lit(""), F.col("p.id")),
+            part(F.col("speed") > s.spoof_max_speed_kt, "spoof", F.lit(""), F.lit(0)),
+            part(F.col("squawk").isin(*s.squawk_codes), "squawk", F.col("squawk"), F.col("_codes")),
+            *[part(F.col(f"_low{k}"), "incursion", F.lit(z.zone_id), F.col(f"_stay{k}")) for k, z in enumerate(border)],
+        ]
+        self.members = [*map(F.col, ("icao24", "us", "id", "ts", "lat", "lon", "region", "alt_baro_ft", "baro_rate_fpm", "p", "km", "speed")), F.explode(F.array_compact(F.array(*parts))).alias("m")]
+        stay = F.col("kind") == "incursion"
+        alt = F.coalesce("alt_baro_ft", F.lit(0.0))
+        self.sums = [
+            F.count(F.lit(1)).alias("samples"), F.min("us").alias("first_us"), F.max("us").alias("end_us"),
+            F.min_by(F.struct("ts", "lat", "lon", "region"), F.struct("us", "id")).alias("first"), F.max_by(F.struct("lat", "lon", "region"), F.struct("us", "id")).alias("last"),
+            F.max("speed").alias("max_speed"), F.percentile(F.when(stay, F.abs("baro_rate_fpm")), 0.5).alias("median_rate"), F.min(alt).alias("min_alt"), F.max(alt).alias("max_alt"),
+            # A visit is one stay of one aircraft.
+            F.array_sort(F.collect_list(F.when(stay, F.struct("us", "id", "lat", "lon")))).alias("path"),
+            F.any_value(F.when(F.col("kind") == "gap", F.struct("p", "lat", "lon", "km"))).alias("g"),
+        ]
+        kind, self.silence = F.col("kind"), F.col("kind") == "gap"
+        enough = self.silence | ((kind == "spoof") & (F.col("samples") >= s.spoof_min_violations)) | ((kind == "squawk") & (F.col("samples") >= s.squawk_min_samples))
+        level = stay & (F.col("samples") >= s.incursion_min_samples) & (F.col("median_rate").isNull() | (F.col("median_rate") < s.incursion_max_rate_fpm))
+        self.enough = enough | level
+        middle = F.get("path", F.floor(F.size("path") / 2).cast("int"))
+        at = lambda c: F.when(stay, middle[c]).when(kind == "squawk", F.col(f"last.{c}")).otherwise(F.col(f"first.{c}"))
+        region = F.when(self.silence, F.col("g.p.region")).when(kind == "squawk", F.col("last.region")).otherwise(F.col("first.region"))
+        start_us = F.when(self.silence, F.col("g.p.us")).otherwise(F.col("first_us"))
+        minutes = (F.col("end_us") - start_us) / 60e6
+        self.found = [
+            F.concat_ws(":", "kind", "icao24", "key", F.col("run").cast("string")).alias("id"), F.col("icao24"), kind, F.when(stay, F.col("key")).alias("zone"), F.when(kind == "squawk", F.col("key")).alias("squawk"),
+            F.col("samples"), F.col("samples").alias("violations"), *map(F.col, ("max_speed", "median_rate", "min_alt", "max_alt")), start_us.alias("start_us"), F.col("end_us"), minutes.alias("dwell_minutes"),
+            minutes.alias("gap_minutes"), F.when(self.silence, F.col("g.p.ts")).otherwise(F.col("first.ts")).alias("start_ts"), F.when(self.silence, start_us).alias("us"), region.alias("region"),
+            at("lat").alias("lat"), at("lon").alias("lon"), F.col("g.km").alias("km"), F.col("g.p.lat").alias("p_lat"), F.col("g.p.lon").alias("p_lon"), F.col("g.lat").alias("n_lat"), F.col("g.lon").alias("n_lon"),
+            F.col("g.p.alt_baro_ft").alias("alt"), F.col("g.p.baro_rate_fpm").alias("rate"), F.col("g.p.gs_kt").alias("gs_kt"),
+        ]
+        self.stays_in = ~self.silence | ~gaps.could_have_left(*map(F.col, ("p_lat", "p_lon", "gs_kt", "gap_minutes", "c_lat", "c_lon", "c_radius")))
+
+
+_path = cache(_Path)
+
+
 def path_incidents(positions: DataFrame, runs: DataFrame, outages: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Silences, low visits, impossible motion and emergency codes in one pass, evidence as JSON.
 
@@ -26,63 +91,11 @@ def path_incidents(positions: DataFrame, runs: DataFrame, outages: DataFrame, s:
     those with a code and among those low in a zone, are looked up in the same window. The few reports that
     are part of something are then grouped by what it is.
     """
-    w = order()
-    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    border = [z for z in REGISTRY if z.kind == "border"]
-    low = ~F.col("on_ground") & (F.coalesce("alt_baro_ft", F.lit(0.0)) < s.incursion_max_alt_ft)
-    here = {f"_low{k}": low & inside(z, F.col("lat"), F.col("lon")) for k, z in enumerate(border)}
-    past = F.struct("us", "id", "ts", "lat", "lon", "alt_baro_ft", "baro_rate_fpm", "gs_kt", "region")
-    coded = F.when(F.col("squawk").isNotNull(), F.struct("us", "squawk"))
-    rows = positions.withColumns(here).withColumns(
-        {"p": F.lag(past).over(w), "_code": F.last(coded, ignorenulls=True).over(before)} | {f"_was{k}": F.last(F.when(F.col(f"_low{k}"), F.col("us")), ignorenulls=True).over(before) for k in range(len(border))}
-    )
-    gap = s.incursion_gap_minutes * MINUTE_US
-    changed = F.col("squawk").isNotNull() & ((F.col("us") - F.col("_code.us") > gap) | (F.col("squawk") != F.col("_code.squawk")))
-    new = {"_codes": changed} | {f"_stay{k}": F.col(f"_low{k}") & (F.col("us") - F.col(f"_was{k}") > gap) for k in range(len(border))}
-    rows = rows.withColumns({n: F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(upto) for n, c in new.items()})
-    km = haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))
-    rows = rows.withColumn("km", km).withColumn("speed", implied_speed_kt(F.col("km"), (F.col("us") - F.col("p.us")) / 1e6))
-    silent = (
-        (F.col("us") - F.col("p.us") >= int(s.gap_min_minutes * MINUTE_US)) & (F.coalesce("p.alt_baro_ft", F.lit(0.0)) >= s.gap_min_alt_ft)
-        & (F.coalesce("p.baro_rate_fpm", F.lit(0.0)) >= s.gap_max_descent_fpm) & (F.col("km") >= s.gap_min_km)
-    )
-    part = lambda when, kind, key, run: F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("key"), run.cast("long").alias("run")))
-    parts = [
-        part(silent, "gap", F.lit(""), F.col("p.id")),
-        part(F.col("speed") > s.spoof_max_speed_kt, "spoof", F.lit(""), F.lit(0)),
-        part(F.col("squawk").isin(*s.squawk_codes), "squawk", F.col("squawk"), F.col("_codes")),
-        *[part(F.col(f"_low{k}"), "incursion", F.lit(z.zone_id), F.col(f"_stay{k}")) for k, z in enumerate(border)],
-    ]
-    members = rows.select("icao24", "us", "id", "ts", "lat", "lon", "region", "alt_baro_ft", "baro_rate_fpm", "p", "km", "speed", F.explode(F.array_compact(F.array(*parts))).alias("m")).select("*", "m.*")
-    stay = F.col("kind") == "incursion"
-    alt = F.coalesce("alt_baro_ft", F.lit(0.0))
-    found = members.groupBy("icao24", "kind", "key", "run").agg(
-        F.count(F.lit(1)).alias("samples"), F.min("us").alias("first_us"), F.max("us").alias("end_us"),
-        F.min_by(F.struct("ts", "lat", "lon", "region"), F.struct("us", "id")).alias("first"), F.max_by(F.struct("lat", "lon", "region"), F.struct("us", "id")).alias("last"),
-        F.max("speed").alias("max_speed"), F.percentile(F.when(stay, F.abs("baro_rate_fpm")), 0.5).alias("median_rate"), F.min(alt).alias("min_alt"), F.max(alt).alias("max_alt"),
-        # A visit is one stay of one aircraft.
-        F.array_sort(F.collect_list(F.when(stay, F.struct("us", "id", "lat", "lon")))).alias("path"),
-        F.any_value(F.when(F.col("kind") == "gap", F.struct("p", "lat", "lon", "km"))).alias("g"),
-    )
-    kind, silence = F.col("kind"), F.col("kind") == "gap"
-    enough = silence | ((kind == "spoof") & (F.col("samples") >= s.spoof_min_violations)) | ((kind == "squawk") & (F.col("samples") >= s.squawk_min_samples))
-    level = stay & (F.col("samples") >= s.incursion_min_samples) & (F.col("median_rate").isNull() | (F.col("median_rate") < s.incursion_max_rate_fpm))
-    found = found.where(enough | level)
-    middle = F.get("path", F.floor(F.size("path") / 2).cast("int"))
-    at = lambda c: F.when(stay, middle[c]).when(kind == "squawk", F.col(f"last.{c}")).otherwise(F.col(f"first.{c}"))
-    region = F.when(silence, F.col("g.p.region")).when(kind == "squawk", F.col("last.region")).otherwise(F.col("first.region"))
-    start_us = F.when(silence, F.col("g.p.us")).otherwise(F.col("first_us"))
-    found = found.select(
-        F.concat_ws(":", "kind", "icao24", "key", F.col("run").cast("string")).alias("id"), "icao24", "kind", F.when(stay, F.col("key")).alias("zone"), F.when(kind == "squawk", F.col("key")).alias("squawk"),
-        "samples", F.col("samples").alias("violations"), "max_speed", "median_rate", "min_alt", "max_alt", start_us.alias("start_us"), "end_us", ((F.col("end_us") - start_us) / 60e6).alias("dwell_minutes"),
-        ((F.col("end_us") - start_us) / 60e6).alias("gap_minutes"), F.when(silence, F.col("g.p.ts")).otherwise(F.col("first.ts")).alias("start_ts"), F.when(silence, start_us).alias("us"), region.alias("region"),
-        at("lat").alias("lat"), at("lon").alias("lon"), F.col("g.km").alias("km"), F.col("g.p.lat").alias("p_lat"), F.col("g.p.lon").alias("p_lon"), F.col("g.lat").alias("n_lat"), F.col("g.lon").alias("n_lon"),
-        F.col("g.p.alt_baro_ft").alias("alt"), F.col("g.p.baro_rate_fpm").alias("rate"), F.col("g.p.gs_kt").alias("gs_kt"),
-    )
-    held = gaps.boundary(gaps.without_outage(found, outages, silence), runs, s)
-    left = gaps.could_have_left(F.col("p_lat"), F.col("p_lon"), F.col("gs_kt"), F.col("gap_minutes"), F.col("c_lat"), F.col("c_lon"), F.col("c_radius"))
-    specs = [gaps.gap_spec(s), visits.incursion_spec(s), visits.spoof_spec(s), visits.squawk_spec(s)]
-    return described_by(held.where(~silence | ~left), kind, specs)
+    x = _path(s)
+    rows = positions.withColumns(x.here).withColumns(x.before).withColumns(x.runs).withColumn("km", x.km).withColumn("speed", x.speed)
+    found = rows.select(*x.members).select("*", "m.*").groupBy("icao24", "kind", "key", "run").agg(*x.sums).where(x.enough).select(*x.found)
+    held = gaps.boundary(gaps.without_outage(found, outages, x.silence), runs, s)
+    return described_by(held.where(x.stays_in), "kind", (gaps.gap_spec(s), visits.incursion_spec(s), visits.spoof_spec(s), visits.squawk_spec(s)))
 
 
 def all_incidents(positions: DataFrame, runs: DataFrame, outages: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def incursions(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | Non
     return described(level, incursion_spec(s))
 
 
-def incursion_spec(s: Settings = DEFAULTS) -> Spec:
+@cache
+def incursion_spec(s: Settings) -> Spec:
     evidence = [
         F.col("zone").alias("zone_id"),
         F.col("samples").alias("samples_in_visit"),
@@ -102,7 +105,8 @@ def squawks(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
     return described(runs, squawk_spec(s))
 
 
-def squawk_spec(s: Settings = DEFAULTS) -> Spec:
+@cache
+def squawk_spec(s: Settings) -> Spec:
     means = F.create_map(*[F.lit(x) for kv in MEANING.items() for x in kv])
     evidence = [
         F.col("squawk"),
@@ -145,7 +149,8 @@ def spoofs(positions: DataFrame, s: Settings = DEFAULTS, since_us: int | None =
     return described(found, spoof_spec(s))
 
 
-def spoof_spec(s: Settings = DEFAULTS) -> Spec:
+@cache
+def spoof_spec(s: Settings) -> Spec:
     evidence = [
         F.col("violations"),
         F.bround("max_speed", 0).alias("max_implied_speed_kt"),
