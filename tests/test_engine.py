@@ -369,3 +369,14 @@ def test_anomaly_scale_and_threshold_cover_all_tracks(spark):
     mean, std = anomaly.scale_of(x)
     assert model.mean == pytest.approx(mean) and model.std == pytest.approx(std)
     assert model.threshold == pytest.approx(np.quantile(model.errors(x), 0.99))
+
+
+def test_distance_of_a_track_is_that_of_its_steps(spark):
+    """The first report has no step; an unknown place has no distance."""
+    r = spark.range(1).select(geo.haversine_km(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("none"), geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("one")).first()
+    assert r.none is None and r.one == pytest.approx(111.195, abs=0.01)
+    df = rows(spark, [{"t": 60 * k, "lat": 1.0 + k / 10, "lon": 103.0} for k in range(12)] + [{"t": 5_000 + 60 * k, "lat": 3.0, "lon": 103.0} for k in range(10)])
+    far, still = sorted(tracks.tracks(df).collect(), key=lambda x: x.start_us)
+    assert far.distance_km == pytest.approx(11 * 11.1195, abs=0.01) and still.distance_km == 0.0
+    plain = tracks.with_steps(tracks.segments(df)).select("id", "island", "step_km").collect()
+    assert {tuple(x) for x in plain} == {tuple(x) for x in tracks.stepped(df).select("id", "island", "step_km").collect()}

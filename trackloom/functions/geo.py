@@ -9,11 +9,12 @@ from ..settings import EARTH_RADIUS_KM, KM_PER_NM
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Null if a coordinate is: ``least`` alone would pass a null over and say half the earth."""
     a = (
         F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     )
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.when((lat1 + lon1 + lat2 + lon2).isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0)))))
 
 
 def implied_speed_kt(km: Column, seconds: Column) -> Column:

@@ -24,8 +24,18 @@ def with_steps(rows: DataFrame, keys: tuple[str, ...] = ("icao24", "island")) ->
     return rows.withColumn("step_km", haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")))
 
 
+def stepped(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``with_steps`` of ``segments`` from one look at each report's predecessor, so from one sort."""
+    w = order()
+    airborne = positions.where(~F.col("on_ground")).withColumn("_p", F.lag(F.struct("us", "lat", "lon")).over(w))
+    new = F.col("us") - F.col("_p.us") > s.track_gap_minutes * MINUTE_US
+    step = F.when(~new, haversine_km(F.col("_p.lat"), F.col("_p.lon"), F.col("lat"), F.col("lon")))
+    island = F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return airborne.withColumns({"island": island, "step_km": step}).drop("_p")
+
+
 def tracks(positions: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    found = with_steps(segments(positions, s)).groupBy("icao24", "island").agg(
+    found = stepped(positions, s).groupBy("icao24", "island").agg(
         F.count(F.lit(1)).alias("point_count"),
         F.sum("step_km").alias("distance_km"),
         F.min("us").alias("start_us"),

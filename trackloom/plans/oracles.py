@@ -15,7 +15,7 @@ from ..zones import PRIORITY, REGISTRY
 
 def km(a: str, b: str, c: str, d: str) -> str:
     inner = f"pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2)"
-    return f"(2*{EARTH_RADIUS_KM}::DOUBLE*asin(sqrt(least({inner},1.0::DOUBLE))))"
+    return f"(CASE WHEN {a}+{b}+{c}+{d} IS NOT NULL THEN 2*{EARTH_RADIUS_KM}::DOUBLE*asin(sqrt(least({inner},1.0::DOUBLE))) END)"
 
 
 def _zone_cases(zones, lat: str = "lat", lon: str = "lon") -> list[tuple[str, str]]:

@@ -46,7 +46,7 @@ class Store:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("icao24"), F.lit(self.buckets)).cast("int")
 
-    def _there(self, name: str) -> bool:
+    def there(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
@@ -58,7 +58,7 @@ class Store:
         return df if since_us is None else df.where(F.col("day") >= since_us // DAY_US)
 
     def marks(self, before: int | None = None) -> DataFrame:
-        if not self._there("marks"):
+        if not self.there("marks"):
             return self.spark.createDataFrame([], MARK)
         df = self.spark.read.schema(MARK).parquet(f"{self.root}/marks")
         return df if before is None else df.where(F.col("cycle") < before)
@@ -68,7 +68,7 @@ class Store:
         each = self.marks(before).select(F.explode("buckets").alias("bucket"), "cycle").groupBy("bucket").agg(F.max("cycle").alias("cycle"))
         # One row a bucket.
         newest = [(r["bucket"], r["cycle"]) for r in each.collect() if buckets is None or r["bucket"] in buckets]
-        if not newest or not self._there("tracks"):
+        if not newest or not self.there("tracks"):
             return None
         by: dict[int, list[int]] = {}
         for b, c in newest:
