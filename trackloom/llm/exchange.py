@@ -4,6 +4,9 @@ Documents are dealt into blocks by a hash of their id. A block, or a batch of do
 distinct hash once, whatever the number of its documents that hold it, so that a passage in a third of all
 documents costs one row a batch; the part of the hash space that a hash belongs to answers the blocks
 that asked. One row is one hash: their number grows with the text, whatever the number of blocks and parts.
+
+A hash that is met everywhere doesn't gather in one part: who asks about a hash it knows to be shared is answered in a part of
+its own choice (BOTH), and the hash's own part hears of it once a task (KNOWS).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .hashing import first_of_runs
 #: Bytes of text in a block, and so about the hashes in a part: what one task holds.
 BLOCK_BYTES = 8 << 20
 #: What a question says besides its block (``asked`` is 4 * block and this): ASKS wants to hear if the hash is shared, KNOWS has seen it
-#: in two documents; BOTH is heard again for certain.
+#: in two documents; BOTH is heard again for certain, and tells nobody else.
 ASKS, KNOWS, BOTH = 1, 2, 3
 QUESTION = "asked int, hash long"
 ANSWER = "block int, hash long"
@@ -39,13 +42,16 @@ def blocked(documents: DataFrame, blocks: int) -> DataFrame:
 
 
 def by_hash(rows: DataFrame, parts: int, answer, schema: str) -> DataFrame:
-    """``answer`` on all rows of each part of the hash space. Rows carry no part number: they are dealt by the hash itself."""
+    """``answer`` on all rows of each part of the hash space. Rows carry no part number: they are dealt by the hash itself, those whose answer is certain by the asking block too."""
+    place = F.col("hash")
+    if "asked" in rows.columns:
+        place = F.when(F.col("asked") % 4 == BOTH, F.xxhash64("hash", "asked")).otherwise(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own := list(batches):
             yield from answer(pa.Table.from_batches(own)).to_batches()
 
-    return rows.repartition(parts, "hash").mapInArrow(run, schema)
+    return rows.repartition(parts, place).mapInArrow(run, schema)
 
 
 def _elsewhere(table: pa.Table) -> pa.Table:

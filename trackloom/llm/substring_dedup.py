@@ -38,6 +38,8 @@ from .ngram_join import _slices
 WINDOW = 13
 #: Levels are halved down to no fewer words than this.
 LEAST = 6
+#: Hashes that a task remembers to have told of; beyond, it tells of some again.
+MOST_TOLD = 1 << 20
 LAST = "block int, hash long, more int, low long"
 HEARD = "level int, block int, hash long, more int"
 
@@ -69,6 +71,7 @@ def _first(lengths: list[int]):
     """The first level's questions, asked by batches of documents as they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, U)  # shared hashes that this task has told of
         for b in _slices(batches, size=2 * SLICE):
             words = Words(b["text"])
             hashed, at = _picked(b, words, *lengths[:2])
@@ -79,8 +82,12 @@ def _first(lengths: list[int]):
             h, d = h[once], d[once]
             starts = np.flatnonzero(first_of_runs(h))
             held = np.diff(np.append(starts, len(h)))
-            # Documents that share a hash within the batch know it; one row tells the others.
+            # Documents that share a hash within the batch know it; one row a task tells the others.
             mine = np.flatnonzero(np.repeat(held > 1, held))
+            new = (held == 1) | ~np.isin(h[starts], told)
+            if len(told) < MOST_TOLD:
+                told = np.concatenate([told, h[starts][new & (held > 1)]])
+            starts, held = starts[new], held[new]
             say = np.concatenate([np.where(held > 1, KNOWS, ASKS), np.full(len(mine), BOTH)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {"asked": pa.array((4 * np.concatenate([block[d[starts]], block[d[mine]]]) + say).astype(np.int32)), "hash": pa.array(np.concatenate([h[starts], h[mine]]).view(np.int64))}
@@ -134,7 +141,8 @@ class _Block:
         h, d = hashed[order], doc[order]
         starts = np.flatnonzero(first_of_runs(h))
         two = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) if len(d) else np.zeros(0, bool)
-        return pa.table({"asked": pa.array((4 * self.block + np.where(two, BOTH, ASKS)).astype(np.int32)), "hash": pa.array(h[starts].view(np.int64))})
+        say = np.concatenate([np.where(two, BOTH, ASKS), np.full(int(two.sum()), KNOWS)])
+        return pa.table({"asked": pa.array((4 * self.block + say).astype(np.int32)), "hash": pa.array(np.concatenate([h[starts], h[starts][two]]).view(np.int64))})
 
     def _distinct(self):
         """The distinct candidates of the last level: hash, 32 further bits, smallest doc_id; each candidate's number among them; its place and id."""
