@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..session import ship
 from ..storage import shared_folder
 from ..streaming.ordered import STORE
 
@@ -42,7 +43,7 @@ def streamed(spark: SparkSession, path: str, files: int = 2) -> DataFrame:
     """Landed files as a stream, some files a batch."""
     for key, value in STORE.items():
         spark.conf.set(key, value)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    return ship(spark).readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run(writer: DataStreamWriter) -> None:

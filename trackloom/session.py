@@ -46,4 +46,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f"{root.name}/{f.relative_to(root)}")
         spark.sparkContext.addPyFile(str(path))
+        # Workers that the driver starts for itself, such as those that prepare stateful processors, get no files but this path.
+        environment = spark.sparkContext.environment
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (str(path), environment.get("PYTHONPATH")) if x)
     return spark
