@@ -220,12 +220,12 @@ QUERY: dict[str, str] = {
     + ", ".join(f"count(*) FILTER (detector='{d}') AS {d}" for d in ("jamming", "gap", "incursion", "spoof", "squawk"))
     + " FROM incidents GROUP BY 1",
     "clock_hour_profile": """SELECT (hour_us//3600000000+8)%24 AS local_hour, count(*) AS samples, round(avg(reports),6) AS reports_mean, round(stddev_pop(reports),6) AS reports_spread, round(avg(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_mean,
-      round(stddev_pop(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_spread FROM (SELECT epoch_us(ts)-epoch_us(ts)%3600000000 AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cell_windows, count(*) FILTER (event_type='purchase') AS unscoreable FROM events GROUP BY 1)
-      WHERE cell_windows>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1""",
+      round(stddev_pop(100.0::DOUBLE*unscoreable/cell_windows),6) AS unscoreable_spread FROM (SELECT epoch_us(ts)-epoch_us(ts)%3600000000 AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cell_windows, count(*) FILTER (event_type='purchase') AS unscoreable FROM events GROUP BY 1) x
+      WHERE coalesce((SELECT minutes FROM region_outage_hours q WHERE q.hour_us=x.hour_us), 0) < 5 AND cell_windows>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1""",
     "missing_clock_hours": """SELECT h AS local_hour FROM range(24) r(h) WHERE h NOT IN (SELECT (epoch_us(ts)//3600000000+8)%24 FROM events)""",
     "missing_report_hours": """SELECT h AS local_hour FROM range(24) r(h) WHERE h NOT IN (SELECT (us//3600000000+8)%24 FROM positions)""",
     "busiest_hours": """WITH h AS (SELECT (epoch_us(ts)-epoch_us(ts)%3600000000) AS hour_us, count(*) AS reports, count(DISTINCT user_id) AS cells FROM events GROUP BY 1),
-      m AS (SELECT (hour_us//3600000000+8)%24 AS local_hour, avg(reports) AS mean FROM h WHERE cells>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1)
+      m AS (SELECT (hour_us//3600000000+8)%24 AS local_hour, avg(reports) AS mean FROM h WHERE coalesce((SELECT minutes FROM region_outage_hours q WHERE q.hour_us=h.hour_us), 0) < 5 AND cells>=5 AND hour_us>=(SELECT min(epoch_us(ts)) FROM events) AND hour_us+3600000000<=(SELECT max(epoch_us(ts)) FROM events) GROUP BY 1)
       SELECT (SELECT local_hour FROM m ORDER BY mean DESC, local_hour LIMIT 1) AS busiest, (SELECT local_hour FROM m ORDER BY mean, local_hour LIMIT 1) AS quietest""",
     "hourly_table": """SELECT hour_us, reports, aircraft, coalesce(cell_windows,0) AS cell_windows, coalesce(unscoreable,0) AS unscoreable, """
     + ", ".join(f"coalesce({d},0) AS {d}" for d in ("jamming", "gap", "incursion", "spoof", "squawk"))
@@ -262,7 +262,9 @@ QUERY: dict[str, str] = {
     "dedup_positions": "SELECT min(id) AS id, icao24, us//1000000 AS second, region FROM positions GROUP BY icao24, us//1000000, source, region",
     "dedup_append": f"""WITH s AS (SELECT DISTINCT icao24, us//1000000 AS second, region FROM positions WHERE id%3=0)
       SELECT min(id) AS id FROM positions p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.icao24=p.icao24 AND s.second=p.us//1000000 AND s.region=p.region) GROUP BY icao24, us//1000000, region""",
-    "aircraft_identity": "SELECT icao24, arg_max(squawk, id) FILTER (squawk IS NOT NULL) AS callsign, min(us) AS first_us, max(us) AS last_us FROM positions GROUP BY 1",
+    "aircraft_identity": "SELECT icao24, " + ", ".join(f"arg_max({c}, id) FILTER ({c} IS NOT NULL) AS {c}" for c in ("callsign", "registration", "type_code", "category"))
+    + """, min(us) AS first_us, max(us) AS last_us FROM (SELECT *, squawk AS callsign, CASE WHEN id%5=0 THEN '9V-'||(id%13) END AS registration, CASE WHEN id%7=0 THEN 'B73'||(id%3) END AS type_code,
+      CASE WHEN id%11=0 THEN 'A'||(id%6) END AS category FROM positions) GROUP BY 1""",
     "retention_prune": f"SELECT count(*) AS kept, min(us) AS oldest_us FROM positions WHERE us>={EPOCH_US + 1_800_000_000}",
     "outage_from_heartbeats": """WITH b AS (SELECT user_id%5 AS region, epoch_us(ts) AS us, event_type<>'click' AS ok FROM events),
       r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY region ORDER BY us) AS run FROM b),
@@ -332,16 +334,23 @@ _INSIDE = " UNION ALL ".join(f"SELECT '{z}' AS zone_id FROM positions WHERE {c}"
 CTE["zoned"] = _INSIDE
 CTE["day_runs"] = """SELECT epoch_us(ts)//86400000000*5 + user_id%5 AS id, min(epoch_us(ts)) AS started_us, max(epoch_us(ts)) AS last_message_us, user_id%5 AS region, count(*) AS report_count FROM events GROUP BY user_id%5, epoch_us(ts)//86400000000"""
 CTE["beaten"] = QUERY["outage_from_heartbeats"]
+
+
+def _outage_hours(region: str) -> str:
+    return f"""WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts))+1 AS hi FROM events), o AS (SELECT greatest(opened_us, lo) AS s, least(coalesce(closed_us, hi), hi) AS e FROM beaten, span WHERE least(coalesce(closed_us, hi), hi) > opened_us AND {region}),
+      k AS (SELECT *, max(e) OVER (ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), g AS (SELECT *, sum((before IS NULL OR s>before)::INT) OVER (ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS i FROM k),
+      m AS (SELECT min(s) AS s, max(e) AS e FROM g GROUP BY i), h AS (SELECT s, e, unnest(range(s - s%3600000000, e+1, 3600000000)) AS hour_us FROM m)
+      SELECT hour_us, sum((least(e,hour_us+3600000000)-greatest(s,hour_us))/60e6::DOUBLE) AS minutes FROM h GROUP BY 1 HAVING sum(least(e,hour_us+3600000000)-greatest(s,hour_us))>0"""
+
+
+CTE["outage_hours"], CTE["region_outage_hours"] = _outage_hours("true"), _outage_hours("region=0")
 QUERY |= {
     "last_runs": "SELECT id, region, report_count FROM day_runs ORDER BY id DESC LIMIT 12",
     "bridge_runs": "SELECT id AS run_id, region, before AS opened_us, started_us AS closed_us FROM (SELECT *, lag(last_message_us) OVER (PARTITION BY region ORDER BY id) AS before FROM day_runs) WHERE started_us-before>120000000",
     "zones_table": "SELECT v.*, coalesce(n,0) AS reports FROM (VALUES " + ",".join(f"('{z.zone_id}','{z.kind}',{str(z.sensitive).lower()},{z.lat[0]}::DOUBLE,{z.lon[0]}::DOUBLE,{z.lat[1]}::DOUBLE,{z.lon[1]}::DOUBLE)" for z in REGISTRY)
     + ") v(zone_id,kind,sensitive,min_lat,min_lon,max_lat,max_lon) LEFT JOIN (SELECT zone_id, count(*) AS n FROM zoned GROUP BY 1) z USING (zone_id)",
     "zones_geojson": "SELECT * FROM (VALUES " + ",".join(f"('{z.zone_id}','{_feature(z)}')" for z in REGISTRY) + ") v(zone_id,feature) SEMI JOIN zoned USING (zone_id)",
-    "hourly_outage": """WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts))+1 AS hi FROM events), o AS (SELECT greatest(opened_us, lo) AS s, least(coalesce(closed_us, hi), hi) AS e FROM beaten, span WHERE least(coalesce(closed_us, hi), hi) > opened_us),
-      k AS (SELECT *, max(e) OVER (ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), g AS (SELECT *, sum((before IS NULL OR s>before)::INT) OVER (ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS i FROM k),
-      m AS (SELECT min(s) AS s, max(e) AS e FROM g GROUP BY i), h AS (SELECT s, e, unnest(range(s - s%3600000000, e+1, 3600000000)) AS hour_us FROM m)
-      SELECT hour_us, round(sum((least(e,hour_us+3600000000)-greatest(s,hour_us))/60e6::DOUBLE),6) AS outage_minutes FROM h GROUP BY 1 HAVING sum(least(e,hour_us+3600000000)-greatest(s,hour_us))>0""",
+    "hourly_outage": "SELECT hour_us, round(minutes,6) AS outage_minutes FROM outage_hours",
 }
 # One region's grid since an aligned time: the same expressions over its reports alone.
 _SINCE = EPOCH_US + 1_200_000_000

@@ -353,14 +353,18 @@ def hourly_incidents(spark, d):
     return evaluation.incidents_by_hour(every(spark, d))
 
 
-@query
-def hourly_outage(spark, d):
-    """Minutes of outage an hour, of the outages that the poll outcomes of all regions make."""
+def region_outages(spark: SparkSession, d: str, region: str | None = None) -> DataFrame:
+    """Minutes of outage an hour, of the outages that poll outcomes make."""
     beats = beats_of(spark, d)
     outages = ingest.outages_of_beats(beats).withColumn("run_id", F.col("region").cast("long"))
     runs = beats.select("region", F.col("region").cast("long").alias("id")).distinct()
     lo, hi = beats.agg(F.min("us"), F.max("us")).first()
-    return evaluation.outage_minutes(outages, runs, None, lo or 0, (hi or 0) + 1).select("hour_us", r("outage_minutes"))
+    return evaluation.outage_minutes(outages.drop("region"), runs, region, lo or 0, (hi or 0) + 1)
+
+
+@query
+def hourly_outage(spark, d):
+    return region_outages(spark, d).select("hour_us", r("outage_minutes"))
 
 
 @query
@@ -371,12 +375,13 @@ def hourly_table(spark, d):
 
 
 def event_hours(spark: SparkSession, d: str) -> DataFrame:
-    """Hours of the event table's own 30 days: users stand for cells, purchases for those that can't be scored."""
+    """Hours of the event table's own 30 days: users stand for cells, purchases for those that can't be scored; outages are those of one region."""
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("us", micros("ts"))
     span = e.agg(F.min("us").alias("lo_us"), F.max("us").alias("hi_us"))
     hours = e.groupBy((F.col("us") - F.pmod("us", F.lit(HOUR_US))).alias("hour_us")).agg(
-        F.count(F.lit(1)).alias("reports"), F.count_distinct("user_id").alias("cell_windows"), F.count_if(F.col("event_type") == "purchase").alias("unscoreable"), F.lit(0.0).alias("outage_minutes")
+        F.count(F.lit(1)).alias("reports"), F.count_distinct("user_id").alias("cell_windows"), F.count_if(F.col("event_type") == "purchase").alias("unscoreable")
     )
+    hours = hours.join(region_outages(spark, d, "0"), "hour_us", "left").na.fill(0.0, "outage_minutes")
     return hours.withColumns({c: span.select(c).scalar() for c in ("lo_us", "hi_us")})
 
 
@@ -625,8 +630,10 @@ def dedup_append(spark, d):
 
 @query
 def aircraft_identity(spark, d):
-    rows = pos(spark, d).withColumns({"callsign": F.col("squawk"), **{c: F.lit(None).cast("string") for c in ("registration", "type_code", "category")}})
-    return ingest.identities(rows).select("icao24", "callsign", "first_us", "last_us")
+    """The last known value of each field; a report has some of them."""
+    i, text = F.col("id"), lambda a, n: F.concat(F.lit(a), (F.col("id") % n).cast("string"))
+    fields = {"callsign": F.col("squawk"), "registration": F.when(i % 5 == 0, text("9V-", 13)), "type_code": F.when(i % 7 == 0, text("B73", 3)), "category": F.when(i % 11 == 0, text("A", 6))}
+    return ingest.identities(pos(spark, d).withColumns(fields)).select("icao24", *fields, "first_us", "last_us")
 
 
 @query
