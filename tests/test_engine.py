@@ -330,7 +330,7 @@ def test_auc_with_ties(spark):
 
 
 def test_streaming_keeps_each_report_once(spark, tmp_path):
-    from trackloom.streaming import live
+    from trackloom.streaming import live, store
 
     (tmp_path / "in").mkdir()
     one = json.dumps(SNAP)
@@ -340,8 +340,10 @@ def test_streaming_keeps_each_report_once(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(one)
     live.appended(live.positions_stream(spark, str(tmp_path / "in"), "s", "r"), str(tmp_path / "out"), str(tmp_path / "cp")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    live.processed(spark, str(tmp_path / "out"), str(tmp_path / "tracks"), Settings(track_min_points=1))(spark.read.parquet(str(tmp_path / "out")), 0)
-    assert spark.read.parquet(str(tmp_path / "tracks")).count() == 1
+    kept = store.Store(spark, str(tmp_path / "store"), settings=Settings(track_min_points=1))
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    kept.cycle(landed.withColumns({"id": F.col("us"), "ts": F.col("ts").cast("timestamp_ntz")}), 0)
+    assert kept.tracks().count() == 1
 
 
 def test_partition_overwrite(spark, tmp_path):

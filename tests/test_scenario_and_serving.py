@@ -100,18 +100,15 @@ def test_a_cycle_of_one_region_leaves_the_other(spark):
 
 
 def test_two_batches_of_one_track_are_one_track(spark, tmp_path):
-    from trackloom.streaming import live
+    from trackloom.streaming import store
 
     df = rows(spark, [{"t": 60 * k, "icao24": a} for a in ("a", "b") for k in range(12)])
-    step = live.processed(spark, f"{tmp_path}/in", f"{tmp_path}/out")
-    df.where("id % 2 = 0").write.parquet(f"{tmp_path}/in")
-    step(df.where("id % 2 = 0"), 0)
-    df.where("id % 2 = 1").write.mode("append").parquet(f"{tmp_path}/in")
+    kept = store.Store(spark, str(tmp_path))
+    kept.cycle(df.where("id % 2 = 0"), 0)
     for _ in range(2):
-        step(df.where("id % 2 = 1 and icao24 = 'a'"), 1)
-    out = {(r.icao24, r.point_count) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert out == {("a", 12)} or out == {("a", 12), ("b", 12)}
-    assert spark.read.parquet(f"{tmp_path}/out").count() == len(out)
+        kept.cycle(df.where("id % 2 = 1 and icao24 = 'a'"), 1)
+    assert {(r.icao24, r.point_count) for r in kept.tracks().collect()} == {("a", 12)}
+    assert kept.positions().where("icao24 = 'b'").count() == 6
 
 
 def test_sessions_of_visits_and_codes(spark):

@@ -63,28 +63,6 @@ def session_tracks(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return airborne.groupBy(*keys).agg(F.count(F.lit(1)).alias("point_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us")).where(F.col("point_count") >= s.track_min_points)
 
 
-def processed(spark: SparkSession, positions_path: str, out: str, s: Settings = DEFAULTS, buckets: int = 256):
-    """A foreachBatch function: tracks are kept by bucket of aircraft, and a batch derives those of the buckets it touches again from the stored history.
-
-    A bucket is overwritten as a whole, so a reader sees each track once, whatever batches it came in and whichever are run again.
-    """
-    from ..operators.tracks import tracks
-
-    own = F.pmod(F.xxhash64("icao24"), F.lit(buckets)).cast("int").alias("bucket")
-
-    def process(batch: DataFrame, number: int) -> None:
-        touched = batch.select(own).distinct()
-        history = spark.read.parquet(positions_path)
-        history = history.select("*", own).join(touched, "bucket", "left_semi").drop("bucket")
-        if "ts" in history.columns:
-            history = history.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        if "id" not in history.columns:
-            history = history.withColumn("id", F.col("us"))
-        tracks(history, s).select("*", own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
-
-    return process
-
-
 def session_visits(stream: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Low stays in border zones as session windows, emitted once the watermark passes their end."""
     low = stream.where(~F.col("on_ground") & (F.coalesce("alt_baro_ft", F.lit(0.0)) < s.incursion_max_alt_ft))

@@ -47,8 +47,10 @@ class Store:
         return F.pmod(F.xxhash64("icao24"), F.lit(self.buckets)).cast("int")
 
     def there(self, name: str) -> bool:
+        """Has a table any partition yet? A write without rows leaves an empty folder."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(x.isDirectory() for x in fs.listStatus(path))
 
     def positions(self, buckets: list[int] | None = None, since_us: int | None = None) -> DataFrame:
         """Stored reports, of some buckets and from the day of a time on: both prune partitions."""
@@ -77,6 +79,9 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/tracks").where(own)
 
     def late(self) -> DataFrame:
+        """Late reports with the cycle they came in; there must be positions."""
+        if not self.there("late"):
+            return self.positions().drop("bucket", "day").limit(0)
         return self.spark.read.parquet(f"{self.root}/late")
 
     def land(self, batch: DataFrame, cycle: int) -> None:
