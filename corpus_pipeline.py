@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from trackloom.llm.common import fresh, stored, table
+from trackloom.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,11 +27,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, and ``n_chars`` follows; no document goes, and null texts stay null.
 
-    A group of near copies counts as one document, so that what they have in common doesn't go from
-    all of them before the next stage keeps one.
+    Equal texts count as one document. Groups of near copies would too, but they come from Arrow code, which this stage may not
+    run: what eight near copies have in common goes from all of them.
     """
-    group = fresh(docs, "near")
-    done = line_dedup.cleaned(ngram_join.with_groups(docs, group), group=F.col(group))
+    done = line_dedup.cleaned(docs)
     return done.withColumn("n_chars", F.when(F.size("_ld_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
