@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
-from trackloom.llm import decontaminate, secret_scan
+from tests.llm import brute
+from trackloom.llm import decontaminate, ngram_join, secret_scan
 
 
 def test_decontamination_unites_rows_with_equal_ids(spark):
@@ -53,3 +56,25 @@ def test_tokens_of_three_parts_stand_apart(spark):
     got = {r.spans for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
     want = ",".join(f"jwt:{m.start()}:{m.end()}" for m in re.finditer(rf"(?<![A-Za-z0-9_-]){re.escape(token)}", text))
     assert got == {want, "hex:4:44", ""} and want.count("jwt") == 3
+
+
+def test_texts_of_many_classes_stay_where_they_are(spark, monkeypatch):
+    """Keys too many to broadcast: same links, groups and copies as with a broadcast, also where most rows pass the filter by chance; no exchange of texts."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(500)}" for _ in range(60)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[:58])) if i % 3 else (None, None), (3 * i + 2, " ".join(words)) if i % 2 else (3 * i, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda: [sorted(map(str, f(docs).collect())) for f in (lambda d: ngram_join.with_groups(d, "near"), ngram_join.deduplicated)]
+    want, plain = told(), ngram_join.small
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    texts = docs.select("text", ngram_join.row_key().alias("rkey"))
+    keys = texts.where("text IS NOT NULL").limit(40).select("rkey").distinct()
+    found = ngram_join._among(texts, keys, texts)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.rkey for r in found.collect()) == sorted(r.rkey for r in texts.join(keys, "rkey").collect())
+    monkeypatch.setattr(ngram_join, "small", lambda df: plain(df, 0))
+    monkeypatch.setattr(ngram_join, "BLOOM_BITS", 64)
+    assert told() == want
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked(docs, 4, 85).collect()) == Counter(brute.links(rows, 4, 85))

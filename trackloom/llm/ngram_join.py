@@ -41,8 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, discard, fresh, small, stored, text_of
+from .common import BROADCAST_ROWS, blocks_for, discard, fresh, small, stored, text_of
 from .components import components
+from .decontaminate import BITS_EACH, BLOOM_BITS, bloom, in_bloom
+from .exchange import by_hash
 from .hashing import SLICE, U, Words, first_of_runs, mixed, windows
 
 WIDTH, PERCENT = 5, 80
@@ -129,7 +131,7 @@ def _signed(width: int, percent: int):
 
 # What times says in a question: asked, asked but already known to be shared, or (from 1 up) an answer.
 ASKED, TOLD = 0, -1
-QUESTIONS = "gram long, key long, times int"
+QUESTIONS = "hash long, key long, times int"
 
 
 def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.flatnonzero(known)
         yield pa.RecordBatch.from_pydict(
             {
-                "gram": pa.array(np.concatenate([gram[starts], keys[told]])),
+                "hash": pa.array(np.concatenate([gram[starts], keys[told]])),
                 "key": pa.array(np.concatenate([keys[owner[starts]], keys[told]])),
                 "times": pa.array(np.concatenate([np.where(held > 1, TOLD, ASKED), known[told]]).astype(np.int32)),
             }
@@ -161,7 +163,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
     They are added up per class behind the part: sums per part would be as many as there are parts.
     """
-    gram, key, times = (table[c].to_numpy() for c in ("gram", "key", "times"))
+    gram, key, times = (table[c].to_numpy() for c in ("hash", "key", "times"))
     asked = times <= 0
     order = np.lexsort((key[asked], gram[asked]))
     g, k, told = gram[asked][order], key[asked][order], times[asked][order] == TOLD
@@ -178,8 +180,8 @@ def _live(signed: DataFrame, percent: int) -> DataFrame:
     asking = signed.where(F.col("s1").isNotNull()).select("s1", "prefix")
     grams = signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     parts = blocks_for(grams, PART_GRAMS, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = asking.mapInArrow(_questions, QUESTIONS).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
-    heard = asked.groupBy("part").applyInArrow(_answers, "key long, times long").groupBy(F.col("key").alias("s1")).agg(F.sum("times").alias("times"))
+    heard = by_hash(asking.mapInArrow(_questions, QUESTIONS), parts, _answers, "key long, times long")
+    heard = heard.groupBy(F.col("key").alias("s1")).agg(F.sum("times").alias("times"))
     may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     known = signed.where(F.col("s1").isNotNull()).select("s1", (F.size("prefix") - may_miss).alias("least")).distinct()
     return known.join(heard, "s1").where(F.col("times") >= F.greatest("least", F.lit(1))).select("s1").distinct()
@@ -419,6 +421,37 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", text_of())
 
 
+def _held(keys: DataFrame, name: str, n: int):
+    """A test of a hash column: may it be among the n keys? Of others, one in thousands passes while the filter is below ``BLOOM_BITS``."""
+    each = F.explode(F.array(F.col(name), F.xxhash64(name))).alias("hash")
+    bits = min(BLOOM_BITS, 1 << max(13, (2 * BITS_EACH * n - 1).bit_length()))
+    known = stored(bloom(keys.select(each), bits))
+    return lambda hash_: in_bloom(known.scalar(), hash_, bits) & in_bloom(known.scalar(), F.xxhash64(hash_), bits)
+
+
+def _among(texts: DataFrame, keys: DataFrame, named: DataFrame) -> DataFrame:
+    """The texts whose rkey is among ``keys``. ``named`` has the rkeys of all.
+
+    Keys too many to broadcast are told by a filter, and what passes it by chance is found among the rkeys alone: no text moves.
+    """
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return texts.join(F.broadcast(keys), "rkey", "left_semi")
+    may = _held(keys, "rkey", n)
+    chance = stored(named.select("rkey").where(may(F.col("rkey"))).join(keys.hint("merge"), "rkey", "left_anti"))
+    return texts.where(may(F.col("rkey"))).join(small(chance), "rkey", "left_anti")
+
+
+def _met(rows: DataFrame, row: str, keys: DataFrame, key: str, on, how: str) -> DataFrame:
+    """``rows`` joined with ``keys`` on a condition that equates ``row`` and ``key``. If the keys are too many to broadcast, only rows that a filter of them holds move."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    may = _held(keys, key, n)(F.col(row))
+    met_ = rows.where(may).join(keys.hint("merge"), on, how)
+    return met_ if how == "left_semi" else met_.unionByName(rows.where(~may), allowMissingColumns=True)
+
+
 def _classified(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, rkey (of id and text), n, name (of the class; null without words) and root (the name that its component goes by)."""
     texts = documents.select("doc_id", text_of().alias("text"), row_key().alias("rkey"))
@@ -426,7 +459,10 @@ def _classified(documents: DataFrame, width: int, percent: int) -> DataFrame:
     live = stored(_live(signed, percent))
     # Any row of a class has its set.
     wanted = stored(signed.join(small(live), "s1", "left_semi").groupBy("s1", "s2").agg(F.min("rkey").alias("rkey")).select("rkey"))
-    sets = stored(texts.join(small(wanted), "rkey", "left_semi").mapInArrow(_grams(width), GRAMS))
+    # The prefixes have been asked about; the rest is about names.
+    asked, signed = signed, stored(signed.drop("prefix"))
+    discard(asked)
+    sets = stored(_among(texts, wanted, signed).mapInArrow(_grams(width), GRAMS))
     n, different = sets.agg(F.count(F.lit(1)), F.count_distinct("s1", "s2")).first()
     if n > different:
         again, sets = sets, stored(sets.dropDuplicates(["s1", "s2"]))
@@ -456,7 +492,7 @@ def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: in
     groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.xxhash64("root").alias(name))
     key = fresh(documents, "_nj_key")
     known = stored(rows.join(small(stored(groups)), "root").select(F.col("rkey").alias(key), name).distinct())
-    return documents.withColumn(key, row_key()).join(small(known), key, "left").drop(key)
+    return _met(documents.withColumn(key, row_key()), key, known, key, key, "left").drop(key)
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -472,7 +508,7 @@ def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCEN
     same = (F.col("rkey") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     row, key, id_, kept, n = (fresh(documents, f"_nj_{x}") for x in ("row", "key", "id", "kept", "n"))
     keys = stored(joined.groupBy(F.col("doc_id").alias(id_), F.col("rkey").alias(key), same.alias(kept)).agg(F.count(F.lit(1)).alias(n)))
-    mine = lambda df, how: documents.withColumn(row, row_key()).join(small(df), (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), how).drop(row)
+    mine = lambda df, how: _met(documents.withColumn(row, row_key()), row, df, key, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), how).drop(row)
     gone = keys.where(~F.col(kept)).select(id_, key)
     again = stored(keys.where(F.col(kept) & (F.col(n) > 1)).select(id_, key))
     if again.isEmpty():
