@@ -208,3 +208,35 @@ def test_a_cycle_reads_only_its_buckets_and_days(spark, tmp_path):
 def test_dirty_by_event_time_is_the_batch_rule(spark):
     df = reports(spark, flight("a1", 0, 3) + flight("a2", 100, 3))
     assert {r.icao24 for r in incremental.dirty(df, T0 + 120_000_000).collect()} == {"a2"}
+
+
+def test_state_is_kept_by_groups_of_aircraft(spark, tmp_path):
+    """Sixty aircraft in four groups: as many states as groups, and the stays of the batch form, each aircraft by itself, out of order."""
+    rows = reports(spark, [{"t": 60 * t + k, "icao24": f"a{k}", "squawk": ("7700", "7700", "2000", "7600")[(t + k) // 2 % 4]} for t in range(12) for k in range(60)])
+    parts = [rows.where(F.col("id") % 3 == k) for k in (2, 0, 1)]
+    feed(parts[0], tmp_path / "in", *parts[1:])
+    stream = lambda: ordered.stays(streams.streamed(spark, str(tmp_path / "in"), 1), delay="30 minutes", groups=4)
+    write = lambda: streams.appended(stream(), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query = write().start()
+    query.awaitTermination()
+    assert 4 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 20
+    feed(closing(rows), tmp_path / "in")
+    streams.run(write())
+    columns = ["icao24", "squawk", "samples", "start_us", "end_us", "lat", "lon", "region"]
+    found = spark.read.parquet(f"{tmp_path}/out").select(*columns)
+    assert found.count() > 60 and rows_of(found) == rows_of(visits.squawk_runs(rows).select(*columns))
+
+
+def test_a_batch_is_a_slice_of_the_landed_rows(spark, monkeypatch):
+    """Slices of many files come as one batch each: with fewer files a batch, its rest would be late."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 40)
+    rows = positions.read(spark, SF)
+    middle = T0 + 1_800_000_000
+    rows = rows.where((F.abs(F.col("us") - middle) > 900_000_000) | (F.col("id") % 97 == 0))  # slices of few rows
+    landed = streams.landed(rows)
+    each = -(-rows.count() // 240)
+    assert each > 2 and len(spark.read.parquet(landed).inputFiles()) == 6 * each + 1 and spark.read.parquet(landed).count() == rows.count() + 1
+    seen = []
+    write = streams.streamed(spark, landed).writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.min("us"), F.max("us")).first()))
+    streams.run(write.option("checkpointLocation", f"{landed}-cp").trigger(availableNow=True))
+    assert len(seen) == 7 and all(a[0] > b[1] - 8 * MINUTE_US for b, a in zip(seen, seen[1:], strict=False))
