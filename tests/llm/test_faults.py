@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 from tests.llm import brute
-from trackloom.llm import decontaminate, ngram_join, secret_scan
+from trackloom.llm import decontaminate, line_dedup, ngram_join, secret_scan
 
 
 def test_decontamination_unites_rows_with_equal_ids(spark):
@@ -78,3 +78,17 @@ def test_texts_of_many_classes_stay_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOOM_BITS", 64)
     assert told() == want
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked(docs, 4, 85).collect()) == Counter(brute.links(rows, 4, 85))
+
+
+def test_line_dedup_parses_every_text_once_a_pass(spark, monkeypatch):
+    """Spark makes a filter of ``explode``, which split and parsed every text a second time."""
+    plans, plain = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    docs = spark.createDataFrame([(i, f"  a  1b c{i} d \n\tx 2 y\v{i}z w@\r\n\n{'q  ' * 49}q") for i in range(9)], "doc_id long, text string")
+    lines = line_dedup.lines_of(docs.repartition(2))
+    assert [p.count("split(") for p in plans] == [1, 1]
+    assert {r.said for r in lines.collect()} == {"a  * * d", "x * y * *", ("q  " * 49) + "q"}
+    # The long line has 50 words; of 49 words and as many tokens it is none.
+    assert {r.line for r in line_dedup.passages(lines, 10).collect()} == {3}
+    fewer = spark.createDataFrame([(i, ("q  " * 48) + "q") for i in range(9)], "doc_id long, text string").union(spark.createDataFrame([(20, ("q  " * 48) + "q\n")], "doc_id long, text string"))
+    assert line_dedup.passages(line_dedup.lines_of(fewer), 20).isEmpty()

@@ -50,21 +50,25 @@ BARS = 28
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*"
 
 
+def _masked(said: Column) -> Column:
+    """The text with ``*`` for its variable fields. Few lines have one, and looking for one is much cheaper than replacing."""
+    return F.when(said.rlike("[0-9@]"), F.regexp_replace(said, _FIELD, "*")).otherwise(said)
+
+
 def _lines(text: Column) -> Column:
-    """All lines of a text as structs: number, masked line, its leaf (null for blank lines), and whether it may be long."""
-    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+    """All lines of a text as structs: number, trimmed line, its leaf (null for blank lines), and whether it may be long.
 
-    def parsed(said: Column, i: Column) -> Column:
-        tokens = F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1
-        leaf = F.when(said != "", F.xxhash64(tokens, F.substring_index(said, " ", DEPTH)))
-        return F.struct(i.alias("line"), said.alias("said"), leaf.alias("leaf"), (tokens >= LONG).alias("long"))
+    Masking changes no number of tokens, so a leaf takes that of the leading ones alone.
+    """
+    spaced = [text.contains(c) for c in "\t\v\f\r"]
+    plain = F.when(spaced[0] | spaced[1] | spaced[2] | spaced[3], F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
 
-    def one(line: Column, i: Column) -> Column:
-        # Few lines have a variable field, and looking for one is much cheaper than replacing.
-        masked = F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, "*")).otherwise(line)
-        return let(F.trim(masked), lambda said: parsed(said, i))
+    def parsed(said: Column, i: Column) -> Column:
+        tokens = F.octet_length(said) - F.octet_length(F.replace(said, F.lit(" "), F.lit(""))) + 1
+        head = let(F.substring_index(said, " ", DEPTH), _masked)
+        return let(tokens, lambda n: F.struct(i.alias("line"), said.alias("said"), F.when(said != "", F.xxhash64(n, head)).alias("leaf"), (n >= LONG).alias("long")))
 
-    return F.transform(F.split(plain, "\n"), one)
+    return F.transform(F.split(plain, "\n"), lambda line, i: let(F.trim(line), lambda said: parsed(said, i)))
 
 
 def _name(*parts: Column | str) -> Column:
@@ -82,18 +86,20 @@ def lines_of(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, group: Co
     if group is not None:
         own = F.when(group.isNotNull(), _name(F.lit("group"), group)).otherwise(_name(text_of()))
     parsed = documents.select(_key().alias("_ld_key"), own.alias("_ld_group"), "doc_id", _lines(text_of()).alias("lines"))
-    leaves = parsed.select(F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
+    # No array is empty, and of ``explode`` Spark would make a filter that parses every text once more.
+    leaves = parsed.select(F.explode_outer(F.array_distinct(F.transform("lines", lambda x: F.struct(x["leaf"], x["long"])))).alias("x")).select("x.leaf", "x.long")
     # Documents of one group are counted each here and once below: this is only the filter.
     heavy = leaves.where("leaf is not null").groupBy("leaf", "long").count().where(F.col("count") >= F.when(F.col("long"), 2).otherwise(min_documents))
-    lines = parsed.select("_ld_key", "_ld_group", "doc_id", F.explode("lines").alias("x")).select("_ld_key", "_ld_group", "doc_id", "x.line", "x.said", "x.leaf", "x.long")
+    lines = parsed.select("_ld_key", "_ld_group", "doc_id", F.explode_outer("lines").alias("x")).select("_ld_key", "_ld_group", "doc_id", "x.line", "x.said", "x.leaf", "x.long")
     heavy = stored(heavy.select("leaf"))
-    return stored(lines.join(small(heavy), "leaf", "left_semi").withColumn("template", _name("said")))
+    return stored(lines.join(small(heavy), "leaf", "left_semi").withColumn("said", _masked(F.col("said"))).withColumn("template", _name("said")))
 
 
 def passages(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """_ld_key, line: long lines in two groups or more, but fewer than min_documents, outside the first document's group."""
-    words = F.size(F.array_remove(F.split("said", " "), ""))
-    held = lines.where(F.col("long") & (words >= LONG)).select("leaf", "template", "_ld_key", "_ld_group", "doc_id", "line")
+    # Without an empty token there are as many words as tokens, and those of a long line are enough.
+    wordy = ~F.col("said").contains("  ") | (F.size(F.array_remove(F.split("said", " "), "")) >= LONG)
+    held = lines.where(F.col("long") & wordy).select("leaf", "template", "_ld_key", "_ld_group", "doc_id", "line")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_ld_key", "_ld_group")
     # One row a group and line first, so that a passage in a third of all documents is counted from partial sums.
     per = held.groupBy("leaf", "template", "_ld_group").agg(F.min(order).alias("x"))
@@ -129,7 +135,7 @@ def _shaped(lines: DataFrame, min_documents: int) -> DataFrame:
     # The leading tokens are the leaf's, the same in all its lines.
     lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "*"))
     rest = F.slice("tokens", DEPTH + 1, n - DEPTH)
-    placed = masked.select("leaf", "template", "documents", n.alias("n"), lead.alias("lead"), F.posexplode(rest).alias("place", "token")).where("token != '*'")
+    placed = masked.select("leaf", "template", "documents", n.alias("n"), lead.alias("lead"), F.posexplode_outer(rest).alias("place", "token")).where("token != '*'")
     seen = stored(placed.groupBy("leaf", "place", "token").agg(F.sum("documents").alias("times")).where(F.col("times") >= min_documents))
     own = placed.join(small(seen), ["leaf", "place", "token"]).groupBy("leaf", "template", "n", "lead").agg(F.array_sort(F.collect_list(F.struct("place", "token", "times"))).alias("own"))
     over = lambda bar: F.filter("own", lambda x: x["times"] >= bar)
