@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from trackloom.llm import decontaminate, line_dedup, ngram_join, secret_scan
+from trackloom.llm.common import arrow_rows
 
 
 def test_decontamination_unites_rows_with_equal_ids(spark):
@@ -92,3 +95,40 @@ def test_line_dedup_parses_every_text_once_a_pass(spark, monkeypatch):
     assert {r.line for r in line_dedup.passages(lines, 10).collect()} == {3}
     fewer = spark.createDataFrame([(i, ("q  " * 48) + "q") for i in range(9)], "doc_id long, text string").union(spark.createDataFrame([(20, ("q  " * 48) + "q\n")], "doc_id long, text string"))
     assert line_dedup.passages(line_dedup.lines_of(fewer), 20).isEmpty()
+
+
+def test_workers_hold_little_of_a_batch_of_texts():
+    """14 MB of text in one batch; slices of 8 MB took 34 MB beside it."""
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    ids = pa.array(range(4000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([" ".join(rng.choices(vocabulary, k=400)) for _ in range(4000)])], ["doc_id", "rkey", "text"])
+    run = ngram_join._signed(5, 80)
+    rows = sum(b.num_rows for b in run([batch]))  # the tables of powers stay
+    tracemalloc.start()
+    rows += sum(b.num_rows for b in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 8000 and peak < 30e6
+
+
+def test_workers_are_sent_few_rows_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with arrow_rows(spark, 7):
+        assert max(r.n for r in spark.range(0, 50, 1, 2).mapInArrow(sizes, "n long").collect()) == 7
+    assert spark.conf.get(name) == before
+
+
+def test_measured_rows_are_those_of_the_groups_without_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([0, 3, 40]))]
+        rows += [(2 * i, " ".join(words), f"s{i % 4}"), (2 * i + 1 if i % 5 else None, "\n ".join([*words, "x"]) if i % 3 else None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = ngram_join.measured(docs, "near", ("source",))
+    assert got.columns == ["doc_id", "source", "words", "near"]
+    want = ngram_join.with_groups(docs, "near").selectExpr("doc_id", "source", "size(array_remove(split(coalesce(text, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), ''))", "near")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))

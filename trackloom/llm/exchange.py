@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, text_of
-from .hashing import first_of_runs
+from .hashing import first_of_runs, released
 
 #: Bytes of text in a block, and so about the hashes in a part: what one task holds.
 BLOCK_BYTES = 8 << 20
@@ -50,6 +50,8 @@ def by_hash(rows: DataFrame, parts: int, answer, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own := list(batches):
             yield from answer(pa.Table.from_batches(own)).to_batches()
+        del own
+        released()
 
     return rows.repartition(parts, place).mapInArrow(run, schema)
 

@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blocks_for, discard, fresh, small, stored, text_of
+from .common import BROADCAST_ROWS, arrow_rows, blocks_for, discard, fresh, small, stored, text_of
 from .components import components
 from .decontaminate import BITS_EACH, BLOOM_BITS, bloom, in_bloom
 from .exchange import by_hash
-from .hashing import SLICE, U, Words, first_of_runs, mixed, windows
+from .hashing import SLICE, U, Words, first_of_runs, mixed, released, windows
 
 WIDTH, PERCENT = 5, 80
 #: Classes, and shingles, that a block of a large candidate component holds.
@@ -60,23 +60,31 @@ MOST_COUNTERS = 1 << 24
 #: Prefix shingles that one task compares.
 PART_GRAMS = 1 << 20
 SLICES = 16
+#: Rows of text that a worker is sent at once: with 10,000, Spark's own number, a worker took 341 MB for documents of 3 KB.
+BATCH_ROWS = 1000
 
 
-def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
+def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of every text, text after text; how many each has, and how many words."""
     words = Words(texts, fold_case=True)
-    whole = {width: windows(words, width)[0]}
-    ends = np.cumsum(words.counts)
-    out = []
-    for end, n in zip(ends.tolist(), words.counts.tolist(), strict=True):
-        if n < width and n not in whole:
-            whole[n] = windows(words, n)[0] if n else np.zeros(0, U)
-        a = end - n
-        out.append(np.unique(whole[width][a : end - width + 1]) if n >= width else whole[n][a : a + 1] if n else np.zeros(0, U))
-    return out
-
-
-def _slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 8 * SLICE) -> Iterator[pa.RecordBatch]:
+    grams, within = windows(words, width)
+    owner = words.doc[: len(grams)][within]
+    grams = grams[within]
+    for n in set(words.counts[(words.counts > 0) & (words.counts < width)].tolist()):
+        short = np.flatnonzero(words.counts == n)
+        first = np.searchsorted(words.doc, short)
+        at = np.searchsorted(owner, short)
+        grams, owner = np.insert(grams, at, windows(words, n)[0][first]), np.insert(owner, at, short)
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
+    low = 0
+    for high in ends:
+        grams[low:high].sort()
+        low = high
+    new = first_of_runs(grams) | first_of_runs(owner)
+    return grams[new], np.bincount(owner[new], minlength=len(texts)), words.counts
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 * SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each has about ``size`` bytes of a column, or one row."""
     for b in batches:
         data = b[column].cast(pa.large_binary())
@@ -88,9 +96,21 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             low = high
 
 
-def _names(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums of mixed hashes that tell sets apart."""
-    return int(mixed(s).sum(dtype=U).view(np.int64)), int(mixed(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
+def _names(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums of mixed hashes that tell sets apart; 0 for an empty set."""
+    full = counts > 0
+    starts = (np.cumsum(counts) - counts)[full]
+    out = np.zeros((2, len(counts)), U)
+    if len(grams):
+        out[0, full] = np.add.reduceat(mixed(grams), starts)
+        out[1, full] = np.add.reduceat(mixed(grams ^ U(0xA5A5A5A5A5A5A5A5)), starts)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _binary(grams: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One value of bytes for each run of counts hashes."""
+    at = np.concatenate([[0], np.cumsum(8 * counts)])
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(grams))]).cast(pa.binary())
 
 
 def met(percent: int) -> int:
@@ -102,29 +122,27 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + met(percent)
 
 
-def _looked_at(n: int, percent: int) -> int:
+def _looked_at(n: np.ndarray, percent: int) -> np.ndarray:
     """How many shingles a set of n asks about: a third more than may be missing, so that a quarter of them must be shared."""
-    return min(n, -(-4 * (n + (-percent * n // 100)) // 3) + met(percent))
+    return np.minimum(n, -(-4 * (n + (-percent * n // 100)) // 3) + met(percent))
 
 
-SIGNED = "doc_id long, rkey long, n long, s1 long, s2 long, prefix array<long>"
+SIGNED = "doc_id long, rkey long, n long, s1 long, s2 long, words long, asks int, prefix binary"
 
 
-def _signed(width: int, percent: int):
-    """Every row's class, and the prefix of its set in the order of the hashes."""
+def _signed(width: int, percent: int, kept: tuple[str, ...] = ()):
+    """Every row's class, and the prefix of its set in the order of the hashes; ``kept`` columns go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            n, s1, s2, prefix = [], [], [], []
-            for s in _sets(b["text"], width):
-                one, two = _names(s) if len(s) else (None, None)
-                n.append(len(s))
-                s1.append(one)
-                s2.append(two)
-                prefix.append(s[: _looked_at(len(s), percent)].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["rkey"], long(n), long(s1), long(s2), lists], ["doc_id", "rkey", "n", "s1", "s2", "prefix"])
+            grams, n, words = _sets(b["text"], width)
+            asks = _looked_at(n, percent)
+            first = np.cumsum(n) - n
+            prefix = grams[np.arange(len(grams)) - np.repeat(first, n) < np.repeat(asks, n)]
+            s1, s2 = (pa.array(x, pa.int64(), mask=n == 0) for x in _names(grams, n))
+            cols = [b["doc_id"], b["rkey"], pa.array(n, pa.int64()), s1, s2, pa.array(words, pa.int64()), pa.array(asks, pa.int32()), _binary(prefix, asks)]
+            yield pa.RecordBatch.from_arrays([*cols, *(b[c] for c in kept)], ["doc_id", "rkey", "n", "s1", "s2", "words", "asks", "prefix", *kept])
+        released()
 
     return run
 
@@ -140,9 +158,9 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first = np.unique(b["s1"].to_numpy(zero_copy_only=False), return_index=True)
         if not len(keys):
             continue
-        lists = b["prefix"].take(pa.array(first))
-        gram, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
-        order = np.argsort(gram, kind="stable")
+        gram = np.frombuffer(b"".join(b["prefix"].take(pa.array(first)).to_pylist()), np.int64)
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), b["asks"].to_numpy()[first])
+        order = np.argsort(gram)
         gram, owner = gram[order], owner[order]
         new = first_of_runs(gram)
         starts = np.flatnonzero(new)
@@ -156,6 +174,7 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "times": pa.array(np.concatenate([np.where(held > 1, TOLD, ASKED), known[told]]).astype(np.int32)),
             }
         )
+    released()
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -165,8 +184,15 @@ def _answers(table: pa.Table) -> pa.Table:
     """
     gram, key, times = (table[c].to_numpy() for c in ("hash", "key", "times"))
     asked = times <= 0
-    order = np.lexsort((key[asked], gram[asked]))
-    g, k, told = gram[asked][order], key[asked][order], times[asked][order] == TOLD
+    g, k, told = gram[asked], key[asked], times[asked] == TOLD
+    # Most shingles of ordinary text are met once: only the others are ordered by class too.
+    order = np.argsort(g)
+    new = first_of_runs(g[order])
+    often = np.diff(np.append(np.flatnonzero(new), len(g))) > 1
+    order = order[np.repeat(often, np.diff(np.append(np.flatnonzero(new), len(g)))) | told[order]]
+    g, k, told = g[order], k[order], told[order]
+    order = np.lexsort((k, g))
+    g, k, told = g[order], k[order], told[order]
     new = first_of_runs(g)
     starts = np.flatnonzero(new)
     other = new | first_of_runs(k)
@@ -177,13 +203,13 @@ def _answers(table: pa.Table) -> pa.Table:
 
 def _live(signed: DataFrame, percent: int) -> DataFrame:
     """s1 of the classes that may link with another one."""
-    asking = signed.where(F.col("s1").isNotNull()).select("s1", "prefix")
-    grams = signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    asking = signed.where(F.col("s1").isNotNull()).select("s1", "asks", "prefix")
+    grams = signed.agg(F.coalesce(F.sum("asks"), F.lit(0))).first()[0]
     parts = blocks_for(grams, PART_GRAMS, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heard = by_hash(asking.mapInArrow(_questions, QUESTIONS), parts, _answers, "key long, times long")
     heard = heard.groupBy(F.col("key").alias("s1")).agg(F.sum("times").alias("times"))
     may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    known = signed.where(F.col("s1").isNotNull()).select("s1", (F.size("prefix") - may_miss).alias("least")).distinct()
+    known = signed.where(F.col("s1").isNotNull()).select("s1", (F.col("asks") - may_miss).alias("least")).distinct()
     return known.join(heard, "s1").where(F.col("times") >= F.greatest("least", F.lit(1))).select("s1").distinct()
 
 
@@ -195,9 +221,11 @@ def _grams(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sets = [s for s in _sets(b["text"], width) if len(s)]
-            names = np.array([_names(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"s1": pa.array(names[:, 0]), "s2": pa.array(names[:, 1]), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+            grams, n, _ = _sets(b["text"], width)
+            n = n[n > 0]
+            s1, s2 = _names(grams, n)
+            yield pa.RecordBatch.from_pydict({"s1": pa.array(s1), "s2": pa.array(s2), "n": pa.array(n, pa.int64()), "grams": _binary(grams, n)})
+        released()
 
     return run
 
@@ -452,17 +480,22 @@ def _met(rows: DataFrame, row: str, keys: DataFrame, key: str, on, how: str) ->
     return met_ if how == "left_semi" else met_.unionByName(rows.where(~may), allowMissingColumns=True)
 
 
-def _classified(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, rkey (of id and text), n, name (of the class; null without words) and root (the name that its component goes by)."""
-    texts = documents.select("doc_id", text_of().alias("text"), row_key().alias("rkey"))
-    signed = stored(texts.mapInArrow(_signed(width, percent), SIGNED))
-    live = stored(_live(signed, percent))
+def _classified(documents: DataFrame, width: int, percent: int, kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, rkey (of id and text), n, words (how many), name (of the class; null without words), root (the name that its component goes by) and ``kept`` columns."""
+    texts = documents.select("doc_id", text_of().alias("text"), row_key().alias("rkey"), *kept)
+    schema = ", ".join([SIGNED, *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)])
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        signed = stored(texts.mapInArrow(_signed(width, percent, kept), schema))
+    with arrow_rows(documents.sparkSession, 4 * BATCH_ROWS):
+        live = stored(_live(signed, percent))
     # Any row of a class has its set.
     wanted = stored(signed.join(small(live), "s1", "left_semi").groupBy("s1", "s2").agg(F.min("rkey").alias("rkey")).select("rkey"))
     # The prefixes have been asked about; the rest is about names.
     asked, signed = signed, stored(signed.drop("prefix"))
     discard(asked)
-    sets = stored(_among(texts, wanted, signed).mapInArrow(_grams(width), GRAMS))
+    found = _among(texts.select("rkey", "text"), wanted, signed)
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        sets = stored(found.mapInArrow(_grams(width), GRAMS))
     n, different = sets.agg(F.count(F.lit(1)), F.count_distinct("s1", "s2")).first()
     if n > different:
         again, sets = sets, stored(sets.dropDuplicates(["s1", "s2"]))
@@ -475,7 +508,7 @@ def _classified(documents: DataFrame, width: int, percent: int) -> DataFrame:
     forest = partial.groupBy("cell", "i", "j").applyInArrow(_forest(percent), "u binary, v binary")
     roots = components(forest).select(F.col("u").alias("name"), F.col("v").alias("root"))
     discard(live, wanted, sets, members, seats)
-    rows = signed.select("doc_id", "rkey", "n", F.when(F.col("s1").isNotNull(), _name("s1", "s2")).alias("name"))
+    rows = signed.select("doc_id", "rkey", "n", "words", *kept, F.when(F.col("s1").isNotNull(), _name("s1", "s2")).alias("name"))
     return rows.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
 
 
@@ -486,15 +519,26 @@ def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return rows.join(small(stored(shared)), "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _groups_of(rows: DataFrame, name: str) -> DataFrame:
+    """root, and a number of the group of near duplicates that it stands for: those with two rows or more."""
+    groups = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return stored(groups.select("root", F.xxhash64("root").alias(name)))
+
+
 def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents with a new column ``name``: a number of their group of near duplicates, null for those alone."""
     rows = stored(_classified(documents, width, percent).where(F.col("root").isNotNull()).select("rkey", "root"))
-    groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", F.xxhash64("root").alias(name))
     key = fresh(documents, "_nj_key")
-    known = stored(rows.join(small(stored(groups)), "root").select(F.col("rkey").alias(key), name).distinct())
+    known = stored(rows.join(small(_groups_of(rows, name)), "root").select(F.col("rkey").alias(key), name).distinct())
     return _met(documents.withColumn(key, row_key()), key, known, key, key, "left").drop(key)
 
 
+def measured(documents: DataFrame, name: str, kept: tuple[str, ...], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Of every row doc_id, ``kept`` columns, words (how many) and ``name`` as in ``with_groups``: the texts are read once, and none is moved."""
+    rows = stored(_classified(documents, width, percent, kept).select("doc_id", *kept, "words", "root"))
+    return rows.join(small(_groups_of(rows, name)), "root", "left").drop("root")
+
+
 def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of every component, with all columns: that with the smallest id (null last), of equal ids with the smallest key of its text.
 

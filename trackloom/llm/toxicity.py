@@ -43,6 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh
+from .hashing import released
 
 LABELLED_ROWS = 20_000
 LABELLED_CHARS = 100_000_000
@@ -190,6 +191,7 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexico
         for f in frames:
             got = [evidence(x or "", a) for x in f["text"]]
             yield pd.DataFrame({"total": [g[0] for g in got], "dense": [g[1] for g in got], "toxic": f["toxic"].astype("int64")})
+        released()
 
     rows = sample.mapInPandas(measure, "total double, dense double, toxic long").toPandas()
     sample.unpersist()
@@ -228,6 +230,7 @@ def scored(documents: DataFrame, lexicon: Lexicon, name: str = "score") -> DataF
             got = [evidence(x or "", a) for x in s]
             z = _inputs(np.array([g[0] for g in got]), np.array([g[1] for g in got])) @ np.array(own.fit)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        released()
 
     return documents.withColumn(name, score(F.col("text")))
 
