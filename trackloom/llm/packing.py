@@ -46,6 +46,11 @@ def same_text() -> Column:
     return F.when(said != "", F.sha2(said, 256))
 
 
+def dealt_by() -> Column:
+    """What deals documents into shards: a hash of the id, or of the text where that is null."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text_of()))
+
+
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """The bin of each item, and the residuals of the bins. Items are taken in the order given.
 
@@ -100,13 +105,14 @@ def _numbers(values: pd.Series) -> list[int]:
     return pd.factorize(values, sort=True)[0].tolist()
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, units: Column | None = None, shard_size: int = SHARD) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, units: Column | None = None, shard_size: int = SHARD, deal: Column | None = None) -> DataFrame:
     """doc_id, bin, place (in the bin), start, end (units of the document), residual (of the bin, at the end).
 
-    units: the length of each document, such as n_tokens of ``token_counts.trees``; words by default.
+    units: the length of each document, such as n_tokens of ``token_counts.trees``; words by default. deal: ``dealt_by`` of each, where that is known.
+    With cluster, units and deal no text is read.
     """
     length = (F.size(words_of(text_of())) if units is None else F.coalesce(units, F.lit(0))).cast("long")
-    items = documents.select("doc_id", F.col("source").alias("source"), (same_text() if cluster is None else cluster).alias("cluster"), length.alias("units"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text_of())).alias("deal"))
+    items = documents.select("doc_id", F.col("source").alias("source"), (same_text() if cluster is None else cluster).alias("cluster"), length.alias("units"), (dealt_by() if deal is None else deal).alias("deal"))
     shards = blocks_for(documents.count(), shard_size)
 
     def shard(key: tuple[int], f: pd.DataFrame) -> pd.DataFrame:
