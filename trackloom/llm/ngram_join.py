@@ -10,10 +10,11 @@ hashes) are one class and always link.
    order is that of the hashes: each class sends its first 4 / 3 * (s - m) + 2 shingles, once a batch of documents, to
    the parts of the hash space and hears how many another class has too. Of these at most s - m may be
    missing; classes that miss more are done, and that is nearly all of ordinary text.
-2. The shingles of the rest get a global order by estimated frequency, rare first. In it, classes
-   whose prefixes meet twice may link: those of a shingle of at most ``RARE`` classes are paired, those of
-   a more frequent one tied to the smallest. Every link lies inside a component of that graph, which
-   is no larger than a constant times the prefixes.
+2. The shingles of the rest get a global order by estimated frequency, rare first. Prefixes of the same length in it
+   have at least ``_shared`` of their shingles in common if two sets link (that many are left of the prefix that ends first). Classes
+   of a shingle of at most ``RARE`` classes are paired if their sizes allow a link, and a pair stays with enough shingles in common, less the more
+   frequent ones that both may have. Only classes whose prefixes have so many frequent ones that a link might show in these
+   alone are tied, to the smallest such class of each that is of about their size. Every link lies inside a component of that graph, which is no larger than a constant times the prefixes.
 3. Candidate components are dealt into cells of bounded size, a large one as pairs of its blocks.
 4. Vertical partitioning. Pivots cut the global order into ``FRAGMENTS`` of equal mass and every set into as many
    segments. Each fragment is joined on its own: it counts, for the pairs of a cell, the overlap of their
@@ -34,14 +35,16 @@ table gives no rows; texts of any length are read whole, in slices of rows of a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_rows, blocks_for, discard, fresh, small, stored, text_of
+from .common import BROADCAST_ROWS, arrow_rows, blocks_for, discard, fresh, shuffles_dropped, small, stored, text_of
 from .components import components
 from .decontaminate import BITS_EACH, BLOOM_BITS, bloom, in_bloom
 from .exchange import by_hash
@@ -49,7 +52,7 @@ from .hashing import SLICE, U, Words, first_of_runs, mixed, released, windows
 
 WIDTH, PERCENT = 5, 80
 #: Classes, and shingles, that a block of a large candidate component holds.
-CELL_NODES, CELL_GRAMS = 256, 500_000
+CELL_NODES, CELL_GRAMS = 512, 500_000
 #: Classes of a prefix shingle that are paired one by one; beyond, they are tied to one of them.
 RARE = 32
 #: Parts of the global order.
@@ -114,19 +117,20 @@ def _binary(grams: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def met(percent: int) -> int:
-    """How many prefix shingles two different sets that link have in common at least: 2, or 1 for low similarities."""
+    """How many prefix shingles two different sets that link have in common at least, whatever their sizes: 2, or 1 for low similarities."""
     return 2 if percent >= 67 else 1
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + met(percent)
-
-
 def _looked_at(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many shingles a set of n asks about: a third more than may be missing, so that a quarter of them must be shared."""
+    """The length of a prefix of a set of n: a third more than may be missing, so that a quarter of it must be shared."""
     return np.minimum(n, -(-4 * (n + (-percent * n // 100)) // 3) + met(percent))
 
 
+def _shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of its prefix a set of n has in common with any set that it links with, at least. It grows with n."""
+    return _looked_at(n, percent) - (n + (-percent * n // 100))
+
+
 SIGNED = "doc_id long, rkey long, n long, s1 long, s2 long, words long, asks int, prefix binary"
 
 
@@ -278,30 +282,55 @@ def _order(sets: DataFrame) -> Order:
 
 
 def _prefixes(sets: DataFrame, percent: int, order) -> DataFrame:
-    """gram, node: the prefix of every class in the global order."""
+    """gram, node, n, shared, tied: the prefix of every class in the global order. Shared is for the class itself, tied for the smallest that it can link with."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, "grams"):
-            grams, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for node, n, x in zip(b["s1"].to_pylist(), b["n"].to_pylist(), b["grams"], strict=True):
+            grams = [np.zeros(0, U)]
+            n = b["n"].to_numpy()
+            for size, x in zip(_looked_at(n, percent).tolist(), b["grams"], strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
-                grams.append(s[np.lexsort((s, order.value.level(s)))[: _prefix_length(n, percent)]])
-                owner.append(np.full(len(grams[-1]), node, np.int64))
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64)), "node": pa.array(np.concatenate(owner))})
-
-    return sets.select("s1", "n", "grams").mapInArrow(prefix, "gram long, node long")
+                grams.append(s[np.lexsort((s, order.value.level(s)))[:size]])
+            facts = {"node": b["s1"].to_numpy(), "n": n, "shared": _shared(n, percent), "tied": _shared(-(-percent * n // 100), percent)}
+            each = [len(g) for g in grams[1:]]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(grams).view(np.int64))} | {k: pa.array(np.repeat(v, each)) for k, v in facts.items()})
+
+    return sets.select("s1", "n", "grams").mapInArrow(prefix, "gram long, node long, n long, shared long, tied long")
+
+
+def _proposed(prefixes: DataFrame, times: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of classes that may link by their shingles of at most ``RARE`` classes, and classes that may link by more frequent ones with the smallest of these."""
+    some = prefixes.join(times.where(F.col("times") <= RARE).select("gram"), "gram", "left_semi").select("gram", "node", "n", "shared")
+    a, b = some.alias("a"), some.alias("b")
+    near = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    paired = a.join(b, "gram").where(near & (F.col("a.node") > F.col("b.node"))).groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    paired = stored(paired.agg(F.count(F.lit(1)).alias("times"), F.min(F.least("a.shared", "b.shared")).alias("least")))
+    often = stored(prefixes.join(small(times.where(F.col("times") > RARE).select("gram")), "gram", "left_semi"))
+    # What both may have in common of the frequent shingles is added.
+    held = stored(often.groupBy("node").agg(F.count(F.lit(1)).alias("often"), F.min("tied").alias("tied")))
+    sure = paired.where(F.col("times") >= F.col("least")).select("u", "v")
+    more = paired.where(F.col("times") < F.col("least"))
+    for end in ("u", "v"):
+        more = more.join(small(held.select(F.col("node").alias(end), F.col("often").alias(f"often_{end}"))), end)
+    more = more.where(F.col("times") + F.least("often_u", "often_v") >= F.col("least")).select("u", "v")
+    bound = held.where(F.col("often") >= F.col("tied")).select("node")
+    # Sizes that allow a link are in one band or in two that are neighbours; bands are a little wider than need be, for rounding.
+    band = F.floor(F.log("n") / (1.001 * max(log(100 / percent), 1e-3)))
+    bound = stored(often.join(small(bound), "node", "left_semi").select("gram", "node", F.explode(F.array(band, band + 1)).alias("band")))
+    stars = bound.join(bound.groupBy("gram", "band").agg(F.min("node").alias("v")), ["gram", "band"]).select(F.col("node").alias("u"), "v").distinct()
+    found = stored(sure.unionByName(more).unionByName(stars))
+    discard(paired, often, held, bound)
+    return found
 
 
 def _candidates(sets: DataFrame, percent: int, order) -> DataFrame:
     """node, candidate: the classes of each candidate component of two or more."""
     prefixes = stored(_prefixes(sets, percent, order))
-    first = stored(prefixes.groupBy("gram").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1"))
-    rare = prefixes.join(first.where(F.col("times") <= RARE).select("gram"), "gram", "left_semi")
-    a, b = rare.alias("a"), rare.alias("b")
-    paired = a.join(b, "gram").where("a.node > b.node").groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("times"))
-    often = prefixes.join(first.where(F.col("times") > RARE).select("gram", "v"), "gram").select(F.col("node").alias("u"), "v")
-    stars = components(paired.where(F.col("times") >= met(percent)).select("u", "v").unionByName(often))
-    discard(prefixes, first)
+    times = stored(prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    proposed = _proposed(prefixes, times, percent)
+    discard(prefixes, times)
+    stars = components(proposed)
+    discard(proposed)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("candidate")).unionByName(
         stars.select(F.col("v").alias("node"), F.col("v").alias("candidate")).distinct()
     )
@@ -512,6 +541,18 @@ def _classified(documents: DataFrame, width: int, percent: int, kept: tuple[str,
     return rows.join(small(roots), "name", "left").withColumn("root", F.coalesce("root", "name"))
 
 
+def _tidy(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The step, whose runs leave no shuffle files; the rows that it returns are up to the caller."""
+
+    @wraps(step)
+    def run(documents: DataFrame, *more, **named) -> DataFrame:
+        with shuffles_dropped(documents.sparkSession):
+            return step(documents, *more, **named)
+
+    return run
+
+
+@_tidy
 def linked(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     rows = stored(_classified(documents, width, percent).select("doc_id", "n", "root"))
@@ -525,6 +566,7 @@ def _groups_of(rows: DataFrame, name: str) -> DataFrame:
     return stored(groups.select("root", F.xxhash64("root").alias(name)))
 
 
+@_tidy
 def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents with a new column ``name``: a number of their group of near duplicates, null for those alone."""
     rows = stored(_classified(documents, width, percent).where(F.col("root").isNotNull()).select("rkey", "root"))
@@ -533,12 +575,14 @@ def with_groups(documents: DataFrame, name: str, width: int = WIDTH, percent: in
     return _met(documents.withColumn(key, row_key()), key, known, key, key, "left").drop(key)
 
 
+@_tidy
 def measured(documents: DataFrame, name: str, kept: tuple[str, ...], width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Of every row doc_id, ``kept`` columns, words (how many) and ``name`` as in ``with_groups``: the texts are read once, and none is moved."""
     rows = stored(_classified(documents, width, percent, kept).select("doc_id", *kept, "words", "root"))
     return rows.join(small(_groups_of(rows, name)), "root", "left").drop("root")
 
 
+@_tidy
 def deduplicated(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of every component, with all columns: that with the smallest id (null last), of equal ids with the smallest key of its text.
 
